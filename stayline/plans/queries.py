@@ -282,13 +282,15 @@ def churn_lookback_panel(spark, d):
 
 @register
 def stable_active_lines(spark, d):
-    return panels.stable_lines(st.activity(spark, d), ["activity_dt", "pplan_cd", "acct_num"])
+    rows = acts.in_scope(st.activity(spark, d), st.CUTOFF)
+    return panels.stable_lines(rows, ["activity_dt", "pplan_cd", "acct_num"])
 
 
 @register
 def active_panel(spark, d):
+    rows = acts.in_scope(st.activity(spark, d), st.CUTOFF)
     return panels.active_panel(
-        st.activity(spark, d), st.telemetry(spark, d), ["activity_dt", "pplan_cd", "acct_num"]
+        rows, st.telemetry(spark, d), ["activity_dt", "pplan_cd", "acct_num"]
     )
 
 
@@ -310,7 +312,7 @@ def sample_days_per_line(spark, d):
 def _features(spark, d, **options):
     rows = st.activity(spark, d)
     return features.feature_table(
-        rows,
+        acts.in_scope(rows, st.CUTOFF),
         st.profile(spark, d),
         acts.disconnects(rows, st.CUTOFF),
         options.pop("panel", None) or st.telemetry(spark, d),
