@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-HEX_DIGITS = 8
+HEX_DIGITS = 15  # the most that fit a bigint
 SCALE = 16**HEX_DIGITS
 
 
@@ -18,7 +18,7 @@ def digest(salt: str, keys: Sequence[str | Column]) -> Column:
 
 
 def hash_int(salt: str, keys: Sequence[str | Column]) -> Column:
-    """Uniform whole number in [0, 2^32)."""
+    """Uniform whole number in [0, 2^60), enough to draw among any number of rows."""
     return F.conv(F.substring(digest(salt, keys), 1, HEX_DIGITS), 16, 10).cast("bigint")
 
 

@@ -13,8 +13,8 @@ MICRO = 1_000_000
 
 
 def units(value: Column, per_one: int) -> Column:
-    """``value`` as a whole number of 1/``per_one`` units."""
-    return F.round(value * F.lit(per_one)).cast("bigint")
+    """A double as a whole number of 1/``per_one`` units (a primitive operation, no decimals)."""
+    return F.rint(value * F.lit(per_one)).cast("bigint")
 
 
 def _div(top: Column, bottom: Column) -> Column:
@@ -22,7 +22,10 @@ def _div(top: Column, bottom: Column) -> Column:
 
 
 def mean_2dp(value: Column) -> Column:
-    """Aggregate: ``round(avg(value), 2)`` from exact sums of millionths; NULL if all are NULL."""
+    """Aggregate: ``round(avg(value), 2)`` from exact sums of millionths; NULL if all are NULL.
+
+    For scores. A group whose sum passes 9e12 raises an overflow error instead of wrapping.
+    """
     micro = units(value, MICRO)
     total, n = F.sum(micro), F.count(micro)
     step = F.lit(MICRO // 100).cast("bigint")
@@ -31,6 +34,11 @@ def mean_2dp(value: Column) -> Column:
     return F.when(n > 0, F.signum(total) * hundredths.cast("double") / F.lit(100.0))
 
 
+def mean_of_whole(value: Column) -> Column:
+    """Aggregate: ``round(avg(value), 2)`` of a bigint of any size."""
+    return F.round(F.avg(value.cast("decimal(20,0)")), 2).cast("double")
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """``top / bottom`` as a double, 0 where the bottom is 0."""
     return F.when(bottom == 0, F.lit(0.0)).otherwise(top.cast("double") / bottom.cast("double"))

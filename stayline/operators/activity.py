@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from stayline.functions import codes, dates
-from stayline.operators.history import scd2_join
+from stayline.operators.history import date_span, scd2_join
 
 LINE = ("cust_id", "cust_line_seq_id")
 NUMBER = ("cust_id", "mtn")
@@ -117,7 +117,9 @@ def first_activation_before(
     return firsts.join(ends, list(LINE)).where(F.col("deact_dt") > F.col("act_dt"))
 
 
-def eligible_by_history_or_plan(activity: DataFrame, network_history: DataFrame) -> DataFrame:
+def eligible_by_history_or_plan(
+    activity: DataFrame, network_history: DataFrame, span: tuple[Column, Column] | None = None
+) -> DataFrame:
     """Rows on an eligible plan, or whose line was on the fixed network the day after.
 
     Rows the plan already admits need no join. The others are kept by a semi join, so overlapping
@@ -131,12 +133,16 @@ def eligible_by_history_or_plan(activity: DataFrame, network_history: DataFrame)
         & codes.code_is(F.col("network_type"), codes.NETWORK_TYPE)
     )
     rest = activity.where(~by_plan).withColumn("at_dt", F.date_add("activity_dt", 1))
-    by_history = scd2_join(rest, valid, LINE, at="at_dt", how="left_semi").drop("at_dt")
-    return activity.where(by_plan).unionByName(by_history)
+    by_history = scd2_join(rest, valid, LINE, at="at_dt", how="left_semi", span=span)
+    return activity.where(by_plan).unionByName(by_history.drop("at_dt"))
 
 
 def with_segment(
-    activity: DataFrame, line_dimensions: DataFrame, segments: DataFrame, dim_name: str
+    activity: DataFrame,
+    line_dimensions: DataFrame,
+    segments: DataFrame,
+    dim_name: str,
+    span: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Segment valid at the end of the activity's month, or the default segment."""
     named = line_dimensions.where(codes.code_is(F.col("dim_name"), dim_name)).select(
@@ -147,7 +153,7 @@ def with_segment(
     )
     rows = activity.withColumn("month_end_dt", dates.month_end(F.col("activity_dt")))
     return (
-        scd2_join(rows, named, LINE, at="month_end_dt", how="left")
+        scd2_join(rows, named, LINE, at="month_end_dt", how="left", span=span)
         .join(current, "dim_value", "left")
         .withColumn(
             "segment", F.coalesce(F.col("segmt_ctgry_desc"), F.lit(codes.DEFAULT_SEGMENT))
@@ -201,9 +207,10 @@ def enriched_disconnects(
 
     Lines of an unknown or other technology are left out, unless ``keep_other``.
     """
+    span = date_span(activity, "activity_dt")
     started = activations(activity, cutoff, date_column="rpt_mth")
-    started = eligible_by_history_or_plan(started, network_history)
-    started = with_segment(started, line_dimensions, segments, segment_dimension)
+    started = eligible_by_history_or_plan(started, network_history, span)
+    started = with_segment(started, line_dimensions, segments, segment_dimension, span)
     if only_segment is not None:
         started = started.where(F.col("segment") == only_segment)
     started = with_technology(started, price_plans, short_names=short_names)
@@ -223,7 +230,7 @@ def enriched_disconnects(
         ["deact_dt", "deact_cd", "eqp_prod_nm", "change_reas_cd"],
     )
     known = scd2_join(
-        lines, account_history, ("cust_id", "acct_num"), at="act_dt", how="inner"
+        lines, account_history, ("cust_id", "acct_num"), at="act_dt", how="inner", span=span
     ).drop("eff_dt", "exp_dt")
     names = activity_names.select(F.col("activity_cd").alias("deact_cd"), "activity_desc")
     installs = distinct_profile(profile, ["chnl_nm", "install_type", "sales_dt", "install_dt"])

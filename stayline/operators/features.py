@@ -75,7 +75,7 @@ def labelled_means(
 
     ``signals`` are first-stage columns, kept as the line's peak. The account number is an
     identifier; its mean is kept under its name for those who want it, but the model leaves it out
-    unless asked.
+    unless asked. ``row_key`` identifies a row even after categories are merged.
     """
     keys = list(CATEGORIES[:-1])
     account = F.col("acct_num").try_cast("bigint").alias("acct_num")
@@ -88,9 +88,13 @@ def labelled_means(
         .unionByName(labelled(churned, "Y"))
         .groupBy(*CATEGORIES)
         .agg(
-            *[numbers.mean_2dp(F.col(s)).alias(s) for s in [*scores, "acct_num"]],
+            *[numbers.mean_2dp(F.col(s)).alias(s) for s in scores],
+            numbers.mean_of_whole(F.col("acct_num")).alias("acct_num"),
             *[F.max(s).alias(s) for s in signals],
         )
+        .withColumn(
+            "row_key", F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("?")) for c in CATEGORIES]))
+        )
     )
 
 

@@ -5,12 +5,23 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 OPEN_END = date(9999, 12, 31)
 
 
+def date_span(rows: DataFrame, day: str) -> tuple[Column, Column]:
+    """First and last date of a column (the last rounded up past its month), as values.
+
+    Wide enough for joins at the day itself, the day after, and the end of its month.
+    """
+    span = rows.agg(
+        F.min(day).alias("lo"), F.date_add(F.last_day(F.max(day)), 1).alias("hi")
+    )
+    return span.select("lo").scalar(), span.select("hi").scalar()
+
+
 def scd2_join(
     facts: DataFrame,
     history: DataFrame,
@@ -18,6 +29,7 @@ def scd2_join(
     *,
     at: str,
     how: str = "left",
+    span: tuple[Column, Column] | None = None,
 ) -> DataFrame:
     """Join rows to the history valid on the row's date ``at``; both ends of validity count.
 
@@ -25,9 +37,11 @@ def scd2_join(
     join key is therefore (keys, year): a history row is repeated for every year it covers, within
     the dates the facts have at all, so an open end costs a few copies. A hot line spreads over
     its years, and the shuffled partitions that are still too big are split by AQE.
+
+    ``span`` must contain every date ``at``. Take it from a base table when ``facts`` is itself the
+    result of joins, or those would run once more to find it.
     """
-    span = facts.agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
-    lo, hi = span.select("lo").scalar(), span.select("hi").scalar()
+    lo, hi = span if span is not None else date_span(facts, at)
     year = F.expr("interval 1 year")
     start = F.trunc(F.greatest(F.col("eff_dt"), lo), "YEAR")
     stop = F.trunc(F.least(F.col("exp_dt"), hi), "YEAR")

@@ -183,12 +183,12 @@ def _with(*ctes: str) -> str:
 
 
 def _draw(salt: str, key: str) -> str:
-    """The row's random number below 2^32."""
-    return f"CAST('0x' || substr(md5('{salt}|' || {key}), 1, 8) AS BIGINT)"
+    """The row's random number below 2^60."""
+    return f"CAST('0x' || substr(md5('{salt}|' || {key}), 1, 15) AS BIGINT)"
 
 
 def _share(salt: str, key: str, share: float) -> str:
-    return f"({_draw(salt, key)} < {round(share * 2**32)})"
+    return f"({_draw(salt, key)} < {round(share * 16**15)})"
 
 
 # Disconnects with everything joined, before any filter on technology or segment.

@@ -20,7 +20,6 @@ from stayline.operators import (
 )
 from stayline.plans import standins as st
 from stayline.session import durable, tune
-from stayline.sources.readers import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -99,7 +98,7 @@ def plan_bucket(spark, d):
 @register
 def device_model_bucket(spark, d):
     keep = ["ring", "bolt", "widget", "gear"]
-    return table(spark, d, "part").select(
+    return st.table(spark, d, "part").select(
         "p_partkey", codes.device_bucket(F.col("p_name"), keep).alias("device")
     )
 
@@ -180,7 +179,7 @@ def scd2_lookup(spark, d):
         "cust_id", "cust_line_seq_id", "activity_dt", "activity_cd",
         F.date_add("activity_dt", 1).alias("at_dt"),
     )
-    valid = st.network_history(spark, d).where(codes.code_is(F.col("active_ind"), "Y"))
+    valid = st.network_history(st.changes(spark, d)).where(codes.code_is(F.col("active_ind"), "Y"))
     joined = history.scd2_join(rows, valid, acts.LINE, at="at_dt", how="left")
     return joined.select(
         "cust_id", "cust_line_seq_id", "activity_dt", "activity_cd", "eff_dt", "exp_dt",
@@ -191,34 +190,35 @@ def scd2_lookup(spark, d):
 @register
 def scd2_month_end(spark, d):
     rows = st.activity(spark, d).select("cust_id", "cust_line_seq_id", "activity_dt", "activity_cd")
-    return acts.with_segment(rows, st.line_dimensions(spark, d), st.segments(spark), "segment")
+    return acts.with_segment(rows, st.line_dimensions(st.changes(spark, d)), st.segments(spark), "segment")
 
 
 @register
 def scd2_inner(spark, d):
     rows = st.activity(spark, d).select("cust_id", "acct_num", "activity_dt", "activity_cd")
     return history.scd2_join(
-        rows, st.account_history(spark, d), ("cust_id", "acct_num"), at="activity_dt", how="inner"
+        rows, st.account_history(st.changes(spark, d)), ("cust_id", "acct_num"), at="activity_dt", how="inner"
     )
 
 
 @register
 def eligible_by_history_or_plan(spark, d):
     rows = acts.activations(st.activity(spark, d), st.CUTOFF, "rpt_mth")
-    return acts.eligible_by_history_or_plan(rows, st.network_history(spark, d)).select(
+    return acts.eligible_by_history_or_plan(rows, st.network_history(st.changes(spark, d))).select(
         "cust_id", "cust_line_seq_id", "activity_dt", "activity_cd", "coe_pplan_sub_type_desc"
     )
 
 
 def _enriched(spark, d, **options):
+    days = st.changes(spark, d)
     return acts.enriched_disconnects(
         st.activity(spark, d),
         cutoff=st.CUTOFF,
         as_of=st.AS_OF,
         price_plans=st.price_plans(spark),
-        network_history=st.network_history(spark, d),
-        line_dimensions=st.line_dimensions(spark, d),
-        account_history=st.account_history(spark, d),
+        network_history=st.network_history(days),
+        line_dimensions=st.line_dimensions(days),
+        account_history=st.account_history(days),
         segments=st.segments(spark),
         segment_dimension="segment",
         change_reasons=st.change_reasons(spark),
@@ -323,7 +323,7 @@ def _features(spark, d, **options):
 
 @register
 def churn_feature_table(spark, d):
-    return _features(spark, d)
+    return _features(spark, d).drop("row_key")
 
 
 @register
@@ -446,7 +446,7 @@ def cusum_signal(spark, d):
 def two_stage_features(spark, d):
     return _features(
         spark, d, panel=_stage_one(spark, d), scores=["scaled_latency"], signals=["cusum"]
-    )
+    ).drop("row_key")
 
 
 @register
@@ -508,15 +508,10 @@ MODEL_INPUTS = [*features.MODEL_SCORES, *features.one_hot_columns()]
 
 def _trained(spark, d):
     """Split first, then impute with training means and balance the training rows only."""
-    keys = ["mdn_5g", "cust_id", "pplan_cd_key"]
-    table_ = _features(spark, d)
-    key = F.concat_ws(
-        "/", "cust_line_seq_id", F.coalesce("pplan_cd", F.lit("")), "eqp_prod_nm",
-        "coe_pplan_sub_type_desc", "churn_label",
-    ).alias("pplan_cd_key")
+    keys = ["row_key"]
     rows = durable(
         features.one_hot(
-            table_.select("*", key), ["mdn_5g", "cust_id", "pplan_cd_key", *features.MODEL_SCORES]
+            _features(spark, d), ["mdn_5g", "cust_id", "row_key", *features.MODEL_SCORES]
         )
     )
     rows = features.split_train_test(rows, ["mdn_5g", "cust_id"])

@@ -9,80 +9,79 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.functions.numbers import units
 from stayline.operators import panel as panels
 from stayline.operators.history import validity
 from stayline.sources import contracts
-from stayline.sources.readers import table
+from stayline.sources import readers
 
 CUTOFF = date(1996, 1, 1)
 AS_OF = date(2002, 1, 1)
 CHURN_AFTER = date(1996, 6, 15)
 
 
-def _tiers(value: Column, steps: list[tuple[int, str | None]], last: str | None) -> Column:
-    out = F.when(value < steps[0][0], steps[0][1])
-    for bound, name in steps[1:]:
-        out = out.when(value < bound, name)
-    return out.otherwise(last)
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double,"
+    " c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int,"
+    " p_retailprice double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double,"
+    " o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int,"
+    " l_quantity double, l_extendedprice double, l_discount double, l_tax double,"
+    " l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,"
+    " value double, props string",
+}
+
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return readers.table(spark, folder, name, SCHEMAS[name])
 
-def _line(order_key: str) -> Column:
-    return (F.col(order_key) % 2 + 1).cast("string")
+
+LINE_ID = "CAST(o_orderkey % 2 + 1 AS STRING)"
+NUMBER = f"concat(CAST(o_custkey AS STRING), {LINE_ID})"
 
 
 def raw_activity(spark: SparkSession, folder: str) -> DataFrame:
     """One row per order: who, which line, when, what."""
-    day = F.col("o_orderdate").cast("date")
-    dom, month = F.dayofmonth(day), F.month(day)
-    status, priority, price = F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_totalprice")
-    return table(spark, folder, "orders").select(
-        F.col("o_custkey").alias("cust_id"),
-        _line("o_orderkey").alias("cust_line_seq_id"),
-        F.rpad(F.concat(F.col("o_custkey").cast("string"), _line("o_orderkey")), 30, " ").alias(
-            "mtn"
-        ),
-        _tiers(
-            price,
-            [
-                (60_000, "67571"), (120_000, "67567"), (180_000, "75561"), (240_000, "75560"),
-                (300_000, "fwh1 "), (360_000, "FWH2"), (420_000, "FWH3"),
-            ],
-            "MOB1",
-        ).alias("pplan_cd"),
-        day.alias("activity_dt"),
-        F.when((status == "P") & (priority == "5-LOW"), "ac ")
-        .when((status == "F") & (priority == "1-URGENT"), " de")
-        .when((status == "F") & (priority == "2-HIGH"), "d3")
-        .when((status == "P") & (priority == "4-NOT SPECIFIED"), "Re")
-        .otherwise("CH")
-        .alias("activity_cd"),
-        F.when(month <= 3, "Gateway ARC-XCI55AX")
-        .when(month <= 6, "Router WNC-CR200A ")
-        .when(month <= 8, "ASK-NCQ1338FA")
-        .when(month <= 10, "Cube FSNO21VA")
-        .when(month == 11, "Legacy Modem")
-        .alias("eqp_prod_nm"),
-        F.concat(F.lit("r"), F.floor(dom / 6).cast("string")).alias("change_reas_cd"),
-        (F.col("o_custkey") * 100 + F.col("o_orderkey") % 2 + 1).cast("string").alias("acct_num"),
-        F.trunc(day, "MM").alias("rpt_mth"),
-        F.when(dom == 1, "y").otherwise("n").alias("prepaid_ind"),
-        F.when(dom == 2, "n").otherwise("y").alias("rev_gen_ind"),
-        F.when(dom == 3, "m").otherwise("c").alias("managed_ind"),
-        F.when(dom == 4, "t").otherwise("s").alias("line_type_cd"),
-        _tiers(
-            price,
-            [
-                (80_000, "4G LTE Home"), (160_000, "5g home c-band"), (240_000, "5G Home mmWave "),
-                (320_000, "5G Business Internet C-Band"), (400_000, "5G Business Internet mmWave"),
-                (440_000, "5g home"),
-            ],
-            "Mobile Unlimited",
-        ).alias("coe_pplan_sub_type_desc"),
-        units(price, 100).alias("price_cents"),
+    orders = table(spark, folder, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    return orders.selectExpr(
+        "o_custkey AS cust_id",
+        f"{LINE_ID} AS cust_line_seq_id",
+        f"rpad({NUMBER}, 30, ' ') AS mtn",
+        """CASE WHEN o_totalprice < 60000 THEN '67571' WHEN o_totalprice < 120000 THEN '67567'
+             WHEN o_totalprice < 180000 THEN '75561' WHEN o_totalprice < 240000 THEN '75560'
+             WHEN o_totalprice < 300000 THEN 'fwh1 ' WHEN o_totalprice < 360000 THEN 'FWH2'
+             WHEN o_totalprice < 420000 THEN 'FWH3' ELSE 'MOB1' END AS pplan_cd""",
+        "day AS activity_dt",
+        """CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 'ac '
+             WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN ' de'
+             WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' THEN 'd3'
+             WHEN o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED' THEN 'Re'
+             ELSE 'CH' END AS activity_cd""",
+        """CASE WHEN month(day) <= 3 THEN 'Gateway ARC-XCI55AX'
+             WHEN month(day) <= 6 THEN 'Router WNC-CR200A '
+             WHEN month(day) <= 8 THEN 'ASK-NCQ1338FA' WHEN month(day) <= 10 THEN 'Cube FSNO21VA'
+             WHEN month(day) = 11 THEN 'Legacy Modem' END AS eqp_prod_nm""",
+        "concat('r', CAST(day(day) div 6 AS STRING)) AS change_reas_cd",
+        "CAST(o_custkey * 100 + o_orderkey % 2 + 1 AS STRING) AS acct_num",
+        "trunc(day, 'MM') AS rpt_mth",
+        "CASE WHEN day(day) = 1 THEN 'y' ELSE 'n' END AS prepaid_ind",
+        "CASE WHEN day(day) = 2 THEN 'n' ELSE 'y' END AS rev_gen_ind",
+        "CASE WHEN day(day) = 3 THEN 'm' ELSE 'c' END AS managed_ind",
+        "CASE WHEN day(day) = 4 THEN 't' ELSE 's' END AS line_type_cd",
+        """CASE WHEN o_totalprice < 80000 THEN '4G LTE Home'
+             WHEN o_totalprice < 160000 THEN '5g home c-band'
+             WHEN o_totalprice < 240000 THEN '5G Home mmWave '
+             WHEN o_totalprice < 320000 THEN '5G Business Internet C-Band'
+             WHEN o_totalprice < 400000 THEN '5G Business Internet mmWave'
+             WHEN o_totalprice < 440000 THEN '5g home'
+             ELSE 'Mobile Unlimited' END AS coe_pplan_sub_type_desc""",
     )
 
 
@@ -92,56 +91,45 @@ def activity(spark: SparkSession, folder: str) -> DataFrame:
 
 def profile(spark: SparkSession, folder: str) -> DataFrame:
     """Two lines per customer; install data from the customer's events, NULL for those without."""
-    # ---- Fixed values: which region stands for which market ----------------------------------
-    market = (
-        F.when(F.col("r_name") == "AMERICA", "West")
-        .when(F.col("r_name") == "EUROPE", "East")
-        .when(F.col("r_name") == "ASIA", "South")
-        .when(F.col("r_name") == "AFRICA", "Headquarters")
-    )
-    # ---- End of fixed values -----------------------------------------------------------------
     seen = (
         table(spark, folder, "events")
         .groupBy(F.col("user_id").alias("c_custkey"))
         .agg(
             F.count("*").alias("n_events"),
-            F.count_if(F.col("event_type") == "purchase").alias("n_bought"),
-            F.min(F.col("ts").cast("date")).alias("sales_dt"),
-            F.max(F.col("ts").cast("date")).alias("install_dt"),
+            F.expr("count_if(event_type = 'purchase') AS n_bought"),
+            F.expr("min(CAST(ts AS DATE)) AS sales_dt"),
+            F.expr("max(CAST(ts AS DATE)) AS install_dt"),
         )
     )
+    # ---- Fixed values: which region stands for which market ----------------------------------
+    market = """CASE r_name WHEN 'AMERICA' THEN 'West' WHEN 'EUROPE' THEN 'East'
+                WHEN 'ASIA' THEN 'South' WHEN 'AFRICA' THEN 'Headquarters' END AS market_type"""
+    # ---- End of fixed values -----------------------------------------------------------------
     places = (
         table(spark, folder, "nation")
         .join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-        .select(F.col("n_nationkey").alias("c_nationkey"), market.alias("market_type"))
+        .selectExpr("n_nationkey AS c_nationkey", market)
     )
-    balance = F.col("c_acctbal")
-    number = F.concat(F.col("c_custkey").cast("string"), F.col("line"))
     return (
         table(spark, folder, "customer")
         .join(places, "c_nationkey", "left")
         .join(seen, "c_custkey", "left")
-        .withColumn("line", F.explode(F.array(F.lit("1"), F.lit("2"))))
-        .select(
-            F.col("c_custkey").cast("string").alias("cust_id"),
-            number.alias("mtn"),
-            number.alias("mdn_5g"),
-            F.when(F.col("n_bought") * 5 >= F.col("n_events"), "D2D")
-            .when(F.col("n_events").isNotNull(), "Retail")
-            .alias("chnl_nm"),
-            F.when(F.col("c_mktsegment") == "HOUSEHOLD", "SELF")
-            .otherwise("PROFESSIONAL")
-            .alias("install_type"),
+        .selectExpr("*", "explode(array('1', '2')) AS line")
+        .selectExpr(
+            "CAST(c_custkey AS STRING) AS cust_id",
+            "concat(CAST(c_custkey AS STRING), line) AS mtn",
+            "concat(CAST(c_custkey AS STRING), line) AS mdn_5g",
+            """CASE WHEN n_bought * 5 >= n_events THEN 'D2D'
+                 WHEN n_events IS NOT NULL THEN 'Retail' END AS chnl_nm""",
+            """CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'SELF' ELSE 'PROFESSIONAL' END
+                 AS install_type""",
             "sales_dt",
             "install_dt",
             "market_type",
-            F.when(balance >= 5000, "LOCALLY_FULFILLED")
-            .when(balance >= 0, "SHIPPED")
-            .alias("order_fulfilment"),
-            F.when(F.col("n_events") >= 60, "Y")
-            .when(F.col("n_events").isNotNull(), "N")
-            .alias("usage_flag"),
-            F.col("c_mktsegment").alias("segment"),
+            """CASE WHEN c_acctbal >= 5000 THEN 'LOCALLY_FULFILLED'
+                 WHEN c_acctbal >= 0 THEN 'SHIPPED' END AS order_fulfilment""",
+            """CASE WHEN n_events >= 60 THEN 'Y' WHEN n_events IS NOT NULL THEN 'N' END
+                 AS usage_flag""",
         )
     )
 
@@ -167,80 +155,81 @@ SCORE_RULES = {
     "networkFailureScore": "returned / 2.0",
     "deviceScore": "still_open / 2.0",
 }
-DAY_SUMS = ("quantity", "price", "discount", "tax", "rows_of_day", "returned", "still_open")
 
 
 def telemetry_sums(spark: SparkSession, folder: str) -> DataFrame:
     """Whole-number sums per line and ship day."""
-    items = table(spark, folder, "lineitem").select(
-        "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag",
-        "l_linestatus", F.col("l_shipdate").cast("date").alias("cpe_date"),
+    items = table(spark, folder, "lineitem").selectExpr(
+        "l_orderkey", "CAST(l_shipdate AS DATE) AS cpe_date", "CAST(l_quantity AS BIGINT) AS q",
+        "CAST(rint(l_extendedprice * 100) AS BIGINT) AS p",
+        "CAST(rint(l_discount * 100) AS BIGINT) AS d", "CAST(rint(l_tax * 100) AS BIGINT) AS t",
+        "l_returnflag = 'R' AS r", "l_linestatus = 'O' AS o",
     )
-    lines = table(spark, folder, "orders").select(
-        F.col("o_orderkey").alias("l_orderkey"),
-        F.col("o_custkey").cast("string").alias("cust_id"),
-        F.concat(F.col("o_custkey").cast("string"), _line("o_orderkey")).alias("mdn_5g"),
+    lines = table(spark, folder, "orders").selectExpr(
+        "o_orderkey AS l_orderkey", "CAST(o_custkey AS STRING) AS cust_id", f"{NUMBER} AS mdn_5g"
     )
     return panels.daily(
         items.join(lines, "l_orderkey"),
         {
-            "quantity": F.sum(F.col("l_quantity").cast("bigint")),
-            "price": F.sum(units(F.col("l_extendedprice"), 100)),
-            "discount": F.sum(units(F.col("l_discount"), 100)),
-            "tax": F.sum(units(F.col("l_tax"), 100)),
+            "quantity": F.sum("q"),
+            "price": F.sum("p"),
+            "discount": F.sum("d"),
+            "tax": F.sum("t"),
             "rows_of_day": F.count("*"),
-            "returned": F.count_if(F.col("l_returnflag") == "R"),
-            "still_open": F.count_if(F.col("l_linestatus") == "O"),
+            "returned": F.count_if("r"),
+            "still_open": F.count_if("o"),
         },
     )
 
 
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
     sums = telemetry_sums(spark, folder)
-    scores = [
-        F.expr(f"CAST({rule} AS DOUBLE)").alias(name) for name, rule in SCORE_RULES.items()
-    ]
-    return sums.select("cpe_date", *panels.KEY, *scores)
-
-
-def _changes(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per line and day with any activity, valid until the next such day."""
-    raw = raw_activity(spark, folder)
-    days = raw.groupBy(
-        F.col("cust_id").cast("string").alias("cust_id"), "cust_line_seq_id", "acct_num",
-        "activity_dt",
+    scores = [f"CAST({rule} AS DOUBLE) AS {name}" for name, rule in SCORE_RULES.items()]
+    return sums.selectExpr("cpe_date", *panels.KEY, *scores)
+
+
+def changes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per line and day with any activity, valid until the next such day.
+
+    ``first_cd`` is the place of the day's first code in AC, CH, D3, DE, RE.
+    """
+    orders = table(spark, folder, "orders")
+    days = orders.groupBy(
+        F.expr("CAST(o_custkey AS STRING) AS cust_id"),
+        F.expr(f"{LINE_ID} AS cust_line_seq_id"),
+        F.expr("CAST(o_custkey * 100 + o_orderkey % 2 + 1 AS STRING) AS acct_num"),
+        F.expr("CAST(o_orderdate AS DATE) AS day"),
     ).agg(
-        F.min(F.upper(F.trim("activity_cd"))).alias("first_cd"),
-        F.max("price_cents").alias("top_cents"),
+        F.expr(
+            """min(CASE WHEN o_orderstatus = 'P' AND o_orderpriority = '5-LOW' THEN 1
+                 WHEN o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' THEN 4
+                 WHEN o_orderstatus = 'F' AND o_orderpriority = '2-HIGH' THEN 3
+                 WHEN o_orderstatus = 'P' AND o_orderpriority = '4-NOT SPECIFIED' THEN 5
+                 ELSE 2 END) AS first_cd"""
+        ),
+        F.max("o_totalprice").alias("top"),
     )
-    return validity(days, ["cust_id", "cust_line_seq_id", "acct_num"], "activity_dt")
+    return validity(days, ["cust_id", "cust_line_seq_id", "acct_num"], "day")
 
 
-def network_history(spark: SparkSession, folder: str) -> DataFrame:
-    return _changes(spark, folder).select(
+def network_history(days: DataFrame) -> DataFrame:
+    return days.selectExpr(
         "cust_id", "cust_line_seq_id", "eff_dt", "exp_dt",
-        F.when(F.col("first_cd").isin("DE", "D3"), "n").otherwise("y ").alias("active_ind"),
-        F.when(F.col("top_cents") < 30_000_000, "5G Fixed Wireless ")
-        .otherwise("4g mobile")
-        .alias("network_type"),
+        "CASE WHEN first_cd IN (3, 4) THEN 'n' ELSE 'y ' END AS active_ind",
+        "CASE WHEN top < 300000 THEN '5G Fixed Wireless ' ELSE '4g mobile' END AS network_type",
     )
 
 
-def line_dimensions(spark: SparkSession, folder: str) -> DataFrame:
-    top = F.col("top_cents")
-    return _changes(spark, folder).select(
+def line_dimensions(days: DataFrame) -> DataFrame:
+    return days.selectExpr(
         "cust_id", "cust_line_seq_id", "eff_dt", "exp_dt",
-        F.when(top < 45_000_000, "Segment ").otherwise("usage").alias("dim_name"),
-        F.when(top < 15_000_000, "B").when(top < 30_000_000, "C").otherwise("X").alias("dim_value"),
+        "CASE WHEN top < 450000 THEN 'Segment ' ELSE 'usage' END AS dim_name",
+        "CASE WHEN top < 150000 THEN 'B' WHEN top < 300000 THEN 'C' ELSE 'X' END AS dim_value",
     )
 
 
-def account_history(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        _changes(spark, folder)
-        .where(F.col("top_cents") < 45_000_000)
-        .select("cust_id", "acct_num", "eff_dt", "exp_dt")
-    )
+def account_history(days: DataFrame) -> DataFrame:
+    return days.where("top < 450000").select("cust_id", "acct_num", "eff_dt", "exp_dt")
 
 
 def price_plans(spark: SparkSession) -> DataFrame:
@@ -291,40 +280,38 @@ def segments(spark: SparkSession) -> DataFrame:
 
 def scored_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events as scored examples: an error is the positive class, the value is the score."""
-    cents = units(F.col("value"), 100)
-    return table(spark, folder, "events").select(
+    return table(spark, folder, "events").selectExpr(
         "event_id",
-        F.when(F.col("event_type") == "error", 1).otherwise(0).alias("label"),
-        F.when(cents >= 1000, 1).otherwise(0).alias("prediction"),
-        cents.alias("score"),
+        "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label",
+        "CASE WHEN rint(value * 100) >= 1000 THEN 1 ELSE 0 END AS prediction",
+        "CAST(rint(value * 100) AS BIGINT) AS score",
     )
 
 
 def customers(spark: SparkSession, folder: str) -> DataFrame:
     """One row per customer: churned or not, revenue, cost of an offer, prediction, cycle."""
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    ended = (status == "F") & priority.isin("1-URGENT", "2-HIGH")
-    day = F.col("o_orderdate").cast("date")
     orders = (
         table(spark, folder, "orders")
         .groupBy(F.col("o_custkey").alias("c_custkey"))
         .agg(
-            F.max(F.when(ended, 1).otherwise(0)).alias("churned"),
-            F.sum(units(F.col("o_totalprice"), 100)).alias("revenue_cents"),
-            F.trunc(F.max(day), "MM").alias("cycle"),
+            F.expr(
+                """max(CASE WHEN o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')
+                     THEN 1 ELSE 0 END) AS churned"""
+            ),
+            F.expr("sum(CAST(rint(o_totalprice * 100) AS BIGINT)) AS revenue_cents"),
+            F.expr("trunc(max(CAST(o_orderdate AS DATE)), 'MM') AS cycle"),
         )
     )
-    balance = units(F.col("c_acctbal"), 100)
     return (
         table(spark, folder, "customer")
         .join(orders, "c_custkey")
-        .select(
-            F.col("c_custkey").alias("cust_id"),
-            F.col("c_mktsegment").alias("segment"),
+        .selectExpr(
+            "c_custkey AS cust_id",
+            "c_mktsegment AS segment",
             "churned",
             "revenue_cents",
             "cycle",
-            F.when(balance < 500_000, 1).otherwise(0).alias("predicted"),
-            F.when(balance < 0, 5000).otherwise(2500).cast("bigint").alias("cost_cents"),
+            "CASE WHEN c_acctbal < 5000 THEN 1 ELSE 0 END AS predicted",
+            "CAST(CASE WHEN c_acctbal < 0 THEN 5000 ELSE 2500 END AS BIGINT) AS cost_cents",
         )
     )

@@ -85,13 +85,13 @@ def conform(df: DataFrame, schema: T.StructType, codes_of: Sequence[str] = ()) -
     require(df, schema.fieldNames())
     out = []
     for field in schema.fields:
-        value = F.col(field.name).try_cast(field.dataType)
+        value = f"try_cast({field.name} AS {field.dataType.simpleString()})"
         if field.name in codes_of:
-            value = codes.code(value)
+            value = f"upper(trim({value}))"
         elif field.dataType == STR:
-            value = F.trim(value)
-        out.append(value.alias(field.name))
-    return df.select(*out)
+            value = f"trim({value})"
+        out.append(f"{value} AS {field.name}")
+    return df.selectExpr(*out)
 
 
 def conform_activity(df: DataFrame) -> DataFrame:

@@ -13,8 +13,10 @@ from pyspark.sql import types as T
 from stayline.sources.contracts import PANEL, PANEL_KEY, SCORES, require
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+def table(spark: SparkSession, folder: str, name: str, schema: str | None = None) -> DataFrame:
+    """A Parquet table; with a declared schema no footer is read to find one."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def warehouse_options(
