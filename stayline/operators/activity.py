@@ -100,6 +100,20 @@ def activation_disconnect_pairs(activated: DataFrame, ended: DataFrame) -> DataF
     )
 
 
+def churned_lines(
+    activated: DataFrame, ended: DataFrame, columns: Sequence[str]
+) -> DataFrame:
+    """Disconnects of numbers that also have an activation, each row once, with the number of
+    activations and the first and last of them. This is the table the lookback starts from."""
+    left = ended.select(*NUMBER, "deact_dt", "deact_cd", *columns).distinct()
+    right = activated.groupBy(*NUMBER).agg(
+        F.count("*").alias("n_activations"),
+        F.min("activity_dt").alias("first_activity_dt"),
+        F.max("activity_dt").alias("last_activity_dt"),
+    )
+    return left.join(right, list(NUMBER))
+
+
 def first_activation_before(
     activated: DataFrame,
     ended: DataFrame,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,37 +66,31 @@ def tidy_categories(df: DataFrame, keep: Sequence[str] = codes.KEPT_DEVICES) ->
     )
 
 
-def labelled_means(
-    stayed: DataFrame,
-    churned: DataFrame,
-    scores: Sequence[str] = MODEL_SCORES,
-    signals: Sequence[str] = (),
+def label_panels(
+    stayed: DataFrame, churned: DataFrame, columns: Sequence[str] = (*LINE_COLUMNS, *MODEL_SCORES)
+) -> DataFrame:
+    """Two stored panels as one, labelled N and Y."""
+    return stayed.select(*columns, F.lit("N").alias(LABEL)).unionByName(
+        churned.select(*columns, F.lit("Y").alias(LABEL))
+    )
+
+
+def score_means(
+    labelled: DataFrame, scores: Sequence[str] = MODEL_SCORES, signals: Sequence[str] = ()
 ) -> DataFrame:
-    """Panel rows of both kinds, labelled, as one row per line with the mean of each score.
+    """One row per line (and label, plan, device, place) with the mean of each score.
 
     ``signals`` are first-stage columns, kept as the line's peak. The account number is an
     identifier; its mean is kept under its name for those who want it, but the model leaves it out
     unless asked. ``row_key`` identifies a row even after categories are merged.
     """
-    keys = list(CATEGORIES[:-1])
-    account = F.col("acct_num").try_cast("bigint").alias("acct_num")
-
-    def labelled(rows: DataFrame, label: str) -> DataFrame:
-        return rows.select(*keys, F.lit(label).alias(LABEL), account, *scores, *signals)
-
-    return (
-        labelled(stayed, "N")
-        .unionByName(labelled(churned, "Y"))
-        .groupBy(*CATEGORIES)
-        .agg(
-            *[numbers.mean_2dp(F.col(s)).alias(s) for s in scores],
-            numbers.mean_of_whole(F.col("acct_num")).alias("acct_num"),
-            *[F.max(s).alias(s) for s in signals],
-        )
-        .withColumn(
-            "row_key", F.md5(F.concat_ws("|", *[F.coalesce(c, F.lit("?")) for c in CATEGORIES]))
-        )
+    means = labelled.groupBy(*CATEGORIES).agg(
+        *[numbers.mean_2dp(F.col(s)).alias(s) for s in scores],
+        numbers.mean_of_whole(F.col("acct_num").try_cast("bigint")).alias("acct_num"),
+        *[F.max(s).alias(s) for s in signals],
     )
+    key = F.concat_ws("|", *[F.coalesce(c, F.lit("?")) for c in CATEGORIES])
+    return means.withColumn("row_key", F.md5(key))
 
 
 def feature_table(
@@ -104,7 +99,7 @@ def feature_table(
     disconnects: DataFrame,
     panel: DataFrame,
     *,
-    churn_after,
+    churn_after: date,
     days: int = 30,
     salt: str = "days",
     scores: Sequence[str] = MODEL_SCORES,
@@ -113,21 +108,32 @@ def feature_table(
     """One labelled row per line: ``days`` random days of lines that stayed, and the open lookback
     of lines disconnected after ``churn_after``.
 
-    The profile joins the line tables, not the telemetry; the telemetry is joined once per side.
+    Both kinds of lines are put into one table of targets first, so the telemetry is read and
+    shuffled once, by line. Sampling and the means are grouped by line as well and need no further
+    shuffle.
     """
-    places = profile.select("cust_id", "mdn_5g", "market_type", "order_fulfilment")
     line = [c for c in LINE_COLUMNS if c not in (*panels.KEY, "market_type", "order_fulfilment")]
-    narrow = panel.select("cpe_date", *panels.KEY, *scores, *signals)
-
-    ended = disconnects.where(
-        (F.col("deact_cd") == "DE") & (F.col("deact_dt") > F.lit(churn_after))
-    ).select(*panels.KEY, *line, "deact_dt")
-    ended = ended.join(places, list(panels.KEY), "left")
-    churned = panels.lookback(ended, narrow, days, closed=False)
+    ended = (
+        disconnects.where((F.col("deact_cd") == "DE") & (F.col("deact_dt") > F.lit(churn_after)))
+        .select(*panels.KEY, *line, "deact_dt")
+        .distinct()
+        .withColumn(LABEL, F.lit("Y"))
+    )
+    stable = panels.stable_lines(activity, line).withColumns(
+        {"deact_dt": F.lit(None).cast("date"), LABEL: F.lit("N")}
+    )
+    places = profile.select(*panels.KEY, "market_type", "order_fulfilment")
+    targets = stable.unionByName(ended).join(places, list(panels.KEY), "left")
 
-    stable = panels.stable_lines(activity, line).join(places, list(panels.KEY), "left")
-    stayed = panels.sample_days(narrow.join(stable, list(panels.KEY)), days, salt)
-    return tidy_categories(labelled_means(stayed, churned, scores, signals))
+    rows = panel.select("cpe_date", *panels.KEY, *scores, *signals).join(targets, list(panels.KEY))
+    in_window = (F.col("cpe_date") > F.date_sub("deact_dt", days)) & (
+        F.col("cpe_date") < F.col("deact_dt")
+    )
+    rows = rows.where((F.col(LABEL) == "N") | in_window)
+    place = panels.random_place(salt, [*panels.KEY, LABEL], panels.KEY)
+    rows = rows.withColumn("_place", place)
+    rows = rows.where((F.col(LABEL) == "Y") | (F.col("_place") <= days))
+    return tidy_categories(score_means(rows, scores, signals))
 
 
 def one_hot(

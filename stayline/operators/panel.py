@@ -105,16 +105,18 @@ def row_counts(panel: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return panel.withColumn("total_rows", F.count("*").over(Window.partitionBy(*keys)))
 
 
+def random_place(salt: str, group: Sequence[str], keys: Sequence[str] = KEY) -> Column:
+    """Place of a day in its group's random order: a hash of line and day, the same in every run."""
+    order = Window.partitionBy(*group).orderBy(
+        hashing.digest(salt, [*keys, "cpe_date"]), "cpe_date"
+    )
+    return F.row_number().over(order)
+
+
 def sample_days(
     panel: DataFrame, k: int = 30, salt: str = "days", keys: Sequence[str] = KEY
 ) -> DataFrame:
-    """``k`` random days per line, the same ones in every run.
-
-    The order is a hash of line and day. Each task keeps its own first ``k`` days of a line before
-    the shuffle, so no line brings more than ``k`` rows per task.
-    """
-    order = Window.partitionBy(*keys).orderBy(
-        hashing.digest(salt, [*keys, "cpe_date"]), "cpe_date"
-    )
-    picked = panel.withColumn("row_number", F.row_number().over(order))
+    """``k`` random days per line. Each task keeps its own first ``k`` days of a line before the
+    shuffle, so no line brings more than ``k`` rows per task."""
+    picked = panel.withColumn("row_number", random_place(salt, keys, keys))
     return picked.where(F.col("row_number") <= k).drop("row_number")

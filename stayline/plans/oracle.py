@@ -116,7 +116,7 @@ sums AS (
 ),
 tel AS (
   SELECT cpe_date, mdn_5g, cust_id, """ + ", ".join(
-    f"CAST({rule} AS DOUBLE) AS \"{name}\"" for name, rule in SCORE_RULES.items()
+    f"{rule} AS \"{name}\"" for name, rule in SCORE_RULES.items()
 ) + """
   FROM sums
 )"""
@@ -419,6 +419,18 @@ FROM (SELECT *, row_number() OVER () AS rid FROM started) s
 JOIN (SELECT *, row_number() OVER () AS rid FROM ended) e USING (cust_id, mtn)
 GROUP BY s.cust_id, s.mtn, s.activity_cd, e.deact_dt, e.deact_cd"""
 
+ORACLE["churn_table"] = _with(ACT, STARTED, ENDED, PROFILE) + """,
+pairs AS (
+  SELECT e.*, s.activity_dt FROM started s
+  JOIN (SELECT DISTINCT * FROM ended) e ON s.cust_id = e.cust_id AND s.mtn = e.mtn
+)
+SELECT p.cust_id, p.mtn, cust_line_seq_id, deact_dt, deact_cd, pplan_cd, eqp_prod_nm, change_reas_cd,
+  acct_num, coe_pplan_sub_type_desc, count(*) AS n_activations,
+  min(activity_dt) AS first_activity_dt, max(activity_dt) AS last_activity_dt,
+  chnl_nm, install_type, market_type, order_fulfilment, usage_flag
+FROM pairs p LEFT JOIN profile f ON f.cust_id = p.cust_id AND f.mtn = p.mtn
+GROUP BY ALL"""
+
 ORACLE["first_activation_before_disconnect"] = _with(ACT) + f"""
 SELECT a.cust_id, a.cust_line_seq_id, a.mtn, a.pplan_cd, a.acct_num, a.activity_cd,
   a.coe_pplan_sub_type_desc, e.activity_dt AS deact_dt, e.activity_cd AS deact_cd, e.eqp_prod_nm,

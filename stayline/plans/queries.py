@@ -23,6 +23,7 @@ from stayline.session import durable, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+TRAINING = ("rf_train_score", "rf_evaluation", "feature_importance")
 PROFILE_SHORT = ["chnl_nm", "install_type", "market_type", "order_fulfilment", "usage_flag"]
 
 
@@ -131,6 +132,18 @@ def activation_deactivation_pairs(spark, d):
     )
 
 
+@register
+def churn_table(spark, d):
+    rows = st.activity(spark, d)
+    ended = acts.churned_lines(
+        acts.activations(rows, st.CUTOFF),
+        acts.disconnects(rows, st.CUTOFF),
+        ["cust_line_seq_id", "pplan_cd", "eqp_prod_nm", "change_reas_cd", "acct_num",
+         "coe_pplan_sub_type_desc"],
+    )
+    return acts.with_profile(ended, st.profile(spark, d), PROFILE_SHORT)
+
+
 @register
 def first_activation_before_disconnect(spark, d):
     rows = st.activity(spark, d)
@@ -277,7 +290,9 @@ def churned_with_telemetry(spark, d):
 
 @register
 def churn_lookback_panel(spark, d):
-    return panels.lookback(_ended(spark, d), st.telemetry(spark, d), 30, closed=True)
+    ended = _ended(spark, d)
+    days = panels.scan_range(st.telemetry(spark, d), panels.lookback_bounds(ended, 30))
+    return panels.lookback(ended, days, 30, closed=True)
 
 
 @register
@@ -515,7 +530,7 @@ def _trained(spark, d):
         )
     )
     rows = features.split_train_test(rows, ["mdn_5g", "cust_id"])
-    rows = features.impute_hot_deck(rows, "scaled_5g_uptime", keys, "donor")
+    rows = durable(features.impute_hot_deck(rows, "scaled_5g_uptime", keys, "donor"))
     rows = features.impute_mean(rows, features.MODEL_SCORES, fit_on=rows.where(~F.col("is_test")))
     train = durable(features.balance_classes(rows.where(~F.col("is_test")), keys))
     return model.train_forest(train, MODEL_INPUTS), rows
@@ -529,6 +544,24 @@ def rf_train_score(spark, d):
     )
 
 
+@register
+def rf_evaluation(spark, d):
+    """Report of the trained forest on its training and test lines, with the area under the ROC."""
+    forest, rows = _trained(spark, d)
+    scored = durable(model.score(forest, rows, MODEL_INPUTS).select("is_test", "label", "prediction",
+                                                                    "score"))
+    parts = []
+    for name, side in (("train", ~F.col("is_test")), ("test", F.col("is_test"))):
+        part = scored.where(side)
+        auc = evaluate.roc_auc(part).select("roc_auc").scalar()
+        parts.append(
+            evaluate.classification_report(part).select(
+                F.lit(name).alias("side"), "*", auc.alias("roc_auc")
+            )
+        )
+    return parts[0].unionByName(parts[1])
+
+
 @register
 def feature_importance(spark, d):
     forest, rows = _trained(spark, d)

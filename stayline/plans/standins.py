@@ -134,26 +134,26 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-# The 18 scores as arithmetic on a line's daily sums; divisions are by powers of two or by 100.
+# The 18 scores as arithmetic on a line's daily sums.
 SCORE_RULES = {
-    "scaled_5g_uptime": "CASE WHEN returned = 0 THEN quantity / 2.0 END",
-    "scaled_fiveg_usage_percentage": "discount / 100.0",
-    "scaled_sqrt_data_usage": "price / 100.0",
-    "scaled_uploadresult": "quantity / 4.0",
-    "scaled_downloadresult": "CASE WHEN rows_of_day = 1 THEN quantity / 8.0 END",
-    "scaled_latency": "tax / 100.0",
-    "scaled_RSRP": "(0 - quantity) / 8.0",
-    "scaled_avg_CQI": "discount / 4.0",
-    "scaled_SNR": "(quantity - 25) / 4.0",
-    "scaled_switch_count_sum": "rows_of_day / 1.0",
-    "scaled_reset_count": "returned / 1.0",
-    "scaled_avg_MemoryPercentFree": "tax / 8.0",
-    "scaled_percentageReceived": "still_open / 1.0",
-    "dataScore": "discount / 8.0",
-    "networkSpeedScore": "quantity / 16.0",
-    "networkSignalScore": "tax / 16.0",
-    "networkFailureScore": "returned / 2.0",
-    "deviceScore": "still_open / 2.0",
+    "scaled_5g_uptime": "CASE WHEN returned = 0 THEN CAST(quantity AS DOUBLE) / 2 END",
+    "scaled_fiveg_usage_percentage": "CAST(discount AS DOUBLE) / 100",
+    "scaled_sqrt_data_usage": "CAST(price AS DOUBLE) / 100",
+    "scaled_uploadresult": "CAST(quantity AS DOUBLE) / 4",
+    "scaled_downloadresult": "CASE WHEN rows_of_day = 1 THEN CAST(quantity AS DOUBLE) / 8 END",
+    "scaled_latency": "CAST(tax AS DOUBLE) / 100",
+    "scaled_RSRP": "CAST(0 - quantity AS DOUBLE) / 8",
+    "scaled_avg_CQI": "CAST(discount AS DOUBLE) / 4",
+    "scaled_SNR": "CAST(quantity - 25 AS DOUBLE) / 4",
+    "scaled_switch_count_sum": "CAST(rows_of_day AS DOUBLE)",
+    "scaled_reset_count": "CAST(returned AS DOUBLE)",
+    "scaled_avg_MemoryPercentFree": "CAST(tax AS DOUBLE) / 8",
+    "scaled_percentageReceived": "CAST(still_open AS DOUBLE)",
+    "dataScore": "CAST(discount AS DOUBLE) / 8",
+    "networkSpeedScore": "CAST(quantity AS DOUBLE) / 16",
+    "networkSignalScore": "CAST(tax AS DOUBLE) / 16",
+    "networkFailureScore": "CAST(returned AS DOUBLE) / 2",
+    "deviceScore": "CAST(still_open AS DOUBLE) / 2",
 }
 
 
@@ -184,7 +184,7 @@ def telemetry_sums(spark: SparkSession, folder: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, folder: str) -> DataFrame:
     sums = telemetry_sums(spark, folder)
-    scores = [f"CAST({rule} AS DOUBLE) AS {name}" for name, rule in SCORE_RULES.items()]
+    scores = [f"{rule} AS {name}" for name, rule in SCORE_RULES.items()]
     return sums.selectExpr("cpe_date", *panels.KEY, *scores)
 
 

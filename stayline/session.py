@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,20 +46,26 @@ def local_session(cores: int | str = "*", memory: str = "8g", **extra: str) -> S
     return tune(spark)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    A folder of this machine serves only where none is named and the session is local, as in tests.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+    return tempfile.mkdtemp(prefix="stayline-", dir=os.environ.get("TMPDIR", "/tmp"))
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and read it back from there.
+    """Write ``df`` once as Parquet under the shared folder and continue from the files.
 
-    For tables that several passes read (training, ranking). The files outlive lost executors. The
-    folder is the one the cluster names in ``spark.checkpoint.dir``; a folder of this machine is
-    used only where none is named and the session is local.
+    For tables that several passes read (training, ranking). Unlike a cache the files outlive lost
+    executors, and later passes read only the columns they need.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="stayline-", dir=os.environ.get("TMPDIR", "/tmp"))
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/stayline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
