@@ -40,8 +40,12 @@ def latest_score_date(panel: DataFrame) -> DataFrame:
 
 
 def with_telemetry(disconnects: DataFrame, panel: DataFrame) -> DataFrame:
-    """Disconnects of lines that have telemetry; the telemetry keys are made distinct first."""
-    return disconnects.join(panel.select(*KEY).distinct(), list(KEY), "left_semi")
+    """Disconnects of lines that have telemetry.
+
+    The telemetry keys join as they are: made distinct first, they would stay where that left them,
+    and Spark splits a busy line's partition only when both sides come straight from a shuffle.
+    """
+    return disconnects.join(panel.select(*KEY), list(KEY), "left_semi")
 
 
 def lookback(
