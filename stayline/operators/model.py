@@ -54,7 +54,7 @@ def score(
     scored = model.transform(assemble(df, inputs))
     chance = vector_to_array(F.col("probability"))[1]
     return scored.select(
-        *df.columns,
+        *[c for c in df.columns if c not in inputs],
         F.col(label).cast("int").alias("label"),
         F.col("prediction").cast("int").alias("prediction"),
         chance.alias("probability"),

@@ -14,17 +14,17 @@ from stayline.operators import (
     experiment,
     features,
     history,
-    model,
     panel as panels,
     signals,
 )
+from stayline.plans import jobs
 from stayline.plans import standins as st
-from stayline.session import durable, tune
+from stayline.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TRAINING = ("rf_train_score", "rf_evaluation", "feature_importance")
-PROFILE_SHORT = ["chnl_nm", "install_type", "market_type", "order_fulfilment", "usage_flag"]
+PROFILE_SHORT = list(jobs.SHORT_PROFILE)
 
 
 def register(query: Query) -> Query:
@@ -138,8 +138,7 @@ def churn_table(spark, d):
     ended = acts.churned_lines(
         acts.activations(rows, st.CUTOFF),
         acts.disconnects(rows, st.CUTOFF),
-        ["cust_line_seq_id", "pplan_cd", "eqp_prod_nm", "change_reas_cd", "acct_num",
-         "coe_pplan_sub_type_desc"],
+        jobs.DISCONNECT_COLUMNS,
     )
     return acts.with_profile(ended, st.profile(spark, d), PROFILE_SHORT)
 
@@ -518,51 +517,24 @@ def lead_time_curve(spark, d):
 
 # ---- model -----------------------------------------------------------------------------------
 
-MODEL_INPUTS = [*features.MODEL_SCORES, *features.one_hot_columns()]
-
 
 def _trained(spark, d):
-    """Split first, then impute with training means and balance the training rows only."""
-    keys = ["row_key"]
-    rows = durable(
-        features.one_hot(
-            _features(spark, d), ["mdn_5g", "cust_id", "row_key", *features.MODEL_SCORES]
-        )
-    )
-    rows = features.split_train_test(rows, ["mdn_5g", "cust_id"])
-    rows = durable(features.impute_hot_deck(rows, "scaled_5g_uptime", keys, "donor"))
-    rows = features.impute_mean(rows, features.MODEL_SCORES, fit_on=rows.where(~F.col("is_test")))
-    train = durable(features.balance_classes(rows.where(~F.col("is_test")), keys))
-    return model.train_forest(train, MODEL_INPUTS), rows
+    keep = [*panels.KEY, "row_key", *features.MODEL_SCORES, "acct_num"]
+    return jobs.train(features.one_hot(_features(spark, d), keep))
 
 
 @register
 def rf_train_score(spark, d):
-    forest, rows = _trained(spark, d)
-    return model.score(forest, rows, MODEL_INPUTS).select(
+    return _trained(spark, d).scored().select(
         "mdn_5g", "cust_id", "is_test", "label", "prediction", "probability"
     )
 
 
 @register
 def rf_evaluation(spark, d):
-    """Report of the trained forest on its training and test lines, with the area under the ROC."""
-    forest, rows = _trained(spark, d)
-    scored = durable(model.score(forest, rows, MODEL_INPUTS).select("is_test", "label", "prediction",
-                                                                    "score"))
-    parts = []
-    for name, side in (("train", ~F.col("is_test")), ("test", F.col("is_test"))):
-        part = scored.where(side)
-        auc = evaluate.roc_auc(part).select("roc_auc").scalar()
-        parts.append(
-            evaluate.classification_report(part).select(
-                F.lit(name).alias("side"), "*", auc.alias("roc_auc")
-            )
-        )
-    return parts[0].unionByName(parts[1])
+    return _trained(spark, d).report()
 
 
 @register
 def feature_importance(spark, d):
-    forest, rows = _trained(spark, d)
-    return model.importances(forest, rows, MODEL_INPUTS)
+    return _trained(spark, d).importances()
