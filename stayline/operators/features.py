@@ -156,7 +156,7 @@ def impute_hot_deck(df: DataFrame, column: str, keys: Sequence[str], salt: str)
     """Fill each missing value with that of a randomly drawn donor row (donors may repeat).
 
     Donors are numbered in hash order; a row in need draws a number from its own hash. With no
-    donors at all values stay missing. When most rows need one of few donors, AQE either
+    donors at all values stay missing. The table is read several times: pass a stored one. When most rows need one of few donors, AQE either
     broadcasts the donors (by their real size) or splits the crowded partitions.
     """
     donors = hash_rank(

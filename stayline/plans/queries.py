@@ -19,7 +19,7 @@ from stayline.operators import (
 )
 from stayline.plans import jobs
 from stayline.plans import standins as st
-from stayline.session import tune
+from stayline.session import durable, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -355,7 +355,8 @@ def _uptime(spark, d):
 @register
 def impute_hot_deck(spark, d):
     keys = ["mdn_5g", "cust_id", "cpe_date"]
-    return features.impute_hot_deck(_uptime(spark, d), "scaled_5g_uptime", keys, "donor")
+    rows = durable(_uptime(spark, d))  # donors, their number and both kinds of rows are read from it
+    return features.impute_hot_deck(rows, "scaled_5g_uptime", keys, "donor")
 
 
 @register
