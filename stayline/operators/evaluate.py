@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions.numbers import ratio
@@ -110,6 +110,51 @@ def threshold_sweep(df: DataFrame) -> DataFrame:
     )
 
 
+def best_threshold(df: DataFrame) -> DataFrame:
+    """The threshold with the highest F1; of equal ones the highest threshold."""
+    columns = ["f1", "threshold", "tp", "fp", "fn", "precision", "recall"]
+    best = threshold_sweep(df).agg(F.max(F.struct(*columns)).alias("best"))
+    return best.select("best.*")
+
+
+def performance_drift(df: DataFrame, period: str) -> DataFrame:
+    """Precision and recall per period, and how far they are from the first period's.
+
+    One row per period reaches the window.
+    """
+    yes, hit = F.col("label") == 1, F.col("prediction") == 1
+    per = df.groupBy(period).agg(
+        F.count("*").alias("n"),
+        F.count_if(yes & hit).alias("tp"),
+        F.count_if(~yes & hit).alias("fp"),
+        F.count_if(yes & ~hit).alias("fn"),
+    )
+    rated = per.withColumns(
+        {
+            "precision": ratio(F.col("tp"), F.col("tp") + F.col("fp")),
+            "recall": ratio(F.col("tp"), F.col("tp") + F.col("fn")),
+        }
+    )
+    first = Window.orderBy(period)
+    return rated.withColumns(
+        {
+            "precision_drift": F.col("precision") - F.first("precision").over(first),
+            "recall_drift": F.col("recall") - F.first("recall").over(first),
+        }
+    )
+
+
+def with_class_weight(df: DataFrame, label: str, name: str = "class_weight") -> DataFrame:
+    """Each row with its class's weight, for training on unbalanced classes."""
+    ones = df.select(F.col(label).alias("label"))
+    n, k = (
+        ones.agg(F.count("*").alias("n")).scalar(),
+        ones.agg(F.count_if(F.col("label") == 1).alias("k")).scalar(),
+    )
+    size = F.when(F.col(label) == 1, k).otherwise(n - k)
+    return df.withColumn(name, n.cast("double") / (size * 2).cast("double"))
+
+
 def class_weights(df: DataFrame) -> DataFrame:
     """Weight n / (classes * n of the class), which gives every class the same total."""
     counts = df.groupBy("label").agg(F.count("*").alias("n"))

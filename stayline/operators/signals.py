@@ -128,6 +128,28 @@ def segment_rates(lines: DataFrame, segment: str, label: str = "churned") -> Dat
     )
 
 
+def segment_effects(
+    lines: DataFrame, segment: str, signal: Column, label: str = "churned"
+) -> DataFrame:
+    """What a signal tells within each segment: churn rate with it, without it, and the difference.
+
+    A cause that matters in one segment only is diluted in the overall rate.
+    """
+    on, churned = F.coalesce(signal, F.lit(False)), F.col(label) == 1
+    per = lines.groupBy(segment).agg(
+        F.count_if(on).alias("n_signal"),
+        F.count_if(on & churned).alias("churned_signal"),
+        F.count_if(~on).alias("n_quiet"),
+        F.count_if(~on & churned).alias("churned_quiet"),
+    )
+    return per.withColumns(
+        {
+            "rate_signal": numbers.ratio(F.col("churned_signal"), F.col("n_signal")),
+            "rate_quiet": numbers.ratio(F.col("churned_quiet"), F.col("n_quiet")),
+        }
+    ).withColumn("effect", F.col("rate_signal") - F.col("rate_quiet"))
+
+
 def lead_time_curve(
     lookback: DataFrame, flagged: Column, gaps: Sequence[int], window: int = 30
 ) -> DataFrame:

@@ -122,6 +122,7 @@ def train(
     balance_first: bool = False,
     with_account: bool = False,
     one_pass_means: bool = False,
+    weighted: bool = False,
     trees: int = 100,
     max_depth: int = 30,
 ) -> Trained:
@@ -129,7 +130,8 @@ def train(
 
     By default the rows are split by line first; means for missing scores come from the training
     rows, and only those are balanced. ``balance_first`` balances everything before the split and
-    ``one_pass_means`` takes the means over all rows, which flatters the test figures.
+    ``one_pass_means`` takes the means over all rows, which flatters the test figures. ``weighted``
+    keeps all training rows and weights the classes instead.
     """
     scores: Sequence[str] = features.MODEL_SCORES
     if with_account:
@@ -140,10 +142,16 @@ def train(
     rows = durable(features.impute_hot_deck(rows, "scaled_5g_uptime", ["row_key"], "donor"))
     training = ~F.col("is_test")
     rows = features.impute_mean(rows, scores, None if one_pass_means else rows.where(training))
-    if balance_first:
+    weight = None
+    if weighted:
+        weight = "class_weight"
+        fit_on = durable(
+            evaluate.with_class_weight(rows.where(training), features.LABEL, weight)
+        )
+    elif balance_first:
         rows = durable(features.balance_classes(rows, ["row_key"]))
         fit_on = rows.where(training)
     else:
         fit_on = durable(features.balance_classes(rows.where(training), ["row_key"]))
-    forest = model.train_forest(fit_on, inputs, trees=trees, max_depth=max_depth)
+    forest = model.train_forest(fit_on, inputs, trees=trees, max_depth=max_depth, weight=weight)
     return Trained(forest, inputs, rows)

@@ -319,7 +319,7 @@ risk AS (
 
 SCORED = """
 scored AS (
-  SELECT event_id, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label,
+  SELECT event_id, CAST(ts AS DATE) AS day, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label,
     CASE WHEN round(value * 100) >= 1000 THEN 1 ELSE 0 END AS prediction,
     CAST(round(value * 100) AS BIGINT) AS score
   FROM events
@@ -600,7 +600,7 @@ SELECT cpe_date, mdn_5g, cust_id, is_test, {", ".join(
 FROM sides"""
 
 ORACLE["class_balance"] = _with(SCORED) + """
-SELECT event_id, label, prediction, score FROM scored
+SELECT event_id, day, label, prediction, score FROM scored
 QUALIFY row_number() OVER (PARTITION BY label ORDER BY
   md5('balance|' || CAST(event_id AS VARCHAR)), event_id)
   <= (SELECT min(n) FROM (SELECT count(*) AS n FROM scored GROUP BY label))"""
@@ -647,7 +647,7 @@ parts AS (
 SELECT n_pos, n_neg, (r2 - CAST(n_pos AS DOUBLE) * (n_pos + 1))
   / (CAST(n_pos AS DOUBLE) * n_neg * 2) AS roc_auc FROM parts"""
 
-ORACLE["threshold_sweep"] = _with(SCORED) + """,
+_SWEEP = _with(SCORED) + """,
 per AS (
   SELECT score AS threshold, count(*) FILTER (WHERE label = 1) AS pos,
     count(*) FILTER (WHERE label = 0) AS neg FROM scored GROUP BY score
@@ -662,6 +662,25 @@ full_ AS (
 SELECT threshold, tp, fp, fn, CAST(tp AS DOUBLE) / (tp + fp) AS precision,
   CAST(tp AS DOUBLE) / (tp + fn) AS recall, CAST(2 * tp AS DOUBLE) / (2 * tp + fp + fn) AS f1
 FROM full_"""
+ORACLE["threshold_sweep"] = _SWEEP
+ORACLE["best_threshold"] = _SWEEP + " ORDER BY f1 DESC, threshold DESC LIMIT 1"
+
+ORACLE["performance_drift"] = _with(SCORED) + """,
+per AS (
+  SELECT day, count(*) AS n, count(*) FILTER (WHERE label = 1 AND prediction = 1) AS tp,
+    count(*) FILTER (WHERE label = 0 AND prediction = 1) AS fp,
+    count(*) FILTER (WHERE label = 1 AND prediction = 0) AS fn FROM scored GROUP BY day
+),
+rated AS (
+  SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fp) END AS precision,
+    CASE WHEN tp + fn = 0 THEN 0.0 ELSE CAST(tp AS DOUBLE) / (tp + fn) END AS recall FROM per
+)
+SELECT *, precision - first_value(precision) OVER (ORDER BY day) AS precision_drift,
+  recall - first_value(recall) OVER (ORDER BY day) AS recall_drift FROM rated"""
+
+ORACLE["weighted_examples"] = _with(SCORED) + """
+SELECT *, CAST(count(*) OVER () AS DOUBLE)
+  / CAST(2 * count(*) OVER (PARTITION BY label) AS DOUBLE) AS class_weight FROM scored"""
 
 ORACLE["class_weights"] = _with(SCORED) + """
 SELECT label, count(*) AS n, CAST((SELECT count(*) FROM scored) AS DOUBLE)
@@ -716,6 +735,22 @@ SELECT segment, count(*) AS n, CAST(sum(churned) AS BIGINT) AS n_churned,
     - (SELECT CAST(sum(churned) AS DOUBLE) / count(*) FROM people) AS effect
 FROM people GROUP BY segment"""
 
+ORACLE["segment_signal_effect"] = _with(CUSTOMERS) + """,
+per AS (
+  SELECT segment, count(*) FILTER (WHERE predicted = 1) AS n_signal,
+    count(*) FILTER (WHERE predicted = 1 AND churned = 1) AS churned_signal,
+    count(*) FILTER (WHERE predicted = 0) AS n_quiet,
+    count(*) FILTER (WHERE predicted = 0 AND churned = 1) AS churned_quiet
+  FROM people GROUP BY segment
+),
+rated AS (
+  SELECT *, CASE WHEN n_signal = 0 THEN 0.0 ELSE CAST(churned_signal AS DOUBLE) / n_signal END
+    AS rate_signal,
+    CASE WHEN n_quiet = 0 THEN 0.0 ELSE CAST(churned_quiet AS DOUBLE) / n_quiet END AS rate_quiet
+  FROM per
+)
+SELECT *, rate_signal - rate_quiet AS effect FROM rated"""
+
 ORACLE["inactivity_label"] = _with(ACT) + """,
 days AS (
   SELECT DISTINCT cust_id, mdn_5g, activity_dt FROM act

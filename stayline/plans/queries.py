@@ -407,6 +407,21 @@ def threshold_sweep(spark, d):
     return evaluate.threshold_sweep(st.scored_events(spark, d))
 
 
+@register
+def best_threshold(spark, d):
+    return evaluate.best_threshold(st.scored_events(spark, d))
+
+
+@register
+def performance_drift(spark, d):
+    return evaluate.performance_drift(st.scored_events(spark, d), "day")
+
+
+@register
+def weighted_examples(spark, d):
+    return evaluate.with_class_weight(st.scored_events(spark, d), "label")
+
+
 @register
 def class_weights(spark, d):
     return evaluate.class_weights(st.scored_events(spark, d))
@@ -469,6 +484,11 @@ def segment_churn_rates(spark, d):
     return signals.segment_rates(st.customers(spark, d), "segment")
 
 
+@register
+def segment_signal_effect(spark, d):
+    return signals.segment_effects(st.customers(spark, d), "segment", F.col("predicted") == 1)
+
+
 @register
 def inactivity_label(spark, d):
     rows = st.activity(spark, d).select("cust_id", "mdn_5g", "activity_dt")

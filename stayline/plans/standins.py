@@ -282,6 +282,7 @@ def scored_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events as scored examples: an error is the positive class, the value is the score."""
     return table(spark, folder, "events").selectExpr(
         "event_id",
+        "CAST(ts AS DATE) AS day",
         "CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label",
         "CASE WHEN rint(value * 100) >= 1000 THEN 1 ELSE 0 END AS prediction",
         "CAST(rint(value * 100) AS BIGINT) AS score",

@@ -67,6 +67,20 @@ def test_model_from_stored_panels(stored):
     assert trained.rows.count() == trained.scored().count()
 
 
+def test_weighted_training_keeps_all_rows(spark):
+    scores = {s: float(i) for i, s in enumerate(features.MODEL_SCORES)}
+    rows = [
+        (str(i), str(i), str(i), 1.0, int(i % 10 == 0), *[v + (i % 10 == 0) for v in scores.values()])
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(
+        rows, ["mdn_5g", "cust_id", "row_key", "acct_num", features.LABEL, *scores]
+    ).withColumns({c: F.lit(0) for c in features.one_hot_columns()})
+    trained = jobs.train(df, weighted=True, trees=5, max_depth=3)
+    got = trained.scored().collect()
+    assert len(got) == 200 and all(r.label == r.prediction for r in got)
+
+
 def test_trained_queries(spark, data):
     scored = QUERIES["rf_train_score"](spark, data)
     features_n = QUERIES["churn_feature_table"](spark, data).count()
