@@ -202,7 +202,9 @@ def balance_classes(
     """Every class cut to the size of the smallest by random choice without replacement.
 
     Exact sizes: rows are ranked per class in hash order, without sorting a class in one task.
+    Rows without a label belong to no class.
     """
+    df = df.where(F.col(label).isNotNull())
     smallest = df.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n").alias("n")).scalar()
     ranked = hash_rank(df, keys, salt, within=[label], name="_rank")
     return ranked.where(F.col("_rank") <= smallest).drop("_rank")

@@ -22,7 +22,7 @@ def hash_rank(
 ) -> DataFrame:
     """Position 1..n of every row in the random order of its key's hash, per class ``within``.
 
-    ``keys`` identify the row. ``within`` may hold a few classes only, such as the label: a class
+    ``keys`` identify the row; neither they nor ``within`` may be NULL. ``within`` may hold a few classes only, such as the label: a class
     is itself spread over all blocks. A block's leading hash digits are compared first, so the
     blocks are in hash order.
     """

@@ -289,6 +289,13 @@ def test_balance_cuts_either_class(spark):
         assert sorted((r.y, r["count"]) for r in got) == [(0, 10), (1, 10)]
 
 
+def test_rows_without_a_label_are_no_class(spark):
+    df = spark.createDataFrame([(i, None if i < 2 else i % 3 // 2) for i in range(32)],
+                               "id bigint, y int")
+    got = features.balance_classes(df, ["id"], "y").groupBy("y").count().collect()
+    assert sorted((r.y, r["count"]) for r in got) == [(0, 10), (1, 10)]
+
+
 def test_split_is_disjoint_complete_and_stable(spark):
     def side(parts):
         df = features.split_train_test(spark.range(0, 4000, 1, parts), ["id"])
