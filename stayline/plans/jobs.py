@@ -134,9 +134,11 @@ def train(
     keeps all training rows and weights the classes instead.
     """
     scores: Sequence[str] = features.MODEL_SCORES
-    if with_account:
-        scores = (*scores, "acct_num")
     inputs = [*scores, *features.one_hot_columns()]
+    if with_account:
+        # An identifier has no mean to fill gaps with; an unreadable number counts as zero.
+        inputs.append("acct_num")
+        rows = rows.fillna(0.0, ["acct_num"])
     rows = features.split_train_test(durable(rows), list(panels.KEY), test_share)
     # Several passes read the filled rows, so they are stored once.
     rows = durable(features.impute_hot_deck(rows, "scaled_5g_uptime", ["row_key"], "donor"))
