@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,16 +44,19 @@ def local_session(cores: int | str = "*", memory: str = "8g", **extra: str) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """This application's folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    A folder of this machine serves only where none is named and the session is local, as in tests.
+    Where none is named the warehouse serves, which the driver and all executors share as well, whatever the
+    master is. Everything a job stores lies in one sub-folder named after the application; delete that folder
+    once the results are written.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return tempfile.mkdtemp(prefix="stayline-", dir=os.environ.get("TMPDIR", "/tmp"))
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/stayline-{spark.sparkContext.applicationId}"
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -64,7 +65,6 @@ def durable(df: DataFrame) -> DataFrame:
     For tables that several passes read (training, ranking). Unlike a cache the files outlive lost
     executors, and later passes read only the columns they need.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/stayline-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
