@@ -178,7 +178,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     def table(key: tuple[str, int], found: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([f[0] for f in found], np.int64)
         spans = np.array([f[1] for f in found], np.int64)
-        at = np.r_[0, np.cumsum(sizes)[:-1]]
+        at = np.r_[0, np.cumsum(sizes)[:-1]].astype(np.int64)
         follow = np.where(spans < 0, _NONE, at + spans)
         total, place = int(sizes.sum()), {int(a): i for i, a in enumerate(at)}
         leaves = follow.copy()
@@ -186,6 +186,8 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
             if 0 <= leaves[i] < total:
                 j = place.get(int(leaves[i]))
                 leaves[i] = _NONE if j is None else leaves[j]
+        if key[1] == 0:
+            at[0] = _NONE  # what precedes the first magic stands at no record's place
         rows = [(*key, i, *map(int, x), *f[2]) for i, (f, *x) in enumerate(zip(found, at, follow, leaves, sizes, strict=True))]
         return pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names
@@ -270,17 +272,21 @@ def reachable(found: DataFrame) -> DataFrame:
 def continued(spark: SparkSession, folder: str, found: DataFrame, records: DataFrame) -> DataFrame:
     """(file, offset, record binary) of the records whose block holds the magic, put together from their pieces.
 
-    Only those pieces take part. Their list is stored; if it is small it is broadcast by its size, and no
+    Only those pieces take part; they follow one another. Their list is stored; if it is small it is broadcast by its size, and no
     payload is shuffled.
     """
     marks = found.select("file", "split", "n", "at", "next", "bytes").join(
         records.withColumnRenamed("size", "_size"), ["file", "split", "at"], "left"
     ).where((F.col("next") < 0) | F.col("offset").isNull() | (F.col("_size") > F.col("bytes")))
-    upto = Window.partitionBy("file").orderBy("split", "n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("file").orderBy("split", "n")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("file", "offset").orderBy("split", "n").rowsBetween(Window.unboundedPreceding, -1)
     parts = durable(
         marks.withColumn("offset", F.last("offset", ignorenulls=True).over(upto))
         .withColumn("size", F.last("_size", ignorenulls=True).over(upto))
         .where(F.col("offset").isNotNull())
+        .withColumn("_before", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
+        .where(F.col("_before") < F.col("size"))  # what follows a chain that broke off is in no record
         .select("file", "split", "n", "offset", "size")
     )
 
