@@ -55,6 +55,14 @@ def code_is_not(value: Column, unwanted: str) -> Column:
     return code(value) != F.lit(unwanted.strip().upper())
 
 
+def declared(value: Column, spellings: Sequence[str]) -> Column:
+    """The declared spelling of a value that equals one up to blanks and letter case; others trimmed."""
+    out = F.trim(value)
+    for spelling in spellings:
+        out = F.when(code_is(value, spelling), spelling).otherwise(out)
+    return out
+
+
 def channel_bucket(channel: Column) -> Column:
     """Door-to-door or not; an unknown channel stays NULL."""
     return F.when(channel.isNotNull(), F.when(code_is(channel, "D2D"), "D2D").otherwise("Non-D2D"))

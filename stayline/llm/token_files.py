@@ -13,6 +13,8 @@ columns alone (one row per file).
 
 from __future__ import annotations
 
+import itertools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +25,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stayline.llm.batches import list_array, pieces
-from stayline.session import scratch_path
+from stayline.session import durable, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-CACHED_WORDS = 400_000  # distinct words a worker remembers; beyond it starts anew
+REMEMBERED = 800_000  # distinct parts of texts a worker remembers; beyond that it starts anew
 ROW_GROUP_BYTES = 8 << 20
 PAGE_ROWS = 256
 PAGE_BYTES = 256 << 10
@@ -43,18 +45,33 @@ WRITER = {
 }
 
 
+#: Runs that the tokenizer's own pattern parts in lower-cased Latin-1 without control characters.
+_LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
+_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^ {_LETTERS}{_DIGITS}]+")
+_WHOLE = "\0"  # marks a word that the whole tokenizer takes; no part begins with it
+
+
 class WordTokenizer:
-    """Ids of whole texts from the ids of their words.
+    """Ids of whole texts from the ids of their parts, each tokenized once for as long as it is remembered.
 
-    The tokenizer never joins characters across white space, so the ids of a text are those of its
-    blank-separated words in turn. Words recur; each is tokenized once for as long as it is remembered.
+    The tokenizer cuts a normalised text into parts and merges within a part only, so the ids of a text are those of its
+    parts in turn. Plain texts (Latin-1, no control characters but line feeds) are cut here, by the same pattern: their normal form
+    is the lower-cased text. Other texts are cut at blanks alone, which no part spans, and each word goes through the
+    whole tokenizer.
     """
 
     def __init__(self, path: str, special_as_text: bool) -> None:
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = special_as_text
+        self.parts = Tokenizer(self.whole.model)
+        bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), bytes_])
+        self.ends = np.zeros(self.whole.get_vocab_size(), bool)  # ids that end a part
+        for token, number in self.whole.get_vocab().items():
+            self.ends[number] = token.endswith("</w>")
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -63,29 +80,49 @@ class WordTokenizer:
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
-        total = sum(map(len, found))
-        while len(self.ids) < self.used + total:
+    def remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        known = len(self.numbers)
+        while len(self.ids) < self.used + len(ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
-        while len(self.starts) < len(self.numbers) + len(words) + 1:
+        while len(self.starts) < known + len(words) + 1:
             self.starts = np.r_[self.starts, np.zeros_like(self.starts)]
-        for word, ids in zip(words, found, strict=True):
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[len(self.numbers)] = self.used
-            self.numbers[word] = len(self.numbers)
-            self.used += len(ids)
-        self.starts[len(self.numbers)] = self.used
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.starts[known : known + len(words) + 1] = self.used + np.r_[0, np.cumsum(sizes)]
+        self.numbers.update(zip(words, range(known, known + len(words)), strict=True))
+        self.used += len(ids)
+
+    def learn(self, words: list[str]) -> None:
+        parts = [w for w in words if w[:1] != _WHOLE]
+        if parts:
+            ids = np.array(self.parts.encode(" ".join(parts), add_special_tokens=False).ids, np.int32)
+            sizes = np.diff(np.r_[-1, np.flatnonzero(self.ends[ids])])
+            if len(sizes) != len(parts):
+                raise ValueError("the tokenizer does not mark the ends of words")
+            self.remember(parts, ids, sizes)
+        others = [w for w in words if w[:1] == _WHOLE]
+        if others:
+            found = [e.ids for e in self.whole.encode_batch([w[1:] for w in others], add_special_tokens=False)]
+            self.remember(others, np.array([i for ids in found for i in ids], np.int32), np.array([len(x) for x in found]))
+
+    def cut(self, text: str | None) -> list[str]:
+        plain = (text or "").replace("\n", " ")
+        if plain.isprintable() and not any(s in plain for s in self.special):
+            try:
+                plain.encode("latin-1")
+                return _PARTS.findall(plain.lower())
+            except UnicodeEncodeError:
+                pass
+        return [_WHOLE + w for w in plain.split(" ") if w]
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end_id`` after each, and where each text begins and the last ends."""
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        split = [self.cut(t) for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = [w for words in split for w in words]
-        if len(self.numbers) > CACHED_WORDS:
+        flat = list(itertools.chain.from_iterable(split))
+        if len(self.numbers) > REMEMBERED:
             self.clear()
         known = self.numbers
-        fresh = [w for w in dict.fromkeys(flat) if w not in known]
+        fresh = [w for w in set(flat) if w not in known]
         if fresh:
             self.learn(fresh)
         numbers = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
@@ -152,8 +189,11 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     """The documents of ``folder`` with ``start``, the ids of all documents before. Read only what you select."""
     rows = spark.read.parquet(folder)
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    files = rows.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select(
-        "part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before")
+    # One row per file; stored, so that the join knows its size and leaves the documents where they are.
+    files = durable(
+        rows.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select(
+            "part", F.coalesce(F.sum("_n").over(order), F.lit(0)).alias("_before")
+        )
     )
     return rows.join(files, "part").select(
         "doc_id", (F.col("_before") + F.col("start_in_part")).alias("start"), "n_tokens", "ids"

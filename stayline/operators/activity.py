@@ -18,6 +18,12 @@ from stayline.operators.history import date_span, scd2_join
 
 LINE = ("cust_id", "cust_line_seq_id")
 NUMBER = ("cust_id", "mtn")
+# What the first activation is taken per, beside the customer and the disconnect. The report of latest
+# disconnects leaves out activation code and plan description.
+ACTIVATION_KEYS = (
+    "segment", "mtn", "price_plan_cd", "acct_num", "act_cd", "pplan_desc", "technology",
+)
+LATEST_KEYS = ("segment", "mtn", "price_plan_cd", "acct_num", "technology")
 
 
 def eligible() -> Column:
@@ -119,16 +125,25 @@ def first_activation_before(
     ended: DataFrame,
     activation_columns: Sequence[str],
     disconnect_columns: Sequence[str],
+    *,
+    by_line: bool = True,
 ) -> DataFrame:
     """Earliest activation before each disconnect of the line, per combination of the columns.
 
+    ``by_line`` keeps a customer's lines apart; without it the result has one row per customer and columns,
+    whichever line they come from.
+
     The earliest activation before a date is the earliest of all if that one lies before the date,
     and there is none otherwise. So activations shrink to one row per combination before the join,
     and a line's events are never paired one by one.
     """
     firsts = activated.groupBy(*LINE, *activation_columns).agg(F.min("activity_dt").alias("act_dt"))
     ends = ended.select(*LINE, *disconnect_columns).distinct()
-    return firsts.join(ends, list(LINE)).where(F.col("deact_dt") > F.col("act_dt"))
+    pairs = firsts.join(ends, list(LINE)).where(F.col("deact_dt") > F.col("act_dt"))
+    if by_line:
+        return pairs
+    keys = [LINE[0], *activation_columns, *disconnect_columns]
+    return pairs.groupBy(*keys).agg(F.min("act_dt").alias("act_dt"))
 
 
 def eligible_by_history_or_plan(
@@ -216,10 +231,12 @@ def enriched_disconnects(
     only_segment: str | None = None,
     short_names: bool = False,
     keep_other: bool = False,
+    activation_columns: Sequence[str] = ACTIVATION_KEYS,
 ) -> DataFrame:
     """Disconnects with first activation, segment, technology, reason, tenure and install data.
 
-    Lines of an unknown or other technology are left out, unless ``keep_other``.
+    Lines of an unknown or other technology are left out, unless ``keep_other``. The first activation is taken per
+    customer, disconnect and ``activation_columns``.
     """
     span = date_span(activity, "activity_dt")
     started = activations(activity, cutoff, date_column="rpt_mth")
@@ -240,8 +257,9 @@ def enriched_disconnects(
     lines = first_activation_before(
         started,
         ended,
-        ["segment", "mtn", "price_plan_cd", "acct_num", "act_cd", "pplan_desc", "technology"],
+        activation_columns,
         ["deact_dt", "deact_cd", "eqp_prod_nm", "change_reas_cd"],
+        by_line=False,
     )
     known = scd2_join(
         lines, account_history, ("cust_id", "acct_num"), at="act_dt", how="inner", span=span
@@ -266,6 +284,12 @@ def enriched_disconnects(
     )
 
 
+def one_row_per_line(profile: DataFrame, keys: Sequence[str] = NUMBER) -> DataFrame:
+    """The profile with one row per line: of several, the smallest by its columns in order, nulls first."""
+    rest = [c for c in profile.columns if c not in keys]
+    return profile.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_p")).select(*keys, "_p.*")
+
+
 def latest_disconnects(lines: DataFrame) -> DataFrame:
     """Rows of each number's latest disconnect day, ties kept, then without other technologies.
 

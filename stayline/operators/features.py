@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stayline.functions import codes, hashing, numbers
 from stayline.operators import panel as panels
+from stayline.operators.activity import one_row_per_line
 from stayline.operators.ranking import hash_rank
 
 # ---- Fixed values: keys, scores and category levels of the model's input ---------------------
@@ -88,6 +89,7 @@ def score_means(
         *[numbers.mean_2dp(F.col(s)).alias(s) for s in scores],
         numbers.mean_of_whole(F.col("acct_num").try_cast("bigint")).alias("acct_num"),
         *[F.max(s).alias(s) for s in signals],
+        F.count("*").alias("n_days"),
     )
     key = F.concat_ws("|", *[F.coalesce(c, F.lit("?")) for c in CATEGORIES])
     return means.withColumn("row_key", F.md5(key))
@@ -104,13 +106,20 @@ def feature_table(
     salt: str = "days",
     scores: Sequence[str] = MODEL_SCORES,
     signals: Sequence[str] = (),
+    equal_windows: bool = False,
+    least_days: int = 1,
 ) -> DataFrame:
     """One labelled row per line: ``days`` random days of lines that stayed, and the open lookback
     of lines disconnected after ``churn_after``.
 
-    Both kinds of lines are put into one table of targets first, so the telemetry is read and
-    shuffled once, by line. Sampling and the means are grouped by line as well and need no further
-    shuffle.
+    Only telemetry of the days that the lookbacks before all ``disconnects`` span is read, for both
+    kinds of lines. They are put into one table of targets first, so the telemetry is shuffled once, by
+    line. Sampling and the means are grouped by line as well and need no further shuffle. A target's open
+    lookback has fewer than ``days`` days, so one limit of ``days`` rows per target serves both kinds, and
+    Spark applies it before it sorts. Of several profile rows of a line the smallest counts.
+
+    ``equal_windows`` gives lines that stayed a window like that of the others instead of random days: the
+    ``days`` before an anchor day, drawn among the line's own days, and both kinds need ``least_days`` days.
     """
     line = [c for c in LINE_COLUMNS if c not in (*panels.KEY, "market_type", "order_fulfilment")]
     ended = (
@@ -122,18 +131,26 @@ def feature_table(
     stable = panels.stable_lines(activity, line).withColumns(
         {"deact_dt": F.lit(None).cast("date"), LABEL: F.lit("N")}
     )
-    places = profile.select(*panels.KEY, "market_type", "order_fulfilment")
+    places = one_row_per_line(
+        profile.select(*panels.KEY, "market_type", "order_fulfilment"), panels.KEY
+    )
+    seen = panels.scan_range(panel, panels.lookback_bounds(disconnects, days))
+    if equal_windows:
+        stable = stable.drop("deact_dt").join(panels.anchor_days(seen, salt), list(panels.KEY))
     targets = stable.unionByName(ended).join(places, list(panels.KEY), "left")
 
-    rows = panel.select("cpe_date", *panels.KEY, *scores, *signals).join(targets, list(panels.KEY))
+    rows = seen.select("cpe_date", *panels.KEY, *scores, *signals).join(targets, list(panels.KEY))
     in_window = (F.col("cpe_date") > F.date_sub("deact_dt", days)) & (
         F.col("cpe_date") < F.col("deact_dt")
     )
-    rows = rows.where((F.col(LABEL) == "N") | in_window)
-    place = panels.random_place(salt, [*panels.KEY, LABEL], panels.KEY)
-    rows = rows.withColumn("_place", place)
-    rows = rows.where((F.col(LABEL) == "Y") | (F.col("_place") <= days))
-    return tidy_categories(score_means(rows, scores, signals))
+    rows = rows.where(F.col("deact_dt").isNull() | in_window)
+    target = [*panels.KEY, LABEL, "deact_dt", *line]
+    rows = rows.withColumn("_place", panels.random_place(salt, target, panels.KEY))
+    rows = rows.where(F.col("_place") <= days)
+    means = score_means(rows, scores, signals)
+    if least_days > 1:
+        means = means.where(F.col("n_days") >= least_days)
+    return tidy_categories(means.drop("n_days"))
 
 
 def one_hot(

@@ -84,17 +84,14 @@ def stable_lines(activity: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """
     is_start = F.col("activity_cd") == "AC"
     is_end = F.col("activity_cd").isin(*codes.DISCONNECT_CODES)
-    found = [
-        F.count_if(is_start).alias("ac_count"),
-        F.count_if(is_end).alias("de_d3_count"),
-    ]
+    found = [F.count_if(is_start).alias("_starts"), F.count_if(is_end).alias("_ends")]
     if columns:
         found.append(F.max(F.when(is_start, F.struct(*columns))).alias("_row"))
     lines = (
         activity.where(is_start | is_end)
         .groupBy(*KEY)
         .agg(*found)
-        .where((F.col("ac_count") == 1) & (F.col("de_d3_count") == 0))
+        .where((F.col("_starts") == 1) & (F.col("_ends") == 0))
     )
     return lines.select(*KEY, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
@@ -117,6 +114,12 @@ def random_place(salt: str, group: Sequence[str], keys: Sequence[str] = KEY) ->
     return F.row_number().over(order)
 
 
+def anchor_days(panel: DataFrame, salt: str) -> DataFrame:
+    """One random day of each line's telemetry as ``deact_dt``: the day after it ends its window."""
+    first = F.min(F.struct(hashing.digest(salt, [*KEY, "cpe_date"]).alias("h"), F.col("cpe_date").alias("d")))
+    return panel.groupBy(*KEY).agg(F.date_add(first["d"], 1).alias("deact_dt"))
+
+
 def sample_days(
     panel: DataFrame, k: int = 30, salt: str = "days", keys: Sequence[str] = KEY
 ) -> DataFrame:

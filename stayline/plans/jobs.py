@@ -33,7 +33,8 @@ PANEL_LINE = (
 def line_tables(activity: DataFrame, profile: DataFrame, cutoff: date) -> dict[str, DataFrame]:
     """Lines in scope with the short and the wide profile, and the disconnected lines."""
     rows = contracts.conform_activity(activity)
-    lines = contracts.conform(profile, contracts.PROFILE)
+    # One row per line, here and in ``features.feature_table``: more would multiply the line's days.
+    lines = durable(acts.one_row_per_line(contracts.conform(profile, contracts.PROFILE)))
     scope = acts.in_scope(rows, cutoff)
     ended = acts.churned_lines(
         acts.activations(rows, cutoff), acts.disconnects(rows, cutoff), DISCONNECT_COLUMNS
@@ -80,7 +81,7 @@ def model_rows(
         & (F.col("cpe_date") > F.date_sub("deact_dt", days))
         & (F.col("cpe_date") < F.col("deact_dt"))
     )
-    means = features.score_means(features.label_panels(sampled, last))
+    means = features.score_means(features.label_panels(sampled, last)).drop("n_days")
     return features.one_hot(
         features.tidy_categories(means),
         [*panels.KEY, "row_key", *features.MODEL_SCORES, "acct_num"],

@@ -11,7 +11,9 @@ from stayline.plans.standins import SCORE_RULES
 ACT = """
 act AS (
   SELECT CAST(o_custkey AS VARCHAR) AS cust_id,
-    CAST(o_orderkey % 2 + 1 AS VARCHAR) AS cust_line_seq_id,
+    CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 2 + 3 AS VARCHAR)
+      ELSE CAST(o_orderkey % 2 + 1 AS VARCHAR) END
+      AS cust_line_seq_id,
     CAST(o_custkey AS VARCHAR) || CAST(o_orderkey % 2 + 1 AS VARCHAR) AS mtn,
     CAST(o_custkey AS VARCHAR) || CAST(o_orderkey % 2 + 1 AS VARCHAR) AS mdn_5g,
     CASE WHEN o_totalprice < 60000 THEN '67571' WHEN o_totalprice < 120000 THEN '67567'
@@ -31,17 +33,18 @@ act AS (
       WHEN month(o_orderdate) = 11 THEN 'Legacy Modem' END AS eqp_prod_nm,
     'R' || CAST(day(o_orderdate) // 6 AS VARCHAR) AS change_reas_cd,
     CAST(o_custkey * 100 + o_orderkey % 2 + 1 AS VARCHAR) AS acct_num,
-    CAST(date_trunc('month', o_orderdate) AS DATE) AS rpt_mth,
+    CAST(date_trunc('month', CAST(o_orderdate AS DATE) + INTERVAL 1 MONTH
+      * (CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END)) AS DATE) AS rpt_mth,
     CASE WHEN day(o_orderdate) = 1 THEN 'Y' ELSE 'N' END AS prepaid_ind,
     CASE WHEN day(o_orderdate) = 2 THEN 'N' ELSE 'Y' END AS rev_gen_ind,
     CASE WHEN day(o_orderdate) = 3 THEN 'M' ELSE 'C' END AS managed_ind,
     CASE WHEN day(o_orderdate) = 4 THEN 'T' ELSE 'S' END AS line_type_cd,
     CASE WHEN o_totalprice < 80000 THEN '4G LTE Home'
-      WHEN o_totalprice < 160000 THEN '5g home c-band'
+      WHEN o_totalprice < 160000 THEN '5G Home C-Band'
       WHEN o_totalprice < 240000 THEN '5G Home mmWave'
       WHEN o_totalprice < 320000 THEN '5G Business Internet C-Band'
       WHEN o_totalprice < 400000 THEN '5G Business Internet mmWave'
-      WHEN o_totalprice < 440000 THEN '5g home'
+      WHEN o_totalprice < 440000 THEN '5G Home'
       ELSE 'Mobile Unlimited' END AS coe_pplan_sub_type_desc,
     CAST(round(o_totalprice * 100) AS BIGINT) AS price_cents
   FROM orders
@@ -63,6 +66,19 @@ ended AS (
   FROM act WHERE activity_cd IN ('DE', 'D3') AND activity_dt >= DATE '1996-01-01'
     AND lower(coe_pplan_sub_type_desc) IN {FIXED_TYPES}
 )"""
+# Disconnects of numbers that also have an eligible activation, each row once.
+CHURNED = STARTED + "," + ENDED.replace("ended AS", "all_ended AS") + """,
+ended AS (
+  SELECT DISTINCT e.* FROM all_ended e
+  WHERE EXISTS (SELECT 1 FROM started s WHERE s.cust_id = e.cust_id AND s.mtn = e.mtn)
+)"""
+# Telemetry of the days that the lookbacks before them span.
+SPAN = """
+span AS (
+  SELECT * FROM tel
+  WHERE cpe_date >= (SELECT min(deact_dt) - INTERVAL 30 DAY FROM ended)
+    AND cpe_date <= (SELECT max(deact_dt) FROM ended)
+)"""
 SCOPE = f"""
 scope AS (
   SELECT * FROM act
@@ -192,12 +208,11 @@ def _share(salt: str, key: str, share: float) -> str:
 
 
 # Disconnects with everything joined, before any filter on technology or segment.
-def _enriched(tech: str) -> str:
+def _enriched(tech: str, more: str = "") -> str:
     return _with(ACT, HIST, LOOKUPS, PROFILE) + f""",
 raw AS (
   SELECT coalesce(s.segmt_ctgry_desc, 'Wireless Consumer Revenue') AS segment,
-    a.cust_id, a.mtn, a.pplan_cd AS price_plan_cd, a.acct_num, a.activity_cd AS act_cd,
-    a.coe_pplan_sub_type_desc AS pplan_desc, e.activity_dt AS deact_dt, e.activity_cd AS deact_cd,
+    a.cust_id, a.mtn, a.pplan_cd AS price_plan_cd, a.acct_num{more}, e.activity_dt AS deact_dt, e.activity_cd AS deact_cd,
     e.eqp_prod_nm, e.change_reas_cd, {tech} AS technology, min(a.activity_dt) AS act_dt
   FROM act a
   JOIN act e ON a.cust_id = e.cust_id AND a.cust_line_seq_id = e.cust_line_seq_id
@@ -218,7 +233,7 @@ raw AS (
   GROUP BY ALL
 ),
 enriched AS (
-  SELECT r.* EXCLUDE (act_cd), q.change_reas_ctgry_cd, q.change_reas_desc, m.activity_desc,
+  SELECT r.*, q.change_reas_ctgry_cd, q.change_reas_desc, m.activity_desc,
     f.chnl_nm, f.install_type, f.sales_dt, f.install_dt,
     CAST(date_trunc('month', deact_dt) AS DATE) AS deact_mth,
     CAST(date_trunc('month', act_dt) AS DATE) AS act_mth,
@@ -258,7 +273,7 @@ def _feature_table(panel: str, scores: list[str], signals: list[str]) -> str:
     picked = ", ".join(f'"{c}"' for c in [*scores, *signals])
     means = ", ".join(f'{_mean(c)} AS "{c}"' for c in [*scores, "acct_num"])
     peaks = "".join(f', max("{c}") AS "{c}"' for c in signals)
-    return f"""
+    return SPAN.replace("FROM tel", f"FROM {panel}") + f""",
 stable AS (
   SELECT mdn_5g, cust_id FROM scope GROUP BY ALL
   HAVING count(*) FILTER (WHERE activity_cd = 'AC') = 1
@@ -267,7 +282,7 @@ stable AS (
 stayed AS (
   SELECT s.mdn_5g, s.cust_id, s.cust_line_seq_id, s.pplan_cd, s.eqp_prod_nm,
     s.coe_pplan_sub_type_desc, CAST(s.acct_num AS BIGINT) AS acct_num, 'N' AS churn_label, {picked}
-  FROM scope s JOIN stable USING (mdn_5g, cust_id) JOIN {panel} t USING (mdn_5g, cust_id)
+  FROM scope s JOIN stable USING (mdn_5g, cust_id) JOIN span t USING (mdn_5g, cust_id)
   WHERE s.activity_cd = 'AC'
   QUALIFY row_number() OVER (PARTITION BY s.mdn_5g, s.cust_id ORDER BY
     md5('days|' || s.mdn_5g || '|' || s.cust_id || '|' || CAST(t.cpe_date AS VARCHAR))) <= 30
@@ -280,7 +295,7 @@ gone AS (
 churned AS (
   SELECT g.mdn_5g, g.cust_id, g.cust_line_seq_id, g.pplan_cd, g.eqp_prod_nm,
     g.coe_pplan_sub_type_desc, CAST(g.acct_num AS BIGINT) AS acct_num, 'Y' AS churn_label, {picked}
-  FROM gone g JOIN {panel} t ON t.mdn_5g = g.mdn_5g AND t.cust_id = g.cust_id
+  FROM gone g JOIN span t ON t.mdn_5g = g.mdn_5g AND t.cust_id = g.cust_id
     AND t.cpe_date > g.deact_dt - INTERVAL 30 DAY AND t.cpe_date < g.deact_dt
 ),
 means AS (
@@ -484,8 +499,10 @@ WHERE rpt_mth >= DATE '1996-01-01' AND activity_cd IN ('AC', 'RE') AND {IS_ELIGI
   AND (n.cust_id IS NOT NULL OR lower(coe_pplan_sub_type_desc)
     IN ('5g business internet', '5g home', '4g lte home'))"""
 
-ORACLE["disconnect_enriched"] = _enriched(TECH_LONG) + """
-SELECT * FROM enriched WHERE lower(technology) <> 'other'"""
+ORACLE["disconnect_enriched"] = _enriched(
+    TECH_LONG, ", a.activity_cd AS act_cd, a.coe_pplan_sub_type_desc AS pplan_desc"
+) + """
+SELECT * EXCLUDE (act_cd) FROM enriched WHERE lower(technology) <> 'other'"""
 
 ORACLE["latest_disconnect"] = _enriched(TECH_SHORT) + """,
 last AS (
@@ -499,19 +516,16 @@ FROM last WHERE lower(technology) <> 'other'"""
 
 # ---- telemetry panels -------------------------------------------------------------------------
 
-ORACLE["telemetry_range_scan"] = _with(ACT, ENDED, TEL) + """
-SELECT * FROM tel
-WHERE cpe_date >= (SELECT min(deact_dt) - INTERVAL 30 DAY FROM ended)
-  AND cpe_date <= (SELECT max(deact_dt) FROM ended)"""
+ORACLE["telemetry_range_scan"] = _with(ACT, CHURNED, TEL, SPAN) + "SELECT * FROM span"
 
 ORACLE["latest_score_date"] = _with(TEL) + """
 SELECT mdn_5g, cust_id, max(cpe_date) AS latest_score_date FROM tel GROUP BY ALL"""
 
-ORACLE["churned_with_telemetry"] = _with(ACT, ENDED, TEL) + """
+ORACLE["churned_with_telemetry"] = _with(ACT, CHURNED, TEL) + """
 SELECT mdn_5g, cust_id, deact_dt, deact_cd FROM ended e
 WHERE EXISTS (SELECT 1 FROM tel t WHERE t.mdn_5g = e.mdn_5g AND t.cust_id = e.cust_id)"""
 
-ORACLE["churn_lookback_panel"] = _with(ACT, ENDED, TEL) + """
+ORACLE["churn_lookback_panel"] = _with(ACT, CHURNED, TEL) + """
 SELECT t.*, deact_dt, deact_cd
 FROM (SELECT DISTINCT mdn_5g, cust_id, deact_dt, deact_cd FROM ended) e
 JOIN tel t ON t.mdn_5g = e.mdn_5g AND t.cust_id = e.cust_id
@@ -527,10 +541,10 @@ ORACLE["stable_active_lines"] = _with(ACT, SCOPE) + _STABLE + """
 SELECT mdn_5g, cust_id, activity_dt, pplan_cd, acct_num
 FROM scope JOIN stable USING (mdn_5g, cust_id) WHERE activity_cd = 'AC'"""
 
-ORACLE["active_panel"] = _with(ACT, SCOPE, TEL) + _STABLE + """
+ORACLE["active_panel"] = _with(ACT, CHURNED, SCOPE, TEL, SPAN) + _STABLE + """
 SELECT t.*, activity_dt, pplan_cd, acct_num
 FROM scope s JOIN stable USING (mdn_5g, cust_id)
-JOIN tel t ON t.mdn_5g = s.mdn_5g AND t.cust_id = s.cust_id
+JOIN span t ON t.mdn_5g = s.mdn_5g AND t.cust_id = s.cust_id
 WHERE activity_cd IN ('AC', 'D3', 'DE')"""
 
 ORACLE["panel_row_counts"] = _with(TEL) + """
@@ -545,7 +559,7 @@ QUALIFY row_number() OVER (PARTITION BY mdn_5g, cust_id ORDER BY
 # ---- features --------------------------------------------------------------------------------
 
 ORACLE["churn_feature_table"] = (
-    _with(ACT, SCOPE, ENDED, PROFILE, TEL, _feature_table("tel", MODEL, []))
+    _with(ACT, SCOPE, CHURNED, PROFILE, TEL, _feature_table("tel", MODEL, []))
     + "SELECT * FROM featured"
 )
 
@@ -557,7 +571,7 @@ _LEVELS = [
     ("order_fulfilment", ["LOCALLY_FULFILLED", "SHIPPED", "unknown"]),
 ]
 ORACLE["one_hot_fixed"] = (
-    _with(ACT, SCOPE, ENDED, PROFILE, TEL, _feature_table("tel", MODEL, []))
+    _with(ACT, SCOPE, CHURNED, PROFILE, TEL, _feature_table("tel", MODEL, []))
     + "SELECT mdn_5g, cust_id, acct_num, "
     + ", ".join(f'"{c}"' for c in MODEL)
     + ", "
@@ -689,7 +703,7 @@ FROM scored GROUP BY label"""
 
 # ---- methodology -----------------------------------------------------------------------------
 
-ORACLE["leakage_safe_windows"] = _with(ACT, ENDED, TEL) + """,
+ORACLE["leakage_safe_windows"] = _with(ACT, CHURNED, TEL) + """,
 first_seen AS (
   SELECT mdn_5g, cust_id, CAST(date_trunc('month', min(cpe_date)) AS DATE) AS first_month
   FROM sums GROUP BY ALL
@@ -723,7 +737,7 @@ SELECT cpe_date, mdn_5g, cust_id, "scaled_SNR", cusum FROM risk"""
 
 ORACLE["two_stage_features"] = (
     _with(
-        ACT, SCOPE, ENDED, PROFILE, TEL, CUSUM, _feature_table("risk", ["scaled_latency"], ["cusum"])
+        ACT, SCOPE, CHURNED, PROFILE, TEL, CUSUM, _feature_table("risk", ["scaled_latency"], ["cusum"])
     )
     + "SELECT * FROM featured"
 )
@@ -801,7 +815,7 @@ SELECT *, CASE WHEN saved_customers > 0 THEN promo_cost / saved_customers END AS
   revenue_retained - promo_cost AS net_savings,
   (revenue_retained - promo_cost) / promo_cost AS roi FROM money"""
 
-ORACLE["lead_time_curve"] = _with(ACT, ENDED, TEL, CUSUM) + """,
+ORACLE["lead_time_curve"] = _with(ACT, CHURNED, TEL, CUSUM) + """,
 events_ AS (
   SELECT DISTINCT mdn_5g, cust_id, deact_dt FROM ended
 ),

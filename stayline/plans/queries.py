@@ -242,13 +242,14 @@ def _enriched(spark, d, **options):
 
 @register
 def disconnect_enriched(spark, d):
-    return _enriched(spark, d).drop("cust_line_seq_id", "act_cd")
+    return _enriched(spark, d).drop("act_cd")
 
 
 @register
 def latest_disconnect(spark, d):
     lines = _enriched(
-        spark, d, only_segment=codes.DEFAULT_SEGMENT, short_names=True, keep_other=True
+        spark, d, only_segment=codes.DEFAULT_SEGMENT, short_names=True, keep_other=True,
+        activation_columns=acts.LATEST_KEYS,
     )
     return (
         acts.latest_disconnects(lines)
@@ -265,10 +266,19 @@ def latest_disconnect(spark, d):
 # ---- telemetry panels -------------------------------------------------------------------------
 
 
-def _ended(spark, d):
-    return acts.disconnects(st.activity(spark, d), st.CUTOFF).select(
-        "mdn_5g", "cust_id", "deact_dt", "deact_cd"
+def _churned(spark, d):
+    """Disconnects of numbers that also have an eligible activation."""
+    rows = st.activity(spark, d)
+    lines = acts.churned_lines(
+        acts.activations(rows, st.CUTOFF),
+        acts.disconnects(rows, st.CUTOFF),
+        jobs.DISCONNECT_COLUMNS,
     )
+    return lines.withColumn("mdn_5g", F.col("mtn"))
+
+
+def _ended(spark, d):
+    return _churned(spark, d).select("mdn_5g", "cust_id", "deact_dt", "deact_cd")
 
 
 @register
@@ -303,9 +313,10 @@ def stable_active_lines(spark, d):
 @register
 def active_panel(spark, d):
     rows = acts.in_scope(st.activity(spark, d), st.CUTOFF)
-    return panels.active_panel(
-        rows, st.telemetry(spark, d), ["activity_dt", "pplan_cd", "acct_num"]
+    days = panels.scan_range(
+        st.telemetry(spark, d), panels.lookback_bounds(_ended(spark, d), 30)
     )
+    return panels.active_panel(rows, days, ["activity_dt", "pplan_cd", "acct_num"])
 
 
 @register
@@ -328,7 +339,7 @@ def _features(spark, d, **options):
     return features.feature_table(
         acts.in_scope(rows, st.CUTOFF),
         st.profile(spark, d),
-        acts.disconnects(rows, st.CUTOFF),
+        _churned(spark, d),
         options.pop("panel", None) or st.telemetry(spark, d),
         churn_after=st.CHURN_AFTER,
         **options,

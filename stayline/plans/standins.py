@@ -44,6 +44,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 LINE_ID = "CAST(o_orderkey % 2 + 1 AS STRING)"
+# Some numbers have moved to a new line: they go under two sequence numbers.
+SEQUENCE = f"CASE WHEN o_orderkey % 7 = 0 THEN CAST(o_orderkey % 2 + 3 AS STRING) ELSE {LINE_ID} END"
 NUMBER = f"concat(CAST(o_custkey AS STRING), {LINE_ID})"
 
 
@@ -52,7 +54,7 @@ def raw_activity(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
     return orders.selectExpr(
         "o_custkey AS cust_id",
-        f"{LINE_ID} AS cust_line_seq_id",
+        f"{SEQUENCE} AS cust_line_seq_id",
         f"rpad({NUMBER}, 30, ' ') AS mtn",
         """CASE WHEN o_totalprice < 60000 THEN '67571' WHEN o_totalprice < 120000 THEN '67567'
              WHEN o_totalprice < 180000 THEN '75561' WHEN o_totalprice < 240000 THEN '75560'
@@ -70,7 +72,9 @@ def raw_activity(spark: SparkSession, folder: str) -> DataFrame:
              WHEN month(day) = 11 THEN 'Legacy Modem' END AS eqp_prod_nm""",
         "concat('r', CAST(day(day) div 6 AS STRING)) AS change_reas_cd",
         "CAST(o_custkey * 100 + o_orderkey % 2 + 1 AS STRING) AS acct_num",
-        "trunc(day, 'MM') AS rpt_mth",
+        # Some events are reported a month late, some a month early.
+        """trunc(add_months(day, CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END), 'MM')
+             AS rpt_mth""",
         "CASE WHEN day(day) = 1 THEN 'y' ELSE 'n' END AS prepaid_ind",
         "CASE WHEN day(day) = 2 THEN 'n' ELSE 'y' END AS rev_gen_ind",
         "CASE WHEN day(day) = 3 THEN 'm' ELSE 'c' END AS managed_ind",
@@ -196,7 +200,7 @@ def changes(spark: SparkSession, folder: str) -> DataFrame:
     orders = table(spark, folder, "orders")
     days = orders.groupBy(
         F.expr("CAST(o_custkey AS STRING) AS cust_id"),
-        F.expr(f"{LINE_ID} AS cust_line_seq_id"),
+        F.expr(f"{SEQUENCE} AS cust_line_seq_id"),
         F.expr("CAST(o_custkey * 100 + o_orderkey % 2 + 1 AS STRING) AS acct_num"),
         F.expr("CAST(o_orderdate AS DATE) AS day"),
     ).agg(

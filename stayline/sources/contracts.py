@@ -77,7 +77,8 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def conform(df: DataFrame, schema: T.StructType, codes_of: Sequence[str] = ()) -> DataFrame:
-    """``df`` with exactly the contract's columns and types; ``codes_of`` are normalised.
+    """``df`` with exactly the contract's columns and types; ``codes_of`` are normalised. A score that is NaN is
+    missing and becomes NULL.
 
     Texts lose their padding and codes their letter case once, here: the conformed table can then
     be joined on its keys and filtered with plain equalities, which reach the Parquet scan.
@@ -85,11 +86,15 @@ def conform(df: DataFrame, schema: T.StructType, codes_of: Sequence[str] = ()) -
     require(df, schema.fieldNames())
     out = []
     for field in schema.fields:
-        value = f"try_cast({field.name} AS {field.dataType.simpleString()})"
+        # A date or number that cannot be read ends the job. Only texts keep odd values; the account
+        # number is one and is read leniently where a number is wanted.
+        value = f"CAST({field.name} AS {field.dataType.simpleString()})"
         if field.name in codes_of:
             value = f"upper(trim({value}))"
         elif field.dataType == STR:
             value = f"trim({value})"
+        elif field.dataType == DBL:
+            value = f"nanvl({value}, CAST(NULL AS DOUBLE))"
         out.append(f"{value} AS {field.name}")
     return df.selectExpr(*out)
 
@@ -101,4 +106,9 @@ def conform_activity(df: DataFrame) -> DataFrame:
         "line_type_cd",
     )
     out = conform(df, ACTIVITY, coded)
-    return out.withColumn("mdn_5g", codes.phone_number(F.col("mtn")))
+    sub_type = codes.declared(
+        F.col("coe_pplan_sub_type_desc"), (*codes.FIXED_WIRELESS_SUB_TYPES, *codes.ELIGIBLE_SUB_TYPES[:2])
+    )
+    return out.withColumns(
+        {"mdn_5g": codes.phone_number(F.col("mtn")), "coe_pplan_sub_type_desc": sub_type}
+    )
