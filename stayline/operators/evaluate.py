@@ -68,7 +68,10 @@ def ratio_of_doubles(top: Column, bottom: Column) -> Column:
 
 
 def by_score(df: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct score: ties collapse before any ordering."""
+    """Positives and negatives per distinct score: ties collapse before any ordering.
+
+    Rows without a score are below every threshold, here and in all that follows.
+    """
     return df.groupBy("score").agg(
         F.count_if(F.col("label") == 1).alias("pos"), F.count_if(F.col("label") == 0).alias("neg")
     )
@@ -77,7 +80,9 @@ def by_score(df: DataFrame) -> DataFrame:
 def roc_auc(df: DataFrame) -> DataFrame:
     """Exact area under the ROC curve: the share of (positive, negative) pairs ordered right,
     ties counting half. NULL if a class is missing."""
-    ranked = running_totals(by_score(df), "score", {"neg_upto": "neg"})
+    least = df.agg(F.coalesce(F.min("score"), F.lit(0)).alias("least")).scalar()
+    below = F.coalesce(F.col("score").cast("decimal(38,0)"), least.cast("decimal(38,0)") - 1)
+    ranked = running_totals(by_score(df.withColumn("score", below)), "score", {"neg_upto": "neg"})
     wide = "decimal(38,0)"
     # Twice the pairs won: two for each lower negative, one for each equal.
     won = F.col("pos").cast(wide) * (F.col("neg_upto") * 2 - F.col("neg"))

@@ -169,17 +169,24 @@ def one_hot(
     return df.select(*keep, *flags, target)
 
 
-def impute_hot_deck(df: DataFrame, column: str, keys: Sequence[str], salt: str) -> DataFrame:
+def impute_hot_deck(
+    df: DataFrame, column: str, keys: Sequence[str], salt: str, fit_on: DataFrame | None = None
+) -> DataFrame:
     """Fill each missing value with that of a randomly drawn donor row (donors may repeat).
 
+    Donors come from ``fit_on``, the training rows, or without it from the whole table. NaN and infinity are missing.
+
     Donors are numbered in hash order; a row in need draws a number from its own hash. With no
     donors at all values stay missing. The table is read several times: pass a stored one. When most rows need one of few donors, AQE either
     broadcasts the donors (by their real size) or splits the crowded partitions.
     """
-    donors = hash_rank(
-        df.where(F.col(column).isNotNull()).select(*keys, column), keys, salt, name="_donor"
-    ).select("_donor", F.col(column).alias("_value"))
-    n = df.agg(F.count(column).alias("n")).scalar()
+    df = df.withColumn(column, numbers.finite(F.col(column)))
+    source = df if fit_on is None else fit_on.withColumn(column, numbers.finite(F.col(column)))
+    given = source.where(F.col(column).isNotNull()).select(*keys, column)
+    donors = hash_rank(given, keys, salt, name="_donor").select(
+        "_donor", F.col(column).alias("_value")
+    )
+    n = source.agg(F.count(column).alias("n")).scalar()
     draw = F.pmod(hashing.hash_int(salt, keys), F.nullif(n, F.lit(0).cast("bigint"))) + 1
     complete = df.where(F.col(column).isNotNull())
     filled = (
@@ -194,23 +201,12 @@ def impute_hot_deck(df: DataFrame, column: str, keys: Sequence[str], salt: str)
 
 def impute_mean(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
     """Fill missing values with the column's mean, taken over ``fit_on`` (the training rows) or,
-    without it, over the whole table. The means come from exact sums, to six decimals."""
+    without it, over the whole table. The means come from exact sums. NaN and infinity are missing."""
     source = df if fit_on is None else fit_on
-    micro = {c: numbers.units(F.col(c), numbers.MICRO) for c in columns}
     means = source.agg(
-        F.struct(
-            *[
-                F.round(
-                    F.sum(v.cast("decimal(20,0)")).cast("double")
-                    / F.count(v)
-                    / F.lit(float(numbers.MICRO)),
-                    6,
-                ).alias(c)
-                for c, v in micro.items()
-            ]
-        ).alias("means")
+        F.struct(*[numbers.mean(F.col(c)).alias(c) for c in columns]).alias("means")
     ).scalar()
-    return df.withColumns({c: F.coalesce(F.col(c), means[c]) for c in columns})
+    return df.withColumns({c: F.coalesce(numbers.finite(F.col(c)), means[c]) for c in columns})
 
 
 def balance_classes(

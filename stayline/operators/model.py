@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from stayline.functions.numbers import fixed_point
 from stayline.operators.features import LABEL
 
+MAX_BINS = 256
+MIN_LEAF = 5
+
 
 def assemble(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(inputs), outputCol="features").transform(df)
@@ -25,11 +28,17 @@ def train_forest(
     label: str = LABEL,
     trees: int = 100,
     max_depth: int = 30,
+    max_bins: int = MAX_BINS,
+    min_leaf: int = MIN_LEAF,
     seed: int = 42,
     weight: str | None = None,
 ) -> RandomForestClassificationModel:
     """100 gini trees on a square root of the features each, as deep as Spark allows (30).
 
+    A score is cut into ``max_bins`` bins at most before the trees see it, at quantiles; with as many bins as a score
+    has values, trees split on exact values. A leaf has ``min_leaf`` rows at least. The trees lie in the driver's memory:
+    each has fewer than 2 * rows / min_leaf nodes, so bound the rows of ``train`` (``jobs.train`` does).
+
     ``train`` is read several times; pass a table that is stored (``session.durable``).
     """
     forest = RandomForestClassifier(
@@ -41,6 +50,8 @@ def train_forest(
         impurity="gini",
         seed=seed,
         maxMemoryInMB=1024,
+        maxBins=max_bins,
+        minInstancesPerNode=min_leaf,
     )
     if weight is not None:
         forest = forest.setWeightCol(weight)

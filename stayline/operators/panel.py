@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions import codes, dates, hashing
+from stayline.session import durable
 
 KEY = ("mdn_5g", "cust_id")
 
@@ -42,10 +43,10 @@ def latest_score_date(panel: DataFrame) -> DataFrame:
 def with_telemetry(disconnects: DataFrame, panel: DataFrame) -> DataFrame:
     """Disconnects of lines that have telemetry.
 
-    The telemetry keys join as they are: made distinct first, they would stay where that left them,
-    and Spark splits a busy line's partition only when both sides come straight from a shuffle.
+    The telemetry's keys are made distinct, on the map side first, and stored: of the telemetry itself nothing is
+    shuffled, and Spark can split a busy line's partition, as both sides of the join are plain tables.
     """
-    return disconnects.join(panel.select(*KEY), list(KEY), "left_semi")
+    return disconnects.join(durable(panel.select(*KEY).distinct()), list(KEY), "left_semi")
 
 
 def lookback(

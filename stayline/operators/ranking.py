@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stayline.functions import hashing
 
 PREFIX_DIGITS = 4  # 16^4 = 65,536 blocks of evenly spread hashes
-BLOCK_WIDTH = 65_536
+BLOCKS = 65_536  # of a running total's range, at most
 
 
 def hash_rank(
@@ -56,14 +56,22 @@ def running_totals(
     totals: dict[str, str],
     *,
     descending: bool = False,
-    width: int = BLOCK_WIDTH,
+    width: int | None = None,
 ) -> DataFrame:
     """Running totals over a whole number ``order`` that is unique per row.
 
-    ``totals`` maps new column to the column summed up to and including the row. A block spans
-    ``width`` consecutive numbers, so it holds at most ``width`` rows.
+    ``totals`` maps new column to the column summed up to and including the row. The range from the smallest to
+    the largest number is cut into ``BLOCKS`` equal blocks at most (or into blocks of ``width``), whatever the scale
+    of the numbers, so that many block totals meet in one task at most. Rows without a number are left out.
     """
-    blocks = df.withColumn("_block", F.floor(F.col(order) / F.lit(width)))
+    wide = F.col(order).cast("decimal(38,0)")
+    df = df.where(F.col(order).isNotNull())
+    if width is None:
+        ends = df.agg(F.struct(F.min(wide).alias("low"), F.max(wide).alias("high")).alias("e")).scalar()
+        block = F.floor((wide - ends["low"]) * BLOCKS / (ends["high"] - ends["low"] + 1))
+    else:
+        block = F.floor(wide / F.lit(width))
+    blocks = df.withColumn("_block", block.cast("bigint"))
 
     def ordered(column: str):
         return F.col(column).desc() if descending else F.col(column).asc()

@@ -15,6 +15,7 @@ def leakage_safe_windows(
     panel: DataFrame,
     disconnects: DataFrame,
     measures: dict[str, Column],
+    data_end: Column,
     *,
     observe: int = 3,
     gap: int = 1,
@@ -24,7 +25,8 @@ def leakage_safe_windows(
 
     Month 1 is the line's first telemetry month. Features are sums over months 1..observe; the
     label says whether the line disconnects in the ``predict`` months after the gap. Lines that
-    disconnect earlier are left out: there is nothing to predict for them.
+    disconnect earlier are left out: there is nothing to predict for them. So are lines whose last month to
+    predict is not complete by ``data_end``, the last day of the data: their outcome is not known yet.
 
     Panel and disconnects shrink to one row per line and month before anything else, so the
     per-line window sees months only.
@@ -61,6 +63,7 @@ def leakage_safe_windows(
             ).alias("label"),
         )
         .where((F.col("obs_rows") > 0) & (F.coalesce(F.col("_early"), F.lit(0)) == 0))
+        .where(F.add_months("first_month", last_gap + predict) <= F.date_add(data_end, 1))
         .drop("_early")
     )
 
@@ -153,13 +156,14 @@ def segment_effects(
 def lead_time_curve(
     lookback: DataFrame, flagged: Column, gaps: Sequence[int], window: int = 30
 ) -> DataFrame:
-    """Share of disconnects a signal would have flagged at least ``gap`` days ahead, per gap.
+    """Per gap: the share of disconnects a signal would have flagged that many days ahead, and its price.
 
     ``lookback`` holds the telemetry before each disconnect as far back as the largest gap plus the
-    window. All gaps are answered in one pass over it.
+    window, and the same before an anchor day of lines that ``stayed``. Flags on those are false alarms; ``precision``
+    is the disconnects' part of all flagged. All gaps are answered in one pass over it.
     """
     lead = F.datediff("deact_dt", "cpe_date")
-    per_event = lookback.groupBy(*KEY, "deact_dt").agg(
+    per_event = lookback.groupBy(*KEY, "deact_dt", "stayed").agg(
         *[
             F.max(F.when(lead.between(g, g + window - 1) & flagged, 1).otherwise(0)).alias(f"f{g}")
             for g in gaps
@@ -170,7 +174,12 @@ def lead_time_curve(
         ],
     )
     totals = per_event.agg(
-        *[F.coalesce(F.sum(f"{p}{g}"), F.lit(0)).alias(f"{p}{g}") for g in gaps for p in "fs"]
+        *[
+            F.count_if((F.col(f"{p}{g}") == 1) & (F.col("stayed") == stayed)).alias(f"{p}{g}{n}")
+            for g in gaps
+            for p in "fs"
+            for n, stayed in (("", F.lit(False)), ("q", F.lit(True)))
+        ]
     )
     rows = F.array(
         *[
@@ -179,6 +188,9 @@ def lead_time_curve(
                 F.col(f"s{g}").alias("n_observed"),
                 F.col(f"f{g}").alias("n_flagged"),
                 numbers.ratio(F.col(f"f{g}"), F.col(f"s{g}")).alias("share_flagged"),
+                F.col(f"s{g}q").alias("n_stayed"),
+                F.col(f"f{g}q").alias("n_false_alarms"),
+                numbers.ratio(F.col(f"f{g}"), F.col(f"f{g}") + F.col(f"f{g}q")).alias("precision"),
             )
             for g in gaps
         ]

@@ -10,12 +10,14 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stayline.functions import hashing
 from stayline.operators import activity as acts
 from stayline.operators import evaluate, features, model, panel as panels
 from stayline.session import durable
 from stayline.sources import contracts
 from stayline.sources.writers import overwrite
 
+FIT_ROWS = 200_000  # rows a forest is fitted on, about
 CUSTOMER_LINES, INSTALL_LINES, CHURNED_LINES = "customer_lines", "install_lines", "churned_lines"
 CHURN_PANEL, ACTIVE_PANEL = "churn_cpe_features", "active_cpe_features"
 SHORT_PROFILE = ("chnl_nm", "install_type", "market_type", "order_fulfilment", "usage_flag")
@@ -101,6 +103,11 @@ class Trained:
     def importances(self) -> DataFrame:
         return model.importances(self.model, self.rows, self.inputs)
 
+    def confusion(self) -> DataFrame:
+        """Confusion matrix of both sides."""
+        side = F.when(F.col("is_test"), "test").otherwise("train").alias("side")
+        return self.scored().groupBy(side, "label", "prediction").agg(F.count("*").alias("n"))
+
     def report(self) -> DataFrame:
         """Classification report and area under the ROC curve of both sides."""
         scored = durable(self.scored().select("is_test", "label", "prediction", "score"))
@@ -116,7 +123,17 @@ class Trained:
         return sides[0].unionByName(sides[1])
 
 
-def train(
+@dataclass
+class Prepared:
+    """All rows with their side, imputed; those the forest is fitted on; its inputs."""
+
+    rows: DataFrame
+    fit_on: DataFrame
+    inputs: list[str]
+    weight: str | None
+
+
+def prepare(
     rows: DataFrame,
     *,
     test_share: float = 0.3,
@@ -124,15 +141,15 @@ def train(
     with_account: bool = False,
     one_pass_means: bool = False,
     weighted: bool = False,
-    trees: int = 100,
-    max_depth: int = 30,
-) -> Trained:
-    """Fit the forest on a design matrix with a unique ``row_key``.
+    fit_rows: int = FIT_ROWS,
+) -> Prepared:
+    """The training input of a design matrix with a unique ``row_key``.
 
-    By default the rows are split by line first; means for missing scores come from the training
+    By default the rows are split by line first; donors and means for missing scores come from the training
     rows, and only those are balanced. ``balance_first`` balances everything before the split and
-    ``one_pass_means`` takes the means over all rows, which flatters the test figures. ``weighted``
-    keeps all training rows and weights the classes instead.
+    ``one_pass_means`` takes donors and means from all rows, which flatters the test figures. ``weighted``
+    keeps all training rows and weights the classes instead. Of more than about ``fit_rows`` training rows the
+    forest gets a random part of that size, as it lies in the driver's memory; all rows are scored.
     """
     scores: Sequence[str] = features.MODEL_SCORES
     inputs = [*scores, *features.one_hot_columns()]
@@ -142,8 +159,11 @@ def train(
         rows = rows.fillna(0.0, ["acct_num"])
     rows = features.split_train_test(durable(rows), list(panels.KEY), test_share)
     # Several passes read the filled rows, so they are stored once.
-    rows = durable(features.impute_hot_deck(rows, "scaled_5g_uptime", ["row_key"], "donor"))
     training = ~F.col("is_test")
+    donors = None if one_pass_means else rows.where(training)
+    rows = durable(
+        features.impute_hot_deck(rows, "scaled_5g_uptime", ["row_key"], "donor", donors)
+    )
     rows = features.impute_mean(rows, scores, None if one_pass_means else rows.where(training))
     weight = None
     if weighted:
@@ -156,5 +176,25 @@ def train(
         fit_on = rows.where(training)
     else:
         fit_on = durable(features.balance_classes(rows.where(training), ["row_key"]))
-    forest = model.train_forest(fit_on, inputs, trees=trees, max_depth=max_depth, weight=weight)
-    return Trained(forest, inputs, rows)
+    n = fit_on.count()
+    if n > fit_rows:
+        fit_on = fit_on.where(hashing.below_share("fit", ["row_key"], fit_rows / n))
+    return Prepared(rows, fit_on, inputs, weight)
+
+
+def train(
+    rows: DataFrame,
+    *,
+    trees: int = 100,
+    max_depth: int = 30,
+    max_bins: int = model.MAX_BINS,
+    min_leaf: int = model.MIN_LEAF,
+    **preparation,
+) -> Trained:
+    """Fit the forest on the input that ``prepare`` makes of a design matrix with its options."""
+    ready = prepare(rows, **preparation)
+    forest = model.train_forest(
+        ready.fit_on, ready.inputs, trees=trees, max_depth=max_depth, max_bins=max_bins,
+        min_leaf=min_leaf, weight=ready.weight,
+    )
+    return Trained(forest, ready.inputs, ready.rows)

@@ -249,12 +249,12 @@ enriched AS (
 
 
 def _mean(column: str) -> str:
-    """Mean to two decimals, halves away from zero, from whole millionths."""
-    micro = f"CAST(round(\"{column}\" * 1000000) AS BIGINT)"
-    total, n = f"CAST(sum({micro}) AS BIGINT)", f"count({micro})"
+    """Mean to two decimals, halves away from zero, from whole million millionths."""
+    part = f"CAST(round(\"{column}\" * 1000000000000.0) AS HUGEINT)"
+    total, n = f"sum({part})", f"count({part})"
     return (
-        f"CASE WHEN {n} > 0 THEN sign({total}) * CAST((abs({total}) * 2 + {n} * 10000) "
-        f"// ({n} * 20000) AS DOUBLE) / 100.0 END"
+        f"CASE WHEN {n} > 0 THEN sign({total}) * CAST((abs({total}) * 2 + {n} * 10000000000) "
+        f"// ({n} * 20000000000) AS DOUBLE) / 100.0 END"
     )
 
 
@@ -269,6 +269,9 @@ GROUP = (
 )
 
 
+ROW_KEY = "md5(concat_ws('|', " + ", ".join(f"coalesce({c}, '?')" for c in GROUP.split(", ")) + "))"
+
+
 def _feature_table(panel: str, scores: list[str], signals: list[str]) -> str:
     picked = ", ".join(f'"{c}"' for c in [*scores, *signals])
     means = ", ".join(f'{_mean(c)} AS "{c}"' for c in [*scores, "acct_num"])
@@ -299,7 +302,7 @@ churned AS (
     AND t.cpe_date > g.deact_dt - INTERVAL 30 DAY AND t.cpe_date < g.deact_dt
 ),
 means AS (
-  SELECT {GROUP}, {means}{peaks}
+  SELECT {GROUP}, {ROW_KEY} AS row_key, {means}{peaks}
   FROM (SELECT * FROM stayed UNION ALL SELECT * FROM churned) u
   LEFT JOIN (SELECT mdn_5g, cust_id, market_type, order_fulfilment FROM profile) f
     USING (mdn_5g, cust_id)
@@ -560,7 +563,7 @@ QUALIFY row_number() OVER (PARTITION BY mdn_5g, cust_id ORDER BY
 
 ORACLE["churn_feature_table"] = (
     _with(ACT, SCOPE, CHURNED, PROFILE, TEL, _feature_table("tel", MODEL, []))
-    + "SELECT * FROM featured"
+    + "SELECT * EXCLUDE (row_key) FROM featured"
 )
 
 _LEVELS = [
@@ -570,9 +573,10 @@ _LEVELS = [
     ("market_type", ["East", "South", "West", "Headquarters", "unknown"]),
     ("order_fulfilment", ["LOCALLY_FULFILLED", "SHIPPED", "unknown"]),
 ]
-ORACLE["one_hot_fixed"] = (
-    _with(ACT, SCOPE, CHURNED, PROFILE, TEL, _feature_table("tel", MODEL, []))
-    + "SELECT mdn_5g, cust_id, acct_num, "
+_EXACT_MEAN = """CAST(sum(CAST(round("{c}" * 1000000000000.0) AS HUGEINT)) AS DOUBLE)
+    / (CAST(count("{c}") AS DOUBLE) * 1000000000000.0)"""
+_MATRIX = (
+    "SELECT mdn_5g, cust_id, row_key, acct_num, "
     + ", ".join(f'"{c}"' for c in MODEL)
     + ", "
     + ", ".join(
@@ -580,6 +584,49 @@ ORACLE["one_hot_fixed"] = (
     )
     + ", CASE churn_label WHEN 'Y' THEN 1 ELSE 0 END AS churn_label FROM featured"
 )
+_FEATURED = _with(ACT, SCOPE, CHURNED, PROFILE, TEL, _feature_table("tel", MODEL, []))
+ORACLE["one_hot_fixed"] = _FEATURED + f"SELECT * EXCLUDE (row_key) FROM ({_MATRIX})"
+ORACLE["candidate_chain"] = ORACLE["one_hot_fixed"]
+
+_SIDES = _FEATURED + f""",
+sides AS (SELECT *, {_share("split", "mdn_5g || '|' || cust_id", 0.3)} AS is_test FROM ({_MATRIX}))"""
+ORACLE["training_rows"] = _SIDES + f""",
+donors AS (
+  SELECT scaled_5g_uptime AS v, row_number() OVER (ORDER BY md5('donor|' || row_key)) AS donor
+  FROM sides WHERE NOT is_test AND scaled_5g_uptime IS NOT NULL
+),
+needy AS (
+  SELECT *, CASE WHEN scaled_5g_uptime IS NULL
+    THEN {_draw("donor", "row_key")} % (SELECT count(*) FROM donors) + 1 END AS donor FROM sides
+),
+filled AS (
+  SELECT * EXCLUDE (donor, v) REPLACE (coalesce(scaled_5g_uptime, v) AS scaled_5g_uptime)
+  FROM needy LEFT JOIN donors USING (donor)
+),
+training AS (
+  SELECT * EXCLUDE (is_test, acct_num) REPLACE ({", ".join(
+    f'coalesce("{c}", (SELECT {_EXACT_MEAN.format(c=c)} FROM filled WHERE NOT is_test)) AS "{c}"'
+    for c in MODEL)})
+  FROM filled WHERE NOT is_test
+)
+SELECT * FROM training
+QUALIFY row_number() OVER (PARTITION BY churn_label ORDER BY md5('balance|' || row_key))
+  <= (SELECT min(n) FROM (SELECT count(*) AS n FROM training GROUP BY churn_label))"""
+ORACLE["rf_train_score"] = _SIDES + """
+SELECT mdn_5g, cust_id, is_test, churn_label AS label, true AS is_probability, true AS prediction_agrees
+FROM sides"""
+ORACLE["rf_evaluation"] = _SIDES + """,
+counted AS (
+  SELECT CASE WHEN is_test THEN 'test' ELSE 'train' END AS side, churn_label, count(*) AS n
+  FROM sides GROUP BY ALL
+)
+SELECT side, CAST(churn_label AS VARCHAR) AS class, n AS support, true AS are_ratios FROM counted
+UNION ALL SELECT side, name, CAST(sum(n) AS BIGINT), true FROM counted
+  CROSS JOIN (SELECT unnest(['accuracy', 'macro avg', 'weighted avg']) AS name) GROUP BY side, name"""
+ORACLE["feature_importance"] = _SIDES + f"""
+SELECT feature, true AS is_share, true AS adds_up
+FROM (SELECT unnest([{", ".join(f"'{c}'" for c in [*MODEL, *(f"{c}_{v}" for c, vs in _LEVELS for v in vs)])}])
+  AS feature) WHERE (SELECT count(*) FROM sides) > 0"""
 
 _CELL = "mdn_5g || '|' || cust_id || '|' || CAST(cpe_date AS VARCHAR)"
 ORACLE["impute_hot_deck"] = _with(TEL) + f""",
@@ -595,12 +642,10 @@ SELECT cpe_date, mdn_5g, cust_id, coalesce(scaled_5g_uptime, v) AS scaled_5g_upt
   scaled_downloadresult
 FROM needy LEFT JOIN donors USING (donor)"""
 
-_MICRO_MEAN = """round(CAST(sum(CAST(round({c} * 1000000) AS BIGINT)) AS DOUBLE)
-    / count({c}) / 1000000.0, 6)"""
 _TWO = ["scaled_5g_uptime", "scaled_downloadresult"]
 ORACLE["impute_mean"] = _with(TEL) + f"""
 SELECT cpe_date, mdn_5g, cust_id,
-  {", ".join(f"coalesce({c}, (SELECT {_MICRO_MEAN.format(c=c)} FROM tel)) AS {c}" for c in _TWO)}
+  {", ".join(f"coalesce({c}, (SELECT {_EXACT_MEAN.format(c=c)} FROM tel)) AS {c}" for c in _TWO)}
 FROM tel"""
 
 ORACLE["impute_mean_train_only"] = _with(TEL) + f""",
@@ -609,7 +654,7 @@ sides AS (
     {_share("split", "mdn_5g || '|' || cust_id", 0.3)} AS is_test FROM tel
 )
 SELECT cpe_date, mdn_5g, cust_id, is_test, {", ".join(
-    f"coalesce({c}, (SELECT {_MICRO_MEAN.format(c=c)} FROM sides WHERE NOT is_test)) AS {c}"
+    f"coalesce({c}, (SELECT {_EXACT_MEAN.format(c=c)} FROM sides WHERE NOT is_test)) AS {c}"
     for c in _TWO)}
 FROM sides"""
 
@@ -718,7 +763,8 @@ SELECT o.*, CASE WHEN EXISTS (SELECT 1 FROM ended e WHERE e.mdn_5g = o.mdn_5g
     AND e.deact_dt >= first_month + INTERVAL 4 MONTH
     AND e.deact_dt < first_month + INTERVAL 6 MONTH) THEN 1 ELSE 0 END AS label
 FROM obs o WHERE NOT EXISTS (SELECT 1 FROM ended e WHERE e.mdn_5g = o.mdn_5g
-  AND e.deact_dt < first_month + INTERVAL 4 MONTH)"""
+  AND e.deact_dt < first_month + INTERVAL 4 MONTH)
+  AND first_month + INTERVAL 6 MONTH <= (SELECT max(activity_dt) FROM act) + INTERVAL 1 DAY"""
 
 ORACLE["static_as_channel"] = _with(TEL, PROFILE) + """
 SELECT t.mdn_5g, t.cust_id, cpe_date, scaled_latency, "scaled_SNR",
@@ -739,7 +785,7 @@ ORACLE["two_stage_features"] = (
     _with(
         ACT, SCOPE, CHURNED, PROFILE, TEL, CUSUM, _feature_table("risk", ["scaled_latency"], ["cusum"])
     )
-    + "SELECT * FROM featured"
+    + "SELECT * EXCLUDE (row_key) FROM featured"
 )
 
 ORACLE["segment_churn_rates"] = _with(CUSTOMERS) + """
@@ -815,23 +861,47 @@ SELECT *, CASE WHEN saved_customers > 0 THEN promo_cost / saved_customers END AS
   revenue_retained - promo_cost AS net_savings,
   (revenue_retained - promo_cost) / promo_cost AS roi FROM money"""
 
-ORACLE["lead_time_curve"] = _with(ACT, CHURNED, TEL, CUSUM) + """,
+ORACLE["lead_time_curve"] = _with(ACT, CHURNED, SCOPE, TEL, CUSUM) + _STABLE + """,
+anchors AS (
+  SELECT mdn_5g, cust_id, CAST(arg_min(cpe_date, md5('lead|' || mdn_5g || '|' || cust_id || '|'
+    || CAST(cpe_date AS VARCHAR))) + INTERVAL 1 DAY AS DATE) AS deact_dt FROM tel GROUP BY ALL
+),
 events_ AS (
-  SELECT DISTINCT mdn_5g, cust_id, deact_dt FROM ended
+  SELECT DISTINCT mdn_5g, cust_id, deact_dt, false AS stayed FROM ended
+  UNION ALL SELECT mdn_5g, cust_id, deact_dt, true FROM stable JOIN anchors USING (mdn_5g, cust_id)
 ),
 hits AS (
-  SELECT gap_days, e.mdn_5g, e.cust_id, e.deact_dt, max(cusum) AS peak
+  SELECT gap_days, e.mdn_5g, e.cust_id, e.deact_dt, stayed, max(cusum) AS peak
   FROM events_ e CROSS JOIN (SELECT unnest([0, 15, 30, 60, 90]) AS gap_days) g
   JOIN risk r ON r.mdn_5g = e.mdn_5g AND r.cust_id = e.cust_id
     AND e.deact_dt - r.cpe_date BETWEEN gap_days AND gap_days + 29
   GROUP BY ALL
 ),
 counted AS (
-  SELECT gap_days, count(*) AS n_observed, count(*) FILTER (WHERE peak >= 40) AS n_flagged
-  FROM hits GROUP BY gap_days
+  SELECT g.gap_days, count(peak) FILTER (WHERE NOT stayed) AS n_observed,
+    count(*) FILTER (WHERE NOT stayed AND peak >= 40) AS n_flagged,
+    count(peak) FILTER (WHERE stayed) AS n_stayed,
+    count(*) FILTER (WHERE stayed AND peak >= 40) AS n_false_alarms
+  FROM (SELECT unnest([0, 15, 30, 60, 90]) AS gap_days) g LEFT JOIN hits h ON h.gap_days = g.gap_days
+  GROUP BY g.gap_days
+)
+SELECT CAST(gap_days AS INTEGER) AS gap_days, n_observed, n_flagged,
+  CASE WHEN n_observed = 0 THEN 0.0 ELSE CAST(n_flagged AS DOUBLE) / n_observed END AS share_flagged,
+  n_stayed, n_false_alarms, CASE WHEN n_flagged + n_false_alarms = 0 THEN 0.0
+    ELSE CAST(n_flagged AS DOUBLE) / (n_flagged + n_false_alarms) END AS precision
+FROM counted"""
+
+ORACLE["equal_window_features"] = (
+    _with(ACT, SCOPE, CHURNED, PROFILE, TEL)
+    + "," + _feature_table("tel", ["scaled_latency", "scaled_SNR"], []).replace(
+        # Lines that stayed: the open window before the day after a random one of their days.
+        """WHERE s.activity_cd = 'AC'
+  QUALIFY row_number() OVER (PARTITION BY s.mdn_5g, s.cust_id ORDER BY
+    md5('days|' || s.mdn_5g || '|' || s.cust_id || '|' || CAST(t.cpe_date AS VARCHAR))) <= 30""",
+        """JOIN (SELECT mdn_5g, cust_id, CAST(arg_min(cpe_date, md5('days|' || mdn_5g || '|' || cust_id
+    || '|' || CAST(cpe_date AS VARCHAR))) + INTERVAL 1 DAY AS DATE) AS anchor FROM span GROUP BY ALL) a
+    USING (mdn_5g, cust_id)
+  WHERE s.activity_cd = 'AC' AND t.cpe_date > anchor - INTERVAL 30 DAY AND t.cpe_date < anchor""",
+    ).replace("GROUP BY " + GROUP, "GROUP BY " + GROUP + " HAVING count(*) >= 2")
+    + "SELECT * EXCLUDE (row_key) FROM featured"
 )
-SELECT CAST(g.gap_days AS INTEGER) AS gap_days, coalesce(n_observed, 0) AS n_observed,
-  coalesce(n_flagged, 0) AS n_flagged,
-  CASE WHEN coalesce(n_observed, 0) = 0 THEN 0.0 ELSE CAST(n_flagged AS DOUBLE) / n_observed END
-    AS share_flagged
-FROM (SELECT unnest([0, 15, 30, 60, 90]) AS gap_days) g LEFT JOIN counted c USING (gap_days)"""

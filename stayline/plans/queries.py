@@ -23,7 +23,7 @@ from stayline.session import durable, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-TRAINING = ("rf_train_score", "rf_evaluation", "feature_importance")
+TRAINING = ("rf_train_score", "rf_evaluation", "feature_importance")  # slow: a forest is trained
 PROFILE_SHORT = list(jobs.SHORT_PROFILE)
 
 
@@ -222,7 +222,7 @@ def eligible_by_history_or_plan(spark, d):
 
 
 def _enriched(spark, d, **options):
-    days = st.changes(spark, d)
+    days = durable(st.changes(spark, d))  # three histories are read from it
     return acts.enriched_disconnects(
         st.activity(spark, d),
         cutoff=st.CUTOFF,
@@ -445,7 +445,10 @@ def class_weights(spark, d):
 def leakage_safe_windows(spark, d):
     sums = st.telemetry_sums(spark, d)
     return signals.leakage_safe_windows(
-        sums, _ended(spark, d), {"quantity": F.col("quantity"), "returned": F.col("returned")}
+        sums,
+        _ended(spark, d),
+        {"quantity": F.col("quantity"), "returned": F.col("returned")},
+        signals.data_end(st.activity(spark, d), "activity_dt"),
     )
 
 
@@ -541,32 +544,92 @@ def retention_kpis(spark, d):
 
 @register
 def lead_time_curve(spark, d):
-    before = panels.lookback(
-        _ended(spark, d).select("mdn_5g", "cust_id", "deact_dt"), _stage_one(spark, d), 120
+    risk = _stage_one(spark, d)
+    left = _ended(spark, d).select("mdn_5g", "cust_id", "deact_dt", F.lit(False).alias("stayed"))
+    stable = panels.stable_lines(acts.in_scope(st.activity(spark, d), st.CUTOFF))
+    stayed = stable.join(panels.anchor_days(risk, "lead"), list(panels.KEY)).select(
+        "mdn_5g", "cust_id", "deact_dt", F.lit(True).alias("stayed")
     )
+    before = panels.lookback(left.unionByName(stayed), risk, 120)
     return signals.lead_time_curve(before, F.col("cusum") >= 40, [0, 15, 30, 60, 90])
 
 
 # ---- model -----------------------------------------------------------------------------------
 
 
-def _trained(spark, d):
+def _matrix(spark, d):
     keep = [*panels.KEY, "row_key", *features.MODEL_SCORES, "acct_num"]
-    return jobs.train(features.one_hot(_features(spark, d), keep))
+    return features.one_hot(_features(spark, d), keep)
+
+
+@register
+def candidate_chain(spark, d):
+    """The jobs one after the other, with stored tables between them, up to the design matrix."""
+    lines = jobs.line_tables(st.raw_activity(spark, d), st.full_profile(spark, d), st.CUTOFF)
+    churned, customers = (durable(lines[n]) for n in (jobs.CHURNED_LINES, jobs.CUSTOMER_LINES))
+    found = jobs.candidate_panels(churned, customers, durable(st.telemetry(spark, d)))
+    stayed, left = (durable(found[n]) for n in (jobs.ACTIVE_PANEL, jobs.CHURN_PANEL))
+    return jobs.model_rows(stayed, left, churn_after=st.CHURN_AFTER).drop("row_key")
+
+
+@register
+def training_rows(spark, d):
+    """Exactly the rows the forest is fitted on: split, imputed, balanced."""
+    ready = jobs.prepare(_matrix(spark, d))
+    return ready.fit_on.select(*panels.KEY, "row_key", *ready.inputs, features.LABEL)
+
+
+@register
+def equal_window_features(spark, d):
+    """The feature table with windows of the same length for lines that stayed."""
+    return _features(
+        spark, d, equal_windows=True, least_days=2, scores=["scaled_latency", "scaled_SNR"]
+    ).drop("row_key")
+
+
+_FORESTS: dict[tuple[str, str], jobs.Trained] = {}
+
+
+def trained(spark, d):
+    """The forest of a folder, trained once in a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FORESTS:
+        _FORESTS[key] = jobs.train(_matrix(spark, d))
+    return _FORESTS[key]
+
+
+# The forest's own figures are random in the last digits; what is registered is what must hold of them.
 
 
 @register
 def rf_train_score(spark, d):
-    return _trained(spark, d).scored().select(
-        "mdn_5g", "cust_id", "is_test", "label", "prediction", "probability"
+    """Every row's side and label, and whether its score is a probability that the prediction agrees with."""
+    chance = F.col("probability")
+    return trained(spark, d).scored().select(
+        "mdn_5g", "cust_id", "is_test", "label",
+        chance.between(0.0, 1.0).alias("is_probability"),
+        F.when(chance > 0.5, F.col("prediction") == 1)
+        .when(chance < 0.5, F.col("prediction") == 0)
+        .otherwise(True)
+        .alias("prediction_agrees"),
     )
 
 
 @register
 def rf_evaluation(spark, d):
-    return _trained(spark, d).report()
+    """Support per side and class, and whether all ratios lie between 0 and 1."""
+    ratios = [F.col(c).between(0.0, 1.0) for c in ("precision", "recall", "f1", "roc_auc")]
+    return trained(spark, d).report().select(
+        "side", "class", "support", (ratios[0] & ratios[1] & ratios[2] & ratios[3]).alias("are_ratios")
+    )
 
 
 @register
 def feature_importance(spark, d):
-    return _trained(spark, d).importances()
+    """The inputs, each with a share of importance, and whether the shares add up."""
+    shares = trained(spark, d).importances()
+    total = shares.agg(F.sum("importance").alias("t")).scalar()
+    return shares.select(
+        "feature", F.col("importance").between(0.0, 1.0).alias("is_share"),
+        (F.abs(total - 1) < 1e-9).alias("adds_up"),
+    )

@@ -138,6 +138,13 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def full_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The profile with every column of the contract; what the given tables lack is NULL."""
+    rows = profile(spark, folder)
+    missing = [f for f in contracts.PROFILE.fields if f.name not in rows.columns]
+    return rows.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
+
+
 # The 18 scores as arithmetic on a line's daily sums.
 SCORE_RULES = {
     "scaled_5g_uptime": "CASE WHEN returned = 0 THEN CAST(quantity AS DOUBLE) / 2 END",

@@ -77,7 +77,7 @@ def require(df: DataFrame, columns: Sequence[str]) -> None:
 
 
 def conform(df: DataFrame, schema: T.StructType, codes_of: Sequence[str] = ()) -> DataFrame:
-    """``df`` with exactly the contract's columns and types; ``codes_of`` are normalised. A score that is NaN is
+    """``df`` with exactly the contract's columns and types; ``codes_of`` are normalised. A score that is not finite is
     missing and becomes NULL.
 
     Texts lose their padding and codes their letter case once, here: the conformed table can then
@@ -94,7 +94,7 @@ def conform(df: DataFrame, schema: T.StructType, codes_of: Sequence[str] = ()) -
         elif field.dataType == STR:
             value = f"trim({value})"
         elif field.dataType == DBL:
-            value = f"nanvl({value}, CAST(NULL AS DOUBLE))"
+            value = f"CASE WHEN abs({value}) < double('infinity') THEN {value} END"
         out.append(f"{value} AS {field.name}")
     return df.selectExpr(*out)
 
