@@ -61,14 +61,15 @@ def running_totals(
     """Running totals over a whole number ``order`` that is unique per row.
 
     ``totals`` maps new column to the column summed up to and including the row. The range from the smallest to
-    the largest number is cut into ``BLOCKS`` equal blocks at most (or into blocks of ``width``), whatever the scale
+    the largest number is cut into about ``BLOCKS`` equal blocks at most (or into blocks of ``width``), whatever the scale
     of the numbers, so that many block totals meet in one task at most. Rows without a number are left out.
     """
     wide = F.col(order).cast("decimal(38,0)")
     df = df.where(F.col(order).isNotNull())
     if width is None:
         ends = df.agg(F.struct(F.min(wide).alias("low"), F.max(wide).alias("high")).alias("e")).scalar()
-        block = F.floor((wide - ends["low"]) * BLOCKS / (ends["high"] - ends["low"] + 1))
+        step = F.call_function("div", ends["high"] - ends["low"], F.lit(BLOCKS).cast("decimal(38,0)")) + 1
+        block = F.call_function("div", wide - ends["low"], step.cast("decimal(38,0)"))
     else:
         block = F.floor(wide / F.lit(width))
     blocks = df.withColumn("_block", block.cast("bigint"))

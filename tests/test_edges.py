@@ -102,13 +102,21 @@ def test_dates(spark):
 @pytest.mark.parametrize(
     "values, wanted",
     [([1.005, 1.005], 1.01), ([-1.005], -1.01), ([0.1, 0.2, None], 0.15), ([None], None),
-     ([1.0, 2.0, 2.0], 1.67), ([-12.5, -12.0], -12.25)],
+     ([1.0, 2.0, 2.0], 1.67), ([-12.5, -12.0], -12.25), ([float("nan"), 2.0, float("inf")], 2.0),
+     ([float("nan")], None), ([9e14, 9e14, 9e14], 9e14)],
 )
 def test_mean(spark, values, wanted):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert df.agg(numbers.mean_2dp(F.col("v"))).first()[0] == wanted
 
 
+def test_small_scores_count_in_the_mean(spark):
+    df = spark.createDataFrame([(4e-7,), (2e-7,), (float("nan"),)], "v double")
+    assert df.agg(numbers.mean(F.col("v"))).first()[0] == pytest.approx(3e-7, rel=1e-12)
+    near = spark.createDataFrame([(0.1234567891,), (0.1234567892,)], "p double")
+    assert near.select(numbers.fixed_point(F.col("p"))).distinct().count() == 2
+
+
 def test_mean_of_long_account_number(spark):
     df = spark.createDataFrame([(987654321012345678,), (987654321012345678,)], "v bigint")
     assert df.agg(numbers.mean_of_whole(F.col("v"))).first()[0] == float(987654321012345678)
@@ -128,6 +136,64 @@ def test_conform_normalises_and_names_missing_columns(spark):
         contracts.conform_activity(raw.drop("activity_cd", "rpt_mth"))
 
 
+def test_conform_spells_plan_types_and_refuses_unreadable_dates(spark):
+    row = {f.name: None for f in contracts.ACTIVITY.fields}
+    kinds = ", ".join(f"{name} string" for name in row)
+    rows = [tuple({**row, "coe_pplan_sub_type_desc": v}.values()) for v in (" 5g home c-band ", "5G HOME", "Other ", None)]
+    found = contracts.conform_activity(spark.createDataFrame(rows, kinds)).collect()
+    assert [r.coe_pplan_sub_type_desc for r in found] == ["5G Home C-Band", "5G Home", "Other", None]
+    bad = spark.createDataFrame([tuple({**row, "activity_dt": "someday"}.values())], kinds)
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        contracts.conform_activity(bad).collect()
+
+
+def test_scores_that_are_not_finite_are_missing(spark):
+    row = {f.name: None for f in contracts.PANEL.fields}
+    rows = [tuple({**row, "scaled_SNR": v}.values()) for v in (float("nan"), float("-inf"), 0.5)]
+    df = spark.createDataFrame(rows, contracts.PANEL)
+    assert [r.scaled_SNR for r in contracts.conform(df, contracts.PANEL).collect()] == [None, None, 0.5]
+
+
+def test_donors_and_means_skip_nan_and_come_from_the_training_rows(spark):
+    nan = float("nan")
+    rows = [(i, nan if i % 2 else float(i), i < 20) for i in range(40)] + [(40, float("inf"), True), (41, None, False)]
+    df = spark.createDataFrame(rows, "id bigint, v double, train boolean")
+    filled = features.impute_hot_deck(df, "v", ["id"], "s", df.where("train")).collect()
+    assert len(filled) == 42 and all(r.v == r.id if r.id < 40 and r.id % 2 == 0 else r.v < 20 for r in filled)
+    means = features.impute_mean(df, ["v"], df.where("train")).where("id in (1, 40, 41)").collect()
+    assert {r.v for r in means} == {9.0}
+
+
+def test_a_missing_score_is_below_every_threshold(spark):
+    df = scored(spark, [(1, 1, 5), (1, 0, None), (0, 0, 3), (0, 0, None)])
+    assert evaluate.roc_auc(df).first().roc_auc == (2 + 0 + 0.5) / 4
+    swept = {r.threshold: (r.tp, r.fp, r.fn) for r in evaluate.threshold_sweep(df).collect()}
+    assert swept == {5: (1, 0, 1), 3: (1, 1, 1)}
+
+
+def test_of_several_profile_rows_the_smallest_counts(spark, data):
+    from stayline.plans import standins as st
+
+    rows, tel, prof = st.activity(spark, data), st.telemetry(spark, data), st.profile(spark, data)
+    scope, gone = acts.in_scope(rows, st.CUTOFF), acts.disconnects(rows, st.CUTOFF)
+    later = prof.withColumn("market_type", F.lit("zzz"))
+
+    def table(p):
+        return sorted(map(str, features.feature_table(scope, p, gone, tel, churn_after=st.CHURN_AFTER).drop("market_type").collect()))
+
+    assert table(prof.unionByName(later).unionByName(prof)) == table(prof)
+
+
+def test_first_activation_without_the_line(spark):
+    kinds = "cust_id string, cust_line_seq_id string, mtn string, activity_dt date"
+    started = spark.createDataFrame([("1", "1", "m", D(2020, 1, 5)), ("1", "2", "m", D(2020, 1, 1))], kinds)
+    ended = started.select("cust_id", "cust_line_seq_id", F.lit(D(2020, 3, 1)).alias("deact_dt"))
+    by_line = acts.first_activation_before(started, ended, ["mtn"], ["deact_dt"])
+    assert by_line.count() == 2
+    one = acts.first_activation_before(started, ended, ["mtn"], ["deact_dt"], by_line=False).collect()
+    assert [(r.cust_id, r.act_dt) for r in one] == [("1", D(2020, 1, 1))]
+
+
 def test_account_numbers_that_are_no_numbers(spark):
     df = spark.createDataFrame([("abc",), ("12345678901",)], "a string")
     assert [r[0] for r in df.select(F.col("a").try_cast("bigint")).collect()] == [None, 12345678901]
@@ -312,7 +378,8 @@ def test_feature_table_equals_the_one_from_stored_panels(spark, data):
 
     rows = st.activity(spark, data)
     gone = acts.disconnects(rows, st.CUTOFF)
-    scope, tel, prof = acts.in_scope(rows, st.CUTOFF), st.telemetry(spark, data), st.profile(spark, data)
+    scope, prof = acts.in_scope(rows, st.CUTOFF), st.profile(spark, data)
+    tel = panel.scan_range(st.telemetry(spark, data), panel.lookback_bounds(gone))
     places = prof.select("mdn_5g", "cust_id", "market_type", "order_fulfilment")
     line = ["cust_line_seq_id", "pplan_cd", "eqp_prod_nm", "coe_pplan_sub_type_desc", "acct_num"]
     stayed = panel.sample_days(panel.active_panel(scope, tel, line)).join(
@@ -323,7 +390,8 @@ def test_feature_table_equals_the_one_from_stored_panels(spark, data):
         .select("mdn_5g", "cust_id", *line, "deact_dt"),
         tel, 30, closed=False,
     ).join(places, ["mdn_5g", "cust_id"], "left")
-    two = features.tidy_categories(features.score_means(features.label_panels(stayed, churned)))
+    means = features.score_means(features.label_panels(stayed, churned)).drop("n_days")
+    two = features.tidy_categories(means)
     one = features.feature_table(scope, prof, gone, tel, churn_after=st.CHURN_AFTER)
     assert one.count() > 0
     assert sorted(map(str, one.select(sorted(one.columns)).collect())) == sorted(
@@ -377,7 +445,11 @@ def test_windows_use_nothing_after_the_observation(spark):
         [("1", "1", D(2020, 5, 9)), ("2", "2", D(2020, 4, 30)), ("3", "3", D(2020, 7, 1))],
         "mdn_5g string, cust_id string, deact_dt date",
     )
-    got = signals.leakage_safe_windows(panel_rows, gone, {"v": F.col("v")}).collect()
+    def windows(end):
+        return signals.leakage_safe_windows(panel_rows, gone, {"v": F.col("v")}, F.lit(end)).collect()
+
+    assert windows(D(2020, 6, 29)) == []  # the last month to predict is not over
+    got = windows(D(2020, 6, 30))
     assert {r.mdn_5g: (r.obs_v, r.obs_rows, r.label) for r in got} == {
         "1": (1110, 3, 1), "3": (1110, 3, 0),
     }

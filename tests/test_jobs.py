@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from stayline.operators import features
 from stayline.plans import jobs
 from stayline.plans import standins as st
+from stayline.plans import queries
 from stayline.plans.queries import QUERIES
 from stayline.sources import readers, writers
 from stayline.sources.contracts import PROFILE, SCORES
@@ -82,18 +83,33 @@ def test_weighted_training_keeps_all_rows(spark):
 
 
 def test_trained_queries(spark, data):
-    scored = QUERIES["rf_train_score"](spark, data)
+    trained = queries.trained(spark, data)
     features_n = QUERIES["churn_feature_table"](spark, data).count()
-    got = scored.collect()
+    got = trained.scored().collect()
     assert len(got) == features_n
     assert all(0 <= r.probability <= 1 and r.prediction in (0, 1) for r in got)
-    report = QUERIES["rf_evaluation"](spark, data).collect()
+    report = trained.report().collect()
     assert {(r.side, r["class"]) for r in report} == {
         (side, name)
         for side in ("train", "test")
         for name in ("0", "1", "accuracy", "macro avg", "weighted avg")
     }
-    importance = QUERIES["feature_importance"](spark, data).collect()
-    values = [r.importance for r in importance]
+    assert trained.confusion().agg(F.sum("n")).first()[0] == features_n
+    values = [r.importance for r in trained.importances().collect()]
     assert len(values) == 29 and values == sorted(values, reverse=True)
     assert sum(values) == pytest.approx(1.0)
+    assert queries.trained(spark, data) is trained
+
+
+def test_the_forest_is_bounded(spark):
+    rows = [(str(i), str(i), str(i), 1.0, i % 2, *[float((i * 37 + k) % 1009) for k in range(12)]) for i in range(1500)]
+    df = spark.createDataFrame(
+        rows, ["mdn_5g", "cust_id", "row_key", "acct_num", features.LABEL, *features.MODEL_SCORES]
+    ).withColumns({c: F.lit(0) for c in features.one_hot_columns()})
+    ready = jobs.prepare(df, fit_rows=400)
+    n = ready.fit_on.count()
+    assert 300 < n < 500 and ready.rows.count() == 1500
+    trained = jobs.train(df, fit_rows=400, trees=3, min_leaf=20)
+    assert all(t.numNodes < 2 * n / 20 for t in trained.model.trees)
+    exact = jobs.train(df, trees=1, max_depth=2, max_bins=2048)
+    assert exact.model.getOrDefault("maxBins") == 2048

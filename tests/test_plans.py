@@ -146,6 +146,20 @@ def test_feature_table_shuffles_telemetry_once_by_line(spark, data, settings):
     text = plan(QUERIES["churn_feature_table"](spark, data))
     head = text.split("SortMergeJoin")[0]
     assert "Exchange" not in head  # nothing is shuffled after the join on the line
+    assert "WindowGroupLimit" in head
+
+
+def test_telemetry_itself_is_not_shuffled_for_its_keys(spark, data):
+    text = plan(QUERIES["churned_with_telemetry"](spark, data))
+    assert "lineitem" not in text
+
+
+def test_block_totals_are_bounded_for_any_scale(spark):
+    df = spark.range(0, 3000).select((F.col("id") * 10**14 - 5).alias("k"), F.lit(1).alias("v"))
+    got = ranking.running_totals(df, "k", {"t": "v"}).collect()
+    assert sorted((r.k, r.t) for r in got) == [(i * 10**14 - 5, i + 1) for i in range(3000)]
+    one = ranking.running_totals(df.limit(1), "k", {"t": "v"}).collect()
+    assert [r.t for r in one] == [1]
 
 
 def test_range_scan_prunes_day_folders(spark, data, tmp_path):
