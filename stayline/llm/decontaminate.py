@@ -75,8 +75,8 @@ def char_offsets(data: np.ndarray) -> np.ndarray:
 
 
 def scan(docs: DataFrame, patterns: dict[str, tuple[int, list[str]]]) -> DataFrame:
-    """Adds this automaton's findings to ``_words``, ``_ranges`` and ``_items``."""
-    places = {c: docs.columns.index(c) for c in ("_words", "_ranges", "_items")}
+    """Adds this automaton's findings to ``_scan_words``, ``_scan_ranges`` and ``_scan_items``."""
+    places = {c: docs.columns.index(c) for c in ("_scan_words", "_scan_ranges", "_scan_items")}
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,7 +91,7 @@ def scan(docs: DataFrame, patterns: dict[str, tuple[int, list[str]]]) -> DataFra
                 normal = words.NORMAL[data][kept]
                 at = np.r_[0, np.cumsum(kept)][bounds]
                 word_at = np.searchsorted(first, bounds)
-                ranges, items = piece.column("_ranges").to_pylist(), piece.column("_items").to_pylist()
+                ranges, items = piece.column("_scan_ranges").to_pylist(), piece.column("_scan_items").to_pylist()
                 for i in range(piece.num_rows if patterns else 0):
                     text = " " + normal[at[i] : at[i + 1]].tobytes().decode("utf-8")
                     found = list(machine.iter(text))
@@ -108,9 +108,9 @@ def scan(docs: DataFrame, patterns: dict[str, tuple[int, list[str]]]) -> DataFra
                     ranges[i] = [x for r in merged(new) for x in r]
                     items[i] = sorted({*items[i], *(x for _, (_, held) in found for x in held)})
                 columns = list(piece.columns)
-                columns[places["_words"]] = pa.array(counts, pa.int64())
-                columns[places["_ranges"]] = pa.array(ranges, kind)
-                columns[places["_items"]] = pa.array(items, pa.list_(pa.string()))
+                columns[places["_scan_words"]] = pa.array(counts, pa.int64())
+                columns[places["_scan_ranges"]] = pa.array(ranges, kind)
+                columns[places["_scan_items"]] = pa.array(items, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
@@ -139,26 +139,26 @@ def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     own = [c for c in docs.columns if c not in added]
     rows = docs.select(
         *own,
-        F.lit(0).cast("bigint").alias("_words"),
-        F.array().cast("array<bigint>").alias("_ranges"),
-        F.array().cast("array<string>").alias("_items"),
+        F.lit(0).cast("bigint").alias("_scan_words"),
+        F.array().cast("array<bigint>").alias("_scan_ranges"),
+        F.array().cast("array<string>").alias("_scan_items"),
     )
     for patterns in shards(benchmark):
         rows = scan(rows, patterns)
-    runs = F.sequence(F.lit(0), (F.size("_ranges") / 4).cast("int") - 1)
-    runs = F.when(F.size("_ranges") > 0, runs).otherwise(F.array().cast("array<int>"))
+    runs = F.sequence(F.lit(0), (F.size("_scan_ranges") / 4).cast("int") - 1)
+    runs = F.when(F.size("_scan_ranges") > 0, runs).otherwise(F.array().cast("array<int>"))
 
     def part(i, k):
-        return F.col("_ranges")[i * 4 + k]
+        return F.col("_scan_ranges")[i * 4 + k]
 
     hit = F.aggregate(runs, F.lit(0).cast("bigint"), lambda s, i: s + part(i, 1) - part(i, 0))
     spans = F.transform(runs, lambda i: F.struct(part(i, 2).alias("start"), part(i, 3).alias("end")))
     return rows.select(
         *own,
-        F.col("_words").alias("n_words"),
+        F.col("_scan_words").alias("n_words"),
         hit.alias("n_hit"),
-        F.size("_items").cast("bigint").alias("n_items"),
-        F.array_sort("_items").alias("items"),
+        F.size("_scan_items").cast("bigint").alias("n_items"),
+        F.array_sort("_scan_items").alias("items"),
         spans.alias("spans"),
     ).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * HIT_SHARE >= F.col("n_words"))

@@ -134,13 +134,13 @@ def mixed(docs: DataFrame) -> DataFrame:
     sized = durable(
         docs.select("source", place(F.col("doc_id")).alias("place"), word_count(F.col("text")).alias("size"))
     )
-    plan = mix_plan(sized).select(
-        F.col("source").alias("_of"), F.col("source_size"), F.col("target"), "copies", "below"
+    plan = mix_plan(sized)
+    rows = docs.select(
+        F.struct(*own).alias("row"), F.col("source").alias("of"), word_count(F.col("text")).alias("size"),
+        place(F.col("doc_id")).alias("place"),
     )
-    rows = docs.select(*own, word_count(F.col("text")).alias("size"), place(F.col("doc_id")).alias("_place"))
-    extra = (F.col("size") > 0) & (F.col("_place") < F.col("below"))
-    return rows.join(plan, rows["source"].eqNullSafe(plan["_of"])).select(
-        *[rows[c] for c in own],
-        "size", "source_size", "target",
+    extra = (F.col("size") > 0) & (F.col("place") < F.col("below"))
+    return rows.join(plan, rows["of"].eqNullSafe(plan["source"])).select(
+        "row.*", "size", "source_size", "target",
         (F.col("copies") + F.coalesce(extra, F.lit(False)).cast("int")).alias("repeats"),
     )

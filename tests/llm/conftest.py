@@ -26,7 +26,8 @@ def odd_docs(spark):
         (8, "\x00\x01 odd \r\n bytes\t", "en", "c", 10),
     ]
     return spark.createDataFrame(rows, DOCS).selectExpr(
-        "*", "'mine' AS size", "'mine' AS score", "'mine' AS n_words", "'mine' AS class_id", "'mine' AS value", "'mine' AS _x"
+        "*", "'mine' AS size", "'mine' AS score", "'mine' AS n_words", "'mine' AS class_id", "'mine' AS value", "'mine' AS _place", "'mine' AS _words",
+        "'mine' AS copies", "'mine' AS below", "'mine' AS row", "'mine' AS of",
     )
 
 
