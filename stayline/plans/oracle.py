@@ -394,6 +394,10 @@ ORACLE["activity_filter"] = _with(ACT, STARTED, ENDED) + """
 SELECT cust_id, mdn_5g, activity_dt, activity_cd FROM started
 UNION ALL SELECT cust_id, mdn_5g, deact_dt, deact_cd FROM ended"""
 
+ORACLE["coded_dates"] = _with(ACT) + """
+SELECT cust_id, mdn_5g, CAST(strftime(activity_dt, '%Y%m%d') AS INTEGER) - 19000000 AS day_code, activity_dt
+FROM act WHERE activity_dt >= DATE '1996-01-01'"""
+
 ORACLE["channel_bucket"] = _with(PROFILE) + "SELECT cust_id, mtn, chnl_nm AS channel FROM profile"
 
 ORACLE["technology_bucket"] = _with(ACT, LOOKUPS) + f"""

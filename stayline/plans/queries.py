@@ -60,6 +60,16 @@ def activity_filter(spark, d):
     return started.unionByName(ended)
 
 
+@register
+def coded_dates(spark, d):
+    """Events since a cut-off given as (year - 1900)MMDD, their days read back from codes of that kind."""
+    day = F.col("activity_dt")
+    code = (F.year(day) - 1900) * 10000 + F.month(day) * 100 + F.dayofmonth(day)
+    rows = st.activity(spark, d).select("cust_id", "mdn_5g", code.alias("day_code"))
+    decoded = rows.withColumn("activity_dt", dates.date_of_code(F.col("day_code")))
+    return decoded.where(F.col("activity_dt") >= F.lit(dates.decode_cutoff(960101)))
+
+
 @register
 def channel_bucket(spark, d):
     rows = st.profile(spark, d)
