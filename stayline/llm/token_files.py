@@ -29,7 +29,7 @@ from stayline.session import durable, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-REMEMBERED = 800_000  # distinct parts of texts a worker remembers; beyond that it starts anew
+REMEMBERED = 500_000  # distinct parts of texts a worker remembers; beyond that it starts anew
 ROW_GROUP_BYTES = 8 << 20
 PAGE_ROWS = 256
 PAGE_BYTES = 256 << 10
