@@ -10,10 +10,12 @@ left empty throws twice as deep.
 
 Texts that are equal are one class from the start. Bands of coordinates give buckets; documents of a bucket are candidates
 and are linked if their exact similarity is at least ``SIMILARITY``. Classes are the connected components of the links.
-All members of a bucket are compared with its leader first, which connects the copies of one text. What then is still of
-several classes goes on: a small bucket compares all pairs of them; a large one (often documents that share a passage and
-little else) is cut by a second band, and its parts are compared with one leader after the other until all their
-members are connected or compared.
+All members of a bucket are compared with two leaders first, its smallest id and a random one, which connects most copies of
+one text. Of what is left, documents go that share too few shingles with all the rest to have another link (copies with many
+changes of their own), an exact bound. In a bucket that then is still of several classes, the members outside its largest class are compared with all
+others, if they are few. Other buckets (often documents that share a passage and little else) are cut by a second
+band, and parts that still have many such members compare one leader after the other, until all are connected or
+compared.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4  # of 128 coordinates; a pair at 0.8 shares no band with a chance of 5e-8, one at most with 1e-6
-SMALL = 8  # a bucket of at most so many compares all its pairs
+FEW = 128  # a bucket with at most so many members outside its largest class compares them with all others
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -159,24 +161,30 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, class): the smallest id of each connected component of ``links`` (a, b).
 
-    Alternates large and small stars (every node's larger, then smaller neighbours are tied to its smallest one) until
-    nothing changes. A round takes minima of neighbours, pre-aggregated, and needs no node's neighbours in one place.
+    Every node has a parent, at first itself. In a round a node takes the smallest grandparent among its neighbours for
+    itself and for its parent, and its own grandparent, whichever is smallest, until no parent changes. Parents only
+    fall, so their sum tells. Each step takes pre-aggregated minima; no node's neighbours meet in one place.
     """
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        large = durable(large)
-        low = durable(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        small = durable(small.where("u != v").distinct())
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+    one = links.where("a != b")
+    edges = durable(one.select("a", "b").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    parents = durable(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")).withColumnRenamed("a", "id"))
+    total = F.sum(F.col("class").cast("decimal(38,0)"))
+    before = parents.agg(total).first()[0]
+    while before is not None:
+        up = parents.select(F.col("id").alias("class"), F.col("class").alias("grand"))
+        grand = durable(parents.join(up, "class").select("id", "class", "grand"))
+        near = edges.join(grand.select(F.col("id").alias("b"), "grand"), "b").groupBy("a").agg(F.min("grand").alias("low"))
+        each = grand.join(near, grand["id"] == near["a"])
+        own = F.struct(F.col("id"), F.least("grand", "low").alias("class"))
+        parent = F.struct(F.col("class").alias("id"), F.col("low").alias("class"))
+        parents = durable(
+            each.select(F.explode(F.array(own, parent)).alias("p")).groupBy("p.id").agg(F.min("p.class").alias("class"))
+        )
+        now = parents.agg(total).first()[0]
+        if now == before:
             break
-        edges = small
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("class")).union(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("class"))
-    ).distinct()
+        before = now
+    return parents
 
 
 def with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
@@ -184,63 +192,134 @@ def with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
     return members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
 
 
-def compared(buckets: DataFrame, classes: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """One round: pairs (a, b) to compare, and the buckets (bucket, id) that need another.
+def open_buckets(buckets: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
+    """(bucket, id, class, is_few, n_few, leader, leader_class) of the buckets (bucket, id) that hold several classes.
 
-    Only buckets of several classes count. Small ones give all their pairs of different classes; of large ones,
-    every member is paired with the leader, who then is done.
+    ``is_few`` tells members outside their bucket's largest class, ``n_few`` is their number.
     """
-    members = with_classes(buckets, classes)
-    # The smallest id leads at first, the same one in most buckets of a text's copies; later a random order.
-    order = F.lit(0).cast("bigint") if turn == 0 else F.xxhash64("bucket", "id", F.lit(turn))
+    members = durable(with_classes(buckets, classes))
+    # Another leader each turn and bucket: the first in a random order.
+    order = F.xxhash64("bucket", "id", F.lit(turn))
+    first = F.min(F.struct(order.alias("o"), F.col("id").alias("leader"), F.col("class").alias("leader_class")))
+    per_class = members.groupBy("bucket", "class").agg(F.count("*").alias("n"), first.alias("first"))
     state = durable(
-        members.groupBy("bucket")
-        .agg(
-            F.count("*").alias("n"), F.min("class").alias("_low"), F.max("class").alias("_high"),
-            F.min(F.struct(order.alias("o"), F.col("id").alias("leader"), F.col("class").alias("leader_class"))).alias("_first"),
-        )
-        .where("_low != _high")
-        .select("bucket", "n", "_first.leader", "_first.leader_class")
+        per_class.groupBy("bucket")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("big"), F.min("first").alias("first"))
+        .where("n > big.n")
+        .select("bucket", "big.class", (F.col("n") - F.col("big.n")).alias("n_few"), "first.leader", "first.leader_class")
+        .withColumnRenamed("class", "_big")
     )
-    left = durable(members.join(state, "bucket"))
-    many = left if turn == 0 else left.where(F.col("n") > SMALL)
-    pairs = many.where("class != leader_class").select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
-    if turn:
-        few = left.where(F.col("n") <= SMALL).select("bucket", "id", "class")
-        other = few.select("bucket", F.col("id").alias("_id"), F.col("class").alias("_class"))
-        each = few.join(other, "bucket").where("id > _id and class != _class")
-        pairs = pairs.unionByName(each.select(F.col("id").alias("a"), F.col("_id").alias("b")))
-    return durable(pairs.distinct()), durable(many.where("id != leader and n > 2").select("bucket", "id"))
-
-
-def cut_large(buckets: DataFrame, bands: DataFrame) -> DataFrame:
-    """Buckets of more than ``SMALL`` members cut by every other band of ``bands`` (id, bucket); the others as they are."""
-    sizes = durable(buckets.groupBy("bucket").agg(F.count("*").alias("n")))
-    sized = durable(buckets.join(sizes, "bucket"))
-    other = bands.select("id", F.col("bucket").alias("_other"))
-    parts = sized.where(F.col("n") > SMALL).join(other, "id").where("bucket != _other")
-    cut = parts.select(F.xxhash64(F.least("bucket", "_other"), F.greatest("bucket", "_other")).alias("bucket"), "id").distinct()
-    several = cut.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    cut = durable(cut)
+    rows = members.join(state, "bucket")
+    return durable(rows.withColumn("is_few", F.col("class") != F.col("_big")).drop("_big"))
+
+
+def pairs_of_few(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes in the buckets with at most ``FEW`` members outside the largest class.
+
+    Each such member meets all others, so a bucket gives at most ``FEW`` pairs per member.
+    """
+    near = rows.where(F.col("n_few") <= FEW)
+    few = near.where("is_few").select("bucket", F.col("id").alias("_id"), F.col("class").alias("_class"))
+    each = near.select("bucket", "id", "class").join(few, "bucket").where("class != _class")
+    return each.select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"))
+
+
+def pairs_with_leader(rows: DataFrame) -> DataFrame:
+    """(a, b) of every member of the other buckets with the leader, if their classes differ."""
+    many = rows.where((F.col("n_few") > FEW) & (F.col("class") != F.col("leader_class")))
+    return many.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
+
+
+def measures(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, size, shared): how many strips a text has, and how many of them another text of ``ids`` has, too.
+
+    Two texts of ``ids`` have at most the smaller of their ``shared`` strips in common, which bounds their similarity.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                keys, at = strips(*joined(piece.column("text")))
+                yield pa.RecordBatch.from_arrays(
+                    [piece.column("id"), list_array(keys.view(np.int64), at, pa.int64())], names=["id", "strips"]
+                )
+
+    wanted = texts.join(durable(ids.select("id").distinct()), "id").select("id", "text")
+    each = durable(wanted.mapInArrow(run, "id bigint, strips array<bigint>"))
+    one = each.select("id", F.explode("strips").alias("strip"))
+    several = durable(one.groupBy("strip").agg(F.count("*").alias("_n")).where("_n > 1").select("strip"))
+    found = one.join(several, "strip").groupBy("id").agg(F.count("*").alias("shared"))
     return durable(
-        sized.where(F.col("n") <= SMALL).select("bucket", "id").unionByName(cut.join(several, "bucket").select("bucket", "id"))
+        each.select("id", F.size("strips").cast("bigint").alias("size")).join(found, "id", "left").select(
+            "id", "size", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared")
+        )
     )
 
 
-def near_links(buckets: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a > b: links between members of the ``buckets`` (bucket, id) that hold their classes together."""
-    spark = buckets.sparkSession
-    links, classes = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "id bigint, class bigint")
-    bands, turn = buckets, 0
+def may_be_linked(shared, size, other_size, similarity: float):
+    """Whether texts with at most ``shared`` strips in common can be similar enough."""
+    return shared >= F.lit(similarity) * (size + other_size - shared)
+
+
+def plausible_members(rows: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
+    """(bucket, id) without members too unlike all others, even of the bucket's smallest size, to have a link there."""
+    sized = durable(rows.select("bucket", "id").join(measured, "id"))
+    least = durable(sized.groupBy("bucket").agg(F.min("size").alias("_least")))
+    fits = may_be_linked(F.col("shared"), F.col("size"), F.col("_least"), similarity)
+    return durable(sized.join(least, "bucket").where(fits).select("bucket", "id"))
+
+
+def plausible_pairs(pairs: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that their sizes and shared strips do not rule out."""
+    left = measured.select(F.col("id").alias("a"), F.col("size").alias("_sa"), F.col("shared").alias("_ca"))
+    right = measured.select(F.col("id").alias("b"), F.col("size").alias("_sb"), F.col("shared").alias("_cb"))
+    both = pairs.join(left, "a").join(right, "b")
+    fits = may_be_linked(F.least("_ca", "_cb"), F.col("_sa"), F.col("_sb"), similarity)
+    return both.where(fits).select("a", "b")
+
+
+def cut_by_second_band(rows: DataFrame, bands: DataFrame) -> DataFrame:
+    """Parts (bucket, id) of the buckets with more: members that share a second band of ``bands`` (bucket, id) as well.
+
+    A pair at the least similarity shares two bands or more but for a chance of one in a million; documents that share
+    a passage and little else rarely do.
+    """
+    other = bands.select("id", F.col("bucket").alias("_other"))
+    parts = rows.select("bucket", "id").join(other, "id").where("bucket != _other")
+    both = F.xxhash64(F.least("bucket", "_other"), F.greatest("bucket", "_other"))
+    cut = durable(parts.select(both.alias("bucket"), "id").distinct())
+    several = cut.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
+    return durable(cut.join(durable(several), "bucket").select("bucket", "id"))
+
+
+def near_links(buckets: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links (a, b), a > b, between members of ``buckets`` (bucket, id, leader, other), and the classes (id, class) they
+    make. ``leader`` is a bucket's smallest id, ``other`` the first in a random order."""
+    leaders = F.explode(F.array("leader", "other")).alias("_to")
+    first = buckets.select("id", leaders).where("id != _to").select(F.greatest("id", "_to").alias("a"), F.least("id", "_to").alias("b"))
+    links = durable(linked(durable(first.distinct()), texts, similarity))
+    classes, turn = components(links), 1
+    rows = open_buckets(buckets.select("bucket", "id"), classes, 0)
+    if rows.isEmpty():
+        return links, classes
+    measured = measures(rows, texts)
+    rest = plausible_members(rows, measured, similarity)
     while True:
-        pairs, buckets = compared(buckets, classes, turn)
+        rows = open_buckets(rest, classes, turn)
+        pairs = pairs_of_few(rows)
+        if turn > 1:
+            pairs = pairs.unionByName(pairs_with_leader(rows))
+        pairs = durable(plausible_pairs(pairs.distinct(), measured, similarity))
         if not pairs.isEmpty():
-            links = durable(links.unionByName(linked(pairs, texts, similarity)).distinct())
-            classes = durable(components(links))
-        if buckets.isEmpty():
-            return links
-        if turn == 0:
-            buckets = cut_large(buckets, bands)
+            more = durable(linked(pairs, texts, similarity))
+            if not more.isEmpty():
+                links = durable(links.unionByName(more).distinct())
+                classes = components(links)
+        rest = rows.where(F.col("n_few") > FEW).select("bucket", "id", "leader")
+        if rest.isEmpty():
+            return links, classes
+        # What a passage brought together falls apart by a second band; after that, a leader a turn is done.
+        rest = cut_by_second_band(rest, buckets) if turn == 1 else rest.where("id != leader").select("bucket", "id")
         turn += 1
 
 
@@ -256,15 +335,22 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = durable(sketches(docs.where("text is not null and text != '' and doc_id is not null")))
     texts = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
     spread = texts.select("id", F.explode("bands").alias("bucket"))
-    shared = durable(spread.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a != _b").select("bucket"))
-    buckets = durable(spread.join(shared, "bucket").select("bucket", "id"))
+    shared = durable(
+        spread.groupBy("bucket")
+        .agg(F.min("id").alias("leader"), F.max("id").alias("_last"), F.min(F.struct(F.xxhash64("bucket", "id"), "id")).alias("_any"))
+        .where("leader != _last")
+        .select("bucket", "leader", F.col("_any.id").alias("other"))
+    )
+    buckets = durable(spread.join(shared, "bucket").select("bucket", "id", "leader", "other"))
     wanted = durable(buckets.select("id").distinct().join(texts.select("id", "text_key"), "id"))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
     kept = durable(
         plain.join(wanted, "id").where(F.sha2("text", 256) == F.col("text_key")).select("id", "text").dropDuplicates(["id"])
     )
-    links = near_links(buckets, kept, similarity)
-    classes = durable(components(links.unionByName(doubled_ids(rows, texts))))
+    links, classes = near_links(buckets, kept, similarity)
+    doubled = durable(doubled_ids(rows, texts))
+    if not doubled.isEmpty():
+        classes = components(links.unionByName(doubled))
     found = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     counts = found.groupBy("id").agg(F.count("*").alias("links"))
     per_text = durable(
