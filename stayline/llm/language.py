@@ -1,9 +1,11 @@
 """Language ID by compression: the language whose zstandard dictionary makes a text smallest.
 
 Each language's dictionary is raw text: the beginnings of a bounded sample of its labelled documents, lower-cased
-with all but letters turned into single blanks. A text in the same form is compressed once per language, whole,
-followed by the same short padding, so that even a text of one word makes a compressed block. The smallest size
-wins; a text whose best two sizes lie closer than ``MIN_MARGIN`` is rejected.
+with all but letters turned into single blanks. A text in the same form is compressed whole with each language, in even
+blocks of at most ``BLOCK_BYTES`` that know nothing of one another: a dictionary saves a bounded number of bytes per
+compression, so only sums over blocks keep the margin from shrinking with the text's length. Each block is
+followed by the same short padding, so that even a text of one word makes a compressed block. The smallest sum
+wins; a text whose best two sums lie closer than ``MIN_MARGIN`` is rejected.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 SAMPLE_DOCS = 128  # documents a language's dictionary draws on, lowest hash first
 SAMPLE_CHARS = 1024  # characters of each
 DICTIONARY_BYTES = 32 << 10
+BLOCK_BYTES = 8 << 10  # of a text, compressed together
 MIN_MARGIN = 0.005  # of the second smallest size
 SHARPNESS = 100.0  # how fast the score rises with the margin
 UNKNOWN = "und"
@@ -57,6 +60,12 @@ class Dictionaries:
         return out
 
 
+def blocks(data: bytes) -> list[bytes]:
+    """``data`` in the fewest blocks of at most ``BLOCK_BYTES``, of even size."""
+    size = -(-len(data) // -(-len(data) // BLOCK_BYTES))
+    return [data[i : i + size] for i in range(0, len(data), size)]
+
+
 def learn(labelled: DataFrame) -> Dictionaries:
     """Dictionaries from ``labelled`` (doc_id, text, lang). Rows without text or language teach nothing.
 
@@ -102,8 +111,8 @@ def classify(docs: DataFrame, dictionaries: Dictionaries) -> DataFrame:
                 if not machines or not any(map(str.isalpha, plain)):
                     found = (UNKNOWN, 0.0, 0.0, True)
                 else:
-                    data = plain.encode() + _PADDING
-                    sizes = sorted((len(m.compress(data)), lang) for lang, m in machines)
+                    parts = [part + _PADDING for part in blocks(plain.encode())]
+                    sizes = sorted((sum(len(m.compress(part)) for part in parts), lang) for lang, m in machines)
                     best, lang = sizes[0]
                     margin = (sizes[1][0] - best) / sizes[1][0] if len(sizes) > 1 else 1.0
                     rivals = sum(math.exp(-SHARPNESS * (s - best) / best) for s, _ in sizes)

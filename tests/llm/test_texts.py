@@ -104,6 +104,20 @@ def test_language_of_odd_documents(odd_docs, no_docs, tables):
     assert (only.lang_pred, only.score, only.margin) == ("en", 1.0, 1.0)
 
 
+def test_language_of_long_unmixed_documents(spark, tables):
+    docs = tables("documents")
+    rows = [r for r in docs.select("doc_id", "lang", "text").collect() if r.text]
+    long = []
+    for i, lang in enumerate(sorted({r.lang for r in rows})):
+        own = " ".join(r.text for r in sorted(rows, key=lambda r: r.doc_id) if r.lang == lang)
+        for n in (100_000, 300_000, 3_000_000):
+            long.append((n + i, (own + " ") * (n // len(own) + 1), lang))
+    learned = language.learn(docs.where(~language.held_out(F.col("doc_id"))))
+    found = language.classify(spark.createDataFrame(long, "doc_id bigint, text string, lang string"), learned).collect()
+    assert len(found) == len(long)
+    assert all(r.lang_pred == r.lang and not r.rejected and r.margin > 0.02 for r in found)
+
+
 def test_dictionaries_do_not_depend_on_partitions(tables):
     docs = tables("documents")
     assert language.learn(docs) == language.learn(docs.repartition(7))
