@@ -11,7 +11,8 @@ a whole forged record, so a candidate counts only if a chain of successors leads
 its file. Each task follows the chains inside its split and emits, per candidate, where it leaves the split. Pointer
 jumping over those exits (the pointer of the pointer, doubling the reach each round) finds the entry of every split,
 and the candidates on the chain from the entry are the records. Pieces in between belong to the payload
-of the record before them and are joined to it again.
+of the record before them and are joined to it again. The archives are read once: Spark deals splits out anew at each
+read, so the pieces are stored with what was found in them.
 """
 
 from __future__ import annotations
@@ -113,6 +114,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES
 
 # ---- reading -----------------------------------------------------------------------------------
 
+ROW_GROUP_BYTES = 16 << 20  # of the stored pieces
 _NONE = -1
 _LENGTH = re.compile(rb"(?im)^Content-Length:[ \t]*(\d{1,18})[ \t]*\r$")
 _FIELD = re.compile(r"(?m)^([A-Za-z0-9-]+):[ \t]*(.*?)[ \t]*\r?$")
@@ -153,19 +155,21 @@ def pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, bytes]]:
-    """(file, split, number within the split, value) of the pieces."""
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[tuple[str, int, int]]]]:
+    """Each batch with (file, split, number within the split) of its pieces."""
     key, n = None, 0
     for batch in batches:
-        for file, split, value in zip(*(batch.column(c) for c in ("file", "split", "value")), strict=True):
-            here = (file.as_py(), split.as_py())
+        places = []
+        for here in zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), strict=True):
             n = n + 1 if here == key else 0
             key = here
-            yield *here, n, value.as_py()
+            places.append((*here, n))
+        yield batch, places
 
 
 def candidates(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per piece; all places count from the start of the split's first piece.
+    """Two rows per piece: one with what was found in it, and one with (file, split, n) and its ``value`` alone. All places
+    count from the start of the split's first piece.
 
     ``n`` numbers the pieces of a split. ``at`` is the place of the magic, ``next`` that of the successor (-1: no
     header), ``leaves`` the first successor beyond the split that the chain from here reaches (-1: it breaks off inside),
@@ -173,7 +177,7 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
     proper archive. ``FIELDS`` come from the header, ``PAYLOAD`` from a block that ends within the piece.
     """
     places = "file string, split bigint, n bigint, at bigint, next bigint, leaves bigint, bytes bigint"
-    schema = f"{places}, {FIELDS}, {PAYLOAD}"
+    schema = f"{places}, {FIELDS}, {PAYLOAD}, value binary"
 
     def table(key: tuple[str, int], found: list[tuple]) -> pa.RecordBatch:
         sizes = np.array([f[0] for f in found], np.int64)
@@ -190,30 +194,44 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
             at[0] = _NONE  # what precedes the first magic stands at no record's place
         rows = [(*key, i, *map(int, x), *f[2]) for i, (f, *x) in enumerate(zip(found, at, follow, leaves, sizes, strict=True))]
         return pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names
+            [*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)), pa.nulls(len(rows), pa.binary())],
+            names=names,
+        )
+
+    def stored(batch: pa.RecordBatch, places: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        keys = list(zip(*places, strict=True)) or [[]] * 3
+        return pa.RecordBatch.from_arrays(
+            [
+                *(pa.array(c, t) for c, t in zip(keys, kinds, strict=False)),
+                *(pa.nulls(len(places), t) for t in kinds[3:]), batch.column("value"),
+            ],
+            names=names,
         )
 
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
-    nothing = (None,) * (len(names) - 7)
+    kinds = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")[:-1]]
+    nothing = (None,) * (len(kinds) - 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, found = None, []
-        for file, split, n, raw in split_runs(batches):
-            if (file, split) != key:
-                if found:
-                    yield table(key, found)
-                key, found = (file, split), []
-            if split == 0 and n == 0:  # no magic before it
-                found.append((len(raw), _NONE, nothing))
-                continue
-            span, size = successor(raw), len(raw) + len(MAGIC)
-            if span < 0:
-                said = nothing
-            else:
-                said, payload = parsed(raw[: span - len(MAGIC) - len(END)])
-                said += described_payload(payload) if span <= size else (None, None)
-            found.append((size, span, said))
+        for batch, places in numbered(batches):
+            yield stored(batch, places)
+            for (file, split, n), value in zip(places, batch.column("value"), strict=True):
+                raw = value.as_py()
+                if (file, split) != key:
+                    if found:
+                        yield table(key, found)
+                    key, found = (file, split), []
+                if split == 0 and n == 0:  # no magic before it
+                    found.append((len(raw), _NONE, nothing))
+                    continue
+                span, size = successor(raw), len(raw) + len(MAGIC)
+                if span < 0:
+                    said = nothing
+                else:
+                    said, payload = parsed(raw[: span - len(MAGIC) - len(END)])
+                    said += described_payload(payload) if span <= size else (None, None)
+                found.append((size, span, said))
         if found:
             yield table(key, found)
 
@@ -269,8 +287,9 @@ def reachable(found: DataFrame) -> DataFrame:
     )
 
 
-def continued(spark: SparkSession, folder: str, found: DataFrame, records: DataFrame) -> DataFrame:
-    """(file, offset, record binary) of the records whose block holds the magic, put together from their pieces.
+def continued(values: DataFrame, found: DataFrame, records: DataFrame) -> DataFrame:
+    """(file, offset, record binary) of the records whose block holds the magic, put together from their pieces, the
+    (file, split, n, value) of the same read as ``found``.
 
     Only those pieces take part; they follow one another. Their list is stored; if it is small it is broadcast by its size, and no
     payload is shuffled.
@@ -290,22 +309,9 @@ def continued(spark: SparkSession, folder: str, found: DataFrame, records: DataF
         .select("file", "split", "n", "offset", "size")
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, n = None, 0
-        for batch in batches:
-            numbers = []
-            for here in zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), strict=True):
-                n = n + 1 if here == key else 0
-                key = here
-                numbers.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(numbers, pa.int64())], names=[*batch.schema.names, "n"]
-            )
-
-    numbered = pieces(spark, folder).mapInArrow(run, "file string, split bigint, value binary, n bigint")
     both = F.expr(f"aggregate(slice(p, 2, size(p)), p[0], (a, b) -> concat(a, X'{MAGIC.encode().hex()}', b))")
     return (
-        numbered.join(parts, ["file", "split", "n"])
+        values.join(parts, ["file", "split", "n"])
         .groupBy("file", "offset", "size")
         .agg(F.array_sort(F.collect_list(F.struct("split", "n", "value"))).alias("p"))
         .select("file", "offset", "size", F.transform("p", lambda x: x["value"]).alias("p"))
@@ -321,7 +327,9 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     A chain that breaks off (a truncated file) gives the complete records before the break. A record of another
     writer may lack fields; they are null. An empty file gives none, and so does one that does not begin with a record.
     """
-    found = durable(candidates(spark, folder))
+    stored = durable(candidates(spark, folder), compression="zstd", **{"parquet.block.size": str(ROW_GROUP_BYTES)})
+    found = stored.where(F.col("bytes").isNotNull()).drop("value")
+    values = stored.where(F.col("bytes").isNull()).select("file", "split", "n", "value")
     records = durable(reachable(found))
     names = [c.split()[0] for c in f"{FIELDS}, {PAYLOAD}".split(", ")]
     alone = found.join(records, ["file", "split", "at"]).where(F.col("size") <= F.col("bytes")).select("file", "offset", *names)
@@ -339,7 +347,7 @@ def read_archives(spark: SparkSession, folder: str) -> DataFrame:
                 names=["file", "offset", *names],
             )
 
-    joined = continued(spark, folder, found, records).mapInArrow(run, f"file string, offset bigint, {FIELDS}, {PAYLOAD}")
+    joined = continued(values, found, records).mapInArrow(run, f"file string, offset bigint, {FIELDS}, {PAYLOAD}")
     return alone.unionByName(joined)
 
 

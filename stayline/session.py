@@ -59,12 +59,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` once as Parquet under the shared folder and continue from the files.
 
     For tables that several passes read (training, ranking). Unlike a cache the files outlive lost
-    executors, and later passes read only the columns they need.
+    executors, and later passes read only the columns they need. ``options`` are the Parquet writer's.
     """
     path = scratch_path(df.sparkSession, "table")
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

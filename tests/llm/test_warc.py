@@ -57,6 +57,19 @@ def test_a_record_far_longer_than_a_split(spark):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_splits_that_change_between_reading_and_collecting(spark):
+    rows = [(i, "u", "x" * (i * 97 % 3000) + FORGED * (i % 5) + "y" * (i * 31 % 900)) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(2)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        records = warc.archive_digest(pages)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
+        assert found(records) == expected(rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_empty_table_and_repeated_rows(spark):
     schema = "page_id bigint, url string, html string, payload_bytes string"
     assert warc.archive_digest(spark.createDataFrame([], schema)).count() == 0
