@@ -2,8 +2,9 @@
 
 Three patterns give the base spans, which always stay. Weaker candidates, long runs of mixed letters and digits, are
 spans only if the corpus bears them out: the hash of every candidate value is counted over all documents, by distinct
-repositories (documents) and distinct owners (sources). A value that several owners have is a copied example; one that
-a single owner has and that looks random is live-looking. The counts are pre-aggregated per value, owner and
+repositories (documents) and distinct owners (sources). A value that both several owners and more than ``MOST_REPOS``
+repositories have is a copied example; any other that looks random is live-looking: one copied page does not make
+an example, and within a single owner a value is that owner's, however many repositories hold it. The counts are pre-aggregated per value, owner and
 repository before anything is shuffled by value, so a value that stands in a large part of all documents is cheap.
 """
 
@@ -26,7 +27,8 @@ from stayline.session import durable
 KINDS = ("assign", "access", "hex")
 OWNED = "owned"  # the kind that corpus counts add
 LEAST_OWNED = 20  # characters of such a candidate
-MOST_OWNERS = 1
+MOST_OWNERS = 1  # a value of more owners and more repositories than these is a copied example
+MOST_REPOS = 2
 LEAST_ENTROPY = 3.0  # bits a character of a live-looking value
 #: Fixed: what placeholder values say.
 PLACEHOLDERS = re.compile(rb"(?i)example|sample|changeme|placeholder|dummy|xxxx|1234567|your")
@@ -141,7 +143,7 @@ def secret_spans(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -
     """Per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_example.
 
     ``spans`` has the base spans and the ``owned`` ones, by start, then kind. ``n_live`` and ``n_example`` part all
-    base and added spans by the corpus counts: live-looking and of one owner, or not. Needs doc_id, text and the two named
+    base and added spans by the corpus counts: live-looking and not widely copied, or not. Needs doc_id, text and the two named
     columns; others are not read. A null or empty text has no spans. Repeated rows are judged alike and count as
     one repository if they share it. An empty table gives no rows.
     """
@@ -149,7 +151,8 @@ def secret_spans(docs: DataFrame, repo: str = "doc_id", owner: str = "source") -
     each = durable(found.select("_row", "repo", "owner", F.explode("found").alias("c")).select("_row", "repo", "owner", "c.*"))
     # Stored, so that the join below sees two plain tables and can split a value of very many documents.
     counts = durable(ownership(each))
-    judged = each.join(counts, "hash").withColumn("_live", F.col("live") & (F.col("n_owners") <= MOST_OWNERS))
+    copied = (F.col("n_owners") > MOST_OWNERS) & (F.col("n_repos") > MOST_REPOS)
+    judged = each.join(counts, "hash").withColumn("_live", F.col("live") & ~copied)
     kept = judged.where((F.col("kind") < 3) | F.col("_live"))
     per_row = kept.groupBy("_row").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end"))).alias("_spans"),

@@ -50,6 +50,15 @@ def test_ownership_parts_copied_examples_from_live_values(spark):
     assert out[6].n_assign == 1 and out[6].n_live == 0
 
 
+def test_both_counts_decide_what_is_copied(spark):
+    page, own, copied = "Zk8Qw3Rt7Yp1Lm5Nv9Bx2Cd4", "Hq5Wd8Jr2Xs6Ft3Kz7Vb1Gn9", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7Op8"
+    rows = [(1, page, "o1"), (2, page, "o2"), (3, copied, "o1"), (4, copied, "o2"), (5, copied, "o2")]
+    rows += [(i, own, "o1") for i in range(100, 200)]
+    out = {r.doc_id: r for r in secrets.secret_spans(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert {i for i, r in out.items() if r.n_owned == r.n_live == 1} == {1, 2, *range(100, 200)}
+    assert all(out[i].spans == "" and out[i].n_live == 0 for i in (3, 4, 5))
+
+
 def test_counts_of_repositories_and_owners(spark):
     rows = [("h", "r1", "o1"), ("h", "r1", "o1"), ("h", "r2", "o1"), ("h", "r3", "o2"), ("g", None, None)]
     found = secrets.ownership(spark.createDataFrame(rows, "hash string, repo string, owner string")).collect()
