@@ -115,8 +115,9 @@ def feature_table(
     Only telemetry of the days that the lookbacks before all ``disconnects`` span is read, for both
     kinds of lines. They are put into one table of targets first, so the telemetry is shuffled once, by
     line. Sampling and the means are grouped by line as well and need no further shuffle. A target's open
-    lookback has fewer than ``days`` days, so one limit of ``days`` rows per target serves both kinds, and
-    Spark applies it before it sorts. Of several profile rows of a line the smallest counts.
+    lookback has fewer than ``days`` days, so one limit of ``days`` days per target serves both kinds, and
+    Spark applies it before it sorts. Rows of one day stay together, however many ``panel`` has, and count each in
+    the means. Of several profile rows of a line the smallest counts.
 
     ``equal_windows`` gives lines that stayed a window like that of the others instead of random days: the
     ``days`` before an anchor day, drawn among the line's own days, and both kinds need ``least_days`` days.
@@ -145,7 +146,7 @@ def feature_table(
     )
     rows = rows.where(F.col("deact_dt").isNull() | in_window)
     target = [*panels.KEY, LABEL, "deact_dt", *line]
-    rows = rows.withColumn("_place", panels.random_place(salt, target, panels.KEY))
+    rows = rows.withColumn("_place", panels.random_place(salt, target, panels.KEY, shared=True))
     rows = rows.where(F.col("_place") <= days)
     means = score_means(rows, scores, signals)
     if least_days > 1:

@@ -107,12 +107,17 @@ def row_counts(panel: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
     return panel.withColumn("total_rows", F.count("*").over(Window.partitionBy(*keys)))
 
 
-def random_place(salt: str, group: Sequence[str], keys: Sequence[str] = KEY) -> Column:
-    """Place of a day in its group's random order: a hash of line and day, the same in every run."""
+def random_place(
+    salt: str, group: Sequence[str], keys: Sequence[str] = KEY, *, shared: bool = False
+) -> Column:
+    """Place of a day in its group's random order: a hash of line and day, the same in every run.
+
+    With ``shared`` all rows of a day have its place; otherwise each row has one of its own.
+    """
     order = Window.partitionBy(*group).orderBy(
         hashing.digest(salt, [*keys, "cpe_date"]), "cpe_date"
     )
-    return F.row_number().over(order)
+    return (F.dense_rank() if shared else F.row_number()).over(order)
 
 
 def anchor_days(panel: DataFrame, salt: str) -> DataFrame:

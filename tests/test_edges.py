@@ -399,6 +399,20 @@ def test_feature_table_equals_the_one_from_stored_panels(spark, data):
     )
 
 
+def test_feature_table_keeps_all_rows_of_a_day(spark, data):
+    from stayline.plans import standins as st
+
+    rows, tel, prof = st.activity(spark, data), st.telemetry(spark, data), st.profile(spark, data)
+    scope, gone = acts.in_scope(rows, st.CUTOFF), acts.disconnects(rows, st.CUTOFF)
+
+    def table(t):
+        return sorted(map(str, features.feature_table(scope, prof, gone, t, churn_after=st.CHURN_AFTER).collect()))
+
+    often = tel.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(20)))).drop("_copy")
+    once = table(tel)
+    assert any("churn_label='Y'" in r for r in once) and table(often) == once
+
+
 # ---- evaluation and methodology ----------------------------------------------------------------
 
 
