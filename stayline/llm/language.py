@@ -1,7 +1,7 @@
 """Language ID by compression: the language whose zstandard dictionary makes a text smallest.
 
 Each language's dictionary is raw text: the beginnings of a bounded sample of its labelled documents, lower-cased
-with all but letters turned into single blanks. A text in the same form is compressed whole with each language, in even
+with all but letters turned into single blanks, of which the first ``DICTIONARY_BYTES`` in sample order are kept. A text in the same form is compressed whole with each language, in even
 blocks of at most ``BLOCK_BYTES`` that know nothing of one another: a dictionary saves a bounded number of bytes per
 compression, so only sums over blocks keep the margin from shrinking with the text's length. Each block is
 followed by the same short padding, so that even a text of one word makes a compressed block. The smallest sum
@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SAMPLE_DOCS = 128  # documents a language's dictionary draws on, lowest hash first
+SAMPLE_DOCS = 128  # documents a language's dictionary draws on at most, lowest hash first
 SAMPLE_CHARS = 1024  # characters of each
-DICTIONARY_BYTES = 32 << 10
+DICTIONARY_BYTES = 32 << 10  # the bound that decides if beginnings are long: about 32 full ones
 BLOCK_BYTES = 8 << 10  # of a text, compressed together
 MIN_MARGIN = 0.005  # of the second smallest size
 SHARPNESS = 100.0  # how fast the score rises with the margin
