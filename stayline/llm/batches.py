@@ -11,9 +11,9 @@ import pyarrow.compute as pc
 PIECE_BYTES = 1 << 20  # texts handled together; a longer text is a piece of its own
 
 
-def pieces(batch: pa.RecordBatch, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, size: int = PIECE_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of ``batch`` whose texts have about ``size`` bytes in sum."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     if not len(sizes):
         return
     ends = np.cumsum(sizes.astype(np.int64) + 1)

@@ -92,3 +92,94 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
+
+_CODE = "CAST(('0x' || substr(h, {0}, 8)) AS BIGINT)"
+
+ORACLE["op11_jaccard"] = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[s : s + least(3, len(w)) - 1], ' ') AS t
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(3, len(w)) + 2)) AS s FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.other = e.a),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+ORACLE["op12_fill_middle"] = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u
+  FROM documents),
+c AS (
+  SELECT doc_id, t, u, CAST(len(u) AS BIGINT) AS n,
+         least({_CODE.format(1)} % (len(u) + 1), {_CODE.format(9)} % (len(u) + 1)) AS a,
+         greatest({_CODE.format(1)} % (len(u) + 1), {_CODE.format(9)} % (len(u) + 1)) AS b,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_CODE.format(17)} % 100 >= 50
+              THEN 'plain' WHEN {_CODE.format(25)} % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+p AS (
+  SELECT *, array_to_string(u[1 : a], '') AS x, array_to_string(u[a + 1 : b], '') AS m, array_to_string(u[b + 1 :], '') AS s
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(x) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || s || '<M>' || m
+              ELSE '<S>' || s || '<P>' || x || '<M>' || m END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+# CRC-32 of the UTF-8 bytes: the register after each byte, by a table of 256.
+_CRC = """
+WITH RECURSIVE shifts(i, k, v) AS (
+  SELECT range, 0, CAST(range AS UBIGINT) FROM range(256)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS UBIGINT)) ELSE v >> 1 END FROM shifts WHERE k < 8),
+crc AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM shifts WHERE k = 8)"""
+
+ORACLE["op13_resample"] = f"""
+{_CRC},
+w AS MATERIALIZED (
+  SELECT doc_id, row_number() OVER () AS row, {_WORDS.format('text')} AS w FROM documents),
+i AS MATERIALIZED (SELECT {_WORDS.format('text')} AS w FROM benchmark),
+f AS MATERIALIZED (
+  SELECT row, unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM w),
+g AS MATERIALIZED (
+  SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]))) AS f FROM i),
+h AS (
+  SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM (SELECT f FROM f UNION ALL SELECT f FROM g))),
+b AS MATERIALIZED (
+  SELECT f, xor(list_reduce(
+    list_transform(range(0, length(x) // 2), lambda k: CAST(CAST('0x' || substr(x, 2 * k + 1, 2) AS INTEGER) AS UBIGINT)),
+    lambda s, y: xor(s >> 8, t[CAST(xor(s, y) & 255 AS BIGINT) + 1]), CAST(4294967295 AS UBIGINT)),
+    CAST(4294967295 AS UBIGINT)) % 10000 AS bucket FROM h, crc),
+s AS (SELECT bucket, count(*) AS n FROM f JOIN b USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS n FROM g JOIN b USING (f) GROUP BY bucket),
+gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t.n, 0) + 1)::DOUBLE * ((SELECT sum(n) FROM s) + 10000)::DOUBLE
+           / ((coalesce(s.n, 0) + 1)::DOUBLE * (coalesce((SELECT sum(n) FROM t), 0) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN t USING (bucket)),
+sums AS (
+  SELECT row, count(*) AS n, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN b USING (f) JOIN gains USING (bucket) GROUP BY row),
+k AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, CASE WHEN n > 0 THEN CAST(floor(total / n) AS BIGINT) ELSE 0 END AS weight,
+         CAST('0x' || substr(sha256('7:' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) AS h
+  FROM w LEFT JOIN sums USING (row)),
+z AS (
+  SELECT doc_id, n_words, n_features, weight,
+         weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score FROM k),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place,
+         sum(CASE WHEN n_words >= 20 THEN 1 ELSE 0 END) OVER () AS able FROM z)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_words >= 20 AND place <= 25 * CAST(able AS BIGINT) // 100 THEN place END AS rank
+FROM o
+"""

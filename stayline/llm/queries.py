@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from stayline.llm import (
     decontaminate,
+    fill_middle,
     flat_tokens,
+    jaccard,
     language,
     mixing,
     near_dedup,
     quality,
+    resample,
     secrets,
     token_files,
     topk,
@@ -118,3 +121,21 @@ def op10_topk(spark, folder):
         F.col("vec_id").cast("bigint"), topk.whole_vector(F.col("embedding")).alias("vector")
     )
     return topk.top_k(rows, rows.where(F.col("vec_id") % QUERY_EVERY == 0), TOP)
+
+
+@register
+def op11_jaccard(spark, folder):
+    """Component of each document under links of 3-word shingle sets at a similarity of 0.9."""
+    return jaccard.joined_sets(table(spark, folder, "documents"))
+
+
+@register
+def op12_fill_middle(spark, folder):
+    """Form, cuts, output and rebuilt text of each document."""
+    return fill_middle.digests(table(spark, folder, "documents"))
+
+
+@register
+def op13_resample(spark, folder):
+    """Weight, score and rank of each document, drawn towards the benchmark."""
+    return resample.resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
