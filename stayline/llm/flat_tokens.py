@@ -7,17 +7,18 @@ another, so the blocks' summaries (how many ends, where the last one is) are com
 the last end before it and the number of documents before it, and with that the block's own ends become counts.
 
 The files are a Python data source: tasks write and read byte ranges by pyarrow's file systems, in whatever store the
-folder's URI names.
+folder's URI names. Each job's files carry its number, and the job ends with a list of those that count, the manifest. Readers take
+a numbered file only if a manifest has it; other files of the folder are read as they are, and no job touches them.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -31,11 +32,13 @@ from pyspark.sql.datasource import (
 )
 
 from stayline.llm.batches import list_array, pieces
-from stayline.llm.token_files import TOKENIZER, tokenizer
+from stayline.llm.token_files import TOKENIZER, public_path, tokenizer
 from stayline.session import durable, scratch_path
 
 END_ID = 49407  # <|endoftext|>; its string in a text is encoded as ordinary text, so no text holds this id
 BLOCK_BYTES = 8 << 20  # a multiple of every width
+MANIFEST = "_committed-"  # with the job's number; one file name a line
+_NUMBERED = re.compile(r"part-([0-9a-f]{32})-")
 WIDTHS = {"u2": np.dtype("<u2"), "u4": np.dtype("<u4"), "i8": np.dtype("<i8")}
 
 
@@ -43,6 +46,18 @@ def store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder if ":/" in folder else f"file://{folder}")
 
 
+def listed(files: fs.FileSystem, base: str) -> list[fs.FileInfo]:
+    """The files of a folder that count, in order of their paths."""
+    found = [f for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file]
+    committed: set[str] = set()
+    for f in found:
+        if f.base_name.startswith(MANIFEST):
+            with files.open_input_stream(f.path) as stream:
+                committed.update(stream.read().decode().split("\n"))
+    counts = [f for f in found if not f.base_name.startswith(MANIFEST)]
+    return sorted((f for f in counts if not _NUMBERED.match(f.base_name) or f.base_name in committed), key=lambda f: f.path)
+
+
 @dataclass
 class Block(InputPartition):
     path: str
@@ -69,10 +84,9 @@ class BlockReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         files, base = store(self.folder)
-        found = files.get_file_info(fs.FileSelector(base, allow_not_found=True))
         return [
             Block(f.path, low, min(self.block, f.size - low))
-            for f in sorted(found, key=lambda f: f.path)
+            for f in listed(files, base)
             if f.path.endswith(self.suffix)
             for low in range(0, f.size, self.block)
         ] or [Block("", 0, 0)]
@@ -97,16 +111,21 @@ class BlockReader(DataSourceReader):
 
 
 class TokenWriter(DataSourceArrowWriter):
-    """Writes (doc_id, ids) to a ``.tokens`` and an ``.ids`` file per task. Files of failed attempts are removed at the end."""
+    """Writes (doc_id, ids) to a ``.tokens`` and an ``.ids`` file per task.
+
+    What failed attempts of this job have left is removed at its end, and all of this job's files if it fails; files of other jobs, or
+    of anyone else, stay as they are.
+    """
 
     def __init__(self, options: dict[str, str]) -> None:
         self.folder, self.kind, self.end = options["path"], WIDTHS[options["width"]], int(options["end_id"])
+        self.job = uuid.uuid4().hex
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         context = TaskContext.get()
-        name = f"part-{context.partitionId() if context else 0:06d}-{uuid.uuid4().hex}"
+        name = f"part-{self.job}-{context.partitionId() if context else 0:06d}-{uuid.uuid4().hex}"
         files, base = store(self.folder)
         files.create_dir(base, recursive=True)
         with files.open_output_stream(f"{base}/{name}.tokens") as tokens, files.open_output_stream(f"{base}/{name}.ids") as ids:
@@ -119,13 +138,21 @@ class TokenWriter(DataSourceArrowWriter):
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         files, base = store(self.folder)
-        known = {n for m in messages if m for n in m.names}
-        for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)):
-            if f.is_file and f.base_name not in known:
-                files.delete_file(f.path)
+        files.create_dir(base, recursive=True)
+        known = sorted(n for m in messages if m for n in m.names)
+        with files.open_output_stream(f"{base}/{MANIFEST}{self.job}") as manifest:
+            manifest.write("\n".join(known).encode())
+        self.remove(set(known))
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
-        self.commit([])
+        self.remove(set())
+
+    def remove(self, kept: set[str]) -> None:
+        """Removes this job's files but ``kept``."""
+        files, base = store(self.folder)
+        for f in files.get_file_info(fs.FileSelector(base, allow_not_found=True)):
+            if f.is_file and f.base_name.startswith(f"part-{self.job}-") and f.base_name not in kept:
+                files.delete_file(f.path)
 
 
 class FlatTokens(DataSource):
@@ -147,7 +174,7 @@ class FlatTokens(DataSource):
 
 def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(doc_id, ids) with the end id last, in the order and partitions of ``docs``; a null text has the end id alone."""
-    path = path or public_tokenizers.path(TOKENIZER)
+    path = path or public_path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokenizer(path, special_as_text=True)
@@ -162,7 +189,8 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
 
 
 def write_flat(docs: DataFrame, folder: str, path: str | None = None, end_id: int = END_ID, width: str = "u2") -> None:
-    """Writes the ids of ``docs`` as flat token files, and beside each the doc ids in the same order (null: -1)."""
+    """Writes the ids of ``docs`` as flat token files, and beside each the doc ids in the same order (null: -1). Files that
+    ``folder`` already has stay."""
     docs.sparkSession.dataSource.register(FlatTokens)
     encoded(docs, path, end_id).write.format("flat_tokens").mode("append").options(
         path=folder, width=width, end_id=str(end_id)

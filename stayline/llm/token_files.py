@@ -20,7 +20,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,6 +44,13 @@ WRITER = {
 }
 
 
+def public_path(name: str) -> str:
+    """Where the public vocabulary file ``name`` lies. Only callers that give no path of their own need that package."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: Runs that the tokenizer's own pattern parts in lower-cased Latin-1 without control characters.
 _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
 _PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^ {_LETTERS}{_DIGITS}]+")
@@ -152,7 +158,7 @@ def encoded(docs: DataFrame, path: str | None = None, end_id: int = END_ID) -> D
     Null ids come first; equal ids are ordered by text. Null and empty texts have the end id alone. Other
     columns are not read. An empty table gives no rows.
     """
-    path = path or public_tokenizers.path(TOKENIZER)
+    path = path or public_path(TOKENIZER)
     schema = "doc_id bigint, part int, start_in_part bigint, n_tokens bigint, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
