@@ -70,6 +70,18 @@ def is_mixed(value: bytes) -> bool:
     return bool(re.search(rb"[0-9]", value) and re.search(rb"[a-z]", value) and re.search(rb"[A-Z]", value))
 
 
+def apart(runs: list[tuple[int, int]], base: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
+    """Those of ``runs`` that no span of ``base`` overlaps. Of the spans that begin before a run ends, the one that ends last decides."""
+    if not runs or not base:
+        return runs
+    starts = np.array([s for s, _, _, _ in base])
+    furthest = np.maximum.accumulate([e for _, _, e, _ in base])
+    both = np.array(runs)
+    before = np.searchsorted(starts, both[:, 1])
+    free = (before == 0) | (furthest[np.maximum(before - 1, 0)] <= both[:, 0])
+    return [run for run, ok in zip(runs, free.tolist(), strict=True) if ok]
+
+
 def written(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{(*KINDS, OWNED)[kind]}:{start}:{end}" for start, kind, end in spans)
 
@@ -103,10 +115,7 @@ def candidate_spans(docs: DataFrame, repo: str = "doc_id", owner: str = "source"
                 for i in range(piece.num_rows):
                     text = raw[bounds[i] : bounds[i + 1] - 1]
                     base = base_spans(text, hexes[i])
-                    more = [
-                        (a, 3, b, text[a:b]) for a, b in longs[i]
-                        if is_mixed(text[a:b]) and not any(s < b and a < e for s, _, e, _ in base)
-                    ]
+                    more = [(a, 3, b, text[a:b]) for a, b in apart(longs[i], base) if is_mixed(text[a:b])]
                     spans = sorted(base + more)
                     if spans:
                         at = np.r_[0, np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)]
