@@ -5,8 +5,9 @@ Normal form: the words of a text (see ``words``), lower-cased, with one blank be
 scanned once; a match ends at a blank, so the blanks before it number its words, and the words' places in
 the text give the span in the original.
 
-The patterns lie in the driver and in each worker. Benchmarks beyond ``SHARD_CHARS`` are cut by a hash into shards
-of about that size, each an automaton of its own that the same tasks apply one after the other.
+A benchmark of up to ``SHARD_CHARS`` characters is one automaton; its texts go to every task, which makes the patterns of them.
+Larger ones are cut by a hash into shards of about that size. The documents are scanned for one shard after the other, what was found
+so far is stored between them, so the driver, a plan and a task hold one shard at a time.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 
 from stayline.llm import words
 from stayline.llm.batches import joined, pieces
+from stayline.session import durable
 
 WINDOW = 13
 HIT_SHARE = 20  # contaminated if at least one word in this many is hit
@@ -74,12 +76,16 @@ def char_offsets(data: np.ndarray) -> np.ndarray:
     return np.r_[0, np.cumsum((data & 0xC0) != 0x80)]
 
 
-def scan(docs: DataFrame, patterns: dict[str, tuple[int, list[str]]]) -> DataFrame:
-    """Adds this automaton's findings to ``_scan_words``, ``_scan_ranges`` and ``_scan_items``."""
+Items = list[tuple[str, str | None]]
+
+
+def scan(docs: DataFrame, items: Items) -> DataFrame:
+    """Adds what one automaton of ``items`` finds to ``_scan_words``, ``_scan_ranges`` and ``_scan_items``."""
     places = {c: docs.columns.index(c) for c in ("_scan_words", "_scan_ranges", "_scan_items")}
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        patterns = windows(items)
         machine = automaton(patterns)
         for batch in batches:
             for piece in pieces(batch):
@@ -91,7 +97,7 @@ def scan(docs: DataFrame, patterns: dict[str, tuple[int, list[str]]]) -> DataFra
                 normal = words.NORMAL[data][kept]
                 at = np.r_[0, np.cumsum(kept)][bounds]
                 word_at = np.searchsorted(first, bounds)
-                ranges, items = piece.column("_scan_ranges").to_pylist(), piece.column("_scan_items").to_pylist()
+                ranges, held = piece.column("_scan_ranges").to_pylist(), piece.column("_scan_items").to_pylist()
                 for i in range(piece.num_rows if patterns else 0):
                     text = " " + normal[at[i] : at[i + 1]].tobytes().decode("utf-8")
                     found = list(machine.iter(text))
@@ -106,24 +112,24 @@ def scan(docs: DataFrame, patterns: dict[str, tuple[int, list[str]]]) -> DataFra
                     for a, b, _, _ in hit_words:
                         new.append((a, b, int(chars[first[base + a] - start]), int(chars[last[base + b - 1] - start])))
                     ranges[i] = [x for r in merged(new) for x in r]
-                    items[i] = sorted({*items[i], *(x for _, (_, held) in found for x in held)})
+                    held[i] = sorted({*held[i], *(x for _, (_, own) in found for x in own)})
                 columns = list(piece.columns)
                 columns[places["_scan_words"]] = pa.array(counts, pa.int64())
                 columns[places["_scan_ranges"]] = pa.array(ranges, kind)
-                columns[places["_scan_items"]] = pa.array(items, pa.list_(pa.string()))
+                columns[places["_scan_items"]] = pa.array(held, pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=piece.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def shards(benchmark: DataFrame) -> Iterator[dict[str, tuple[int, list[str]]]]:
-    """Patterns of the benchmark, a bounded part at a time; one empty part if there are none."""
+def shards(benchmark: DataFrame) -> Iterator[Items]:
+    """(item, text) of the benchmark, a bounded part at a time; one empty part if there are none."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = max(1, -(-chars // SHARD_CHARS))
     for k in range(parts):
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k)
-        yield windows((r["item"], r["text"]) for r in own.collect())
+        yield [(r["item"], r["text"]) for r in own.collect()]
 
 
 def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -137,14 +143,16 @@ def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     added = ("n_words", "n_hit", "n_items", "items", "spans", "contaminated")
     own = [c for c in docs.columns if c not in added]
+    # All other columns in one, so that theirs and the inner names cannot clash.
     rows = docs.select(
-        *own,
+        F.struct(*[c for c in own if c != "text"]).alias("_scan_row") if own != ["text"] else F.lit(None).cast("string").alias("_scan_row"),
+        "text",
         F.lit(0).cast("bigint").alias("_scan_words"),
         F.array().cast("array<bigint>").alias("_scan_ranges"),
         F.array().cast("array<string>").alias("_scan_items"),
     )
-    for patterns in shards(benchmark):
-        rows = scan(rows, patterns)
+    for k, items in enumerate(shards(benchmark)):
+        rows = scan(durable(rows) if k else rows, items)
     runs = F.sequence(F.lit(0), (F.size("_scan_ranges") / 4).cast("int") - 1)
     runs = F.when(F.size("_scan_ranges") > 0, runs).otherwise(F.array().cast("array<int>"))
 
@@ -154,7 +162,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hit = F.aggregate(runs, F.lit(0).cast("bigint"), lambda s, i: s + part(i, 1) - part(i, 0))
     spans = F.transform(runs, lambda i: F.struct(part(i, 2).alias("start"), part(i, 3).alias("end")))
     return rows.select(
-        *own,
+        *[F.col("text") if c == "text" else F.col("_scan_row")[c].alias(c) for c in own],
         F.col("_scan_words").alias("n_words"),
         hit.alias("n_hit"),
         F.size("_scan_items").cast("bigint").alias("n_items"),
