@@ -1,14 +1,15 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
 Every document has a fixed place in [0, 16^DIGITS): leading digits of a hash of its id. A source takes
-each document as often as its target covers the whole source, and once more the documents whose place lies
-below a threshold. The threshold is found from histograms: sum sizes by source and hash bucket, find the
+each document as often as its target covers the whole source, and once more documents in the order of their places, as far
+as they fit into what is left. The place where that ends is found from histograms: sum sizes by source and hash bucket, find the
 bucket in which the running sum crosses the budget, and cut only that bucket finer, until single places are
-left. Documents are then filtered by their place; nothing is sorted.
+left. If what does not fit there leaves the source short by more than one in ``NEAR`` of its target, the search goes on
+behind it, among documents that fit into what is still open. A source's turns are few: each ends at a place that is larger than the room
+and leaves less than that place's size. Documents are then filtered by their place; nothing is sorted.
 
-Budgets nest: a larger budget has a higher threshold and keeps all that a smaller one takes. All documents of
-one id share a place and are taken or left together. The sum taken stays at or below the target, short of it
-by less than the documents at the first place left out.
+All documents of one id share a place and are taken or left together. The sum taken stays at or below the target. It is short of
+it by one in ``NEAR`` at most, or by less than the smallest place left out.
 """
 
 from __future__ import annotations
@@ -22,7 +23,8 @@ SHARE = (3, 2)  # the mix has 3/2 of all words
 MOST = 2  # times its size that a source gives at most
 WEIGHTS = (5, 2, 1)  # by code point order of the sources, repeating
 DIGITS = 12
-STEP = 3  # hex digits per refinement: 4,096 buckets a source
+STEP = 4  # hex digits per refinement: 65,536 buckets a source
+NEAR = 1000  # a source is near enough if it is short of its target by one in so many
 WIDE = "decimal(38,0)"
 
 
@@ -78,10 +80,10 @@ def with_targets(
 
 
 def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
-    """(source, below): documents whose place is less than ``below`` fit the source's ``budget``.
+    """(source, below, room): documents whose place is less than ``below`` fit the source's ``budget`` and leave ``room``.
 
-    ``sized`` has (source, place, size), ``budgets`` (source, whole budget), one row per source. A null ``below``
-    means that all fit.
+    ``sized`` has (source, place, size), ``budgets`` (source, whole budget), one row per source. Sources without a row are those
+    all of whose documents fit.
     """
     edge = durable(budgets.select("source", F.lit("").alias("prefix"), F.col("budget").cast(WIDE).alias("_room")))
     for digits in range(STEP, DIGITS + 1, STEP):
@@ -106,20 +108,77 @@ def thresholds(sized: DataFrame, budgets: DataFrame) -> DataFrame:
         edge = durable(
             crossing.select("source", F.col("_c.bucket").alias("prefix"), F.col("_c._room").cast(WIDE).alias("_room"))
         )
-    return edge.select("source", F.col("prefix").alias("below"))
+    return edge.select("source", F.col("prefix").alias("below"), F.col("_room").alias("room"))
 
 
-def mix_plan(docs: DataFrame) -> DataFrame:
-    """(source, source_size, weight, target, copies, below), one row per source. ``docs`` as ``sized``."""
-    totals = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
+def fitting(units: DataFrame, budgets: DataFrame, near: int = NEAR) -> DataFrame:
+    """(source, turns): a source takes a place once more if any turn (after, below, most) has it between ``after`` and ``below``
+    (null: no end), and its size is ``most`` at most.
+
+    ``units`` has (source, place, size), one row per place, stored; ``budgets`` (source, budget, target).
+    """
+    open_ = durable(budgets.select("source", F.lit("").alias("after"), F.col("budget").cast(WIDE).alias("budget"), "target"))
+    turns = None
+    while True:
+        left = open_.withColumnRenamed("source", "_of")
+        fits = units.join(left, units["source"].eqNullSafe(left["_of"])).where(
+            (F.col("place") > F.col("after")) & (F.col("size") <= F.col("budget")) & (F.col("size") > 0)
+        )
+        cut = thresholds(fits.select("source", "place", "size"), open_).withColumnRenamed("source", "_of")
+        done = durable(
+            open_.join(cut, open_["source"].eqNullSafe(cut["_of"]), "left").select(
+                "source", "after", "below", F.col("budget").alias("most"), "room", "target"
+            )
+        )
+        own = done.select("source", "after", "below", "most")
+        turns = own if turns is None else turns.unionByName(own)
+        open_ = durable(
+            done.where(F.col("room") * near > F.col("target").cast(WIDE)).select(
+                "source", F.col("below").alias("after"), F.col("room").alias("budget"), "target"
+            )
+        )
+        if open_.isEmpty():
+            return durable(turns.groupBy("source").agg(F.collect_list(F.struct("after", "below", "most")).alias("turns")))
+
+
+def sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, source, place, size) of ``docs``, stored."""
+    return durable(
+        docs.select(
+            F.col("doc_id"), "source", place(F.col("doc_id")).alias("place"), word_count(F.col("text")).alias("size")
+        )
+    )
+
+
+def mix_plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(source, source_size, weight, target, copies, turns), one row per source, and (source, place, unit) of the places that several
+    rows share with their size in sum. ``sized`` as ``sizes`` makes it."""
+    units = durable(sized.groupBy("source", "place").agg(F.sum("size").alias("size"), F.count("*").alias("n")))
+    totals = units.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = durable(with_targets(source_weights(totals)))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("copies", whole.cast("bigint"))
     rest = plan.select(
-        "source", F.floor(F.col("target") - F.col("copies") * F.col("source_size")).alias("budget")
+        "source", F.floor(F.col("target") - F.col("copies") * F.col("source_size")).alias("budget"), "target"
+    )
+    turns = fitting(units.select("source", "place", "size"), rest).withColumnRenamed("source", "_of")
+    shared = durable(units.where("n > 1").select("source", "place", F.col("size").alias("unit")))
+    return durable(plan.join(turns, plan["source"].eqNullSafe(turns["_of"]), "left").drop("_of")), shared
+
+
+def taken(rows: DataFrame, plan: DataFrame, shared: DataFrame) -> DataFrame:
+    """``rows`` (with of, place and size) with source_size, target and repeats. Of the plan, rows get what is between their
+    columns and the source's; both tables are small unless very many sources or repeated ids make them large."""
+    named = shared.select(F.col("source").alias("_of"), F.col("place").alias("_at"), "unit")
+    full = rows.join(named, rows["of"].eqNullSafe(named["_of"]) & (rows["place"] == named["_at"]), "left").drop("_of", "_at")
+    both = full.join(plan, full["of"].eqNullSafe(plan["source"]))
+    unit = F.coalesce("unit", "size")
+    extra = F.exists(
+        "turns",
+        lambda t: (F.col("place") > t["after"]) & (t["below"].isNull() | (F.col("place") < t["below"])) & (unit <= t["most"]),
     )
-    cut = thresholds(docs, rest).withColumnRenamed("source", "_of")
-    return durable(plan.join(cut, plan["source"].eqNullSafe(cut["_of"]), "left").drop("_of"))
+    more = (F.col("size") > 0) & F.coalesce(extra, F.lit(False))
+    return both.withColumn("repeats", F.col("copies") + more.cast("int"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -131,16 +190,17 @@ def mixed(docs: DataFrame) -> DataFrame:
     taken alike. An empty table gives no rows. Columns that clash with the added ones are replaced.
     """
     own = [c for c in docs.columns if c not in ("size", "source_size", "target", "repeats")]
-    sized = durable(
-        docs.select("source", place(F.col("doc_id")).alias("place"), word_count(F.col("text")).alias("size"))
-    )
-    plan = mix_plan(sized)
+    plan, shared = mix_plan(sizes(docs))
     rows = docs.select(
         F.struct(*own).alias("row"), F.col("source").alias("of"), word_count(F.col("text")).alias("size"),
         place(F.col("doc_id")).alias("place"),
     )
-    extra = (F.col("size") > 0) & (F.col("place") < F.col("below"))
-    return rows.join(plan, rows["of"].eqNullSafe(plan["source"])).select(
-        "row.*", "size", "source_size", "target",
-        (F.col("copies") + F.coalesce(extra, F.lit(False)).cast("int")).alias("repeats"),
-    )
+    return taken(rows, plan, shared).select("row.*", "size", "source_size", "target", "repeats")
+
+
+def mixed_sizes(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, source_size, target, repeats) as ``mixed`` gives them; the texts are read once."""
+    sized = sizes(docs)
+    plan, shared = mix_plan(sized)
+    rows = sized.select("doc_id", F.col("source").alias("of"), "place", "size")
+    return taken(rows, plan, shared).select("doc_id", "size", "source_size", "target", "repeats")

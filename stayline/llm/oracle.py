@@ -53,7 +53,7 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 ORACLE["op6_mix"] = """
-WITH d AS (
+WITH RECURSIVE d AS (
   SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS place,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (
@@ -73,11 +73,23 @@ t AS (
          ELSE CAST(weight AS DOUBLE) * CAST(open_left AS DOUBLE) / (CAST(open_rest AS DOUBLE) * 2) END AS target
   FROM f LEFT JOIN g ON true),
 c AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
+u AS (
+  SELECT d.source, d.place, CAST(sum(d.size) AS BIGINT) AS unit,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.place) AS i FROM d GROUP BY d.source, d.place),
+-- One place after the other: `room` is what is left, `most` what was left when the turn began.
+walk(source, i, place, more, room, most, target, done) AS (
+  SELECT source, CAST(0 AS BIGINT), '', false, CAST(floor(target - copies * source_size) AS HUGEINT),
+         CAST(floor(target - copies * source_size) AS HUGEINT), target, false FROM c
+  UNION ALL
+  SELECT u.source, u.i, u.place, NOT done AND unit > 0 AND unit <= room,
+         CASE WHEN NOT done AND unit <= room THEN room - unit ELSE room END,
+         CASE WHEN NOT done AND unit > room AND unit <= most THEN room ELSE most END, target,
+         done OR (unit > room AND unit <= most AND room * 1000 <= CAST(round(target) AS HUGEINT))
+  FROM walk g JOIN u ON u.source IS NOT DISTINCT FROM g.source AND u.i = g.i + 1),
 r AS (
-  SELECT d.doc_id, d.size, c.source_size, c.target, c.copies,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-           <= floor(c.target - c.copies * c.source_size) AS more
-  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source)
+  SELECT d.doc_id, d.size, c.source_size, c.target, c.copies, g.more AND d.size > 0 AS more
+  FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
+  JOIN walk g ON g.source IS NOT DISTINCT FROM d.source AND g.place = d.place)
 SELECT doc_id, size, source_size, target, CAST(size * (copies + CASE WHEN more THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r
 """
 

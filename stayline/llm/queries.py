@@ -82,7 +82,7 @@ def op5_near_dedup(spark, folder):
 @register
 def op6_mix(spark, folder):
     """How often the mix takes each document."""
-    mixed = mixing.mixed(table(spark, folder, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mixed_sizes(table(spark, folder, "documents"))
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken")
     )

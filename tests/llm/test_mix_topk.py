@@ -34,11 +34,49 @@ def test_taken_words_come_near_the_targets(tables):
         "source", F.when(F.col("source") != "src1", F.col("source"))).repartition(5)).collect()))
 
 
+def test_a_long_document_at_a_low_place_leaves_no_gap(spark):
+    """A source of 1,000 documents of 10 words and one of 9,000 that comes before most of them."""
+    places = {r.id: r.place for r in spark.range(3000).select("id", mixing.place(F.col("id")).alias("place")).collect()}
+    low = min(range(1000, 3000), key=lambda i: abs(int(places[i], 16) / 16**mixing.DIGITS - 0.05))
+    rows = [(i, "w " * 10, "s") for i in range(1000)] + [(low, "w " * 9000, "s"), (5000, "w " * 9000, "t"), (5001, "w " * 3000, "t")]
+    found = mixing.mixed(spark.createDataFrame(rows, "doc_id bigint, text string, source string"))
+    sums = found.groupBy("source", "target").agg(F.sum(F.col("size") * F.col("repeats")).alias("taken")).collect()
+    own = {r.source: r for r in sums}["s"]
+    assert own.target - 10 < own.taken <= own.target
+
+
+def test_turns_against_one_place_after_the_other(spark):
+    units = [(s, mixing_place, size) for s in ("a", "b", None) for mixing_place, size in places_of(s)]
+    budgets = [("a", 5000, 90_000.0), ("b", 70, 500.0), (None, 0, 0.0)]
+    table = spark.createDataFrame(units, "source string, place string, size bigint")
+    turns = mixing.fitting(table, spark.createDataFrame(budgets, "source string, budget bigint, target double"), near=10**9)
+    plan = {r.source: r.turns for r in turns.collect()}
+    for source, budget, _ in budgets:
+        room, expected = budget, set()
+        for _, place, size in sorted(u for u in units if u[0] == source) if source else sorted((u for u in units if u[0] is None), key=lambda u: u[1]):
+            if 0 < size <= room:
+                room -= size
+                expected.add(place)
+        found = {
+            p for s, p, n in units if s == source and n > 0
+            and any(p > t.after and (t.below is None or p < t.below) and n <= t.most for t in plan[source])
+        }
+        assert found == expected
+
+
+def places_of(source):
+    import hashlib
+    import random
+
+    rng = random.Random(str(source))
+    return [(hashlib.md5(f"{source}{i}".encode()).hexdigest()[: mixing.DIGITS], int(rng.paretovariate(0.7)) % 4000) for i in range(300)]
+
+
 def test_budgets_nest(spark):
     sized = spark.range(5000).select(F.lit("s").alias("source"), mixing.place(F.col("id")).alias("place"), (F.col("id") % 50).alias("size"))
     kept = []
     for budget in (0, 10, 1000, 60_000):
-        below = mixing.thresholds(sized, spark.createDataFrame([("s", budget)], "source string, budget bigint")).first().below
+        below = mixing.thresholds(sized, spark.createDataFrame([("s", budget)], "source string, budget bigint")).first()["below"]
         own = sized.where(F.col("place") < below)
         assert (own.agg(F.sum("size")).first()[0] or 0) <= budget < (sized.where(F.col("place") <= below).agg(F.sum("size")).first()[0])
         kept.append({r.place for r in own.collect()})
