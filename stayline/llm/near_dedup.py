@@ -10,33 +10,32 @@ left empty throws twice as deep.
 
 Texts that are equal are one class from the start. Bands of coordinates give buckets; documents of a bucket are candidates
 and are linked if their exact similarity is at least ``SIMILARITY``. Classes are the connected components of the links.
-All members of a bucket are compared with two leaders first, its smallest id and a random one, which connects most copies of
-one text. Of what is left, documents go that share too few shingles with all the rest to have another link (copies with many
-changes of their own), an exact bound. In a bucket that then is still of several classes, the members outside its largest class are compared with all
-others, if they are few. Other buckets (often documents that share a passage and little else) are cut by a second
-band, and parts that still have many such members compare one leader after the other, until all are connected or
-compared.
+All members of a bucket are compared with two leaders first, its smallest and a random one, which connects most copies of
+one text. In buckets that then still hold several classes, documents go that share too few shingles with all the rest to have another
+link (copies with many changes of their own), an exact bound. What remains meets group by group (see ``groups``): no size of a bucket
+changes what is compared, and no pair of documents becomes a row.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stayline.llm import words
+from stayline.llm import groups, words
 from stayline.llm.batches import joined, list_array, pieces
 from stayline.session import durable
 
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
-ROWS = 4  # of 128 coordinates; a pair at 0.8 shares no band with a chance of 5e-8, one at most with 1e-6
-FEW = 128  # a bucket with at most so many members outside its largest class compares them with all others
+ROWS = 4  # of 128 coordinates; a pair at 0.8 shares no band with a chance of 5e-8
+TEXTS = 512  # whose darts are thrown together: about 1,000 a text, whatever its length
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -121,15 +120,16 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in pieces(batch):
-                strip, offsets = strips(*joined(piece.column("text")))
-                hashes = band_hashes(dart_signatures(strip, offsets, BANDS * ROWS), BANDS, ROWS).view(np.int64)
-                filled = np.diff(offsets) > 0
-                ends = np.r_[0, np.cumsum(filled) * BANDS]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), piece.column("text_key"), list_array(hashes[filled].ravel(), ends, pa.int64())],
-                    names=["doc_id", "text_key", "bands"],
-                )
+            for low in range(0, batch.num_rows, TEXTS):
+                for piece in pieces(batch.slice(low, TEXTS)):
+                    strip, offsets = strips(*joined(piece.column("text")))
+                    hashes = band_hashes(dart_signatures(strip, offsets, BANDS * ROWS), BANDS, ROWS).view(np.int64)
+                    filled = np.diff(offsets) > 0
+                    ends = np.r_[0, np.cumsum(filled) * BANDS]
+                    yield pa.RecordBatch.from_arrays(
+                        [piece.column("doc_id"), piece.column("text_key"), list_array(hashes[filled].ravel(), ends, pa.int64())],
+                        names=["doc_id", "text_key", "bands"],
+                    )
 
     return docs.select(F.col("doc_id").cast("bigint"), F.sha2("text", 256).alias("text_key"), "text").mapInArrow(run, schema)
 
@@ -137,8 +137,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 # ---- candidates, links, classes ------------------------------------------------------------------------
 
 
-def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose weighted Jaccard similarity is at least ``similarity``."""
+def linked(pairs: DataFrame, texts: DataFrame, up: int, down: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose weighted Jaccard similarity is at least up / down."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,7 @@ def linked(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
                 for i in range(part.num_rows):
                     a, b = keys[at[i] : at[i + 1]], keys[at[i + part.num_rows] : at[i + part.num_rows + 1]]
                     both = len(np.intersect1d(a, b, assume_unique=True))
-                    kept.append(both >= similarity * (len(a) + len(b) - both))
+                    kept.append(down * both >= up * (len(a) + len(b) - both))
                 yield part.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
@@ -192,135 +192,57 @@ def with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
     return members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
 
 
-def open_buckets(buckets: DataFrame, classes: DataFrame, turn: int) -> DataFrame:
-    """(bucket, id, class, is_few, n_few, leader, leader_class) of the buckets (bucket, id) that hold several classes.
-
-    ``is_few`` tells members outside their bucket's largest class, ``n_few`` is their number.
-    """
-    members = durable(with_classes(buckets, classes))
-    # Another leader each turn and bucket: the first in a random order.
-    order = F.xxhash64("bucket", "id", F.lit(turn))
-    first = F.min(F.struct(order.alias("o"), F.col("id").alias("leader"), F.col("class").alias("leader_class")))
-    per_class = members.groupBy("bucket", "class").agg(F.count("*").alias("n"), first.alias("first"))
-    state = durable(
-        per_class.groupBy("bucket")
-        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "class")).alias("big"), F.min("first").alias("first"))
-        .where("n > big.n")
-        .select("bucket", "big.class", (F.col("n") - F.col("big.n")).alias("n_few"), "first.leader", "first.leader_class")
-        .withColumnRenamed("class", "_big")
-    )
-    rows = members.join(state, "bucket")
-    return durable(rows.withColumn("is_few", F.col("class") != F.col("_big")).drop("_big"))
-
-
-def pairs_of_few(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different classes in the buckets with at most ``FEW`` members outside the largest class.
-
-    Each such member meets all others, so a bucket gives at most ``FEW`` pairs per member.
-    """
-    near = rows.where(F.col("n_few") <= FEW)
-    few = near.where("is_few").select("bucket", F.col("id").alias("_id"), F.col("class").alias("_class"))
-    each = near.select("bucket", "id", "class").join(few, "bucket").where("class != _class")
-    return each.select(F.greatest("id", "_id").alias("a"), F.least("id", "_id").alias("b"))
-
-
-def pairs_with_leader(rows: DataFrame) -> DataFrame:
-    """(a, b) of every member of the other buckets with the leader, if their classes differ."""
-    many = rows.where((F.col("n_few") > FEW) & (F.col("class") != F.col("leader_class")))
-    return many.select(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
+def open_members(buckets: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows (bucket, id) of ``buckets`` whose bucket holds several classes."""
+    members = durable(with_classes(buckets.select("bucket", "id"), classes))
+    state = members.groupBy("bucket").agg(F.min("class").alias("_low"), F.max("class").alias("_high")).where("_low != _high")
+    return durable(members.join(durable(state.select("bucket")), "bucket").select("bucket", "id"))
 
 
-def measures(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """(id, size, shared): how many strips a text has, and how many of them another text of ``ids`` has, too.
-
-    Two texts of ``ids`` have at most the smaller of their ``shared`` strips in common, which bounds their similarity.
-    """
+def strip_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, size, tokens): the strips of the texts of ``ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 keys, at = strips(*joined(piece.column("text")))
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("id"), list_array(keys.view(np.int64), at, pa.int64())], names=["id", "strips"]
+                    [piece.column("id"), pa.array(np.diff(at), pa.int64()), list_array(keys.view(np.int64), at, pa.int64())],
+                    names=["id", "size", "tokens"],
                 )
 
     wanted = texts.join(durable(ids.select("id").distinct()), "id").select("id", "text")
-    each = durable(wanted.mapInArrow(run, "id bigint, strips array<bigint>"))
-    one = each.select("id", F.explode("strips").alias("strip"))
-    several = durable(one.groupBy("strip").agg(F.count("*").alias("_n")).where("_n > 1").select("strip"))
-    found = one.join(several, "strip").groupBy("id").agg(F.count("*").alias("shared"))
-    return durable(
-        each.select("id", F.size("strips").cast("bigint").alias("size")).join(found, "id", "left").select(
-            "id", "size", F.coalesce("shared", F.lit(0)).cast("bigint").alias("shared")
-        )
-    )
+    return durable(wanted.mapInArrow(run, "id bigint, size bigint, tokens array<bigint>"))
 
 
-def may_be_linked(shared, size, other_size, similarity: float):
-    """Whether texts with at most ``shared`` strips in common can be similar enough."""
-    return shared >= F.lit(similarity) * (size + other_size - shared)
+def plausible_members(members: DataFrame, sets: DataFrame, up: int, down: int) -> DataFrame:
+    """``members`` (bucket, id) without those too unlike all others, even of the bucket's smallest size, to have a link there.
 
-
-def plausible_members(rows: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
-    """(bucket, id) without members too unlike all others, even of the bucket's smallest size, to have a link there."""
-    sized = durable(rows.select("bucket", "id").join(measured, "id"))
+    Two texts have at most as many strips in common as either has that any other text of ``sets`` has, too.
+    """
+    one = sets.select("id", F.explode("tokens").alias("strip"))
+    several = durable(one.groupBy("strip").agg(F.count("*").alias("_n")).where("_n > 1").select("strip"))
+    found = one.join(several, "strip").groupBy("id").agg(F.count("*").alias("shared"))
+    sized = durable(members.join(durable(sets.select("id", "size").join(found, "id")), "id"))
     least = durable(sized.groupBy("bucket").agg(F.min("size").alias("_least")))
-    fits = may_be_linked(F.col("shared"), F.col("size"), F.col("_least"), similarity)
+    fits = F.col("shared") * down >= (F.col("size") + F.col("_least") - F.col("shared")) * up
     return durable(sized.join(least, "bucket").where(fits).select("bucket", "id"))
 
 
-def plausible_pairs(pairs: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) that their sizes and shared strips do not rule out."""
-    left = measured.select(F.col("id").alias("a"), F.col("size").alias("_sa"), F.col("shared").alias("_ca"))
-    right = measured.select(F.col("id").alias("b"), F.col("size").alias("_sb"), F.col("shared").alias("_cb"))
-    both = pairs.join(left, "a").join(right, "b")
-    fits = may_be_linked(F.least("_ca", "_cb"), F.col("_sa"), F.col("_sb"), similarity)
-    return both.where(fits).select("a", "b")
-
-
-def cut_by_second_band(rows: DataFrame, bands: DataFrame) -> DataFrame:
-    """Parts (bucket, id) of the buckets with more: members that share a second band of ``bands`` (bucket, id) as well.
-
-    A pair at the least similarity shares two bands or more but for a chance of one in a million; documents that share
-    a passage and little else rarely do.
-    """
-    other = bands.select("id", F.col("bucket").alias("_other"))
-    parts = rows.select("bucket", "id").join(other, "id").where("bucket != _other")
-    both = F.xxhash64(F.least("bucket", "_other"), F.greatest("bucket", "_other"))
-    cut = durable(parts.select(both.alias("bucket"), "id").distinct())
-    several = cut.groupBy("bucket").agg(F.count("*").alias("_n")).where("_n > 1").select("bucket")
-    return durable(cut.join(durable(several), "bucket").select("bucket", "id"))
-
-
-def near_links(buckets: DataFrame, texts: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Links (a, b), a > b, between members of ``buckets`` (bucket, id, leader, other), and the classes (id, class) they
-    make. ``leader`` is a bucket's smallest id, ``other`` the first in a random order."""
+def near_links(buckets: DataFrame, texts: DataFrame, up: int, down: int) -> DataFrame:
+    """Links (a, b), a > b, between members of ``buckets`` (bucket, id, leader, other) with ``texts`` (id, text). They connect
+    all that any links between members of a bucket connect. ``leader`` is a bucket's smallest id, ``other`` the first in a random
+    order."""
     leaders = F.explode(F.array("leader", "other")).alias("_to")
     first = buckets.select("id", leaders).where("id != _to").select(F.greatest("id", "_to").alias("a"), F.least("id", "_to").alias("b"))
-    links = durable(linked(durable(first.distinct()), texts, similarity))
-    classes, turn = components(links), 1
-    rows = open_buckets(buckets.select("bucket", "id"), classes, 0)
-    if rows.isEmpty():
-        return links, classes
-    measured = measures(rows, texts)
-    rest = plausible_members(rows, measured, similarity)
-    while True:
-        rows = open_buckets(rest, classes, turn)
-        pairs = pairs_of_few(rows)
-        if turn > 1:
-            pairs = pairs.unionByName(pairs_with_leader(rows))
-        pairs = durable(plausible_pairs(pairs.distinct(), measured, similarity))
-        if not pairs.isEmpty():
-            more = durable(linked(pairs, texts, similarity))
-            if not more.isEmpty():
-                links = durable(links.unionByName(more).distinct())
-                classes = components(links)
-        rest = rows.where(F.col("n_few") > FEW).select("bucket", "id", "leader")
-        if rest.isEmpty():
-            return links, classes
-        # What a passage brought together falls apart by a second band; after that, a leader a turn is done.
-        rest = cut_by_second_band(rest, buckets) if turn == 1 else rest.where("id != leader").select("bucket", "id")
-        turn += 1
+    links = durable(linked(durable(first.distinct()), texts, up, down))
+    classes = components(links)
+    members = open_members(buckets, classes)
+    if members.isEmpty():
+        return links
+    sets = strip_sets(members, texts)
+    rest = plausible_members(members, sets, up, down)
+    return durable(links.unionByName(groups.links_between(rest, sets, classes, up, down)).distinct())
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -329,11 +251,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     Rows of equal text that is not empty are of one class; texts are linked if the similarity of their shingles is at least
     ``similarity``. A null or empty text, and any text of a row without id, stays alone: its class is its own id. A
     text without words (marks alone) has equal texts but no links. ``links`` counts the other texts that the text was
-    found linked with. Rows that repeat an id belong to the smallest class among its texts. Only doc_id and text are read. An empty
-    table gives no rows.
+    found linked with; links inside a class that is connected already are not looked for. Rows that repeat an id are one
+    document: their texts are of one class. Only doc_id and text are read. An empty table gives no rows.
     """
+    share = Fraction(similarity).limit_denominator(1000)
     rows = durable(sketches(docs.where("text is not null and text != '' and doc_id is not null")))
-    texts = durable(rows.groupBy("text_key").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")))
+    # A text's own number is made of its digest, as an id may have several texts.
+    number = F.conv(F.substring("text_key", 1, 15), 16, 10).cast("bigint")
+    texts = durable(
+        rows.groupBy("text_key").agg(F.min("doc_id").alias("text_id"), F.first("bands").alias("bands")).withColumn("id", number)
+    )
     spread = texts.select("id", F.explode("bands").alias("bucket"))
     shared = durable(
         spread.groupBy("bucket")
@@ -342,42 +269,48 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .select("bucket", "leader", F.col("_any.id").alias("other"))
     )
     buckets = durable(spread.join(shared, "bucket").select("bucket", "id", "leader", "other"))
-    wanted = durable(buckets.select("id").distinct().join(texts.select("id", "text_key"), "id"))
-    plain = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    wanted = durable(buckets.select("id").distinct().join(texts.select("id", "text_id", "text_key"), "id"))
+    plain = docs.select(F.col("doc_id").cast("bigint").alias("text_id"), "text")
     kept = durable(
-        plain.join(wanted, "id").where(F.sha2("text", 256) == F.col("text_key")).select("id", "text").dropDuplicates(["id"])
+        plain.join(wanted, "text_id").where(F.sha2("text", 256) == F.col("text_key")).select("id", "text").dropDuplicates(["id"])
     )
-    links, classes = near_links(buckets, kept, similarity)
-    doubled = durable(doubled_ids(rows, texts))
-    if not doubled.isEmpty():
-        classes = components(links.unionByName(doubled))
+    links = near_links(buckets, kept, share.numerator, share.denominator)
+    of = rows.select("doc_id", "text_key", number.alias("id"))
+    classes = components(links.unionByName(same_document(of)))
     found = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     counts = found.groupBy("id").agg(F.count("*").alias("links"))
     per_text = durable(
-        with_classes(texts.select("text_key", "id"), classes).join(counts, "id", "left").select(
-            "text_key", F.col("id").alias("text_id"), F.col("class").alias("class_id"), F.coalesce("links", F.lit(0)).cast("bigint").alias("links")
-        )
+        with_classes(texts.select("id", "text_id"), classes)
+        .join(counts, "id", "left")
+        .select("id", "text_id", "class", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
     )
-    of_rows = rows.select("doc_id", "text_key").join(per_text, "text_key").select("doc_id", "class_id", "text_id", "links")
+    lowest = durable(per_text.groupBy("class").agg(F.min("text_id").alias("class_id")))
+    named = durable(per_text.join(lowest, "class").select("id", "class_id", "text_id", "links"))
+    of_rows = of.join(named, "id").select("doc_id", "class_id", "text_id", "links")
     rest = docs.where("text is null or text = '' or doc_id is null").select(F.col("doc_id").cast("bigint"))
     own = F.col("doc_id")
     return of_rows.unionByName(rest.select("doc_id", own.alias("class_id"), own.alias("text_id"), F.lit(0).cast("bigint").alias("links")))
 
 
-def doubled_ids(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links between the texts of one id, where an id is repeated with several texts."""
-    several = rows.groupBy("doc_id").agg(F.min("text_key").alias("_k"), F.max("text_key").alias("_l")).where("_k != _l").select("doc_id")
-    own = rows.join(several, "doc_id").join(texts.select("text_key", "id"), "text_key").select("doc_id", "id").distinct()
-    low = own.groupBy("doc_id").agg(F.min("id").alias("_low"))
-    return own.join(low, "doc_id").where("id != _low").select(F.col("id").alias("a"), F.col("_low").alias("b"))
+def same_document(nodes: DataFrame) -> DataFrame:
+    """Links (a, b), a > b, of the texts (id) of one doc_id with the smallest of them."""
+    low = nodes.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("_high")).where("b != _high").select("doc_id", "b")
+    return nodes.join(low, "doc_id").where("id != b").select(F.col("id").alias("a"), "b").distinct()
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: that of its smallest doc_id (of rows that repeat the id, any one).
+    """``docs`` with one row of each class: that of its smallest doc_id; of rows that repeat the id, that of the smallest text,
+    then of the smallest other columns that can be ordered.
 
-    Null and empty texts stay, each row of them.
+    Null and empty texts stay, each row of them. Rows without id stay.
     """
     keep = near_classes(docs, similarity).where("doc_id = class_id").select("doc_id").distinct()
     plain = F.col("text").isNull() | (F.col("text") == "") | F.col("doc_id").isNull()
-    full = docs.where(~plain).join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return full.select(*docs.columns).unionByName(docs.where(plain))
+    kept = docs.where(~plain).join(keep, "doc_id", "left_semi").select(*docs.columns)
+    return one_of_each(kept).unionByName(docs.where(plain))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The row of the smallest text of each doc_id, then of the smallest digest of the whole row."""
+    order = F.struct("text", F.xxhash64(F.to_json(F.struct(*docs.columns))))
+    return docs.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), order).alias("row")).select("row.*")
