@@ -1,9 +1,9 @@
 """Jaccard join of documents by word n-grams, with a token-group matrix.
 
 A document's set holds the hashes of its runs of ``SHINGLE`` words, each once. Equal sets are one from the start. Two sets
-similar enough miss few of each other's tokens, so of the smallest of each, in the fixed order of the hashes, some are
-the same: that gives each set its buckets, and leaves out at once all sets whose smallest tokens
-no others share often enough. Every bucket's members are first compared with one leader, the member that shares most, which
+similar enough miss few of each other's tokens, so of the first of each, in any fixed order of the tokens, some are
+the same. In the order of the hashes that leaves out at once most sets, those whose smallest tokens no others share often
+enough; in the order of rarity it gives each of the rest its buckets. Every bucket's members are first compared with one leader, the member that shares most, which
 connects most copies of a text. What is still apart is grouped, and groups are bounded against the matrix of token
 unions and opened (see ``groups``). Components of the links are exact: no two sets that are linked end up apart.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from stayline.llm import groups, words
 from stayline.llm.batches import joined, list_array, pieces
-from stayline.llm.near_dedup import components
+from stayline.llm.near_dedup import components, same_document
 from stayline.session import durable
 
 SHINGLE = 3
@@ -85,23 +85,33 @@ def outlines(docs: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
 
 
-def candidates(sets: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
-    """(bucket, id, share) of ``sets`` (id, n, prefix): buckets of several, of sets that share enough of their smallest tokens.
+def possible(sets: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
+    """(id) of ``sets`` (id, n, prefix) that share enough of their smallest tokens with others to have a link at all."""
+    spread = sets.select("id", "n", F.explode("prefix").alias("token"))
+    several = spread.groupBy("token").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low != _high")
+    shared = spread.join(durable(several.select("token")), "token").groupBy("id", "n").agg(F.count("*").alias("_shared"))
+    # A linked set has at least `least` tokens, and so k = missing(least) + 1 smallest ones in common with this one.
+    least = F.call_function("div", F.col("n") * up + F.lit(down - 1), F.lit(down))
+    return durable(shared.where(F.col("_shared") > missing(least, up, down)).select("id"))
+
 
-    ``share`` is how much of its prefix a set shares with others, by the thousand.
+def buckets(sets: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
+    """(bucket, id, share) of ``sets`` (id, size, tokens): a set's rarest tokens, those that others have among theirs, too.
+
+    Two linked sets share one at least of the m + 1 tokens (m = ``missing``) that the fewest sets have. Tokens that no other
+    set has come first and leave fewer places for the rest; a set with more than m of them has no link. ``share`` is how
+    much of a set others have, by the thousand. Passages that many texts repeat are among the rarest tokens of none
+    but the texts that hold little else.
     """
-    spread = sets.select("id", "n", F.posexplode("prefix").alias("at", "bucket"))
+    one = sets.select("id", "size", F.explode("tokens").alias("token"))
+    counts = durable(one.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1"))
+    known = one.join(counts, "token").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("_n", "token"))).alias("_known"))
+    places = missing(F.col("size"), up, down) + 1 - (F.col("size") - F.size("_known"))
+    share = (F.size("_known") * 1000 / F.col("size")).cast("int")
+    rarest = known.where(places > 0).select("id", share.alias("share"), F.explode(F.slice("_known", F.lit(1), places.cast("int"))).alias("_t"))
+    spread = durable(rarest.select(F.col("_t.token").alias("bucket"), "id", "share"))
     several = spread.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low != _high")
-    shared = durable(spread.join(durable(several.select("bucket")), "bucket").select("bucket", "id", "n", "at"))
-    # A linked set has at least `least` tokens, and so k = missing(least) + 1 smallest ones in common with this one.
-    least = F.call_function("div", F.col("n") * up + F.lit(down - 1), F.lit(down))
-    alive = durable(
-        shared.groupBy("id", "n").agg(F.count("*").alias("_shared")).where(F.col("_shared") > missing(least, up, down))
-        .select("id", (F.col("_shared") * 1000 / (2 * missing(F.col("n"), up, down) + 1)).cast("int").alias("share"))
-    )
-    own = durable(shared.where(F.col("at") <= missing(F.col("n"), up, down)).join(alive, "id").select("bucket", "id", "share"))
-    left = own.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low != _high").select("bucket")
-    return durable(own.join(durable(left), "bucket").select("bucket", "id", "share"))
+    return durable(spread.join(durable(several.select("bucket")), "bucket"))
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -161,9 +171,9 @@ def joined_sets(docs: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
         .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
         .withColumn("id", number)
     )
-    members = candidates(sets, up, down)
-    wanted = durable(members.select("id").distinct().join(sets.select("id", "doc_id", "text_key"), "id"))
+    wanted = durable(possible(sets, up, down).join(sets.select("id", "doc_id", "text_key"), "id"))
     tokens = durable(whole_sets(docs, wanted))
+    members = buckets(tokens, up, down)
     links = durable(leader_links(members, tokens, up, down))
     more = groups.links_between(members.select("bucket", "id"), tokens, components(links), up, down)
     classes = components(links.unionByName(more).unionByName(same_document(full.select("doc_id", number.alias("id")))))
@@ -173,9 +183,3 @@ def joined_sets(docs: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
     linked = of.join(lowest, "class").select("doc_id", "n_shingles", "component_id")
     rest = rows.where("text_key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(rest)
-
-
-def same_document(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between the sets (id) of one doc_id, each with the smallest."""
-    low = nodes.groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("_high")).where("b != _high").select("doc_id", "b")
-    return nodes.join(low, "doc_id").where("id != b").select(F.col("id").alias("a"), "b").distinct()
