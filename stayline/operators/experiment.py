@@ -5,9 +5,10 @@ Lines carry ``predicted`` and ``churned`` (0/1), ``revenue_cents`` and ``cost_ce
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions import hashing
@@ -130,3 +131,71 @@ def shadow_tracking(
     rated = per.withColumn("rate", ratio(F.col("n_churned"), F.col("n")))
     base = F.first("rate").over(Window.orderBy(cycle))
     return rated.withColumn("drift", F.col("rate") - base)
+
+
+REPLICATES = 200
+#: Poisson(1): how many of these a uniform number in [0, 2^32) reaches is its weight. Cut at 12, beyond which 6e-11 lies.
+POISSON = tuple(
+    int(2**32 * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12)
+)
+
+
+def replicate_weights(lines: DataFrame, keys: Sequence[str], replicates: int, salt: str) -> DataFrame:
+    """``lines`` once per replicate it is drawn in, with ``replicate`` (from 0) and ``weight``, how often it is drawn.
+
+    Weights have a Poisson distribution of mean 1, which is what drawing as many lines with replacement comes to. Each comes from a hash
+    of the line and the replicate, so a line weighs the same wherever and whenever it is read. One hash serves four replicates.
+    """
+    blocks = lines.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 4))))
+    hashed = blocks.withColumn("_h", hashing.digest(salt, [*keys, "_b"]))
+    each = hashed.withColumn("_i", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+    draw = F.conv(F.substring("_h", F.col("_i") * 8 + 1, F.lit(8)), 16, 10).cast("bigint")
+    reached = [F.when(F.col("_u") >= t, 1).otherwise(0) for t in POISSON]
+    weight = reached[0]
+    for r in reached[1:]:
+        weight = weight + r
+    drawn = each.withColumns({"replicate": F.col("_b") * 4 + F.col("_i"), "_u": draw}).withColumn("weight", weight)
+    return drawn.where((F.col("replicate") < replicates) & (F.col("weight") > 0)).drop("_b", "_h", "_i", "_u")
+
+
+def lift_replicates(lines: DataFrame, keys: Sequence[str], replicates: int = REPLICATES, salt: str = "bootstrap") -> DataFrame:
+    """(replicate, rate_treated, rate_control, rate_difference) of redrawn lines; null where an arm has no line.
+
+    One pass: a task adds up its lines by replicate and arm, twice as many sums as replicates, before anything is shuffled.
+    """
+    drawn = replicate_weights(lines.where(F.col("arm").isNotNull()), keys, replicates, salt)
+    cells = []
+    for arm in (TREATED, CONTROL):
+        own = F.when(F.col("arm") == arm, F.col("weight"))
+        cells += [F.sum(own).alias(f"_n_{arm}"), F.sum(F.when(F.col("churned") == 1, own)).alias(f"_y_{arm}")]
+    per = drawn.groupBy("replicate").agg(*cells)
+
+    def rate(arm: str) -> Column:
+        return F.try_divide(F.coalesce(f"_y_{arm}", F.lit(0)).cast("double"), F.col(f"_n_{arm}").cast("double"))
+
+    rated = per.select("replicate", rate(TREATED).alias("rate_treated"), rate(CONTROL).alias("rate_control"))
+    return rated.withColumn("rate_difference", F.col("rate_control") - F.col("rate_treated"))
+
+
+def lift_interval(
+    lines: DataFrame, keys: Sequence[str], replicates: int = REPLICATES, level: float = 0.95, salt: str = "bootstrap"
+) -> DataFrame:
+    """One row: (n_replicates, low, median, high, share_positive) of the replicates' rate differences.
+
+    The points are order statistics, the smallest value with at least its share of replicates at or below it. Replicates without a line
+    in an arm do not count. All null without lines.
+    """
+    found = lift_replicates(lines, keys, replicates, salt).where("rate_difference is not null")
+    # As many values as replicates.
+    rows = found.agg(F.array_sort(F.collect_list("rate_difference")).alias("_x")).withColumn("n_replicates", F.size("_x").cast("bigint"))
+
+    def point(share: float) -> Column:
+        place = F.greatest(F.lit(1), F.ceil(F.col("n_replicates") * share - 1e-9)).cast("int")
+        return F.when(F.col("n_replicates") > 0, F.get("_x", place - 1))
+
+    tail = (1 - level) / 2
+    positive = F.size(F.filter("_x", lambda x: x > 0))
+    return rows.select(
+        "n_replicates", point(tail).alias("low"), point(0.5).alias("median"), point(1 - tail).alias("high"),
+        F.try_divide(positive.cast("double"), F.col("n_replicates").cast("double")).alias("share_positive"),
+    )

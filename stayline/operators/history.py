@@ -16,10 +16,9 @@ def date_span(rows: DataFrame, day: str) -> tuple[Column, Column]:
 
     Wide enough for joins at the day itself, the day after, and the end of its month.
     """
-    span = rows.agg(
-        F.min(day).alias("lo"), F.date_add(F.last_day(F.max(day)), 1).alias("hi")
-    )
-    return span.select("lo").scalar(), span.select("hi").scalar()
+    ends = F.struct(F.min(day).alias("lo"), F.date_add(F.last_day(F.max(day)), 1).alias("hi"))
+    span = rows.agg(ends.alias("ends")).scalar()  # one query for both
+    return span["lo"], span["hi"]
 
 
 def scd2_join(

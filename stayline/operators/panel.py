@@ -32,8 +32,8 @@ def lookback_bounds(disconnects: DataFrame, days: int = 30) -> DataFrame:
 
 def scan_range(panel: DataFrame, bounds: DataFrame) -> DataFrame:
     """Panel days within the bounds. On a panel partitioned by day only those folders are read."""
-    first, last = bounds.select("first_day").scalar(), bounds.select("last_day").scalar()
-    return panel.where((F.col("cpe_date") >= first) & (F.col("cpe_date") <= last))
+    ends = bounds.select(F.struct("first_day", "last_day").alias("ends")).scalar()  # one query for both
+    return panel.where((F.col("cpe_date") >= ends["first_day"]) & (F.col("cpe_date") <= ends["last_day"]))
 
 
 def latest_score_date(panel: DataFrame) -> DataFrame:
@@ -81,20 +81,21 @@ def lookback(
 def stable_lines(activity: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
     """Lines with exactly one activation and no disconnect, with that activation's ``columns``.
 
-    The one activation row is carried through the aggregate, so the log is not joined to itself.
+    Lines are counted first, in fixed-size cells that are added up in a hash table on the map side; only the activations of the
+    lines that qualify, one each, are then looked up. ``activity`` is read twice: pass a stored table.
     """
     is_start = F.col("activity_cd") == "AC"
     is_end = F.col("activity_cd").isin(*codes.DISCONNECT_CODES)
-    found = [F.count_if(is_start).alias("_starts"), F.count_if(is_end).alias("_ends")]
-    if columns:
-        found.append(F.max(F.when(is_start, F.struct(*columns))).alias("_row"))
     lines = (
         activity.where(is_start | is_end)
         .groupBy(*KEY)
-        .agg(*found)
+        .agg(F.count_if(is_start).alias("_starts"), F.count_if(is_end).alias("_ends"))
         .where((F.col("_starts") == 1) & (F.col("_ends") == 0))
+        .select(*KEY)
     )
-    return lines.select(*KEY, *[F.col(f"_row.{c}").alias(c) for c in columns])
+    if not columns:
+        return lines
+    return activity.where(is_start).select(*KEY, *columns).join(lines, list(KEY))
 
 
 def active_panel(activity: DataFrame, panel: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stayline.functions import hashing
+from stayline.session import durable
 
 PREFIX_DIGITS = 4  # 16^4 = 65,536 blocks of evenly spread hashes
-BLOCKS = 65_536  # of a running total's range, at most
 
 
 def hash_rank(
@@ -55,44 +55,39 @@ def running_totals(
     order: str,
     totals: dict[str, str],
     *,
+    within: Sequence[str] = (),
     descending: bool = False,
     width: int | None = None,
 ) -> DataFrame:
-    """Running totals over a whole number ``order`` that is unique per row.
+    """Running totals over a whole number ``order`` that is unique per row, or per class ``within``.
 
-    ``totals`` maps new column to the column summed up to and including the row. The range from the smallest to
-    the largest number is cut into about ``BLOCKS`` equal blocks at most (or into blocks of ``width``), whatever the scale
-    of the numbers, so that many block totals meet in one task at most. Rows without a number are left out.
+    ``totals`` maps new column to the column summed up to and including the row. Blocks are range partitions of the
+    rows themselves, so each has about as many rows as the others however the numbers lie; with ``width`` they are stretches of that many
+    numbers. One total per block, and class, meets in one task. Rows without a number are left out.
     """
-    wide = F.col(order).cast("decimal(38,0)")
     df = df.where(F.col(order).isNotNull())
+    by = F.col(order).desc() if descending else F.col(order).asc()
     if width is None:
-        ends = df.agg(F.struct(F.min(wide).alias("low"), F.max(wide).alias("high")).alias("e")).scalar()
-        step = F.call_function("div", ends["high"] - ends["low"], F.lit(BLOCKS).cast("decimal(38,0)")) + 1
-        block = F.call_function("div", wide - ends["low"], step.cast("decimal(38,0)"))
+        # Stored, so that a row has the same block in its block's total and in the order inside it.
+        blocks = durable(df.repartitionByRange(by).withColumn("_block", F.spark_partition_id()))
+        block_order = F.col("_block").asc()
     else:
-        block = F.floor(wide / F.lit(width))
-    blocks = df.withColumn("_block", block.cast("bigint"))
+        blocks = df.withColumn("_block", F.floor(F.col(order).cast("decimal(38,0)") / F.lit(width)).cast("bigint"))
+        block_order = F.col("_block").desc() if descending else F.col("_block").asc()
 
-    def ordered(column: str):
-        return F.col(column).desc() if descending else F.col(column).asc()
-
-    before = Window.orderBy(ordered("_block")).rowsBetween(Window.unboundedPreceding, -1)
-    inside = (
-        Window.partitionBy("_block")
-        .orderBy(ordered(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    sums = blocks.groupBy("_block").agg(
+    before = Window.partitionBy(*within).orderBy(block_order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*within, "_block").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = blocks.groupBy(*within, "_block").agg(
         *[F.sum(src).alias(f"_sum_{new}") for new, src in totals.items()]
     )
     offsets = sums.select(
-        "_block",
+        *[F.col(c).alias(f"_of_{c}") for c in within], F.col("_block").alias("_of_block"),
         *[F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in totals],
     )
-    out = blocks.withColumns(
-        {f"_in_{new}": F.sum(src).over(inside) for new, src in totals.items()}
-    ).join(offsets, "_block")
-    return out.select(
+    placed = blocks.withColumns({f"_in_{new}": F.sum(src).over(inside) for new, src in totals.items()})
+    same = placed["_block"] == offsets["_of_block"]
+    for c in within:
+        same = same & placed[c].eqNullSafe(offsets[f"_of_{c}"])
+    return placed.join(offsets, same).select(
         *df.columns, *[(F.col(f"_off_{n}") + F.col(f"_in_{n}")).alias(n) for n in totals]
     )

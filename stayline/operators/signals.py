@@ -99,6 +99,42 @@ def cusum(panel: DataFrame, deviation: Column, name: str = "cusum") -> DataFrame
     return total.withColumn(name, F.col("_total") - lowest).drop("_total")
 
 
+def cusum_alarms(panel: DataFrame, deviation: Column, limit: int, rest_days: int = 0) -> DataFrame:
+    """One row per alarm of a one-sided CUSUM that starts anew after each: the line, its alarm's number and day, the sum that
+    reached ``limit``, and how many days with a deviation it took since the last start.
+
+    A whole-number deviation is added day by day, never below zero; a sum of ``limit`` or more is an alarm and goes back to
+    zero. A day without a deviation (null) changes nothing, nor does one without a row. ``rest_days`` are calendar days after an
+    alarm whose deviations do not count. What a restart leaves depends on all that came before, so no window can say it: each line's days
+    are folded in order, and only its alarms are written. A line has at most one row per day; of a day with several all count, in the
+    order of their deviations.
+    """
+    days = panel.select(*KEY, "cpe_date", deviation.cast("bigint").alias("_d")).where("_d is not null and cpe_date is not null")
+    line = days.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("cpe_date", "_d"))).alias("_days"))
+    alarm = "array<struct<day: date, peak: bigint, days: bigint>>"
+    start = F.struct(
+        F.lit(0).cast("bigint").alias("sum"), F.lit(0).cast("bigint").alias("n"), F.lit(None).cast("date").alias("until"),
+        F.array().cast(alarm).alias("alarms"),
+    )
+
+    def step(state: Column, day: Column) -> Column:
+        resting = state["until"].isNotNull() & (day["cpe_date"] <= state["until"])
+        total = F.greatest(F.lit(0).cast("bigint"), state["sum"] + day["_d"])
+        n, zero = state["n"] + 1, F.lit(0).cast("bigint")
+        told = F.array(F.struct(day["cpe_date"].alias("day"), total.alias("peak"), n.alias("days"))).cast(alarm)
+        on = F.struct(total.alias("sum"), n.alias("n"), state["until"].alias("until"), state["alarms"].alias("alarms"))
+        anew = F.struct(
+            zero.alias("sum"), zero.alias("n"), F.date_add(day["cpe_date"], rest_days).alias("until"),
+            F.concat(state["alarms"], told).alias("alarms"),
+        )
+        return F.when(resting, state).when(total >= limit, anew).otherwise(on)
+
+    folded = line.select(*KEY, F.aggregate("_days", start, step)["alarms"].alias("_alarms"))
+    return folded.select(*KEY, F.posexplode("_alarms").alias("_i", "_a")).select(
+        *KEY, (F.col("_i") + 1).alias("alarm"), F.col("_a.day").alias("alarm_dt"), F.col("_a.peak").alias("peak"), F.col("_a.days").alias("days")
+    )
+
+
 def inactivity_labels(
     days: DataFrame, keys: Sequence[str], day: str, data_end: Column, limit: int = 60
 ) -> DataFrame:

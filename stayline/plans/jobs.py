@@ -6,13 +6,16 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import date
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassificationModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions import hashing
 from stayline.operators import activity as acts
-from stayline.operators import evaluate, features, model, panel as panels
+from stayline.operators import evaluate, features, model, panel as panels, permutation
+from stayline.operators.preparation import Preparation, PreparationModel
 from stayline.session import durable
 from stayline.sources import contracts
 from stayline.sources.writers import overwrite
@@ -198,3 +201,71 @@ def train(
         min_leaf=min_leaf, weight=ready.weight,
     )
     return Trained(forest, ready.inputs, ready.rows)
+
+
+# ---- models that outlive their session --------------------------------------------------------
+
+
+def fit_model(
+    rows: DataFrame,
+    *,
+    preparation: Preparation | None = None,
+    weighted: bool = False,
+    fit_rows: int = FIT_ROWS,
+    trees: int = 100,
+    max_depth: int = 30,
+    max_bins: int = model.MAX_BINS,
+    min_leaf: int = model.MIN_LEAF,
+) -> PipelineModel:
+    """Preparation, assembler and forest learned from training rows, as one pipeline to write and read again.
+
+    ``rows`` is a feature table (``features.feature_table``) with a unique ``row_key`` and its label Y or N: training rows only, so
+    split before. Its levels, donors and means are learned from all of them; the forest from classes of equal size (or
+    ``weighted``), of at most about ``fit_rows`` rows. ``model.write().save(path)`` keeps it, ``PipelineModel.load`` brings it back.
+    """
+    known = durable(labelled(rows).where(F.col(features.LABEL).isNotNull()))
+    learned: PreparationModel = (preparation or Preparation()).fit(known)
+    # What the preparation learned from rows goes over to any others; here the same rows are prepared once for the trees.
+    ready = durable(learned.transform(known))
+    if weighted:
+        fit_on = durable(evaluate.with_class_weight(ready, features.LABEL, "class_weight"))
+    else:
+        fit_on = durable(features.balance_classes(ready, ["row_key"]))
+    n = fit_on.count()
+    if n > fit_rows:
+        fit_on = fit_on.where(hashing.below_share("fit", ["row_key"], fit_rows / n))
+    forest = model.train_forest(
+        fit_on, learned.inputs(), trees=trees, max_depth=max_depth, max_bins=max_bins, min_leaf=min_leaf,
+        weight="class_weight" if weighted else None,
+    )
+    return PipelineModel([learned, VectorAssembler(inputCols=learned.inputs(), outputCol="features"), forest])
+
+
+def labelled(rows: DataFrame) -> DataFrame:
+    """The label as 0 or 1."""
+    label = F.col(features.LABEL).cast("string")
+    return rows.withColumn(features.LABEL, F.when(label.isin("Y", "1"), 1).when(label.isin("N", "0"), 0))
+
+
+def score_rows(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
+    """``rows`` with ``prediction`` (0/1), ``probability`` and whole-number ``score``; a label is not needed and, if there, becomes 0/1."""
+    if features.LABEL in rows.columns:
+        rows = labelled(rows)
+    scored = fitted.transform(rows)
+    chance = model.vector_to_array(F.col("probability"))[1]
+    return scored.select(
+        *rows.columns, F.col("prediction").cast("int").alias("prediction"), chance.alias("probability"),
+        model.fixed_point(chance).alias("score"),
+    )
+
+
+def permutation_importances(fitted: PipelineModel, rows: DataFrame) -> DataFrame:
+    """(feature, n, accuracy, accuracy_shuffled, importance) of the model's inputs on labelled rows, such as the test side."""
+    learned, assembler, forest = fitted.stages
+    ready = learned.transform(labelled(rows)).select("row_key", features.LABEL, *learned.inputs())
+
+    def predict(copies: DataFrame) -> DataFrame:
+        judged = forest.transform(assembler.transform(copies))
+        return judged.select("shuffled", features.LABEL, F.col("prediction").cast("int").alias("prediction"))
+
+    return permutation.importances(ready, ["row_key"], learned.inputs(), predict, features.LABEL)

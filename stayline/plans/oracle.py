@@ -6,6 +6,8 @@ input and not the work, are shared with the stand-ins.
 
 from __future__ import annotations
 
+import math
+
 from stayline.plans.standins import SCORE_RULES
 
 ACT = """
@@ -909,3 +911,237 @@ ORACLE["equal_window_features"] = (
     ).replace("GROUP BY " + GROUP, "GROUP BY " + GROUP + " HAVING count(*) >= 2")
     + "SELECT * EXCLUDE (row_key) FROM featured"
 )
+
+# ---- prepared once, applied later -------------------------------------------------------------------
+
+_HALVES = _FEATURED + f""",
+halves AS (SELECT *, {_share("half", "mdn_5g || '|' || cust_id", 0.5)} AS first_half FROM featured),
+learning AS (SELECT * FROM halves WHERE first_half AND order_fulfilment <> 'unknown'),
+donors AS (
+  SELECT scaled_5g_uptime AS v, row_number() OVER (ORDER BY md5('donor|' || row_key)) AS donor
+  FROM learning WHERE scaled_5g_uptime IS NOT NULL
+),
+needy AS (
+  SELECT *, CASE WHEN scaled_5g_uptime IS NULL
+    THEN {_draw("donor", "row_key")} % (SELECT count(*) FROM donors) + 1 END AS donor FROM halves
+),
+filled AS (
+  SELECT * EXCLUDE (donor, v) REPLACE (coalesce(scaled_5g_uptime, v) AS scaled_5g_uptime)
+  FROM needy LEFT JOIN donors USING (donor)
+),
+levels AS (
+  SELECT DISTINCT place, name, level FROM (""" + " UNION ALL ".join(
+    f"SELECT {i} AS place, '{c}' AS name, {c} AS level FROM learning" for i, (c, _) in enumerate(_LEVELS)
+) + """)
+)"""
+ORACLE["prepared_matrix"] = _HALVES + f"""
+SELECT mdn_5g, cust_id, row_key, churn_label, {", ".join(
+    f'coalesce("{c}", (SELECT {_EXACT_MEAN.format(c=c)} FROM filled WHERE first_half '
+    f"AND order_fulfilment <> 'unknown')) AS \"{c}\"" for c in MODEL)},
+  (SELECT coalesce(string_agg(name || '_' || level, ',' ORDER BY place, level), '') FROM levels
+   WHERE level = CASE place {" ".join(f"WHEN {i} THEN {c}" for i, (c, _) in enumerate(_LEVELS))} END) AS flags,
+  (SELECT count(*) FROM levels) AS n_flags
+FROM filled WHERE NOT first_half"""
+
+ORACLE["incremental_panel"] = _with(TEL) + f"""
+SELECT mdn_5g, cust_id, count(*) AS n_rows, min(cpe_date) AS first_day, max(cpe_date) AS last_day,
+  {_mean("scaled_latency")} AS scaled_latency, {_mean("scaled_downloadresult")} AS scaled_downloadresult
+FROM tel GROUP BY mdn_5g, cust_id"""
+
+# ---- histories of any length -------------------------------------------------------------------------
+
+
+def _records(longest: tuple[int, int, int, int]) -> str:
+    return f"""
+records AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS cust_id, eff_dt, o_orderkey AS recorded, o_orderkey % 5 = 0 AS is_late,
+    CAST(eff_dt + CAST((o_orderkey * 7919) % 1000003 % {list(longest)}[o_orderkey % 4 + 1] AS INTEGER) AS DATE) AS exp_dt,
+    'P' || CAST(o_orderkey % 3 AS VARCHAR) AS plan
+  FROM (SELECT *, CAST(CAST(o_orderdate AS DATE) - CAST(o_orderkey % 30 AS INTEGER) AS DATE) AS eff_dt FROM orders)
+)"""
+
+
+ORACLE["interval_lookup"] = _with(ACT, _records((1, 40, 800, 18_250))) + """
+SELECT a.cust_id, activity_dt, activity_cd, eff_dt, exp_dt, plan
+FROM act a LEFT JOIN records r ON a.cust_id = r.cust_id AND activity_dt BETWEEN eff_dt AND exp_dt"""
+
+# Day by day: who wins each, and runs of days with the same plan.
+ORACLE["history_resolved"] = _with(_records((1, 20, 90, 400))) + """,
+days AS (
+  SELECT cust_id, day, arg_max(plan, recorded) AS plan
+  FROM (SELECT cust_id, recorded, plan, CAST(unnest(range(eff_dt, exp_dt + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day
+    FROM records) GROUP BY cust_id, day
+),
+runs AS (
+  SELECT *, day - CAST(row_number() OVER (PARTITION BY cust_id, plan ORDER BY day) AS INTEGER) AS run FROM days
+)
+SELECT cust_id, min(day) AS eff_dt, max(day) AS exp_dt, plan FROM runs GROUP BY cust_id, plan, run"""
+# Late records win over all others, whatever their number.
+ORACLE["history_late_merge"] = ORACLE["history_resolved"].replace(
+    "arg_max(plan, recorded)", "arg_max(plan, recorded + CASE WHEN is_late THEN 1000000000000 ELSE 0 END)"
+).replace("SELECT cust_id, recorded, plan, CAST(", "SELECT cust_id, recorded, is_late, plan, CAST(")
+
+# ---- segments, survival, uncertainty -------------------------------------------------------------------
+
+_DESCRIBED = ["segment", "chnl_nm", "install_type", "market_type", "order_fulfilment", "usage_flag", "month"]
+ORACLE["subgroup_search"] = _with(CUSTOMERS, PROFILE) + f""",
+described AS (
+  SELECT p.cust_id, churned, segment, chnl_raw AS chnl_nm, install_type, market_type, order_fulfilment, usage_flag,
+    'M' || CAST(month(cycle) AS VARCHAR) AS month
+  FROM people p JOIN profile f ON CAST(p.cust_id AS VARCHAR) = f.cust_id AND f.mtn = f.cust_id || '1'
+),
+one AS ({" UNION ALL ".join(
+    f"SELECT cust_id, churned, {i} AS place, '{c}=' || {c} AS part FROM described WHERE {c} IS NOT NULL"
+    for i, c in enumerate(_DESCRIBED))}),
+groups_ AS (
+  SELECT 1 AS depth, part AS subgroup, count(*) AS n, sum(churned) AS p FROM one GROUP BY part
+  UNION ALL
+  SELECT 2, a.part || ' & ' || b.part, count(*), sum(a.churned) FROM one a JOIN one b
+    ON a.cust_id = b.cust_id AND a.place < b.place GROUP BY a.part, b.part
+),
+whole AS (SELECT count(*) AS big_n, sum(churned) AS big_p FROM described),
+rated AS (
+  SELECT depth, subgroup, n, CAST(p AS BIGINT) AS n_labelled, CAST(p * big_n - n * big_p AS DECIMAL(38,0)) AS quality,
+    CAST(p * big_n - n * big_p AS DOUBLE) / (CAST(big_n AS DOUBLE) * CAST(big_n AS DOUBLE)) AS wracc FROM groups_, whole
+)
+SELECT CAST(depth AS INTEGER) AS depth, subgroup, n, n_labelled, wracc FROM rated
+ORDER BY quality DESC, depth, subgroup LIMIT 20"""
+
+_MODELLED = _with(CUSTOMERS) + """,
+modelled AS (
+  SELECT segment, churned AS y, predicted AS x2, CAST(revenue_cents // 10000000 AS BIGINT) AS x1, 1 + cust_id % 3 AS w FROM people
+)"""
+# Cramer's rule on whole numbers.
+ORACLE["segment_least_squares"] = _MODELLED + """,
+s AS (
+  SELECT segment, count(*) AS n, sum(w)::HUGEINT AS a, sum(w * x1)::HUGEINT AS b, sum(w * x2)::HUGEINT AS c,
+    sum(w * x1 * x1)::HUGEINT AS d, sum(w * x1 * x2)::HUGEINT AS e, sum(w * x2 * x2)::HUGEINT AS f,
+    sum(w * y)::HUGEINT AS p, sum(w * x1 * y)::HUGEINT AS q, sum(w * x2 * y)::HUGEINT AS r
+  FROM modelled GROUP BY segment
+),
+t AS (SELECT *, CAST(a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS DOUBLE) AS det FROM s)
+SELECT segment, n,
+  CASE WHEN det <> 0 THEN round(CAST(p * (d * f - e * e) - b * (q * f - e * r) + c * (q * e - d * r) AS DOUBLE) / det, 6) END AS b_0,
+  CASE WHEN det <> 0 THEN round(CAST(a * (q * f - e * r) - p * (b * f - e * c) + c * (b * r - q * c) AS DOUBLE) / det, 6) END AS b_1,
+  CASE WHEN det <> 0 THEN round(CAST(a * (d * r - q * e) - b * (b * r - q * c) + p * (b * e - d * c) AS DOUBLE) / det, 6) END AS b_2
+FROM t"""
+
+# With one 0/1 input the model fits both rates, so the odds are known without any rounds.
+ORACLE["segment_logistic"] = _MODELLED + """,
+c AS (
+  SELECT segment, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_labelled,
+    CAST(sum(y) FILTER (WHERE x2 = 0) AS DOUBLE) AS y0, CAST(count(*) FILTER (WHERE x2 = 0) AS DOUBLE) AS n0,
+    CAST(sum(y) FILTER (WHERE x2 = 1) AS DOUBLE) AS y1, CAST(count(*) FILTER (WHERE x2 = 1) AS DOUBLE) AS n1
+  FROM modelled GROUP BY segment
+)
+SELECT segment, n, n_labelled, round(ln(y0 / (n0 - y0)), 6) AS b_0, round(ln(y1 / (n1 - y1)) - ln(y0 / (n0 - y0)), 6) AS b_1 FROM c"""
+
+ORACLE["cusum_alarms"] = "WITH RECURSIVE " + TEL + """,
+steps AS (
+  SELECT mdn_5g, cust_id, cpe_date, 25 - quantity AS d,
+    row_number() OVER (PARTITION BY mdn_5g, cust_id ORDER BY cpe_date) AS i FROM sums WHERE quantity <> 30
+),
+fold(mdn_5g, cust_id, i, day, total, n, until, alarm, peak, took) AS (
+  SELECT DISTINCT mdn_5g, cust_id, CAST(0 AS BIGINT), CAST(NULL AS DATE), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(NULL AS DATE),
+    CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM steps
+  UNION ALL
+  SELECT mdn_5g, cust_id, i, cpe_date,
+    CASE WHEN rests THEN total WHEN now >= 40 THEN 0 ELSE now END, CASE WHEN rests THEN n WHEN now >= 40 THEN 0 ELSE n + 1 END,
+    CASE WHEN NOT rests AND now >= 40 THEN CAST(cpe_date + INTERVAL 7 DAY AS DATE) ELSE until END,
+    CASE WHEN NOT rests AND now >= 40 THEN alarm + 1 ELSE alarm END,
+    CASE WHEN NOT rests AND now >= 40 THEN now END, CASE WHEN NOT rests AND now >= 40 THEN n + 1 END
+  FROM (SELECT s.mdn_5g, s.cust_id, s.i, s.cpe_date, f.total, f.n, f.until, f.alarm, greatest(0, f.total + s.d) AS now,
+      coalesce(s.cpe_date <= f.until, false) AS rests
+    FROM fold f JOIN steps s ON s.mdn_5g = f.mdn_5g AND s.cust_id = f.cust_id AND s.i = f.i + 1)
+)
+SELECT mdn_5g, cust_id, CAST(alarm AS INTEGER) AS alarm, day AS alarm_dt, peak, took AS days FROM fold WHERE peak IS NOT NULL"""
+
+ORACLE["survival_curve"] = """
+WITH lives AS (
+  SELECT o_custkey, min(CAST(o_orderdate AS DATE)) AS start_dt,
+    min(CAST(o_orderdate AS DATE)) FILTER (WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')) AS end_dt
+  FROM orders GROUP BY o_custkey
+),
+last AS (SELECT max(greatest(start_dt, end_dt)) AS d FROM lives JOIN customer ON c_custkey = o_custkey),
+days AS (
+  SELECT c_mktsegment AS segment, CAST(coalesce(end_dt, (SELECT d FROM last)) - start_dt AS BIGINT) AS day,
+    count(end_dt) AS n_ended, count(*) - count(end_dt) AS n_censored
+  FROM lives JOIN customer ON c_custkey = o_custkey GROUP BY 1, 2
+),
+risk AS (
+  SELECT *, CAST(sum(n_ended + n_censored) OVER (PARTITION BY segment ORDER BY day DESC) AS BIGINT) AS at_risk FROM days
+)
+SELECT segment, day, at_risk, n_ended, n_censored,
+  round(product(CAST(at_risk - n_ended AS DOUBLE) / at_risk) OVER w, 9) AS survival,
+  round(sum(CAST(n_ended AS DOUBLE) / at_risk) OVER w, 9) AS hazard_sum
+FROM risk WINDOW w AS (PARTITION BY segment ORDER BY day)"""
+
+_EDGES = ", ".join(
+    f"floor(4294967296::DOUBLE * exp(-1::DOUBLE) * {sum(1 / math.factorial(i) for i in range(k + 1))!r}::DOUBLE)" for k in range(12)
+)
+ORACLE["lift_interval"] = _with(CUSTOMERS, ARMS) + f""",
+weighed AS (
+  SELECT arm, churned, b * 4 + i AS replicate,
+    len(list_filter([{_EDGES}], lambda t: CAST('0x' || substr(md5('bootstrap|' || CAST(cust_id AS VARCHAR) || '|' || CAST(b AS VARCHAR)),
+      CAST(i * 8 + 1 AS BIGINT), 8) AS BIGINT) >= t)) AS w
+  FROM arms, (SELECT unnest(range(50)) AS b), (SELECT unnest(range(4)) AS i) WHERE arm IS NOT NULL
+),
+per AS (
+  SELECT replicate, sum(w) FILTER (WHERE arm = 'treated') AS nt, sum(w * churned) FILTER (WHERE arm = 'treated') AS yt,
+    sum(w) FILTER (WHERE arm = 'control') AS nc, sum(w * churned) FILTER (WHERE arm = 'control') AS yc
+  FROM weighed GROUP BY replicate
+),
+x AS (
+  SELECT CAST(yc AS DOUBLE) / nc - CAST(yt AS DOUBLE) / nt AS d FROM per WHERE nc > 0 AND nt > 0
+),
+sorted AS (SELECT list(d ORDER BY d) AS l, count(*) AS k, count(*) FILTER (WHERE d > 0) AS up FROM x)
+SELECT k AS n_replicates, l[CAST(greatest(1, ceil(k * 0.025 - 1e-9)) AS BIGINT)] AS low, l[CAST(ceil(k * 0.5 - 1e-9) AS BIGINT)] AS median,
+  l[CAST(ceil(k * 0.975 - 1e-9) AS BIGINT)] AS high, CAST(up AS DOUBLE) / k AS share_positive FROM sorted"""
+
+ORACLE["input_drift"] = _with(SCORED) + """,
+m AS (SELECT CAST(date_trunc('week', day) AS DATE) AS period, score FROM scored),
+r AS (SELECT score FROM m WHERE period = (SELECT min(period) FROM m)),
+places AS (SELECT DISTINCT score AS v FROM m),
+ref AS (SELECT v, (SELECT count(*) FROM r) AS big, (SELECT count(*) FROM r WHERE score <= v) AS n FROM places),
+periods AS (SELECT period, count(*) AS n_all FROM m GROUP BY period),
+cells AS (SELECT period, score AS v, count(*) AS n FROM m GROUP BY ALL),
+grid AS (
+  SELECT p.period, n_all, v, big, ref.n AS ref_n,
+    sum(coalesce(c.n, 0)) OVER (PARTITION BY p.period ORDER BY v) AS own_n
+  FROM periods p CROSS JOIN ref LEFT JOIN cells c USING (period, v)
+),
+ks AS (
+  SELECT period, n_all AS n, max(abs(CAST(own_n * big - ref_n * n_all AS DOUBLE))) / (CAST(n_all AS DOUBLE) * CAST(max(big) AS DOUBLE)) AS distance
+  FROM grid GROUP BY period, n_all
+),
+placed AS (
+  SELECT period, score, row_number() OVER (PARTITION BY period ORDER BY score) AS i, count(*) OVER (PARTITION BY period) AS k FROM m
+),
+points AS (
+  SELECT period, min(score) FILTER (WHERE i >= ceil(k * 0.1 - 1e-9)) AS s10, min(score) FILTER (WHERE i >= ceil(k * 0.5 - 1e-9)) AS s50,
+    min(score) FILTER (WHERE i >= ceil(k * 0.9 - 1e-9)) AS s90 FROM placed GROUP BY period
+)
+SELECT period, n, distance, """ + ", ".join(
+    f"CASE WHEN s{q} < 0 THEN -((-s{q}) >> greatest(0, length(bin(abs(s{q}))) - 7) << greatest(0, length(bin(abs(s{q}))) - 7))"
+    f" ELSE (s{q} | CAST((1::BIGINT << greatest(0, length(bin(abs(s{q}))) - 7)) - 1 AS BIGINT)) END AS q{q}"
+    for q in (10, 50, 90)
+) + " FROM ks JOIN points USING (period)"
+
+ORACLE["permutation_importance"] = _with(CUSTOMERS) + """,
+ranked AS (
+  SELECT churned, predicted, cost_cents, revenue_cents // 10000000 AS revenue,
+    row_number() OVER (ORDER BY md5('permute|' || CAST(cust_id AS VARCHAR))) AS r, count(*) OVER () AS n FROM people
+),
+both_ AS (
+  SELECT a.*, b.predicted AS p2, b.revenue AS v2 FROM ranked a JOIN ranked b ON b.r = a.r % a.n + 1
+),
+hits AS (
+  SELECT count(*) AS n,
+    CAST(count(*) FILTER (WHERE churned = CASE WHEN revenue >= 12 OR (predicted = 1 AND revenue >= 9) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS base,
+    CAST(count(*) FILTER (WHERE churned = CASE WHEN v2 >= 12 OR (predicted = 1 AND v2 >= 9) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS a1,
+    CAST(count(*) FILTER (WHERE churned = CASE WHEN revenue >= 12 OR (p2 = 1 AND revenue >= 9) THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS a2
+  FROM both_
+)
+SELECT 'revenue' AS feature, n, base AS accuracy, a1 AS accuracy_shuffled, base - a1 AS importance FROM hits
+UNION ALL SELECT 'predicted', n, base, a2, base - a2 FROM hits
+UNION ALL SELECT 'cost_cents', n, base, base, base - base FROM hits"""

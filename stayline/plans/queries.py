@@ -7,19 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.functions import codes, dates, numbers
+from stayline.functions import codes, dates, hashing, numbers
 from stayline.operators import (
     activity as acts,
+    drift,
     evaluate,
     experiment,
     features,
     history,
+    incremental,
+    intervals,
     panel as panels,
+    permutation,
+    segment_models as local,
     signals,
+    subgroups,
+    survival,
 )
+from stayline.operators.preparation import Preparation, PreparationModel
 from stayline.plans import jobs
 from stayline.plans import standins as st
-from stayline.session import durable, tune
+from stayline.session import durable, scratch_path, tune
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,8 +241,9 @@ def eligible_by_history_or_plan(spark, d):
 
 def _enriched(spark, d, **options):
     days = durable(st.changes(spark, d))  # three histories are read from it
+    rows = durable(st.activity(spark, d))  # and from this both kinds of events and the span of dates
     return acts.enriched_disconnects(
-        st.activity(spark, d),
+        rows,
         cutoff=st.CUTOFF,
         as_of=st.AS_OF,
         price_plans=st.price_plans(spark),
@@ -276,9 +285,9 @@ def latest_disconnect(spark, d):
 # ---- telemetry panels -------------------------------------------------------------------------
 
 
-def _churned(spark, d):
+def _churned(spark, d, rows=None):
     """Disconnects of numbers that also have an eligible activation."""
-    rows = st.activity(spark, d)
+    rows = st.activity(spark, d) if rows is None else rows
     lines = acts.churned_lines(
         acts.activations(rows, st.CUTOFF),
         acts.disconnects(rows, st.CUTOFF),
@@ -287,8 +296,8 @@ def _churned(spark, d):
     return lines.withColumn("mdn_5g", F.col("mtn"))
 
 
-def _ended(spark, d):
-    return _churned(spark, d).select("mdn_5g", "cust_id", "deact_dt", "deact_cd")
+def _ended(spark, d, rows=None):
+    return _churned(spark, d, rows).select("mdn_5g", "cust_id", "deact_dt", "deact_cd")
 
 
 @register
@@ -309,7 +318,7 @@ def churned_with_telemetry(spark, d):
 
 @register
 def churn_lookback_panel(spark, d):
-    ended = _ended(spark, d)
+    ended = durable(_ended(spark, d))  # for the bounds and for the lookbacks
     days = panels.scan_range(st.telemetry(spark, d), panels.lookback_bounds(ended, 30))
     return panels.lookback(ended, days, 30, closed=True)
 
@@ -322,11 +331,11 @@ def stable_active_lines(spark, d):
 
 @register
 def active_panel(spark, d):
-    rows = acts.in_scope(st.activity(spark, d), st.CUTOFF)
+    log = durable(st.activity(spark, d))
     days = panels.scan_range(
-        st.telemetry(spark, d), panels.lookback_bounds(_ended(spark, d), 30)
+        st.telemetry(spark, d), panels.lookback_bounds(_ended(spark, d, log), 30)
     )
-    return panels.active_panel(rows, days, ["activity_dt", "pplan_cd", "acct_num"])
+    return panels.active_panel(acts.in_scope(log, st.CUTOFF), days, ["activity_dt", "pplan_cd", "acct_num"])
 
 
 @register
@@ -345,11 +354,12 @@ def sample_days_per_line(spark, d):
 
 
 def _features(spark, d, **options):
-    rows = st.activity(spark, d)
+    # Stored: the log is read for both kinds of lines, the disconnects for the bounds and as targets.
+    rows = durable(st.activity(spark, d))
     return features.feature_table(
         acts.in_scope(rows, st.CUTOFF),
         st.profile(spark, d),
-        _churned(spark, d),
+        durable(_churned(spark, d, rows)),
         options.pop("panel", None) or st.telemetry(spark, d),
         churn_after=st.CHURN_AFTER,
         **options,
@@ -554,9 +564,10 @@ def retention_kpis(spark, d):
 
 @register
 def lead_time_curve(spark, d):
-    risk = _stage_one(spark, d)
-    left = _ended(spark, d).select("mdn_5g", "cust_id", "deact_dt", F.lit(False).alias("stayed"))
-    stable = panels.stable_lines(acts.in_scope(st.activity(spark, d), st.CUTOFF))
+    risk = durable(_stage_one(spark, d).select("cpe_date", *panels.KEY, "cusum"))  # read for the anchors and the lookbacks
+    log = durable(st.activity(spark, d))
+    left = _ended(spark, d, log).select("mdn_5g", "cust_id", "deact_dt", F.lit(False).alias("stayed"))
+    stable = panels.stable_lines(acts.in_scope(log, st.CUTOFF))
     stayed = stable.join(panels.anchor_days(risk, "lead"), list(panels.KEY)).select(
         "mdn_5g", "cust_id", "deact_dt", F.lit(True).alias("stayed")
     )
@@ -597,15 +608,9 @@ def equal_window_features(spark, d):
     ).drop("row_key")
 
 
-_FORESTS: dict[tuple[str, str], jobs.Trained] = {}
-
-
 def trained(spark, d):
-    """The forest of a folder, trained once in a session."""
-    key = (spark.sparkContext.applicationId, d)
-    if key not in _FORESTS:
-        _FORESTS[key] = jobs.train(_matrix(spark, d))
-    return _FORESTS[key]
+    """A forest trained on the folder's feature rows."""
+    return jobs.train(_matrix(spark, d))
 
 
 # The forest's own figures are random in the last digits; what is registered is what must hold of them.
@@ -643,3 +648,139 @@ def feature_importance(spark, d):
         "feature", F.col("importance").between(0.0, 1.0).alias("is_share"),
         (F.abs(total - 1) < 1e-9).alias("adds_up"),
     )
+
+
+# ---- prepared once, applied later ------------------------------------------------------------------
+
+
+@register
+def prepared_matrix(spark, d):
+    """The preparation learned from one half of the lines, stored, read again and applied to the other half.
+
+    The learning half lacks lines without a known order fulfilment, so that level is one it has never seen.
+    """
+    rows = durable(_features(spark, d))
+    half = hashing.below_share("half", panels.KEY, 0.5)
+    learned = Preparation().fit(rows.where(half & (F.col("order_fulfilment") != "unknown")))
+    path = scratch_path(spark, "preparation")
+    learned.write().save(path)
+    ready = PreparationModel.load(path)
+    flags = ready.flags()
+    on = F.array_join(F.array_compact(F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in flags])), ",")
+    out = ready.transform(rows.where(~half))
+    return out.select(
+        *panels.KEY, "row_key", features.LABEL, *features.MODEL_SCORES, on.alias("flags"), F.lit(len(flags)).cast("bigint").alias("n_flags")
+    )
+
+
+@register
+def incremental_panel(spark, d):
+    """Means per line from a state advanced year by year, one year twice."""
+    rows = durable(st.telemetry(spark, d).select("cpe_date", *panels.KEY, "scaled_latency", "scaled_downloadresult"))
+    store = incremental.StateStore(spark, scratch_path(spark, "panel-state"), ("scaled_latency", "scaled_downloadresult"))
+    years = [r[0] for r in rows.select(F.year("cpe_date").alias("y")).distinct().orderBy("y").collect()]
+    for year in [*years, *years[:1]]:
+        store.advance(str(year), rows.where(F.year("cpe_date") == year))
+    return store.features()
+
+
+# ---- histories of any length -------------------------------------------------------------------------
+
+
+@register
+def interval_lookup(spark, d):
+    """Activity with all records valid that day, which last from one day to fifty years."""
+    rows = st.activity(spark, d).select("cust_id", "activity_dt", "activity_cd")
+    valid = st.records(spark, d, (1, 40, 800, 18_250)).select("cust_id", "eff_dt", "exp_dt", "plan")
+    return intervals.interval_join(rows, valid, ["cust_id"], at="activity_dt")
+
+
+@register
+def history_resolved(spark, d):
+    """One plan per customer and day from records that overlap and contradict one another; the latest recorded wins."""
+    return intervals.resolved(st.records(spark, d, (1, 20, 90, 400)), ["cust_id"], ["plan"], ["recorded"])
+
+
+@register
+def history_late_merge(spark, d):
+    """The same from a history that was finished before the late records came."""
+    rows = durable(st.records(spark, d, (1, 20, 90, 400)))
+    before = durable(intervals.resolved(rows.where("not is_late"), ["cust_id"], ["plan"], ["recorded"]))
+    return intervals.with_late_records(before, rows.where("is_late"), ["cust_id"], ["plan"], ["recorded"])
+
+
+# ---- segments, survival, uncertainty -------------------------------------------------------------------
+
+
+DESCRIPTORS = ("segment", "chnl_nm", "install_type", "market_type", "order_fulfilment", "usage_flag", "month")
+
+
+@register
+def subgroup_search(spark, d):
+    """The twenty subgroups of up to two values with the most unusual churn."""
+    return subgroups.search(st.descriptors(spark, d), DESCRIPTORS, "churned", top=20, depth=2).top.drop("quality")
+
+
+def _modelled(spark, d):
+    return st.customers(spark, d).select(
+        "segment", "churned", "predicted", F.expr("revenue_cents div 10000000").alias("revenue"),
+        F.expr("1 + cust_id % 3").alias("weight"),
+    )
+
+
+@register
+def segment_least_squares(spark, d):
+    """Churn by revenue and prediction, a weighted linear model per segment."""
+    found = local.least_squares(_modelled(spark, d), "segment", ["revenue", "predicted"], "churned", "weight")
+    return found.select("segment", "n", *[F.round(f"b_{i}", 6).alias(f"b_{i}") for i in range(3)])
+
+
+@register
+def segment_logistic(spark, d):
+    """The log odds of churn by prediction, a logistic model per segment."""
+    found = local.logistic(_modelled(spark, d), "segment", ["predicted"], "churned")
+    return found.select("segment", "n", "n_labelled", *[F.round(f"b_{i}", 6).alias(f"b_{i}") for i in range(2)])
+
+
+@register
+def cusum_alarms(spark, d):
+    """Alarms of the service-risk signal, which starts anew after each and rests a week."""
+    drop = F.lit(25) - F.col("quantity")
+    return signals.cusum_alarms(st.telemetry_sums(spark, d), F.when(F.col("quantity") != 30, drop), 40, 7)
+
+
+@register
+def survival_curve(spark, d):
+    """Share of customers still on, by day of life and segment; those still on at the data's end are censored."""
+    rows = durable(st.lifetimes(spark, d))
+    last = rows.agg(F.max(F.greatest("start_dt", "end_dt"))).scalar()
+    days, ended = survival.lifetimes(F.col("start_dt"), F.col("end_dt"), last)
+    table = survival.product_limit(rows.withColumns({"days": days, "ended": ended}), "segment", "days", "ended")
+    return table.withColumns({c: F.round(c, 9) for c in ("survival", "hazard_sum")})
+
+
+@register
+def lift_interval(spark, d):
+    """The holdout's rate difference with the interval of its 200 replicates."""
+    return experiment.lift_interval(_arms(spark, d), ["cust_id"])
+
+
+@register
+def input_drift(spark, d):
+    """Distance of each week's values from the first week's, and the week's quantiles from its days' summaries."""
+    rows = durable(st.scored_events(spark, d).withColumn("week", F.trunc("day", "WEEK")))
+    exact = drift.distances(rows, "week", "score")
+    daily = drift.summaries(rows, ["week", "day"], "score")
+    points = drift.quantiles(drift.added(daily, ["week"]), ["week"], {"q10": 0.1, "q50": 0.5, "q90": 0.9}).drop("n")
+    return exact.join(points.withColumnRenamed("week", "period"), "period")
+
+
+@register
+def permutation_importance(spark, d):
+    """What shuffling each input costs a fixed rule that judges churn."""
+    rows = st.customers(spark, d).select("cust_id", "churned", "predicted", "cost_cents", F.expr("revenue_cents div 10000000").alias("revenue"))
+
+    def rule(copies):
+        return copies.withColumn("prediction", F.when((F.col("revenue") >= 12) | ((F.col("predicted") == 1) & (F.col("revenue") >= 9)), 1).otherwise(0))
+
+    return permutation.importances(rows, ["cust_id"], ["revenue", "predicted", "cost_cents"], rule, "churned")

@@ -289,6 +289,48 @@ def segments(spark: SparkSession) -> DataFrame:
     )
 
 
+def records(spark: SparkSession, folder: str, longest: tuple[int, int, int, int]) -> DataFrame:
+    """One record per order with a validity of 1 day up to one of four lengths: they overlap and contradict one another.
+
+    ``recorded`` is the order in which they came in, late ones after others that begin later.
+    """
+    days = F.array(*[F.lit(n) for n in longest])
+    orders = table(spark, folder, "orders").withColumns(
+        {
+            "length": F.expr("(o_orderkey * 7919) % 1000003") % days[(F.col("o_orderkey") % 4).cast("int")],
+            "eff_dt": F.expr("date_sub(CAST(o_orderdate AS DATE), CAST(o_orderkey % 30 AS INT))"),
+        }
+    )
+    return orders.selectExpr(
+        "CAST(o_custkey AS STRING) AS cust_id", "eff_dt", "date_add(eff_dt, CAST(length AS INT)) AS exp_dt",
+        "o_orderkey AS recorded", "concat('P', CAST(o_orderkey % 3 AS STRING)) AS plan",
+        "o_orderkey % 5 = 0 AS is_late",
+    )
+
+
+def lifetimes(spark: SparkSession, folder: str) -> DataFrame:
+    """Per customer: segment, first order day, and the day of the first urgent or high order that is done, if any."""
+    orders = table(spark, folder, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
+    ended = (F.col("o_orderstatus") == "F") & F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    per = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+        F.min("day").alias("start_dt"), F.min(F.when(ended, F.col("day"))).alias("end_dt")
+    )
+    return table(spark, folder, "customer").join(per, "c_custkey").selectExpr(
+        "c_custkey AS cust_id", "c_mktsegment AS segment", "start_dt", "end_dt"
+    )
+
+
+def descriptors(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per customer with orders: what is known of its first line, as categories, and whether it churned."""
+    lines = profile(spark, folder).where("mtn = concat(cust_id, '1')").select(
+        F.col("cust_id").cast("bigint").alias("cust_id"), "chnl_nm", "install_type", "market_type", "order_fulfilment", "usage_flag"
+    )
+    people = customers(spark, folder).select(
+        "cust_id", "segment", "churned", F.concat(F.lit("M"), F.month("cycle").cast("string")).alias("month")
+    )
+    return people.join(lines, "cust_id")
+
+
 def scored_events(spark: SparkSession, folder: str) -> DataFrame:
     """Events as scored examples: an error is the positive class, the value is the score."""
     return table(spark, folder, "events").selectExpr(

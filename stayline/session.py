@@ -46,11 +46,15 @@ def local_session(cores: int | str = "*", memory: str = "8g", **extra: str) -> S
 def shared_folder(spark: SparkSession) -> str:
     """This application's folder under the one the cluster names in ``spark.checkpoint.dir``.
 
-    Where none is named the warehouse serves, which the driver and all executors share as well, whatever the
-    master is. Everything a job stores lies in one sub-folder named after the application; delete that folder
+    Where none is named the warehouse serves, which the driver and all executors of a cluster share as well, unless it
+    lies in a folder of the driver's machine: then there is nothing to share, and a setting is asked for. Everything a job stores lies in one sub-folder named after the application; delete that folder
     once the results are written.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir")
+        if folder.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; the warehouse {folder} is none")
     return f"{folder.rstrip('/')}/stayline-{spark.sparkContext.applicationId}"
 
 

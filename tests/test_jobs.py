@@ -98,7 +98,6 @@ def test_trained_queries(spark, data):
     values = [r.importance for r in trained.importances().collect()]
     assert len(values) == 29 and values == sorted(values, reverse=True)
     assert sum(values) == pytest.approx(1.0)
-    assert queries.trained(spark, data) is trained
 
 
 def test_the_forest_is_bounded(spark):

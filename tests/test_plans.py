@@ -194,3 +194,35 @@ def test_running_totals_across_blocks(spark):
     assert sorted((r.k, r.t) for r in up) == [(i * 7 - 3000, i + 1) for i in range(1000)]
     down = ranking.running_totals(df, "k", {"t": "v"}, width=64, descending=True).collect()
     assert sorted((r.k, r.t) for r in down) == [(i * 7 - 3000, 1000 - i) for i in range(1000)]
+
+
+@pytest.fixture
+def reads(spark, data, monkeypatch):
+    """How often a query's run reads a base table: in the plans that ran for its stored tables and in its own."""
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    texts, write = [], DataFrameWriter.parquet
+
+    def recorded(self, *args, **options):
+        write(self, *args, **options)
+
+    def of(name, table):
+        texts.clear()
+        final = QUERIES[name](spark, data)
+        final.collect()
+        done = [*texts, plan(final)]
+        return sum(t.split("== Initial Plan ==")[0].count(f"/{table}.parquet]") for t in done)
+
+    def run(self, *args, **options):
+        self._df.collect()
+        texts.append(plan(self._df))
+        return recorded(self, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", run)
+    return of
+
+
+@pytest.mark.parametrize("name", ["churn_feature_table", "one_hot_fixed", "latest_disconnect", "lead_time_curve", "active_panel"])
+def test_base_tables_are_read_a_few_times(reads, name):
+    assert 1 <= reads(name, "orders") <= 3
+    assert reads(name, "lineitem") <= 1

@@ -1,0 +1,71 @@
+"""Subgroup search against the whole lattice."""
+
+import random
+from itertools import combinations
+
+import pytest
+from pyspark.sql import functions as F
+
+from stayline.operators import subgroups
+
+COLUMNS = ["a", "b", "c", "d"]
+
+
+def made(n, seed, values=4):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(n):
+        r = [rng.choice([None, *(f"v{i}" for i in range(values))]) for _ in COLUMNS]
+        y = int(rng.random() < (0.8 if r[0] == "v1" and r[2] == "v0" else 0.2))
+        rows.append((*r, rng.choice([y, y, y, y, None])))
+    return rows
+
+
+def exhaustive(rows, depth, top):
+    known = [r for r in rows if r[-1] is not None]
+    n, p = len(known), sum(r[-1] for r in known)
+    out = []
+    for k in range(1, depth + 1):
+        for places in combinations(range(len(COLUMNS)), k):
+            for values in {tuple(r[i] for i in places) for r in known}:
+                if None not in values:
+                    own = [r[-1] for r in known if tuple(r[i] for i in places) == values]
+                    name = " & ".join(f"{COLUMNS[i]}={v}" for i, v in zip(places, values))
+                    out.append((k, name, len(own), sum(own), sum(own) * n - len(own) * p))
+    return sorted(out, key=lambda x: (-x[4], x[0], x[1]))[:top]
+
+
+@pytest.mark.parametrize("depth, top, seed", [(1, 5, 1), (2, 20, 2), (3, 10, 3), (4, 3, 4), (2, 1000, 5)])
+def test_top_of_the_whole_lattice(spark, depth, top, seed):
+    rows = made(500, seed)
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, y int")
+    found = subgroups.search(df, COLUMNS, "y", top=top, depth=depth)
+    got = [(r.depth, r.subgroup, r.n, r.n_labelled, int(r.quality)) for r in found.top.collect()]
+    assert sorted(got, key=lambda x: (-x[4], x[0], x[1])) == exhaustive(rows, depth, top)
+
+
+def test_pruning_leaves_candidates_out(spark):
+    """Values of very different frequency: of the pairs and triples that occur, few can still beat the best three."""
+    rng = random.Random(6)
+    rows = []
+    for _ in range(3000):
+        r = [f"v{min(60, int(rng.paretovariate(0.8)))}" for _ in COLUMNS]
+        rows.append((*r, int(rng.random() < (0.8 if r[0] == r[2] == "v1" else 0.2))))
+    df = spark.createDataFrame(rows, "a string, b string, c string, d string, y int")
+    found = subgroups.search(df, COLUMNS, "y", top=3, depth=3)
+    first, *deeper = found.levels
+    occur = [subgroups.conjunctions(subgroups.cells(df, COLUMNS, "y"), 4, k).select("path").distinct().count() for k in (2, 3)]
+    assert first.counted == sum(len({r[i] for r in rows}) for i in range(4))
+    assert deeper[0].counted < occur[0] / 4 and sum(x.counted for x in deeper[1:]) < occur[1] / 10
+    got = [(r.depth, r.subgroup, r.n, r.n_labelled, int(r.quality)) for r in found.top.collect()]
+    assert sorted(got, key=lambda x: (-x[4], x[0], x[1])) == exhaustive(rows, 3, 3)
+
+
+def test_empty_and_one_sided_tables(spark):
+    df = spark.createDataFrame(made(50, 7), "a string, b string, c string, d string, y int")
+    assert subgroups.search(df.limit(0), COLUMNS, "y").top.count() == 0
+    one = subgroups.search(df.where("y = 1"), COLUMNS, "y", top=3).top.collect()
+    assert len(one) == 3 and all(r.wracc == 0 for r in one)
+    assert subgroups.search(df.withColumns({c: F.lit(None).cast("string") for c in COLUMNS}), COLUMNS, "y").top.count() == 0
+    clash = df.withColumnRenamed("a", "path").withColumnRenamed("b", "_n")
+    assert subgroups.search(clash, ["path", "_n", "c", "d"], "y", top=5).top.count() == 5
