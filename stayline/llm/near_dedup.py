@@ -10,9 +10,9 @@ left empty throws twice as deep.
 
 Texts that are equal are one class from the start. Bands of coordinates give buckets; documents of a bucket are candidates
 and are linked if their exact similarity is at least ``SIMILARITY``. Classes are the connected components of the links.
-All members of a bucket are compared with two leaders first, its smallest and a random one, which connects most copies of
-one text. In buckets that then still hold several classes, documents go that share too few shingles with all the rest to have another
-link (copies with many changes of their own), an exact bound. What remains meets group by group (see ``groups``): no size of a bucket
+All members of a bucket are compared with two leaders first, its smallest and its largest number, which connects most copies of
+one text; numbers are random, and buckets of the same documents mostly have the same two leaders, so pairs repeat and are few. The
+members of buckets that then still hold several classes meet group by group (see ``groups``): no size of a bucket
 changes what is compared, and no pair of documents becomes a row.
 """
 
@@ -161,16 +161,15 @@ def linked(pairs: DataFrame, texts: DataFrame, up: int, down: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, class): the smallest id of each connected component of ``links`` (a, b).
 
-    Every node has a parent, at first itself. In a round a node takes the smallest grandparent among its neighbours for
-    itself and for its parent, and its own grandparent, whichever is smallest, until no parent changes. Parents only
-    fall, so their sum tells. Each step takes pre-aggregated minima; no node's neighbours meet in one place.
+    Every node has a parent, at first the smallest of itself and its neighbours. In a round a node takes the smallest grandparent among its
+    neighbours for itself and for its parent, and its own grandparent, whichever is smallest, until the ends of each link have the same
+    parent: it then is the same all over a component, and that of its smallest node is that node. Each step takes pre-aggregated minima; no
+    node's neighbours meet in one place.
     """
     one = links.where("a != b")
-    edges = durable(one.select("a", "b").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    edges = durable(one.select("a", "b").unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     parents = durable(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("class")).withColumnRenamed("a", "id"))
-    total = F.sum(F.col("class").cast("decimal(38,0)"))
-    before = parents.agg(total).first()[0]
-    while before is not None:
+    while not apart(edges, parents).isEmpty():
         up = parents.select(F.col("id").alias("class"), F.col("class").alias("grand"))
         grand = durable(parents.join(up, "class").select("id", "class", "grand"))
         near = edges.join(grand.select(F.col("id").alias("b"), "grand"), "b").groupBy("a").agg(F.min("grand").alias("low"))
@@ -180,13 +179,15 @@ def components(links: DataFrame) -> DataFrame:
         parents = durable(
             each.select(F.explode(F.array(own, parent)).alias("p")).groupBy("p.id").agg(F.min("p.class").alias("class"))
         )
-        now = parents.agg(total).first()[0]
-        if now == before:
-            break
-        before = now
     return parents
 
 
+def apart(edges: DataFrame, parents: DataFrame) -> DataFrame:
+    """The edges (a, b) whose ends have different parents."""
+    left, right = (parents.select(F.col("id").alias(c), F.col("class").alias(f"_{c}")) for c in "ab")
+    return edges.where("a > b").join(left, "a").join(right, "b").where("_a != _b")
+
+
 def with_classes(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Adds ``class``, a member's own id if it has no link."""
     return members.join(classes, "id", "left").withColumn("class", F.coalesce("class", "id"))
@@ -215,24 +216,9 @@ def strip_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
     return durable(wanted.mapInArrow(run, "id bigint, size bigint, tokens array<bigint>"))
 
 
-def plausible_members(members: DataFrame, sets: DataFrame, up: int, down: int) -> DataFrame:
-    """``members`` (bucket, id) without those too unlike all others, even of the bucket's smallest size, to have a link there.
-
-    Two texts have at most as many strips in common as either has that any other text of ``sets`` has, too.
-    """
-    one = sets.select("id", F.explode("tokens").alias("strip"))
-    several = durable(one.groupBy("strip").agg(F.count("*").alias("_n")).where("_n > 1").select("strip"))
-    found = one.join(several, "strip").groupBy("id").agg(F.count("*").alias("shared"))
-    sized = durable(members.join(durable(sets.select("id", "size").join(found, "id")), "id"))
-    least = durable(sized.groupBy("bucket").agg(F.min("size").alias("_least")))
-    fits = F.col("shared") * down >= (F.col("size") + F.col("_least") - F.col("shared")) * up
-    return durable(sized.join(least, "bucket").where(fits).select("bucket", "id"))
-
-
 def near_links(buckets: DataFrame, texts: DataFrame, up: int, down: int) -> DataFrame:
     """Links (a, b), a > b, between members of ``buckets`` (bucket, id, leader, other) with ``texts`` (id, text). They connect
-    all that any links between members of a bucket connect. ``leader`` is a bucket's smallest id, ``other`` the first in a random
-    order."""
+    all that any links between members of a bucket connect. ``leader`` is a bucket's smallest id, ``other`` its largest."""
     leaders = F.explode(F.array("leader", "other")).alias("_to")
     first = buckets.select("id", leaders).where("id != _to").select(F.greatest("id", "_to").alias("a"), F.least("id", "_to").alias("b"))
     links = durable(linked(durable(first.distinct()), texts, up, down))
@@ -240,9 +226,7 @@ def near_links(buckets: DataFrame, texts: DataFrame, up: int, down: int) -> Data
     members = open_members(buckets, classes)
     if members.isEmpty():
         return links
-    sets = strip_sets(members, texts)
-    rest = plausible_members(members, sets, up, down)
-    return durable(links.unionByName(groups.links_between(rest, sets, classes, up, down)).distinct())
+    return links.unionByName(groups.links_between(members, strip_sets(members, texts), classes, up, down))
 
 
 def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -264,29 +248,29 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     spread = texts.select("id", F.explode("bands").alias("bucket"))
     shared = durable(
         spread.groupBy("bucket")
-        .agg(F.min("id").alias("leader"), F.max("id").alias("_last"), F.min(F.struct(F.xxhash64("bucket", "id"), "id")).alias("_any"))
-        .where("leader != _last")
-        .select("bucket", "leader", F.col("_any.id").alias("other"))
+        .agg(F.min("id").alias("leader"), F.max("id").alias("other"))
+        .where("leader != other")
     )
     buckets = durable(spread.join(shared, "bucket").select("bucket", "id", "leader", "other"))
     wanted = durable(buckets.select("id").distinct().join(texts.select("id", "text_id", "text_key"), "id"))
     plain = docs.select(F.col("doc_id").cast("bigint").alias("text_id"), "text")
+    # Both keys, so that the rows stay where the join has put them.
     kept = durable(
-        plain.join(wanted, "text_id").where(F.sha2("text", 256) == F.col("text_key")).select("id", "text").dropDuplicates(["id"])
+        plain.join(wanted, "text_id").where(F.sha2("text", 256) == F.col("text_key")).select("text_id", "id", "text")
+        .dropDuplicates(["text_id", "id"])
     )
-    links = near_links(buckets, kept, share.numerator, share.denominator)
-    of = rows.select("doc_id", "text_key", number.alias("id"))
+    links = durable(near_links(buckets, kept.select("id", "text"), share.numerator, share.denominator))
+    of = rows.select("doc_id", number.alias("id"))
     classes = components(links.unionByName(same_document(of)))
+    # Only texts with a link have a class; few of many, as a rule.
+    linked_texts = durable(classes.join(texts.select("id", "text_id"), "id"))
+    lowest = linked_texts.groupBy("class").agg(F.min("text_id").alias("class_id"))
     found = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id")))
     counts = found.groupBy("id").agg(F.count("*").alias("links"))
-    per_text = durable(
-        with_classes(texts.select("id", "text_id"), classes)
-        .join(counts, "id", "left")
-        .select("id", "text_id", "class", F.coalesce("links", F.lit(0)).cast("bigint").alias("links"))
+    named = durable(linked_texts.join(lowest, "class").join(counts, "id", "left").select("id", "class_id", "links"))
+    of_rows = of.join(texts.select("id", "text_id"), "id").join(named, "id", "left").select(
+        "doc_id", F.coalesce("class_id", "text_id").alias("class_id"), "text_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("links")
     )
-    lowest = durable(per_text.groupBy("class").agg(F.min("text_id").alias("class_id")))
-    named = durable(per_text.join(lowest, "class").select("id", "class_id", "text_id", "links"))
-    of_rows = of.join(named, "id").select("doc_id", "class_id", "text_id", "links")
     rest = docs.where("text is null or text = '' or doc_id is null").select(F.col("doc_id").cast("bigint"))
     own = F.col("doc_id")
     return of_rows.unionByName(rest.select("doc_id", own.alias("class_id"), own.alias("text_id"), F.lit(0).cast("bigint").alias("links")))
