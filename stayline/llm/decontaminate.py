@@ -161,8 +161,8 @@ def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     hit = F.aggregate(runs, F.lit(0).cast("bigint"), lambda s, i: s + part(i, 1) - part(i, 0))
     spans = F.transform(runs, lambda i: F.struct(part(i, 2).alias("start"), part(i, 3).alias("end")))
-    return rows.select(
-        *[F.col("text") if c == "text" else F.col("_scan_row")[c].alias(c) for c in own],
+    found = rows.select(
+        "_scan_row", "text",
         F.col("_scan_words").alias("n_words"),
         hit.alias("n_hit"),
         F.size("_scan_items").cast("bigint").alias("n_items"),
@@ -171,3 +171,4 @@ def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ).withColumn(
         "contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * HIT_SHARE >= F.col("n_words"))
     )
+    return found.select(*[F.col("text") if c == "text" else F.col("_scan_row")[c].alias(c) for c in own], *added)
