@@ -294,3 +294,74 @@ def test_components_against_union_find(spark):
     linked = {x for a, b in edges if a != b for x in (a, b)}
     found = near_dedup.components(spark.createDataFrame(edges, "a bigint, b bigint"))
     assert {(r.id, r["class"]) for r in found.collect()} == {(x, root(x)) for x in linked}
+
+
+def classes_by_all_pairs(rows):
+    """As ``classes``, for texts of which nearly all pairs share something: each pair's strips are counted once."""
+    sets = [(d, frozenset((x, i) for x, n in shingles(t).items() for i in range(n))) for d, t in rows]
+    parent = {d: d for d, _ in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, (d, a) in enumerate(sets):
+        for e, b in sets[i + 1 :]:
+            both = len(a & b)
+            if 5 * both >= 4 * (len(a) + len(b) - both):
+                low, high = sorted((root(d), root(e)))
+                parent[high] = low
+    return {d: root(d) for d in parent}
+
+
+def test_a_large_group_around_the_least_similarity(spark, monkeypatch):
+    """1,000 copies of one text with changes of their own, on both sides of 0.8, in groups of any size."""
+    rng = random.Random(11)
+    base = [f"v{i}" for i in range(120)]
+    rows = []
+    for i in range(1000):
+        out = list(base)
+        for k in rng.sample(range(120), rng.choice((0, 1, 2, 3, 3, 4, 5))):
+            out[k] = rng.choice(("x", "y", "z", f"own{i}"))
+        rows.append((i, " ".join(out)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    expected = classes_by_all_pairs(rows)
+    assert 3 < len(set(expected.values())) < 900
+    assert found_classes(df) == expected
+    monkeypatch.setattr(near_dedup.groups, "GROUP_DOCS", 4)
+    assert found_classes(spark.createDataFrame(rows[:300], "doc_id bigint, text string")) == classes_by_all_pairs(rows[:300])
+
+
+def test_one_row_of_an_id_with_several_texts_stays(spark):
+    rows = [(1, "b b b b b b", "x"), (1, "a a a a a a", "y"), (1, "a a a a a a", "x"), (2, "a a a a a a", "z"), (3, None, "n"), (3, None, "n")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    kept = [sorted(map(tuple, near_dedup.deduplicated(df.repartition(n)).collect()), key=str) for n in (1, 3, 5)]
+    assert kept[0] == kept[1] == kept[2] and [r[:2] for r in kept[0]] == [(1, "a a a a a a"), (3, None), (3, None)]
+
+
+def test_pieces_of_darts_are_bounded_by_texts(spark, monkeypatch):
+    sizes = []
+    darts = near_dedup.dart_signatures
+    monkeypatch.setattr(near_dedup, "dart_signatures", lambda strip, offsets, size: sizes.append(len(offsets) - 1) or darts(strip, offsets, size))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2000)), pa.array(["k"] * 2000), pa.array(["one"] * 2000)], names=["doc_id", "text_key", "text"])
+    found = {}
+
+    class Docs:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            found["out"] = list(run(iter([batch])))
+
+    near_dedup.sketches(Docs())
+    assert sum(b.num_rows for b in found["out"]) == 2000 and max(sizes) <= near_dedup.TEXTS
+
+
+def test_scan_keeps_columns_called_like_inner_ones(spark, tables):
+    docs = tables("documents").select("doc_id", "text", F.lit("mine").alias("_scan_words"), F.lit("mine").alias("_scan_ranges"), F.lit(1).alias("_scan_items"), F.lit(2).alias("_scan_row"))
+    found = decontaminate.scanned(docs, tables("benchmark"))
+    assert found.columns[:6] == docs.columns and found.where("_scan_words = 'mine' and _scan_items = 1 and _scan_row = 2").count() == docs.count()
+    plain = decontaminate.scanned(docs.select("doc_id", "text"), tables("benchmark"))
+    assert sorted(map(tuple, found.select("doc_id", "n_hit").collect())) == sorted(map(tuple, plain.select("doc_id", "n_hit").collect()))
+    assert decontaminate.scanned(docs.select("text"), tables("benchmark")).columns[0] == "text"

@@ -2,6 +2,7 @@ import struct
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -95,3 +96,46 @@ def test_file_without_end_id_has_an_incomplete_document(spark, tmp_path):
     assert [(r.file, r.doc_no, r.start, r.n_tokens, r.complete) for r in found] == [
         ("a", 0, 0, 3, True), ("a", 1, 3, 1, True), ("a", 2, 4, 3, False)
     ]
+
+
+def test_a_job_touches_only_its_own_files(spark, tables, tmp_path):
+    folder = f"file://{tmp_path}/flat"
+    docs = tables("documents").where("doc_id < 30")
+    (tmp_path / "flat").mkdir()
+    (tmp_path / "flat" / "notes.txt").write_text("mine")
+    (tmp_path / "flat" / "old.tokens").write_bytes(struct.pack("<2H", 5, flat_tokens.END_ID))
+    flat_tokens.write_flat(docs.where("doc_id < 10"), folder)
+    flat_tokens.write_flat(docs.where("doc_id >= 10"), folder)  # a second append
+    assert (tmp_path / "flat" / "notes.txt").read_text() == "mine"
+    counts = flat_tokens.token_counts(spark, folder)
+    assert counts.where("file = 'old'").count() == 1 and counts.count() == docs.count() + 1
+    ids = flat_tokens.document_ids(spark, folder)
+    assert {r.doc_id for r in ids.collect()} == {r.doc_id for r in docs.collect()}
+
+
+def test_a_failed_job_leaves_earlier_files_alone(spark, tables, tmp_path):
+    folder = f"file://{tmp_path}/flat"
+    docs = tables("documents").where("doc_id < 30").select("doc_id", "text")
+    flat_tokens.write_flat(docs, folder)
+    before = sorted(p.name for p in (tmp_path / "flat").iterdir())
+    broken = docs.repartition(3).withColumn("text", F.when(F.col("doc_id") == 7, F.raise_error(F.lit("broken"))).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="broken"):
+        flat_tokens.write_flat(broken, folder)
+    assert sorted(p.name for p in (tmp_path / "flat").iterdir()) == before
+    assert flat_tokens.token_counts(spark, folder).count() == docs.count()
+
+
+def test_files_of_an_attempt_that_did_not_count_are_not_read(tmp_path):
+    folder = tmp_path / "flat"
+    folder.mkdir()
+    options = {"path": f"file://{folder}", "width": "u2", "end_id": "9"}
+    writer, other = flat_tokens.TokenWriter(options), flat_tokens.TokenWriter(options)
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([[3, 9]], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+    kept, lost, later = writer.write(iter([batch])), writer.write(iter([batch])), other.write(iter([batch]))
+    files, base = flat_tokens.store(options["path"])
+    assert flat_tokens.listed(files, base) == []  # nothing counts before a job's end
+    writer.commit([kept, None])
+    assert {f.base_name for f in flat_tokens.listed(files, base)} == set(kept.names)
+    assert not any((folder / n).exists() for n in lost.names) and all((folder / n).exists() for n in later.names)
+    other.abort([later])
+    assert not any((folder / n).exists() for n in later.names) and all((folder / n).exists() for n in kept.names)
