@@ -90,3 +90,31 @@ def test_durable_writes_under_the_named_folder(spark):
     assert df.agg(F.sum("x")).first()[0] == 9900
     files = df.inputFiles()
     assert files and all(spark.conf.get("spark.checkpoint.dir") in f for f in files)
+
+
+@pytest.mark.parametrize(
+    "master, checkpoint, warehouse, found",
+    [
+        ("yarn", "hdfs://store/ck", "file:/root/warehouse", "hdfs://store/ck/stayline-app"),
+        ("yarn", None, "hdfs://store/warehouse/", "hdfs://store/warehouse/stayline-app"),
+        ("yarn", None, "file:/root/warehouse", None),
+        ("spark://host:7077", "", "file:/root/warehouse", None),
+        ("local[8]", None, "file:/root/warehouse", "file:/root/warehouse/stayline-app"),
+        ("local-cluster[3,2,1000]", "file:///shared", "file:/x", "file:///shared/stayline-app"),
+    ],
+)
+def test_stored_tables_need_a_folder_that_all_share(master, checkpoint, warehouse, found):
+    from types import SimpleNamespace
+
+    from stayline.session import shared_folder
+
+    settings = {"spark.checkpoint.dir": checkpoint, "spark.sql.warehouse.dir": warehouse}
+    spark = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: settings[key] or default),
+        sparkContext=SimpleNamespace(master=master, applicationId="app"),
+    )
+    if found is None:
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(spark)
+    else:
+        assert shared_folder(spark) == found
