@@ -17,6 +17,7 @@ def _schema(**fields: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in fields.items()])
 
 
+# ---- Fixed values: the columns of the tables that are delivered, by their names -----------------
 ACTIVITY = _schema(
     cust_id=STR, cust_line_seq_id=STR, mtn=STR, pplan_cd=STR, activity_dt=DAY, activity_cd=STR,
     eqp_prod_nm=STR, change_reas_cd=STR, acct_num=STR, rpt_mth=DAY, prepaid_ind=STR,
@@ -41,6 +42,7 @@ LINE_DIMENSION_HISTORY = _schema(
 )
 ACCOUNT_HISTORY = _schema(cust_id=STR, acct_num=STR, eff_dt=DAY, exp_dt=DAY)
 SEGMENT_LOOKUP = _schema(segmt_cd=STR, curr_prev_ind=STR, segmt_ctgry_desc=STR)
+# ---- End of fixed values --------------------------------------------------------------------
 
 # ---- Fixed values: the score columns of the daily telemetry, in their order ------------------
 SCORES = (
