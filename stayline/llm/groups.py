@@ -5,7 +5,7 @@ documents of one class, or those without a class whose first bucket has the same
 A group is stored with the union of its tokens, the matrix's column. Two groups meet once if any bucket has documents of both,
 however many such buckets and documents there are. A document can only be linked with one of a group if the group's union holds enough
 of its tokens; the other group is opened, and its documents are read, only where some document passes that bound.
-An opened pair of groups is compared whole, so no pair of documents is ever a row.
+A group, and an opened pair of groups, is compared whole, so no pair of documents is ever a row.
 
 Classes are found by links, so documents of one class need none between them: two groups of the same one class do not meet.
 """
@@ -101,36 +101,61 @@ def group_of(members: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFra
     return durable(homes.join(durable(parts), "home").select("id", "class", F.xxhash64("home.own", "home.of", turn).alias("group")))
 
 
-def matrix(grouped: DataFrame, sets: DataFrame) -> DataFrame:
-    """(group, ids, classes, tokens, union) of ``grouped`` (id, class, group); ``sets`` has (id, tokens)."""
+def matrix(grouped: DataFrame, sets: DataFrame, up: int, down: int) -> DataFrame:
+    """(group, ids, classes, tokens, union, links) of ``grouped`` (id, class, group); ``sets`` has (id, tokens). ``links`` are those inside
+    the group, as ``linked_pairs`` gives them, one id after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("tokens")
-            unions = [np.unique(lists(column, i)[0]) for i in range(batch.num_rows)]
-            at = np.r_[0, np.cumsum([len(u) for u in unions])].astype(np.int32)
-            union = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *unions]), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, union], names=[*batch.schema.names, "union"])
+            unions, inside = [], []
+            for i in range(batch.num_rows):
+                tokens, at = lists(batch.column("tokens"), i)
+                unions.append(np.unique(tokens))
+                side = (tokens, at, flat(batch.column("ids"), i), flat(batch.column("classes"), i))
+                inside.append(linked_pairs(side, side, up, down).T.ravel())
+            added = []
+            for parts in (unions, inside):
+                ends = np.r_[0, np.cumsum([len(x) for x in parts])]
+                added.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], names=[*batch.schema.names, "union", "links"])
 
     rows = grouped.join(sets.select("id", "tokens"), "id").groupBy("group").agg(F.collect_list(F.struct("id", "class", "tokens")).alias("m"))
     rows = rows.select("group", "m.id", "m.class", "m.tokens").toDF("group", "ids", "classes", "tokens")
-    schema = "group bigint, ids array<bigint>, classes array<bigint>, tokens array<array<bigint>>, union array<bigint>"
+    schema = (
+        "group bigint, ids array<bigint>, classes array<bigint>, tokens array<array<bigint>>, union array<bigint>, links array<bigint>"
+    )
     return rows.mapInArrow(run, schema)
 
 
+Side = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]  # tokens, their bounds, ids, classes
+
+
+def linked_pairs(a: Side, b: Side, up: int, down: int) -> np.ndarray:
+    """Links (larger id, smaller id), in two rows, of documents of different classes: the first found for any two classes."""
+    (ta, at, ids_a, own_a), (tb, bt, ids_b, own_b) = a, b
+    apart = own_a[:, None] != own_b[None, :]
+    if not apart.any():
+        return np.zeros((2, 0), np.int64)
+    x, y = np.nonzero(enough(overlaps(ta, at, tb, bt), np.diff(at), np.diff(bt), up, down) & apart)
+    classes = np.stack([np.minimum(own_a[x], own_b[y]), np.maximum(own_a[x], own_b[y])])
+    _, first = np.unique(classes, axis=1, return_index=True)
+    pairs = np.stack([ids_a[x[first]], ids_b[y[first]]])
+    return np.stack([pairs.max(axis=0), pairs.min(axis=0)]) if len(first) else np.zeros((2, 0), np.int64)
+
+
 def group_pairs(members: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(a, b), a <= b, of groups that share a bucket and are not of one and the same class."""
+    """(a, b), a < b, of groups that share a bucket and are not of one and the same class."""
     span = grouped.groupBy("group").agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
     index = members.join(grouped.select("id", "group"), "id").select("bucket", "group").distinct().join(span, "group")
     index = durable(index)
     left = index.select("bucket", F.col("group").alias("a"), F.col("_low").alias("_al"), F.col("_high").alias("_ah"))
     right = index.select("bucket", F.col("group").alias("b"), F.col("_low").alias("_bl"), F.col("_high").alias("_bh"))
     one = (F.col("_al") == F.col("_ah")) & (F.col("_bl") == F.col("_bh")) & (F.col("_al") == F.col("_bl"))
-    return left.join(right, "bucket").where((F.col("a") <= F.col("b")) & ~one).select("a", "b").distinct()
+    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & ~one).select("a", "b").distinct()
 
 
 def qualifying(pairs: DataFrame, columns: DataFrame, up: int, down: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) where a document of a has enough tokens in b's union, and all (a, a)."""
+    """Those of ``pairs`` (a, b) where a document of a has enough tokens in b's union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,10 +167,10 @@ def qualifying(pairs: DataFrame, columns: DataFrame, up: int, down: int) -> Data
                 kept.append(bool((down * np.diff(found[at]) >= up * np.diff(at)).any()))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    two = pairs.where("a != b").join(columns.select(F.col("group").alias("a"), "tokens"), "a").join(
+    both = pairs.join(columns.select(F.col("group").alias("a"), "tokens"), "a").join(
         columns.select(F.col("group").alias("b"), "union"), "b"
     )
-    return two.select("a", "b", "tokens", "union").mapInArrow(run, "a bigint, b bigint").unionByName(pairs.where("a = b"))
+    return both.select("a", "b", "tokens", "union").mapInArrow(run, "a bigint, b bigint")
 
 
 def opened(pairs: DataFrame, columns: DataFrame, up: int, down: int) -> DataFrame:
@@ -153,19 +178,14 @@ def opened(pairs: DataFrame, columns: DataFrame, up: int, down: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found = [np.zeros((2, 0), np.int64)]
             for i in range(batch.num_rows):
-                (ta, at), (tb, bt) = (lists(batch.column(f"tokens_{s}"), i) for s in "ab")
-                ids = [flat(batch.column(f"ids_{s}"), i) for s in "ab"]
-                own = [flat(batch.column(f"classes_{s}"), i) for s in "ab"]
-                linked = enough(overlaps(ta, at, tb, bt), np.diff(at), np.diff(bt), up, down) & (own[0][:, None] != own[1][None, :])
-                x, y = np.nonzero(linked)
-                if len(x):
-                    low, high = np.minimum(own[0][x], own[1][y]), np.maximum(own[0][x], own[1][y])
-                    _, first = np.unique(np.stack([low, high]), axis=1, return_index=True)
-                    found.append(np.stack([ids[0][x[first]], ids[1][y[first]]]))
-            links = np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(links.max(axis=0), pa.int64()), pa.array(links.min(axis=0), pa.int64())], names=["a", "b"])
+                sides = [
+                    (*lists(batch.column(f"tokens_{s}"), i), flat(batch.column(f"ids_{s}"), i), flat(batch.column(f"classes_{s}"), i)) for s in "ab"
+                ]
+                found.append(linked_pairs(*sides, up, down))
+            links = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(links[0], pa.int64()), pa.array(links[1], pa.int64())], names=["a", "b"])
 
     def side(s: str) -> DataFrame:
         return columns.select(F.col("group").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "classes", "tokens")])
@@ -181,6 +201,9 @@ def links_between(members: DataFrame, sets: DataFrame, classes: DataFrame, up: i
     already; all stored tables. Two sets are linked if their similarity is at least up / down.
     """
     grouped = group_of(members, sets, classes)
-    columns = durable(matrix(grouped, sets))
-    pairs = durable(group_pairs(members, grouped))
-    return durable(opened(durable(qualifying(pairs, columns, up, down)), columns, up, down))
+    columns = durable(matrix(grouped, sets, up, down))
+    pairs = group_pairs(members, grouped)
+    across = durable(opened(qualifying(pairs, columns, up, down), columns, up, down))
+    each = F.expr("explode(transform(sequence(0, size(links) - 2, 2), i -> struct(links[i] AS a, links[i + 1] AS b))) AS l")
+    inside = columns.where("size(links) > 0").select(each).select("l.*")
+    return across.unionByName(inside)

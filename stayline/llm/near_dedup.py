@@ -212,7 +212,7 @@ def strip_sets(ids: DataFrame, texts: DataFrame) -> DataFrame:
                     names=["id", "size", "tokens"],
                 )
 
-    wanted = texts.join(durable(ids.select("id").distinct()), "id").select("id", "text")
+    wanted = texts.join(ids.select("id").distinct(), "id").select("id", "text")
     return durable(wanted.mapInArrow(run, "id bigint, size bigint, tokens array<bigint>"))
 
 
@@ -221,7 +221,7 @@ def near_links(buckets: DataFrame, texts: DataFrame, up: int, down: int) -> Data
     all that any links between members of a bucket connect. ``leader`` is a bucket's smallest id, ``other`` its largest."""
     leaders = F.explode(F.array("leader", "other")).alias("_to")
     first = buckets.select("id", leaders).where("id != _to").select(F.greatest("id", "_to").alias("a"), F.least("id", "_to").alias("b"))
-    links = durable(linked(durable(first.distinct()), texts, up, down))
+    links = durable(linked(first.distinct(), texts, up, down))
     classes = components(links)
     members = open_members(buckets, classes)
     if members.isEmpty():
@@ -252,14 +252,14 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         .where("leader != other")
     )
     buckets = durable(spread.join(shared, "bucket").select("bucket", "id", "leader", "other"))
-    wanted = durable(buckets.select("id").distinct().join(texts.select("id", "text_id", "text_key"), "id"))
+    wanted = buckets.select("id").distinct().join(texts.select("id", "text_id", "text_key"), "id")
     plain = docs.select(F.col("doc_id").cast("bigint").alias("text_id"), "text")
     # Both keys, so that the rows stay where the join has put them.
     kept = durable(
         plain.join(wanted, "text_id").where(F.sha2("text", 256) == F.col("text_key")).select("text_id", "id", "text")
         .dropDuplicates(["text_id", "id"])
     )
-    links = durable(near_links(buckets, kept.select("id", "text"), share.numerator, share.denominator))
+    links = near_links(buckets, kept.select("id", "text"), share.numerator, share.denominator)
     of = rows.select("doc_id", number.alias("id"))
     classes = components(links.unionByName(same_document(of)))
     # Only texts with a link have a class; few of many, as a rule.
