@@ -20,6 +20,7 @@ from stayline.session import durable
 
 BITS = 2  # sizes of 4^level days
 LEVELS = 9  # up to 65,536 days, about 180 years
+CELLS = "array<struct<level: int, node: int>>"
 
 
 def day_number(day: Column) -> Column:
@@ -34,7 +35,6 @@ def block_of(day: Column, level: int) -> Column:
 def nodes(first: Column, last: Column) -> Column:
     """The nodes (level, node) whose union is the days ``first`` to ``last``, both included; none if there are no days."""
     end, parts = last + 1, []
-    kind = "array<struct<level: int, node: int>>"
 
     def full(level: int) -> tuple[Column, Column]:
         """First and end of the level's nodes that lie in the interval whole."""
@@ -43,7 +43,7 @@ def nodes(first: Column, last: Column) -> Column:
 
     def run(level: int, low: Column, high: Column) -> Column:
         cell = lambda n: F.struct(F.lit(level).alias("level"), n.cast("int").alias("node"))
-        return F.when(low < high, F.transform(F.sequence(low, F.greatest(low, high - 1)), cell)).otherwise(F.array().cast(kind)).cast(kind)
+        return F.when(low < high, F.transform(F.sequence(low, F.greatest(low, high - 1)), cell)).otherwise(F.array().cast(CELLS)).cast(CELLS)
 
     for level in range(LEVELS):
         low, high = full(level)
@@ -79,13 +79,22 @@ def sizes_of(cells: DataFrame) -> list[int]:
     return sorted(r[0] for r in cells.select("_level").distinct().collect())
 
 
+def levels_within(history: DataFrame, first: str, last: str) -> list[int]:
+    """The levels whose nodes fit into the longest interval, so all that can occur."""
+    longest = history.agg(F.max(F.date_diff(last, first) + 1)).first()[0] or 0
+    return [k for k in range(LEVELS) if 1 << (BITS * k) <= longest]
+
+
+def cells_of(day: Column, levels: Sequence[int]) -> Column:
+    """The nodes (level, node) that hold a day, one per level."""
+    number = day_number(day)
+    cells = [F.struct(F.lit(k).alias("level"), block_of(number, k).cast("int").alias("node")) for k in levels]
+    return F.array(*cells).cast(CELLS)
+
+
 def at_nodes(rows: DataFrame, day: Column, levels: Sequence[int]) -> DataFrame:
     """``rows`` with _level and _node, a row per level; rows without a day are left out."""
-    number = day_number(day)
-    cells = F.array(*[F.struct(F.lit(k).alias("level"), block_of(number, k).cast("int").alias("node")) for k in levels])
-    if not levels:
-        cells = F.array().cast("array<struct<level: int, node: int>>")
-    many = rows.where(day.isNotNull()).withColumn("_cell", F.explode(cells))
+    many = rows.where(day.isNotNull()).withColumn("_cell", F.explode(cells_of(day, levels)))
     return many.withColumns({"_level": F.col("_cell.level"), "_node": F.col("_cell.node")}).drop("_cell")
 
 
@@ -134,23 +143,24 @@ def resolved(
 
     A sweep over the ends: the winner can only change where an interval begins or the day after one ends. Each
     record leaves its rank in its nodes, where only the highest stays, so a key with any number of records keeps few; each such day then
-    asks the nodes that hold it. What is left per key is bounded by its days, not its records.
+    asks the nodes that hold it. What is left per key is bounded by its days, not its records, and is shuffled by key once.
     """
     full = records.select(
         *keys, F.col(first).alias("eff_dt"), F.coalesce(F.col(last), F.lit(OPEN_END)).alias("exp_dt"),
         F.struct(*[F.col(c) for c in priority], *[F.col(c) for c in values if c not in priority]).alias("_rank"),
     ).where("eff_dt is not null and eff_dt <= exp_dt")
     rows = durable(full.dropna(subset=list(keys)))
-    cells = durable(
-        spread(rows).groupBy(*keys, "_level", "_node").agg(F.max("_rank").alias("_rank"))
-    )
+    cells = spread(rows).groupBy(*keys, "_level", "_node").agg(F.max("_rank").alias("_rank"))
     after = F.when(F.col("exp_dt") < F.lit(OPEN_END), F.date_add("exp_dt", 1))
     ends = rows.select(*keys, F.explode(F.array("eff_dt", after)).alias("_day")).where("_day is not null").distinct()
-    days = durable(ends)
-    asked = at_nodes(days, F.col("_day"), sizes_of(cells))
-    winners = asked.join(cells, [*keys, "_level", "_node"]).groupBy(*keys, "_day").agg(F.max("_rank").alias("_rank"))
+    # What is left of a key is bounded by its days, so cells and days meet by key; a day's copies, one per size, are made behind the shuffle.
+    own = cells.withColumn("_own", F.array(F.struct(F.col("_level").alias("level"), F.col("_node").alias("node")))).drop("_level", "_node")
+    met = own.unionByName(ends, allowMissingColumns=True).repartition(*keys)
+    asked = F.coalesce("_own", cells_of(F.col("_day"), levels_within(rows, "eff_dt", "exp_dt")))
+    node = Window.partitionBy(*keys, "_cell.level", "_cell.node")
+    told_days = met.withColumn("_cell", F.explode(asked)).withColumn("_rank", F.max("_rank").over(node)).where("_day is not null")
     line = Window.partitionBy(*keys).orderBy("_day")
-    parts = days.join(winners, [*keys, "_day"], "left").withColumn("_next", F.lead("_day").over(line))
+    parts = told_days.groupBy(*keys, "_day").agg(F.max("_rank").alias("_rank")).withColumn("_next", F.lead("_day").over(line))
     told = F.when(F.col("_rank").isNotNull(), F.struct(*[F.col(f"_rank.{c}").alias(c) for c in values]))
     return coalesced(parts.select(*keys, "_day", "_next", told.alias("_told")), keys, values)
 

@@ -148,3 +148,10 @@ def test_empty_and_hot_histories(spark):
     )
     found = intervals.resolved(hot, ["k"], ["v"], ["p"]).collect()
     assert [(r.eff_dt, r.exp_dt) for r in found] == [(day(0), day(315))]
+
+
+def test_a_resolved_history_shuffles_days_and_cells_once_by_key(spark):
+    """The nodes are keys of a shuffle where records become cells and nowhere else; a day is not copied before it is shuffled."""
+    plan = intervals.resolved(spark.createDataFrame(made(4), SCHEMA), ["k"], ["v"], ["p"])._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert sum("_node" in line for line in exchanges) == 1 and len(exchanges) == 3
