@@ -3,8 +3,8 @@
 Days are cut into nodes: single days, and runs of 4, 16, 64 days and so on, each starting at a multiple of its length. An
 interval of any length is the union of few nodes (at most six per size), and a day lies in one node of each size. So "the day lies in
 the interval" becomes equality of a node, a plain join key: a history row is copied as often as it has nodes, which grows with the
-logarithm of its length, a fact once per size that the history has. No key, year or other stretch of time
-gathers what only overlaps it: rows meet where one node holds them both.
+logarithm of its length, a fact once per size that the history has. No key, year or other long stretch of time
+gathers what only overlaps it: rows meet where one node holds them both. A join's smallest nodes are of 64 days, where dates are compared.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from stayline.session import durable
 
 BITS = 2  # sizes of 4^level days
 LEVELS = 9  # up to 65,536 days, about 180 years
+JOIN_LEVEL = 3  # the lowest of a join, 64 days
 CELLS = "array<struct<level: int, node: int>>"
 
 
@@ -32,20 +33,25 @@ def block_of(day: Column, level: int) -> Column:
     return F.shiftright(day, BITS * level)
 
 
-def nodes(first: Column, last: Column) -> Column:
-    """The nodes (level, node) whose union is the days ``first`` to ``last``, both included; none if there are no days."""
+def nodes(first: Column, last: Column, least: int = 0) -> Column:
+    """The nodes (level, node) whose union is the days ``first`` to ``last``, both included; none if there are no days.
+
+    With ``least`` no node is of a lower level: those of that level at the ends may hold days beside the interval.
+    """
     end, parts = last + 1, []
 
     def full(level: int) -> tuple[Column, Column]:
         """First and end of the level's nodes that lie in the interval whole."""
         size = 1 << (BITS * level)
+        if level == least > 0:
+            return F.shiftright(first, BITS * level), F.when(first <= last, F.shiftright(last, BITS * level) + 1)
         return F.shiftright(first + (size - 1), BITS * level), F.shiftright(end, BITS * level)
 
     def run(level: int, low: Column, high: Column) -> Column:
         cell = lambda n: F.struct(F.lit(level).alias("level"), n.cast("int").alias("node"))
         return F.when(low < high, F.transform(F.sequence(low, F.greatest(low, high - 1)), cell)).otherwise(F.array().cast(CELLS)).cast(CELLS)
 
-    for level in range(LEVELS):
+    for level in range(least, LEVELS):
         low, high = full(level)
         if level == LEVELS - 1:
             parts.append(run(level, low, high))
@@ -59,9 +65,9 @@ def nodes(first: Column, last: Column) -> Column:
 
 
 def spread(
-    history: DataFrame, span: tuple[Column, Column] | None = None, first: str = "eff_dt", last: str = "exp_dt"
+    history: DataFrame, span: tuple[Column, Column] | None = None, first: str = "eff_dt", last: str = "exp_dt", least: int = 0
 ) -> DataFrame:
-    """``history`` with _level and _node, a row per node of its interval. Intervals that end before they begin, or have no
+    """``history`` with _level and _node, a row per node of its interval (``least`` as in ``nodes``). Intervals that end before they begin, or have no
     beginning, are left out; no end is an open one. ``span`` cuts them to the days that matter, so an open end costs little."""
     start, stop = F.col(first), F.coalesce(F.col(last), F.lit(OPEN_END))
     if span is not None:
@@ -70,7 +76,7 @@ def spread(
     kept = cut.where(F.col(first).isNotNull() & (F.col("_first") <= F.col("_last"))).where(
         F.col(first) <= F.coalesce(F.col(last), F.lit(OPEN_END))
     )
-    cells = kept.withColumn("_cell", F.explode(nodes(F.col("_first"), F.col("_last"))))
+    cells = kept.withColumn("_cell", F.explode(nodes(F.col("_first"), F.col("_last"), least)))
     return cells.withColumns({"_level": F.col("_cell.level"), "_node": F.col("_cell.node")}).drop("_first", "_last", "_cell")
 
 
@@ -112,16 +118,21 @@ def interval_join(
     of any length without a copy per year.
 
     ``how`` is inner, left or left_semi. Overlapping histories give a row each. A null key or date matches nothing, and a
-    null end is an open one. Facts are stored first, as they are read for their span of dates, for the join, and to find what has no match.
+    null end is an open one. Rows meet in nodes of 64 days or more, of which the lowest may hold days beside an interval, so dates are
+    compared there: a shuffled copy costs more than the pairs of 64 days that are compared in vain. Facts are stored first, as they are read for their span of dates, for the join, and to find what has no match.
     """
     if how not in ("inner", "left", "left_semi"):
         raise ValueError(f"how = {how!r}")
     rows = durable(facts.withColumn("_fact", F.monotonically_increasing_id()))
-    cells = durable(spread(history, date_span(rows, at), first, last))
+    cells = durable(spread(history, date_span(rows, at), first, last, JOIN_LEVEL))
     added = [c for c in history.columns if c not in keys]
-    right = cells.select(*keys, "_level", "_node", F.struct(*[F.col(c) for c in added]).alias("_valid"))
+    right = cells.select(
+        *keys, "_level", "_node", F.struct(*[F.col(c) for c in added]).alias("_valid"),
+        F.col(first).alias("_from"), F.coalesce(F.col(last), F.lit(OPEN_END)).alias("_to"),
+    )
     left = at_nodes(rows.select("_fact", *keys, F.col(at).alias("_at")), F.col("_at"), sizes_of(cells))
-    found = left.join(right, [*keys, "_level", "_node"]).select("_fact", "_valid")
+    met = left.join(right, [*keys, "_level", "_node"]).where(F.col("_at").between(F.col("_from"), F.col("_to")))
+    found = met.select("_fact", "_valid")
     if how == "left_semi":
         return rows.join(found.select("_fact"), "_fact", "left_semi").select(*facts.columns)
     both = rows.join(found, "_fact", how)

@@ -155,3 +155,30 @@ def test_a_resolved_history_shuffles_days_and_cells_once_by_key(spark):
     plan = intervals.resolved(spark.createDataFrame(made(4), SCHEMA), ["k"], ["v"], ["p"])._jdf.queryExecution().executedPlan().toString()
     exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
     assert sum("_node" in line for line in exchanges) == 1 and len(exchanges) == 3
+
+
+def test_nodes_of_a_join_cover_the_interval_with_few_copies(spark):
+    rng = random.Random(2)
+    spans = [(0, 0), (63, 64), (64, 127), (60, 200), (-70, 20), (9, 8), (0, 65_535), *((a := rng.randint(-9000, 30_000), a + rng.randint(0, 18_250)) for _ in range(200))]
+    rows = spark.createDataFrame([(a, b) for a, b in spans], "a int, b int")
+    for r in rows.select("a", "b", intervals.nodes(F.col("a"), F.col("b"), 3).alias("n")).collect():
+        covered = [d for n in r.n for d in range(n.node << 2 * n.level, (n.node + 1) << 2 * n.level)]
+        assert len(covered) == len(set(covered)) and set(range(r.a, r.b + 1)) <= set(covered)
+        assert len(covered) <= r.b - r.a + 1 + 126 and all(n.level >= 3 for n in r.n) and (r.a <= r.b or not r.n)
+        assert len(r.n) <= 2 + (r.b - r.a + 1) // 64 and len(r.n) <= 30
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
+def test_interval_join_at_the_edges_of_nodes(spark, how):
+    rng = random.Random(3)
+    facts = [(rng.choice("ab"), day(rng.randint(-80, 400)), i) for i in range(150)]
+    ends = [-64, -1, 0, 1, 62, 63, 64, 65, 127, 128, 255, 256, 300]
+    history = [(k, day(a), rng.choice([None, *(day(b) for b in ends if b >= a - 1)]), a) for k in "ab" for a in ends for _ in range(2)]
+    expected = []
+    for k, d, i in facts:
+        hits = [h[3] for h in history if h[0] == k and h[1] <= d <= (h[2] or OPEN_END)]
+        expected += [(i,)] * bool(hits) if how == "left_semi" else [(i, v) for v in hits or ([None] if how == "left" else [])]
+    out = intervals.interval_join(
+        spark.createDataFrame(facts, "k string, d date, i int"), spark.createDataFrame(history, "k string, eff_dt date, exp_dt date, v int"), ["k"], at="d", how=how
+    )
+    assert sorted(map(str, map(tuple, out.select("i", *([] if how == "left_semi" else ["v"])).collect()))) == sorted(map(str, expected))
