@@ -12,6 +12,7 @@ from stayline.functions import codes, hashing, numbers
 from stayline.operators import panel as panels
 from stayline.operators.activity import one_row_per_line
 from stayline.operators.ranking import hash_rank
+from stayline.session import durable
 
 # ---- Fixed values: keys, scores and category levels of the model's input ---------------------
 CATEGORIES = (
@@ -113,8 +114,8 @@ def feature_table(
     of lines disconnected after ``churn_after``.
 
     Only telemetry of the days that the lookbacks before all ``disconnects`` span is read, for both
-    kinds of lines. They are put into one table of targets first, so the telemetry is shuffled once, by
-    line. Sampling and the means are grouped by line as well and need no further shuffle. A target's open
+    kinds of lines. They are put into one stored table of targets first, so the telemetry is shuffled once, by
+    line, and only that of targets. Sampling and the means are grouped by line as well and need no further shuffle. A target's open
     lookback has fewer than ``days`` days, so one limit of ``days`` days per target serves both kinds, and
     Spark applies it before it sorts. Rows of one day stay together, however many ``panel`` has, and count each in
     the means. Of several profile rows of a line the smallest counts.
@@ -138,9 +139,11 @@ def feature_table(
     seen = panels.scan_range(panel, panels.lookback_bounds(disconnects, days))
     if equal_windows:
         stable = stable.drop("deact_dt").join(panels.anchor_days(seen, salt), list(panels.KEY))
-    targets = stable.unionByName(ended).join(places, list(panels.KEY), "left")
+    targets = durable(stable.unionByName(ended).join(places, list(panels.KEY), "left"))
 
-    rows = seen.select("cpe_date", *panels.KEY, *scores, *signals).join(targets, list(panels.KEY))
+    # Rows of other lines go first: Spark filters the tables that a panel is made of, before they are shuffled for its sums.
+    wanted = seen.join(targets.select(*panels.KEY), list(panels.KEY), "left_semi")
+    rows = wanted.select("cpe_date", *panels.KEY, *scores, *signals).join(targets, list(panels.KEY))
     in_window = (F.col("cpe_date") > F.date_sub("deact_dt", days)) & (
         F.col("cpe_date") < F.col("deact_dt")
     )

@@ -1,9 +1,12 @@
 """Jobs end to end on the given tables, stored and read back between the steps."""
 
+from datetime import date
+
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
-from stayline.operators import features
+from stayline.operators import features, model
 from stayline.plans import jobs
 from stayline.plans import standins as st
 from stayline.plans import queries
@@ -112,3 +115,58 @@ def test_the_forest_is_bounded(spark):
     assert all(t.numNodes < 2 * n / 20 for t in trained.model.trees)
     exact = jobs.train(df, trees=1, max_depth=2, max_bins=2048)
     assert exact.model.getOrDefault("maxBins") == 2048
+
+
+def test_the_forest_is_grown_on_all_cores_and_keeps_the_rows_places(spark, monkeypatch):
+    rows = [(i % 2, *[float((i * 37 + k) % 101) for k in range(3)]) for i in range(300)]
+    seen, fit = [], RandomForestClassifier.fit
+
+    def recorded(self, df, *args):
+        seen.append((df.rdd.getNumPartitions(), self.getCacheNodeIds()))
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", recorded)
+    df = spark.createDataFrame(rows, ["y", "a", "b", "c"]).coalesce(1)
+    kept = spark.sparkContext.getCheckpointDir() is not None
+    forest = model.train_forest(df, ["a", "b", "c"], label="y", trees=2, max_depth=3)
+    assert seen == [(spark.sparkContext.defaultParallelism, kept)] and forest.getNumTrees == 2
+
+
+def stored_panels(spark, monkeypatch, work):
+    """What ``work`` stores, and its result: telemetry of one line that left, one that stayed, and one that is in question nowhere."""
+    stored, keep = [], jobs.durable
+
+    def recorded(df, **options):
+        stored.append(df)
+        return keep(df, **options)
+
+    for place in (jobs, features):
+        monkeypatch.setattr(place, "durable", recorded, raising=False)
+    scores = {s: F.lit(1.0) for s in features.MODEL_SCORES}
+    day = F.expr("date_add(date'1997-01-01', cast(id % 40 as int))").alias("cpe_date")
+    panel = spark.range(120).select(day, F.expr("concat('m', cast(id div 40 as string))").alias("mdn_5g"), F.lit("c").alias("cust_id")).withColumns(scores)
+    return work(panel), stored
+
+
+def log(spark, rows):
+    names = ["mdn_5g", "cust_id", "activity_cd", *features.LINE_COLUMNS[2:]]
+    return spark.createDataFrame([(m, "c", code, *["1"] * (len(names) - 3)) for m, code in rows], names)
+
+
+def test_candidate_panels_store_rows_of_the_lines_in_question_once(spark, monkeypatch):
+    customers = log(spark, [("m1", "AC"), ("m2", "AC"), ("m2", "AC"), (None, "AC")])
+    churned = log(spark, [("m0", "DE"), (None, "DE")]).withColumnRenamed("activity_cd", "deact_cd").withColumn("deact_dt", F.lit("1997-02-01").cast("date"))
+    found, stored = stored_panels(spark, monkeypatch, lambda panel: jobs.candidate_panels(churned, customers, panel))
+    assert len(stored) == 1 and {r[0] for r in stored[0].select("mdn_5g").distinct().collect()} == {"m0", "m1"}
+    counts = {name: {r[0]: r[1] for r in df.groupBy("mdn_5g").count().collect()} for name, df in found.items()}
+    assert counts == {jobs.CHURN_PANEL: {"m0": 31}, jobs.ACTIVE_PANEL: {"m1": 31}}
+
+
+def test_feature_table_leaves_other_lines_out_before_the_shuffle(spark, monkeypatch):
+    activity = log(spark, [("m1", "AC"), ("m2", "AC"), ("m2", "AC")])
+    ended = log(spark, [("m0", "DE")]).withColumnRenamed("activity_cd", "deact_cd").withColumn("deact_dt", F.lit("1997-02-01").cast("date"))
+    places = activity.select("mdn_5g", "cust_id", "market_type", "order_fulfilment")
+    table = lambda panel: features.feature_table(activity, places, ended, panel, churn_after=date(1996, 1, 1))
+    got, stored = stored_panels(spark, monkeypatch, table)
+    assert len(stored) == 1 and "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.mdn_5g, r.churn_label) for r in got.collect()) == [("m0", "Y"), ("m1", "N")]
