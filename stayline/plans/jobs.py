@@ -58,9 +58,12 @@ def candidate_panels(
 ) -> dict[str, DataFrame]:
     """Telemetry of the closed lookback before each disconnect, and of the lines that stayed.
 
-    Both read only the days the lookbacks span, so a panel partitioned by day is pruned.
+    Both read only the days the lookbacks span, so a panel partitioned by day is pruned. Of these days the rows of the
+    lines in question are stored once for both, so the panel is read once and other lines' rows are in no shuffle of a panel.
     """
+    lines = churned.select(*panels.KEY).unionByName(panels.stable_lines(customers))
     span = panels.scan_range(panel, panels.lookback_bounds(churned, days))
+    span = durable(span.join(lines, list(panels.KEY), "left_semi"))
     return {
         CHURN_PANEL: panels.lookback(
             churned.select(*panels.KEY, *PANEL_LINE, "deact_dt", "deact_cd"), span, days

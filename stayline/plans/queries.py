@@ -588,7 +588,7 @@ def candidate_chain(spark, d):
     """The jobs one after the other, with stored tables between them, up to the design matrix."""
     lines = jobs.line_tables(st.raw_activity(spark, d), st.full_profile(spark, d), st.CUTOFF)
     churned, customers = (durable(lines[n]) for n in (jobs.CHURNED_LINES, jobs.CUSTOMER_LINES))
-    found = jobs.candidate_panels(churned, customers, durable(st.telemetry(spark, d)))
+    found = jobs.candidate_panels(churned, customers, st.telemetry(spark, d))
     stayed, left = (durable(found[n]) for n in (jobs.ACTIVE_PANEL, jobs.CHURN_PANEL))
     return jobs.model_rows(stayed, left, churn_after=st.CHURN_AFTER).drop("row_key")
 
