@@ -39,9 +39,8 @@ def train_forest(
     has values, trees split on exact values. A leaf has ``min_leaf`` rows at least. The trees lie in the driver's memory:
     each has fewer than 2 * rows / min_leaf nodes, so bound the rows of ``train`` (``jobs.train`` does).
 
-    ``train`` is read several times; pass a table that is stored (``session.durable``). Its rows are dealt evenly over all cores: they are
-    few, and as few files would make a task or two that go through every tree. Where checkpoints have a folder (``spark.checkpoint.dir``) a
-    row's node in each tree is kept from pass to pass, not found from the root again; the trees are the same.
+    ``train`` is read several times; pass a table that is stored (``session.durable``). Where checkpoints have a folder
+    (``spark.checkpoint.dir``) a row's node in each tree is kept from pass to pass, not found from the root again; the trees are the same.
     """
     context = train.sparkSession.sparkContext
     forest = RandomForestClassifier(
@@ -59,7 +58,7 @@ def train_forest(
     )
     if weight is not None:
         forest = forest.setWeightCol(weight)
-    return forest.fit(assemble(train.select(*inputs, label, *([weight] if weight else [])).repartition(context.defaultParallelism), inputs))
+    return forest.fit(assemble(train, inputs))
 
 
 def score(
