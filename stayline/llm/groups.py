@@ -5,6 +5,7 @@ documents of one class, or those without a class whose first bucket has the same
 A group is stored with the union of its tokens, the matrix's column. Two groups meet once if any bucket has documents of both,
 however many such buckets and documents there are. A document can only be linked with one of a group if the group's union holds enough
 of its tokens; the other group is opened, and its documents are read, only where some document passes that bound.
+Of two groups only the one of the smaller union travels to the other, its union first: a large group that meets many others stays where it is.
 A group, and an opened pair of groups, is compared whole, so no pair of documents is ever a row.
 
 Classes are found by links, so documents of one class need none between them: two groups of the same one class do not meet.
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,19 +145,25 @@ def linked_pairs(a: Side, b: Side, up: int, down: int) -> np.ndarray:
     return np.stack([pairs.max(axis=0), pairs.min(axis=0)]) if len(first) else np.zeros((2, 0), np.int64)
 
 
-def group_pairs(members: DataFrame, grouped: DataFrame) -> DataFrame:
-    """(a, b), a < b, of groups that share a bucket and are not of one and the same class."""
-    span = grouped.groupBy("group").agg(F.min("class").alias("_low"), F.max("class").alias("_high"))
+def group_pairs(members: DataFrame, grouped: DataFrame, columns: DataFrame) -> DataFrame:
+    """(a, b) of groups that share a bucket and are not of one and the same class; b is that of the smaller union in ``columns``, or else
+    the smaller number."""
+    span = columns.select(
+        "group", F.array_min("classes").alias("_low"), F.array_max("classes").alias("_high"), F.size("union").alias("_n")
+    )
     index = members.join(grouped.select("id", "group"), "id").select("bucket", "group").distinct().join(span, "group")
     index = durable(index)
-    left = index.select("bucket", F.col("group").alias("a"), F.col("_low").alias("_al"), F.col("_high").alias("_ah"))
-    right = index.select("bucket", F.col("group").alias("b"), F.col("_low").alias("_bl"), F.col("_high").alias("_bh"))
-    one = (F.col("_al") == F.col("_ah")) & (F.col("_bl") == F.col("_bh")) & (F.col("_al") == F.col("_bl"))
-    return left.join(right, "bucket").where((F.col("a") < F.col("b")) & ~one).select("a", "b").distinct()
+
+    def side(s: str) -> DataFrame:
+        return index.select("bucket", F.col("group").alias(s), *[F.col(f"_{c}").alias(f"_{s}{c}") for c in ("low", "high", "n")])
+
+    one = (F.col("_alow") == F.col("_ahigh")) & (F.col("_blow") == F.col("_bhigh")) & (F.col("_alow") == F.col("_blow"))
+    larger = F.struct("_an", "a") > F.struct("_bn", "b")
+    return side("a").join(side("b"), "bucket").where(larger & ~one).select("a", "b").distinct()
 
 
 def qualifying(pairs: DataFrame, columns: DataFrame, up: int, down: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) where a document of a has enough tokens in b's union."""
+    """Those of ``pairs`` (a, b) where a document of a has enough tokens in b's union. The union goes to where a's documents are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,21 +175,24 @@ def qualifying(pairs: DataFrame, columns: DataFrame, up: int, down: int) -> Data
                 kept.append(bool((down * np.diff(found[at]) >= up * np.diff(at)).any()))
             yield batch.select(["a", "b"]).filter(pa.array(kept, pa.bool_()))
 
-    both = pairs.join(columns.select(F.col("group").alias("a"), "tokens"), "a").join(
-        columns.select(F.col("group").alias("b"), "union"), "b"
+    both = pairs.join(columns.select(F.col("group").alias("b"), "union"), "b").join(
+        columns.select(F.col("group").alias("a"), "tokens"), "a"
     )
     return both.select("a", "b", "tokens", "union").mapInArrow(run, "a bigint, b bigint")
 
 
 def opened(pairs: DataFrame, columns: DataFrame, up: int, down: int) -> DataFrame:
-    """Links (a, b), a > b, of documents of the groups ``pairs`` (a, b): one at least for any two classes that have any."""
+    """Links (a, b), a > b, of documents of the groups ``pairs`` (a, b): one at least for any two classes that have any. The documents of b go
+    to where those of a are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros((2, 0), np.int64)]
+            swapped = pc.greater(batch.column("a"), batch.column("b")).to_pylist()  # the group of the smaller number first, whichever came
             for i in range(batch.num_rows):
                 sides = [
-                    (*lists(batch.column(f"tokens_{s}"), i), flat(batch.column(f"ids_{s}"), i), flat(batch.column(f"classes_{s}"), i)) for s in "ab"
+                    (*lists(batch.column(f"tokens_{s}"), i), flat(batch.column(f"ids_{s}"), i), flat(batch.column(f"classes_{s}"), i))
+                    for s in ("ba" if swapped[i] else "ab")
                 ]
                 found.append(linked_pairs(*sides, up, down))
             links = np.concatenate(found, axis=1)
@@ -190,7 +201,7 @@ def opened(pairs: DataFrame, columns: DataFrame, up: int, down: int) -> DataFram
     def side(s: str) -> DataFrame:
         return columns.select(F.col("group").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("ids", "classes", "tokens")])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(side("b"), "b").join(side("a"), "a").mapInArrow(run, "a bigint, b bigint")
 
 
 def links_between(members: DataFrame, sets: DataFrame, classes: DataFrame, up: int, down: int) -> DataFrame:
@@ -202,7 +213,7 @@ def links_between(members: DataFrame, sets: DataFrame, classes: DataFrame, up: i
     """
     grouped = group_of(members, sets, classes)
     columns = durable(matrix(grouped, sets, up, down))
-    pairs = group_pairs(members, grouped)
+    pairs = group_pairs(members, grouped, columns)
     across = durable(opened(qualifying(pairs, columns, up, down), columns, up, down))
     each = F.expr("explode(transform(sequence(0, size(links) - 2, 2), i -> struct(links[i] AS a, links[i + 1] AS b))) AS l")
     inside = columns.where("size(links) > 0").select(each).select("l.*")

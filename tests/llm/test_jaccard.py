@@ -160,3 +160,23 @@ def test_groups_that_cannot_qualify_are_not_opened(spark):
     assert kept == {(10, 20)}
     first = columns.where("group = 10").first()
     assert len(first.union) == 15 and first.links == [2, 1]  # 5 of 15 in common
+
+
+def test_of_two_groups_the_smaller_one_travels(spark, monkeypatch):
+    # A class of 40 sets meets 30 classes of one set each; every other of these has a set that is linked with some of the large class.
+    large = {i: range(i, i + 100) for i in range(40)}
+    small = {1000 + k: range(k, k + 100) if k % 2 == 0 else [*range(k, k + 20), *range(10_000 + 100 * k, 10_080 + 100 * k)] for k in range(30)}
+    sets = spark.createDataFrame([(i, len(t), list(t)) for i, t in (large | small).items()], "id bigint, size bigint, tokens array<bigint>")
+    classes = spark.createDataFrame([*((i, 0) for i in large), *((i, i) for i in small)], "id bigint, class bigint")
+    members = spark.createDataFrame([x for k in range(30) for x in ((k, k), (k, 1000 + k))] + [(0, i) for i in large if i], "bucket bigint, id bigint")
+    plain, seen = groups.qualifying, []
+    monkeypatch.setattr(groups, "qualifying", lambda pairs, columns, up, down: seen.append((pairs, columns)) or plain(pairs, columns, up, down))
+    links = groups.links_between(members, sets, classes, 9, 10).collect()
+    (pairs, columns), = seen
+    unions = {r.group: len(r.union) for r in columns.collect()}
+    met = pairs.collect()
+    assert len(met) == 30 and all(unions[a] >= unions[b] for a, b in met)
+    assert sorted(a for a, _ in links) == [1000 + k for k in range(0, 30, 2)]
+    for a, b in links:
+        x, y = set(small[a]), set(large[b])
+        assert 10 * len(x & y) >= 9 * len(x | y)
