@@ -16,7 +16,7 @@ from __future__ import annotations
 import itertools
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,17 +53,44 @@ def public_path(name: str) -> str:
 
 #: Runs that the tokenizer's own pattern parts in lower-cased Latin-1 without control characters.
 _LETTERS, _DIGITS = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾"
-_PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^ {_LETTERS}{_DIGITS}]+")
-_WHOLE = "\0"  # marks a word that the whole tokenizer takes; no part begins with it
+#: 's, 't, 're, 've, 'm, 'll, 'd | a run of letters | a digit | a run of anything else but blanks
+_BLANK, _LETTER, _DIGIT, _OTHER = range(4)
+_CHARS = [chr(c) for c in range(256)]
+_LOWER = "".join(_CHARS).lower().encode("latin-1")
+_KINDS = np.array(
+    [
+        _BLANK if c in " \n" else _LETTER if re.match(f"[{_LETTERS}]", c) else _DIGIT if re.match(f"[{_DIGITS}]", c) else _OTHER
+        for c in _CHARS
+    ],
+    np.uint8,
+)
+_SUFFIXES = [b"'s", b"'t", b"'re", b"'ve", b"'m", b"'ll", b"'d"]
+
+
+def part_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts of lower-cased Latin-1 text begin, and which bytes belong to one."""
+    kinds = _KINDS[data]
+    inside = kinds != _BLANK
+    begins = inside & ((kinds == _DIGIT) | (np.r_[np.uint8(_BLANK), kinds[:-1]] != kinds))
+    # An apostrophe that begins a part takes the letters of a suffix along; other letters behind these are a part of their own.
+    quotes = np.flatnonzero(begins & (data == ord("'")))
+    padded = np.r_[data, np.zeros(2, np.uint8)]
+    for suffix in _SUFFIXES:
+        found = quotes[np.logical_and.reduce([padded[quotes + k] == c for k, c in enumerate(suffix)])]
+        begins[found + 1] = False
+        after = found + len(suffix)
+        after = after[after < len(data)]
+        begins[after] = inside[after]
+    return np.flatnonzero(begins), inside
 
 
 class WordTokenizer:
     """Ids of whole texts from the ids of their parts, each tokenized once for as long as it is remembered.
 
     The tokenizer cuts a normalised text into parts and merges within a part only, so the ids of a text are those of its
-    parts in turn. Plain texts (Latin-1, no control characters but line feeds) are cut here, by the same pattern: their normal form
+    parts in turn. Plain texts (Latin-1, no control characters but line feeds) are cut here, by the same rules: their normal form
     is the lower-cased text. Other texts are cut at blanks alone, which no part spans, and each word goes through the
-    whole tokenizer.
+    whole tokenizer. Parts are remembered as bytes, such words as strings.
     """
 
     def __init__(self, path: str, special_as_text: bool) -> None:
@@ -81,12 +108,12 @@ class WordTokenizer:
         self.clear()
 
     def clear(self) -> None:
-        self.numbers: dict[str, int] = {}
+        self.numbers: dict[bytes | str, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.starts = np.zeros(1 << 14, np.int64)
         self.used = 0
 
-    def remember(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def remember(self, words: list[bytes] | list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         known = len(self.numbers)
         while len(self.ids) < self.used + len(ids):
             self.ids = np.r_[self.ids, np.zeros_like(self.ids)]
@@ -97,45 +124,76 @@ class WordTokenizer:
         self.numbers.update(zip(words, range(known, known + len(words)), strict=True))
         self.used += len(ids)
 
-    def learn(self, words: list[str]) -> None:
-        parts = [w for w in words if w[:1] != _WHOLE]
-        if parts:
-            ids = np.array(self.parts.encode(" ".join(parts), add_special_tokens=False).ids, np.int32)
-            sizes = np.diff(np.r_[-1, np.flatnonzero(self.ends[ids])])
-            if len(sizes) != len(parts):
-                raise ValueError("the tokenizer does not mark the ends of words")
-            self.remember(parts, ids, sizes)
-        others = [w for w in words if w[:1] == _WHOLE]
-        if others:
-            found = [e.ids for e in self.whole.encode_batch([w[1:] for w in others], add_special_tokens=False)]
-            self.remember(others, np.array([i for ids in found for i in ids], np.int32), np.array([len(x) for x in found]))
-
-    def cut(self, text: str | None) -> list[str]:
-        plain = (text or "").replace("\n", " ")
-        if plain.isprintable() and not any(s in plain for s in self.special):
+    def learn_parts(self, parts: list[bytes]) -> None:
+        # encode() would also work out where in the text each id stands.
+        joined = b" ".join(parts).decode("latin-1")
+        ids = np.array(self.parts.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int32)
+        sizes = np.diff(np.r_[-1, np.flatnonzero(self.ends[ids])])
+        if len(sizes) != len(parts):
+            raise ValueError("the tokenizer does not mark the ends of words")
+        self.remember(parts, ids, sizes)
+
+    def learn_words(self, words: list[str]) -> None:
+        found = [e.ids for e in self.whole.encode_batch_fast(words, add_special_tokens=False)]
+        self.remember(words, np.array([i for ids in found for i in ids], np.int32), np.array([len(x) for x in found]))
+
+    def numbered(self, words: list[bytes] | list[str], learn: Callable[[list], None]) -> np.ndarray:
+        """The numbers of ``words``, each of which stands there once; ``learn`` gets those that are not remembered."""
+        known = len(self.numbers)
+        numbers = np.fromiter(map(self.numbers.get, words, itertools.repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            learn([words[i] for i in fresh.tolist()])
+            numbers[fresh] = np.arange(known, known + len(fresh))
+        return numbers
+
+    def plain(self, text: str) -> bytes | None:
+        """``text`` in Latin-1 if it can be cut here."""
+        if text.isprintable() and not any(s in text for s in self.special):
             try:
-                plain.encode("latin-1")
-                return _PARTS.findall(plain.lower())
+                return text.encode("latin-1")
             except UnicodeEncodeError:
                 pass
-        return [_WHOLE + w for w in plain.split(" ") if w]
+        return None
+
+    def of_plain(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all parts of ``texts``, and how many each text has."""
+        data = np.frombuffer(b"".join(t + b" " for t in texts).translate(_LOWER), np.uint8)
+        begins, inside = part_bounds(data)
+        text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        counts = np.diff(np.searchsorted(begins, np.r_[0, text_ends]))
+        packed = np.cumsum(inside)  # place of each byte, from 1, when blanks are left out
+        bounds = np.r_[packed[begins] - 1, packed[-1:]].astype(np.int64)
+        buffers = [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])]
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begins), buffers).dictionary_encode()
+        numbers = self.numbered(coded.dictionary.to_pylist(), self.learn_parts)
+        return numbers[coded.indices.to_numpy()], counts
+
+    def of_others(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of ``texts``, and how many each text has."""
+        split = [[w for w in t.split(" ") if w] for t in texts]
+        flat = list(itertools.chain.from_iterable(split))
+        words = dict.fromkeys(flat)
+        place = dict(zip(words, self.numbered(list(words), self.learn_words).tolist(), strict=True))
+        return np.array([place[w] for w in flat], np.int64), np.array([len(x) for x in split], np.int64)
 
     def encode(self, texts: list[str | None], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, ``end_id`` after each, and where each text begins and the last ends."""
-        split = [self.cut(t) for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        flat = list(itertools.chain.from_iterable(split))
         if len(self.numbers) > REMEMBERED:
             self.clear()
-        known = self.numbers
-        fresh = [w for w in set(flat) if w not in known]
-        if fresh:
-            self.learn(fresh)
-        numbers = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
+        lines = [(t or "").replace("\n", " ") for t in texts]
+        raw = [self.plain(t) for t in lines]
+        is_plain = np.array([r is not None for r in raw], bool)
+        counts = np.zeros(len(texts), np.int64)
+        plain, counts[is_plain] = self.of_plain([r for r in raw if r is not None])
+        others, counts[~is_plain] = self.of_others([t for t, r in zip(lines, raw, strict=True) if r is None])
+        numbers = np.empty(len(plain) + len(others), np.int64)
+        from_plain = np.repeat(is_plain, counts)
+        numbers[from_plain], numbers[~from_plain] = plain, others
         low = self.starts[numbers]
         sizes = self.starts[numbers + 1] - low
         word_ends = np.cumsum(sizes)
-        total = int(word_ends[-1]) if len(flat) else 0
+        total = int(word_ends[-1]) if len(numbers) else 0
         ids = self.ids[np.repeat(low - (word_ends - sizes), sizes) + np.arange(total)]
         text_ends = np.r_[0, word_ends][np.cumsum(counts)]
         ids = np.insert(ids, text_ends, end_id)

@@ -1,6 +1,9 @@
+import random
+import re
 import struct
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.parquet as pq
@@ -51,6 +54,46 @@ def test_words_give_the_ids_of_whole_texts():
     assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [i for _, i in brute([(0, t) for t in texts], 7)]
 
 
+def test_parts_are_those_of_the_pattern():
+    pattern = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^ a-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
+    draw = random.Random(4)
+    texts = ["".join(draw.choices("'stremvlda  1²ß×!", k=draw.randrange(40))) for _ in range(2000)]
+    texts += ["".join(chr(draw.randrange(32, 256)) for _ in range(200)).lower() for _ in range(50)]
+    for text in [*texts, "", " ", "'", "'s", "x'", "''s", "'s's", "'re'v", "'l"]:
+        data = text.encode("latin-1")
+        begins, inside = token_files.part_bounds(np.frombuffer(data, np.uint8))
+        ends = np.r_[begins[1:], len(data)].tolist()
+        assert [data[a:b].decode("latin-1").rstrip(" ") for a, b in zip(begins.tolist(), ends)] == pattern.findall(text)
+        assert bytes(data[i] for i in np.flatnonzero(inside)).decode("latin-1") == text.replace(" ", "")
+
+
+def test_a_part_is_looked_up_once_for_all_texts_encoded_together():
+    class Counting(dict):
+        asked = 0
+
+    def counted(name):
+        def method(self, *args):
+            Counting.asked += 1
+            return getattr(dict, name)(self, *args)
+
+        return method
+
+    for name in ("get", "__getitem__", "__contains__"):
+        setattr(Counting, name, counted(name))
+    words = token_files.WordTokenizer(PATH, False)
+    words.numbers = Counting()
+    texts = ["the same words again, " * 500, None, "the same\nwords " * 500, "Ŝi the same " * 3]
+    ids, at = words.encode(texts, 7)
+    assert Counting.asked == 5 + 3  # the, same, words, again, comma; three words of the text that is not Latin-1
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [i for _, i in brute(enumerate(texts), 7)]
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["Ŝ"], ["Ŝ", None, "a", " ", "Ŝ a"], ["\n"]])
+def test_plain_and_other_texts_keep_their_places(texts):
+    ids, at = token_files.WordTokenizer(PATH, False).encode(texts, 7)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [i for _, i in brute(enumerate(texts), 7)]
+
+
 def test_files_have_small_row_groups_indexes_and_encodings(spark, tables):
     folder = scratch_path(spark, "tokens")
     token_files.write_tokens(tables("documents"), folder)
