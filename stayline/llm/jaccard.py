@@ -25,6 +25,10 @@ from stayline.session import durable
 
 SHINGLE = 3
 UP, DOWN = 90, 100  # linked if DOWN * intersection >= UP * union
+CUT = 16  # last bits of a token that outlines leave out
+KEY_BITS = 48  # of a token that buckets look at; the other bits of its number hold how many sets have it
+SORTED = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false"}  # sorted numbers are stored by their differences
+MAP_BITS = 1 << 26  # of the bitmap of wanted ids at most: 8 MB
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -61,10 +65,11 @@ def missing(size, up: int = UP, down: int = DOWN):
 
 
 def outlines(docs: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
-    """(doc_id, n_shingles, text_key, prefix): a digest of the set, null if empty, and its smallest tokens.
+    """(doc_id, n_shingles, raw, text_key, prefix): a hash of the text, a digest of the set, null if empty, and its smallest tokens.
 
     With m = ``missing``, any two linked sets share one token at least of their m + 1 smallest, and generally k of their
-    m + k smallest. ``prefix`` has 2 m + 1: k = m + 1 of them at least are shared with a linked set of the same size.
+    m + k smallest. ``prefix`` has 2 m + 1: k = m + 1 of them at least are shared with a linked set of the same size. It holds the
+    tokens' first bits, as a token that is shared has these in common, too.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,18 +82,21 @@ def outlines(docs: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
                 ends = np.r_[0, np.cumsum(wanted)]
                 chosen = keys[np.repeat(at[:-1] - ends[:-1], wanted) + np.arange(ends[-1])]
                 yield pa.RecordBatch.from_arrays(
-                    [piece.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.string()), list_array(chosen, ends, pa.int64())],
-                    names=["doc_id", "n_shingles", "text_key", "prefix"],
+                    [
+                        piece.column("doc_id"), pa.array(n, pa.int64()), piece.column("raw"), pa.array(digests, pa.string()),
+                        list_array(chosen >> CUT, ends, pa.int64()),
+                    ],
+                    names=["doc_id", "n_shingles", "raw", "text_key", "prefix"],
                 )
 
-    schema = "doc_id bigint, n_shingles bigint, text_key string, prefix array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, schema)
+    schema = "doc_id bigint, n_shingles bigint, raw bigint, text_key string, prefix array<bigint>"
+    return docs.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("raw"), "text").mapInArrow(run, schema)
 
 
 def possible(sets: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
     """(id) of ``sets`` (id, n, prefix) that share enough of their smallest tokens with others to have a link at all."""
     spread = sets.select("id", "n", F.explode("prefix").alias("token"))
-    several = spread.groupBy("token").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low != _high")
+    several = spread.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1")
     shared = spread.join(durable(several.select("token")), "token").groupBy("id", "n").agg(F.count("*").alias("_shared"))
     # A linked set has at least `least` tokens, and so k = missing(least) + 1 smallest ones in common with this one.
     least = F.call_function("div", F.col("n") * up + F.lit(down - 1), F.lit(down))
@@ -102,34 +110,52 @@ def buckets(sets: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
     set has come first and leave fewer places for the rest; a set with more than m of them has no link. ``share`` is how
     much of a set others have, by the thousand. Passages that many texts repeat are among the rarest tokens of none
     but the texts that hold little else.
+
+    Of a token only the last bits travel, and after the count one number of them and of how many have it (up to a bound). In the
+    order of these numbers the bound m + 1 holds as well: before the first that two linked sets have in common stand only
+    tokens that the other lacks. Tokens of the same bits count as one and share a bucket.
     """
-    one = sets.select("id", "size", F.explode("tokens").alias("token"))
+    last = F.lit((1 << KEY_BITS) - 1)
+    one = sets.select("id", "size", F.explode("tokens").alias("token")).withColumn("token", F.col("token").bitwiseAND(last))
     counts = durable(one.groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1"))
-    known = one.join(counts, "token").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("_n", "token"))).alias("_known"))
+    key = F.shiftleft(F.least("_n", F.lit((1 << 63 - KEY_BITS) - 1)), KEY_BITS).bitwiseOR(F.col("token"))
+    known = one.join(counts, "token").groupBy("id", "size").agg(F.array_sort(F.collect_list(key)).alias("_known"))
     places = missing(F.col("size"), up, down) + 1 - (F.col("size") - F.size("_known"))
     share = (F.size("_known") * 1000 / F.col("size")).cast("int")
-    rarest = known.where(places > 0).select("id", share.alias("share"), F.explode(F.slice("_known", F.lit(1), places.cast("int"))).alias("_t"))
-    spread = durable(rarest.select(F.col("_t.token").alias("bucket"), "id", "share"))
+    rarest = known.where(places > 0).select("id", share.alias("share"), F.explode(F.slice("_known", F.lit(1), places.cast("int"))).alias("_key"))
+    spread = durable(rarest.select(F.col("_key").bitwiseAND(last).alias("bucket"), "id", "share"))
     several = spread.groupBy("bucket").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low != _high")
     return durable(spread.join(durable(several.select("bucket")), "bucket"))
 
 
+def rows_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs`` whose doc_id may be among those of ``wanted``, and few others: a bitmap of hashed ids is held against the
+    rows where they lie. It grows with ``wanted`` up to ``MAP_BITS``; with still more ids more others are left."""
+    bits = min(MAP_BITS, 1 << (16 * wanted.count()).bit_length())
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    bucket, bit = F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place)
+    marks = wanted.groupBy(bucket).agg(F.bitmap_construct_agg(bit).alias("_marks"))
+    rows = docs.select(F.col("doc_id").cast("bigint"), "text").withColumns({"_bucket": bucket, "_bit": bit})
+    byte = F.conv(F.hex(F.substring("_marks", F.expr("int(_bit div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    marked = F.call_function("getbit", byte, F.expr("int(_bit % 8)")) == 1
+    return rows.join(F.broadcast(marks), "_bucket").where(marked).select("doc_id", "text")
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, size, tokens) of the sets ``wanted`` (id, doc_id, text_key): from the row of that doc_id whose set has that digest."""
+    """(id, size, tokens) of the sets ``wanted`` (id, doc_id, raw): from a row of that doc_id whose text has that hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
                 keys, at = shingle_sets(*joined(piece.column("text")))
-                ends = at.tolist()
-                same = [hashlib.md5(keys[a:b].tobytes()).hexdigest() == k for a, b, k in zip(ends[:-1], ends[1:], piece.column("text_key").to_pylist(), strict=True)]
-                out = pa.RecordBatch.from_arrays(
+                yield pa.RecordBatch.from_arrays(
                     [piece.column("id"), pa.array(np.diff(at), pa.int64()), list_array(keys, at, pa.int64())], names=["id", "size", "tokens"]
                 )
-                yield out.filter(pa.array(same, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(wanted, "doc_id").select("id", "text", "text_key")
-    return rows.mapInArrow(run, "id bigint, size bigint, tokens array<bigint>").dropDuplicates(["id"])
+    rows = rows_with(docs, wanted).join(wanted, "doc_id").where(F.xxhash64("text") == F.col("raw"))
+    # Both keys, so that the rows stay where the join has put them.
+    each = rows.dropDuplicates(["doc_id", "id"]).select("id", "text")
+    return each.mapInArrow(run, "id bigint, size bigint, tokens array<bigint>")
 
 
 def leader_links(members: DataFrame, sets: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
@@ -162,16 +188,17 @@ def joined_sets(docs: DataFrame, up: int = UP, down: int = DOWN) -> DataFrame:
     without id has a size and a null component and links nothing. Rows that repeat an id are one document: their sets
     are linked. An empty table gives no rows.
     """
-    rows = durable(outlines(docs, up, down))
+    rows = durable(outlines(docs, up, down), **SORTED)
     full = rows.where("text_key is not null and doc_id is not null")
     # A set's own number is made of its digest, as an id may have several sets.
     number = F.conv(F.substring("text_key", 1, 15), 16, 10).cast("bigint")
     sets = durable(
         full.groupBy("text_key")
-        .agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
-        .withColumn("id", number)
+        .agg(F.min(F.struct("doc_id", "raw")).alias("_row"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"))
+        .select(number.alias("id"), "_row.*", "n", "prefix"),
+        **SORTED,
     )
-    wanted = durable(possible(sets, up, down).join(sets.select("id", "doc_id", "text_key"), "id"))
+    wanted = durable(possible(sets, up, down).join(sets.select("id", "doc_id", "raw"), "id"))
     tokens = durable(whole_sets(docs, wanted))
     members = buckets(tokens, up, down)
     links = durable(leader_links(members, tokens, up, down))

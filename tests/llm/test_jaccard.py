@@ -98,6 +98,34 @@ def test_small_groups_and_slices_change_nothing(spark, monkeypatch):
     assert found(df) == whole == expected(rows)
 
 
+def test_tokens_of_the_same_bits_lose_no_link(spark, monkeypatch):
+    rows = made(60)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard, "KEY_BITS", 7)
+    assert found(df) == expected(rows)
+
+
+def test_texts_that_are_not_wanted_stay_where_they_lie(spark):
+    docs = spark.range(6000).select((F.col("id") * 37 - 5000).alias("doc_id"), F.concat(F.lit("t "), "id").alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(None, "n")], "doc_id bigint, text string"))
+    wanted = docs.where("doc_id % 100 = 0").select("doc_id")
+    ids = {r.doc_id for r in wanted.collect()}
+    left = [r.doc_id for r in jaccard.rows_with(docs, wanted).collect()]
+    assert len(ids) == 60 and ids <= set(left) and len(left) == len(set(left)) < 1000
+    assert not jaccard.rows_with(docs, wanted.where("false")).collect()
+
+
+def test_one_set_of_repeated_rows(spark):
+    rows = [(1, "a b c d"), (1, "A b c d"), (1, "e f g"), (1, "a b c d"), (2, "a b c d"), (3, "e f g")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    wanted = spark.createDataFrame([(7, 1, "a b c d"), (8, 1, "e f g")], "id bigint, doc_id bigint, text string")
+    sets = jaccard.whole_sets(docs, wanted.select("id", "doc_id", F.xxhash64("text").alias("raw")))
+    assert sorted((r.id, r["size"], len(r.tokens)) for r in sets.collect()) == [(7, 2, 2), (8, 1, 1)]
+    # The tokens, several times a text's bytes, are not shuffled once more.
+    plan = sets._jdf.queryExecution().sparkPlan().toString()
+    assert plan.lstrip().startswith("MapInArrow")
+
+
 def test_another_limit(spark):
     rows = made(60)
     assert found(spark.createDataFrame(rows, "doc_id bigint, text string"), up=7, down=10) == expected(rows, 7, 10)
