@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
@@ -36,8 +37,9 @@ def train_forest(
     """100 gini trees on a square root of the features each, as deep as Spark allows (30).
 
     A score is cut into ``max_bins`` bins at most before the trees see it, at quantiles; with as many bins as a score
-    has values, trees split on exact values. A leaf has ``min_leaf`` rows at least. The trees lie in the driver's memory:
-    each has fewer than 2 * rows / min_leaf nodes, so bound the rows of ``train`` (``jobs.train`` does).
+    has values, trees split on exact values. Of more than ``max_bins`` squared rows Spark would seek the quantiles in a
+    sample of that many, so there are at least as many bins as the root of the rows, and all are read. A leaf has ``min_leaf``
+    rows at least. The trees lie in the driver's memory: each has fewer than 2 * rows / min_leaf nodes.
 
     ``train`` is read several times; pass a table that is stored (``session.durable``). Where checkpoints have a folder
     (``spark.checkpoint.dir``) a row's node in each tree is kept from pass to pass, not found from the root again; the trees are the same.
@@ -51,8 +53,8 @@ def train_forest(
         featureSubsetStrategy="sqrt",
         impurity="gini",
         seed=seed,
-        maxMemoryInMB=1024,
-        maxBins=max_bins,
+        maxMemoryInMB=256,
+        maxBins=max(max_bins, math.ceil(math.sqrt(train.count()))),
         minInstancesPerNode=min_leaf,
         cacheNodeIds=context.getCheckpointDir() is not None,
     )

@@ -20,7 +20,6 @@ from stayline.session import durable
 from stayline.sources import contracts
 from stayline.sources.writers import overwrite
 
-FIT_ROWS = 200_000  # rows a forest is fitted on, about
 CUSTOMER_LINES, INSTALL_LINES, CHURNED_LINES = "customer_lines", "install_lines", "churned_lines"
 CHURN_PANEL, ACTIVE_PANEL = "churn_cpe_features", "active_cpe_features"
 SHORT_PROFILE = ("chnl_nm", "install_type", "market_type", "order_fulfilment", "usage_flag")
@@ -147,15 +146,15 @@ def prepare(
     with_account: bool = False,
     one_pass_means: bool = False,
     weighted: bool = False,
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int | None = None,
 ) -> Prepared:
     """The training input of a design matrix with a unique ``row_key``.
 
     By default the rows are split by line first; donors and means for missing scores come from the training
     rows, and only those are balanced. ``balance_first`` balances everything before the split and
     ``one_pass_means`` takes donors and means from all rows, which flatters the test figures. ``weighted``
-    keeps all training rows and weights the classes instead. Of more than about ``fit_rows`` training rows the
-    forest gets a random part of that size, as it lies in the driver's memory; all rows are scored.
+    keeps all training rows and weights the classes instead. The forest gets all of these rows; a caller whose driver
+    cannot hold so large a forest may name ``fit_rows`` and gets one of a random part of about that size. All rows are scored.
     """
     scores: Sequence[str] = features.MODEL_SCORES
     inputs = [*scores, *features.one_hot_columns()]
@@ -182,10 +181,14 @@ def prepare(
         fit_on = rows.where(training)
     else:
         fit_on = durable(features.balance_classes(rows.where(training), ["row_key"]))
-    n = fit_on.count()
-    if n > fit_rows:
-        fit_on = fit_on.where(hashing.below_share("fit", ["row_key"], fit_rows / n))
-    return Prepared(rows, fit_on, inputs, weight)
+    return Prepared(rows, bounded(fit_on, fit_rows), inputs, weight)
+
+
+def bounded(fit_on: DataFrame, fit_rows: int | None) -> DataFrame:
+    """All rows, unless the caller names a number: then of more rows a random part of about that size."""
+    if fit_rows is None or (n := fit_on.count()) <= fit_rows:
+        return fit_on
+    return fit_on.where(hashing.below_share("fit", ["row_key"], fit_rows / n))
 
 
 def train(
@@ -214,7 +217,7 @@ def fit_model(
     *,
     preparation: Preparation | None = None,
     weighted: bool = False,
-    fit_rows: int = FIT_ROWS,
+    fit_rows: int | None = None,
     trees: int = 100,
     max_depth: int = 30,
     max_bins: int = model.MAX_BINS,
@@ -224,7 +227,7 @@ def fit_model(
 
     ``rows`` is a feature table (``features.feature_table``) with a unique ``row_key`` and its label Y or N: training rows only, so
     split before. Its levels, donors and means are learned from all of them; the forest from classes of equal size (or
-    ``weighted``), of at most about ``fit_rows`` rows. ``model.write().save(path)`` keeps it, ``PipelineModel.load`` brings it back.
+    ``weighted``), of a part only where ``fit_rows`` is named. ``model.write().save(path)`` keeps it, ``PipelineModel.load`` brings it back.
     """
     known = durable(labelled(rows).where(F.col(features.LABEL).isNotNull()))
     learned: PreparationModel = (preparation or Preparation()).fit(known)
@@ -234,11 +237,8 @@ def fit_model(
         fit_on = durable(evaluate.with_class_weight(ready, features.LABEL, "class_weight"))
     else:
         fit_on = durable(features.balance_classes(ready, ["row_key"]))
-    n = fit_on.count()
-    if n > fit_rows:
-        fit_on = fit_on.where(hashing.below_share("fit", ["row_key"], fit_rows / n))
     forest = model.train_forest(
-        fit_on, learned.inputs(), trees=trees, max_depth=max_depth, max_bins=max_bins, min_leaf=min_leaf,
+        bounded(fit_on, fit_rows), learned.inputs(), trees=trees, max_depth=max_depth, max_bins=max_bins, min_leaf=min_leaf,
         weight="class_weight" if weighted else None,
     )
     return PipelineModel([learned, VectorAssembler(inputCols=learned.inputs(), outputCol="features"), forest])

@@ -117,6 +117,50 @@ def test_the_forest_is_bounded(spark):
     assert exact.model.getOrDefault("maxBins") == 2048
 
 
+@pytest.fixture(scope="module")
+def large_matrix(spark, tmp_path_factory):
+    """A design matrix whose balanced training rows are more than 200,000."""
+    path = f"file://{tmp_path_factory.mktemp('large')}/rows"
+    key = F.col("id").cast("string")
+    scores = {s: (F.pmod(F.xxhash64("id", F.lit(s)), F.lit(500)) / 100 + F.col("id") % 2).cast("double") for s in features.MODEL_SCORES}
+    spark.range(300_000, numPartitions=4).select(
+        key.alias("mdn_5g"), key.alias("cust_id"), key.alias("row_key"), F.lit(1.0).alias("acct_num"),
+        *[v.alias(s) for s, v in scores.items()], *[F.lit(0).alias(c) for c in features.one_hot_columns()],
+        (F.col("id") % 2).cast("int").alias(features.LABEL),
+    ).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.mark.parametrize("name", ["feature_importance", "rf_evaluation", "rf_train_score"])
+def test_the_forest_sees_every_training_row(spark, monkeypatch, large_matrix, name):
+    fit, seen = model.train_forest, []
+
+    def recorded(train, inputs, **options):
+        seen.append([r[0] for r in train.groupBy(features.LABEL).count().select("count").collect()])
+        return fit(train, inputs, **(options | {"trees": 2, "max_depth": 2}))
+
+    monkeypatch.setattr(model, "train_forest", recorded)
+    monkeypatch.setattr(queries, "_matrix", lambda *_: large_matrix)
+    assert QUERIES[name](spark, "").count() == {"feature_importance": 29, "rf_evaluation": 10, "rf_train_score": 300_000}[name]
+    sides = features.split_train_test(large_matrix, ["mdn_5g", "cust_id"]).where("not is_test").groupBy(features.LABEL).count().collect()
+    assert seen == [[min(r["count"] for r in sides)] * 2] and sum(seen[0]) > 200_000
+
+
+def test_the_bins_come_from_every_row(spark, monkeypatch):
+    # Spark cuts bins from all rows only if these are no more than the bins squared (or 10,000).
+    seen, fit = [], RandomForestClassifier.fit
+
+    def recorded(self, df, *args):
+        seen.append(self.getMaxBins())
+        return fit(self, df, *args)
+
+    monkeypatch.setattr(RandomForestClassifier, "fit", recorded)
+    df = spark.range(12_000).select((F.col("id") % 2).alias("y"), (F.col("id") % 97).cast("double").alias("a")).orderBy("id")
+    for bins in (16, 200):
+        model.train_forest(df, ["a"], label="y", trees=1, max_depth=1, max_bins=bins)
+    assert seen == [110, 200]
+
+
 def test_the_forest_keeps_the_rows_places(spark, monkeypatch):
     rows = [(i % 2, *[float((i * 37 + k) % 101) for k in range(3)]) for i in range(300)]
     seen, fit = [], RandomForestClassifier.fit

@@ -127,3 +127,15 @@ def test_weighted_and_bounded_fits(spark):
     fitted = jobs.fit_model(rows, weighted=True, trees=3, max_depth=3, fit_rows=100)
     assert jobs.score_rows(fitted, rows).count() == rows.count()
     assert all(t.numNodes < 2 * 140 / 5 for t in fitted.stages[2].trees)
+
+
+def test_a_fit_takes_every_row_unless_told(spark, monkeypatch):
+    fit, seen = jobs.model.train_forest, []
+
+    def recorded(train, inputs, **options):
+        seen.append(train.count())
+        return fit(train, inputs, **(options | {"trees": 1, "max_depth": 1}))
+
+    monkeypatch.setattr(jobs.model, "train_forest", recorded)
+    jobs.fit_model(feature_rows(spark, 210_000), weighted=True)
+    assert seen == [210_000]
